@@ -97,7 +97,7 @@ def train(docs: DataFrame, per_language: int = 300, least: int = 8) -> ContextTr
         at = np.searchsorted(deep, full).clip(0, max(0, len(deep) - 1))
         three = refine(np.where(deep[at] == full, at, -1) if len(deep) else np.full(len(p), -1), len(deep), two[deep % (size * size)])
         bits[:, :, i] = -np.log2(np.concatenate([two, three]))
-    return ContextTrees(languages, symbols, state_of, bits.reshape(-1, len(languages)))
+    return ContextTrees(languages, symbols, state_of, bits.reshape(len(bits) * size, len(languages)))
 
 
 def code_lengths(texts: list[bytes], trees: ContextTrees) -> np.ndarray:

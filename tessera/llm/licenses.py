@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bind, indices, lower_ascii, row_key, same_key, scan_words
+from tessera.llm.common import bind, indices, row_key, same_key, scan_words
 
 
 @dataclass(frozen=True)
@@ -109,19 +109,14 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
     phrases = [t for t in templates if t.exact]
 
     def places(w: Column) -> Column:
-        found = [
-            F.transform(
-                F.filter(indices(F.size(w) - (len(p) - 1)), lambda i, p=p: F.slice(w, i + 1, len(p)) == F.array(*map(F.lit, p))),
-                lambda i, t=t: F.struct(i.alias("first"), F.lit(t.label).alias("label")),
-            )
-            for t in phrases
-            for p in [t.text.split()]
-        ]
-        return F.concat(*found)
+        def of(label: str, phrase: list[str]) -> Column:
+            starts = F.filter(indices(F.size(w) - (len(phrase) - 1)), lambda i: F.slice(w, i + 1, len(phrase)) == F.array(*map(F.lit, phrase)))
+            return F.transform(starts, lambda i: F.struct(i.alias("first"), F.lit(label).alias("label")))
+
+        return F.concat(*[of(t.label, t.text.split()) for t in phrases])
 
     none = F.array().cast("array<struct<first:int,label:string>>")
-    marked = F.exists(F.array(*[F.lit(t.text.split()[-1]) for t in phrases]), lambda x: F.contains(lower_ascii(F.col("text")), x)) if phrases else F.lit(False)
-    checked = bind(scan_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.when(marked, places(w)).otherwise(none).alias("exact")))
+    checked = bind(scan_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), (places(w) if phrases else none).alias("exact")))
     left = docs.select("doc_id", *row_key(), checked.alias("_checked"))
     joined = left.join(per_doc, same_key(left, per_doc), "left").select("doc_id", "_checked", "_spans")
     sure = F.filter(
