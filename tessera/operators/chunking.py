@@ -14,7 +14,7 @@ def fixed_windows(docs: DataFrame, text: str, size: int, overlap: int) -> DataFr
     """All other columns with chunk_index and content: windows of `size` characters, each size - overlap after the one before; blank ones are left out."""
     step = size - overlap
     starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)), F.lit(step))
-    cut = F.filter(F.transform(starts, lambda s, i: F.struct(i.alias("i"), F.substring(F.col(text), s, F.lit(size)).alias("c"))), lambda x: F.trim(x["c"]) != "")
+    cut = F.filter(F.transform(starts, lambda s, i: F.struct(i.alias("i"), F.substring(F.col(text), s, F.lit(size)).alias("c"))), lambda x: F.rlike(x["c"], F.lit(r"\S")))
     rest = [c for c in docs.columns if c != text]
     return docs.select(*rest, F.explode(cut).alias("_x")).select(*rest, F.col("_x.i").alias("chunk_index"), F.col("_x.c").alias("content"))
 

@@ -120,7 +120,7 @@ def corpus_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT doc_id, text, unnest(generate_series(1, greatest(length(text), 1), 384)) AS s FROM documents)
-SELECT doc_id, CAST((s - 1) // 384 AS INTEGER) AS chunk_index, length(substring(text, s, 512)) AS n, sha256(substring(text, s, 512)) AS hash FROM c WHERE trim(substring(text, s, 512)) <> ''""")
+SELECT doc_id, CAST((s - 1) // 384 AS INTEGER) AS chunk_index, length(substring(text, s, 512)) AS n, sha256(substring(text, s, 512)) AS hash FROM c WHERE regexp_matches(substring(text, s, 512), '[^ \\t\\n\\v\\f\\r]')""")
 def fixed_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of 512 characters, each 384 after the one before."""
     out = chunking.fixed_windows(table(spark, sf, "documents").select("doc_id", "text"), "text", 512, 128)
