@@ -143,4 +143,8 @@ def entities(content: Column, most: int = 12) -> Column:
     named = F.transform(F.concat(heads, ticked, capital), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" -:：，。")))
     stop = F.array(*[F.lit(x) for x in ("typescript", "javascript", "string", "true", "false")])
     good = F.filter(named, lambda x: F.char_length(x).between(2, 80) & ~F.array_contains(stop, F.lower(x)))
-    return F.slice(F.filter(good, lambda x, i: F.array_position(F.transform(good, lambda y: F.lower(y)), F.lower(x)) == i + 1), 1, most)
+    return F.aggregate(
+        good,
+        F.array().cast("array<string>"),
+        lambda a, x: F.when((F.size(a) >= most) | F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.array_append(a, x)),
+    )

@@ -200,3 +200,94 @@ def test_chain_shows_changes(spark):
     forged = chain.withColumn("p", F.when(F.col("n") == 2, "other").otherwise(F.col("p")))
     assert rows(integrity.broken_links(forged, "k", "n", "p"), "n") == [(2,)]
     assert rows(integrity.broken_links(chain.filter("n <> 3"), "k", "n", "p"), "n") == [(4,)]
+
+
+def test_citations(spark):
+    from tessera.operators import answers
+
+    a = spark.createDataFrame([("x", "Deep ocean currents move heat slowly [2]. Nothing known about zebras whatsoever."), ("y", "Two words [1][9].")], "answer_id string, answer string")
+    s = spark.createDataFrame([("x", 1, "ocean currents move heat"), ("x", 2, "unrelated content"), ("y", 1, "two other words")], "answer_id string, ref int, content string")
+    got = {(r["answer_id"], r["sentence_no"]): r for r in answers.checked_citations(a, s).collect()}
+    assert got["x", 0]["refs"] == [1] and got["x", 0]["invalid"] == 1 and got["x", 0]["attached"]
+    assert got["x", 1]["unsupported"] and got["y", 0]["refs"] == [1] and got["y", 0]["invalid"] == 1
+
+
+def test_table_answers(spark):
+    from tessera.operators import answers
+
+    q = spark.createDataFrame([(1, "销售额总和是多少"), (2, "GDP最高是多少"), (3, "一共有多少条记录"), (4, "北京的人口"), (5, "无关最大值")], "question_id int, question string")
+    sales = (["月份", "销售额"], [["一月", "100"], ["二月", "1,200"], ["三月", "x"]])
+    t = spark.createDataFrame(
+        [(1, 0, *sales), (2, 0, ["国家", "GDP"], [["甲", "4500"], ["乙", "30.5"]]), (3, 0, ["ab", "cd"], [["1", "2"]] * 3), (4, 0, ["城市", "人口"], [["北京", "2189"], ["上海", "2487"]]), (5, 0, ["ab"], [["1"]])],
+        "question_id int, table_no int, headers array<string>, rows array<array<string>>",
+    )
+    assert rows(answers.table_answers(q, t), "question_id", "value") == [(1, "1300"), (2, "4500"), (3, "3"), (4, "2189")]
+
+
+def test_page_blocks():
+    from tessera.sources.documents import page_blocks
+
+    html = '<nav><p>no</p></nav><h1>A</h1><p>one <b>two</b><br>three<h2>B</h2><ul><li>x</li></ul><table><tr><th>h</th></tr><tr><td>c <p>d</p></td></tr></table><img alt="pic"><script>"</p>"</script><pre>code</pre>'
+    got = page_blocks(html)
+    assert [(k, c) for k, _, c, _ in got][:1] == [("HEADING", "A")] and got[-1] == ("CODE", 0, "code", ["A", "B"])
+    assert ("LIST", 0, "- x", ["A", "B"]) in got and ("TABLE", 0, "h\nc d", ["A", "B"]) in got and ("IMAGE", 0, "pic", ["A", "B"]) in got
+    assert page_blocks("") == [] and page_blocks("plain") == []
+
+
+def test_read_cases(spark, tmp_path):
+    from tessera.sources.documents import read_cases
+
+    path = tmp_path / "cases.jsonl"
+    path.write_text('{"id":"a","question":"q","category":"c","answerable":true,"expected_chunk_ids":["x","y","x"],"relevance_grades":{"x":3}}\n{"id":"b","question":"","category":"c","answerable":true}\n{"id":"a","question":"q","answerable":true}\nnot json\n')
+    cases, problems = read_cases(spark, str(path))
+    first = cases.filter("id = 'a' and category = 'c'").first()
+    assert first["expected_chunk_ids"] == ["x", "y"] and first["relevance_grades"] == {"x": 3.0, "y": 1.0} and first["active"]
+    found = {tuple(r) for r in problems.collect()}
+    assert {("a", "repeated id"), ("b", "missing question"), ("a", "missing category"), (None, "malformed")} <= found
+
+
+def test_delimited(spark, tmp_path):
+    from tessera.sources.documents import read_delimited
+
+    (tmp_path / "a.csv").write_text('﻿name,note\n"tea, red", long   text\nshort\na,b,c\n', encoding="utf-8")
+    got = read_delimited(spark, str(tmp_path / "a.csv")).orderBy("row_number").collect()
+    assert got[0]["headers"] == ["name", "note"] and [r["cells"] for r in got] == [["tea, red", "long text"], ["short", ""], ["a", "b"]]
+
+
+def test_import_folder(spark, tmp_path):
+    from tessera.sources.documents import import_folder
+
+    for name, data in (("a.txt", b"hello"), ("b.txt", b"hello"), ("c.pdf", b"%PDF-1.7 x"), ("d.pdf", b"not"), ("e.exe", b"MZ"), ("f.txt", b"\x00\x01"), ("g.md", b"old"), ("h.txt", b"")):
+        (tmp_path / name).write_bytes(data)
+    known = spark.createDataFrame([("7b6a7aeb7b5c1d0a",)], "hash string").union(spark.range(1).select(F.sha2(F.lit("old").cast("binary"), 256)))
+    got = {r["path"][-5:]: r["state"] for r in import_folder(spark, str(tmp_path), known).collect()}
+    assert got == {"a.txt": "accepted", "b.txt": "duplicate", "c.pdf": "accepted", "d.pdf": "content mismatch", "e.exe": "unsupported", "f.txt": "content mismatch", "/g.md": "duplicate"}
+
+
+def test_guarded_sql(spark):
+    from tessera.sources.documents import UnsafeSQL, guarded_sql
+
+    spark.range(10).selectExpr("id", "if(id % 2 = 0, 't', 'u') as tenant_id").createOrReplaceTempView("chunk_view")
+    ok = "SELECT id FROM chunk_view WHERE tenant_id = :tenant_id"
+    assert guarded_sql(spark, ok, {"chunk_view"}, "t", 3).count() == 3
+    assert guarded_sql(spark, "WITH a AS (SELECT * FROM chunk_view WHERE tenant_id = :tenant_id) SELECT id FROM a", {"chunk_view"}, "t", 100).count() == 5
+    for bad in ("DROP TABLE x", ok + "; select 1", ok + " -- x", "SELECT 1", "SELECT id FROM other JOIN chunk_view USING (id) WHERE tenant_id = :tenant_id", "DELETE FROM chunk_view WHERE tenant_id = :tenant_id"):
+        with pytest.raises(UnsafeSQL):
+            guarded_sql(spark, bad, {"chunk_view"}, "t", 3)
+
+
+def test_density_clusters(spark):
+    from tessera.operators.clustering import query_clusters
+
+    df = spark.createDataFrame([("k", 0, [1.0, 0.0, 0.0]), ("k", 1, [0.99, 0.1, 0.0]), ("k", 2, [0.0, 0.0, 1.0])], "g string, i int, e array<float>")
+    assert [r[1] for r in rows(query_clusters(df, "g", "i", "e", 0.5, 2), "i", "cluster")] == [1, 1, 0]
+    two = spark.createDataFrame([("k", 0, [1.0, 0.0]), ("k", 1, [0.99, 0.1]), ("k", 2, [0.0, 1.0]), ("k", 3, [0.1, 0.99])], "g string, i int, e array<float>")
+    assert [r[1] for r in rows(query_clusters(two, "g", "i", "e", 0.3, 2), "i", "cluster")] == [1, 1, 2, 2]
+
+
+def test_memories(spark):
+    from tessera.operators.clustering import remembered
+
+    facts = spark.createDataFrame([("u", "likes tea"), ("u", "lives in Rome"), ("v", "likes tea")], "k string, fact string")
+    known = spark.createDataFrame([("u", "she likes tea a lot")], "k string, memory string")
+    assert rows(remembered(facts, known, "k"), "k", "fact", "action") == [("u", "likes tea", "NOOP"), ("u", "lives in Rome", "ADD"), ("v", "likes tea", "ADD")]
