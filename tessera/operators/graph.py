@@ -91,3 +91,8 @@ def paths(nodes: DataFrame, most_depth: int = 20) -> DataFrame:
             break
         out = out.unionByName(rim)
     return out
+
+
+def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges both of whose ends are among the nodes (node)."""
+    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")

@@ -291,3 +291,40 @@ def test_memories(spark):
     facts = spark.createDataFrame([("u", "likes tea"), ("u", "lives in Rome"), ("v", "likes tea")], "k string, fact string")
     known = spark.createDataFrame([("u", "she likes tea a lot")], "k string, memory string")
     assert rows(remembered(facts, known, "k"), "k", "fact", "action") == [("u", "likes tea", "NOOP"), ("u", "lives in Rome", "ADD"), ("v", "likes tea", "ADD")]
+
+
+def test_extraction(spark):
+    from tessera.operators import extraction
+
+    chunks = spark.createDataFrame([("d", "c1", "The Gateway  uses Redis for caching."), ("d", "c2", "Other text about Kafka")], "d string, chunk_id string, content string")
+    found = [("d", 0, "Gateway", "service", "c1"), ("d", 1, "redis", "technology", "nowhere"), ("d", 2, "REDIS", "technology", "c1"), ("d", 3, "Ghost", "service", "c1"), ("d", 4, "Kafka", "banana", "c2"), ("d", 5, "Kafka", None, "c1")]
+    entities = extraction.valid_entities(spark.createDataFrame(found, "d string, place int, name string, type string, chunk_id string"), chunks, "d")
+    assert rows(entities, "name", "chunk_id") == [("Gateway", "c1"), ("redis", "c1")]
+    said = [
+        ("d", 0, "gateway", "Redis", "uses", "0.9", "gateway uses redis", "c1"), ("d", 1, "Gateway", "redis", "USES", "0.8", "Gateway uses Redis", "c1"), ("d", 2, "gateway", "gateway", "USES", "0.9", "gateway uses", "c1"),
+        ("d", 3, "redis", "gateway", "USES", "0.9", "for caching", "c1"), ("d", 4, "redis", "gateway", "PART_OF", "high", "Gateway uses Redis", "c1"), ("d", 5, "gateway", "redis", "EATS", "0.9", "Gateway uses Redis", "c1"),
+    ]
+    r = spark.createDataFrame(said, "d string, place int, source string, target string, type string, confidence string, evidence string, chunk_id string")
+    assert rows(extraction.valid_relations(r, entities, chunks, "d"), "source", "target", "type") == [("Gateway", "redis", "USES")]
+    assert extraction.valid_relations(r, entities, chunks, "d", endpoints=False).count() == 2
+
+
+def test_continued_tables(spark):
+    from tessera.operators.extraction import continued_tables, value_type
+
+    t = [
+        ("d", "a", 1, 0.7, 0.95, 0.1, 0.9, ["name", "n"], [["x", "1"], ["y", "2"]]), ("d", "b", 2, 0.05, 0.95, 0.1, 0.9, ["Name", "N"], [["z", "3"]]), ("d", "c", 3, 0.05, 0.5, 0.1, 0.9, ["w", "4"], [["v", "5"]]),
+        ("d", "e", 4, 0.05, 0.5, 0.1, 0.9, ["p", "q"], []), ("d", "f", 9, 0.05, 0.5, 0.1, 0.5, ["name", "n"], []),
+    ]
+    df = spark.createDataFrame(t, "d string, block_id string, page int, top double, bottom double, x0 double, x1 double, headers array<string>, rows array<array<string>>")
+    assert rows(continued_tables(df, "d"), "block_id", "table_id", "mode") == [("a", "a", ""), ("b", "a", "repeated"), ("c", "a", "headerless"), ("e", "e", ""), ("f", "f", "")]
+    assert [value_type(x) for x in ("1,200.5%", "2024-01-02", "Yes", " ", "a1")] == ["number", "date", "boolean", "empty", "text"]
+
+
+def test_base_cases(spark):
+    from tessera.operators.lifecycle import base_cases
+
+    old = spark.createDataFrame([("t", "q1", ["a"], True, True), ("t", "q2", ["b"], False, True)], "tenant string, question string, sources array<string>, golden boolean, active boolean")
+    new = spark.createDataFrame([("t", "q1", 5, ["x"]), ("t", "q2", 1, ["y"]), ("t", "q2", 2, ["z"]), ("t", "q3", 1, ["w"])], "tenant string, question string, at int, sources array<string>")
+    got = {r["question"]: (r["sources"], r["golden"], r["active"]) for r in base_cases(old, new).collect()}
+    assert got == {"q1": (["a"], True, True), "q2": (["z"], False, False), "q3": (["w"], False, False)}
