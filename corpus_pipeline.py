@@ -12,12 +12,15 @@ from tessera.llm import decontamination, langid, linededup, packing, registry, s
 
 #: SQL can express neither the language models nor the fingerprints nor the packing; tests hold every stage against brute force.
 ORACLE_SQL = None
+#: A language is told if it has so much of the probability, code lengths taken per 64 bytes.
+LEAST_SCORE = 0.75
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told: null texts and those without letters. Columns of docs."""
+    """Drop documents whose language can't be told: null texts, those without letters, and those whose best language has less than LEAST_SCORE of the probability
+    (texts of a word or two). Columns of docs."""
     told = langid.identify_languages(docs, langid.train(docs))
-    return told.filter(F.col("_lang.pred") != langid.UNDETERMINED).select(*docs.columns)
+    return told.filter((F.col("_lang.pred") != langid.UNDETERMINED) & (F.col("_lang.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

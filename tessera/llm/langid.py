@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 ORDER = 3
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile("[A-Za-z]")
 _START = b"\n" * ORDER
 #: Bytes scored at a time, which bounds a worker's memory for texts of any length.
 _CHUNK = 1 << 20
@@ -131,9 +131,13 @@ def code_lengths(texts: list[bytes], trees: ContextTrees) -> np.ndarray:
     return total
 
 
+def has_letter(text: str) -> bool:
+    return bool(_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def predict(texts: list[str | None], trees: ContextTrees) -> tuple[list[str], np.ndarray]:
     """The language with the shortest code, and its share of the probability when code lengths are taken per 64 bytes."""
-    usable = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if trees.languages else []
+    usable = [i for i, t in enumerate(texts) if t and has_letter(t)] if trees.languages else []
     names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     if usable:
         data = [texts[i].encode("utf-8") for i in usable]
