@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import interview, rules
 from tessera.functions import text as fn
 from tessera.operators import chunking
 from tessera.plans.registry import query
@@ -145,3 +146,36 @@ def url_policy(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("url")
     allowed = F.rlike(u, F.lit(r"^https?://[^/@?#]+\.[a-z]+(/|$|\?|#|:)")) & ~F.rlike(u, F.lit(r"^https?://[^/]*@"))
     return table(spark, sf, "pages").select("page_id", F.regexp_extract(u, "^(https?)://", 1).alias("scheme"), F.regexp_extract(u, "^https?://([^/?#:]+)", 1).alias("host"), allowed.alias("allowed"))
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS q, role FROM conversations), b AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS a, coalesce(q, '') AS e FROM a WHERE role = 'assistant'),
+t AS (SELECT *, list_distinct(regexp_extract_all(lower(e), '[a-z][a-z0-9_+.#/-]{2,}')[1:100]) AS et, regexp_extract_all(lower(a), '[a-z][a-z0-9_+.#/-]{2,}')[1:100] AS own FROM b)
+SELECT conv_id, turn, CAST(CASE WHEN a = '' THEN 0 ELSE floor(least(10.0, 1.0 + least(3.5, log2(greatest(2, length(a))::DOUBLE) * 0.55) + least(2.0, contains(lower(a), 'because')::INT * 0.35) + least(3.0, len(list_intersect(et, own))::DOUBLE / greatest(1, least(12, len(et))) * 6.0) + 0.5) * 100 + 0.001) END AS BIGINT) AS score FROM t""")
+def interview_answer_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers scored against the turn before them as evidence."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    said = table(spark, sf, "conversations").withColumn("q", F.lag("text").over(w)).filter("role = 'assistant'")
+    return said.select("conv_id", "turn", interview.answer_score(F.col("text"), F.col("q")).alias("score"))
+
+
+@query(r"""SELECT item_id, CASE WHEN contains(trim(regexp_replace(text, '\s+', ' ', 'g')), 'ZED') THEN '' ELSE regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '(?i)the', 'ZED', 'g') END AS text FROM benchmark""")
+def normalized_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", rules.normalized_query(F.col("text"), [("the", "ZED"), ("", "x")]).alias("text"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents), a AS (SELECT *, strpos(lower(flat), 'tion') AS place FROM p) SELECT doc_id, substring(flat, CASE WHEN place > 0 THEN greatest(1, place - 100) ELSE 1 END, 360) AS excerpt FROM a""")
+def mention_excerpts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", rules.mention_excerpt(F.lit("tion"), F.col("text")).alias("excerpt"))
+
+
+@query("""SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_type = 'click' THEN 'oops' WHEN event_type = 'view' THEN NULL ELSE CAST(user_id AS VARCHAR) END AS BIGINT), 12) AS top_k FROM events""")
+def typed_settings(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.when(F.col("event_type") == "click", "oops").when(F.col("event_type") != "view", F.col("user_id").cast("string"))
+    return table(spark, sf, "events").select("event_id", rules.typed_setting(raw, 12).alias("top_k"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN text || ' [2]' ELSE rtrim(text) || chr(10) || chr(10) || '[1][2][3]' END AS answer FROM conversations WHERE role = 'assistant'""")
+def ensured_citations(spark: SparkSession, sf: str) -> DataFrame:
+    said = table(spark, sf, "conversations").filter("role = 'assistant'")
+    marked = F.when(F.col("turn") % 4 == 1, F.concat("text", F.lit(" [2]"))).otherwise(F.col("text"))
+    return said.select("conv_id", "turn", rules.with_citations(marked, F.lit(3)).alias("answer"))
