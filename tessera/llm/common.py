@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -62,3 +62,16 @@ def stored(df: DataFrame) -> DataFrame:
 def small_or_not(df: DataFrame, most_rows: int) -> DataFrame:
     """A broadcast hint if the frame has at most so many rows, else the frame as it is: Spark then shuffles both sides."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int, *key: str) -> DataFrame:
+    """At most `most` rows of each value of `by`, those with the smallest hashes of the key: a fixed sample, for fitting models only.
+
+    The groups are counted first; a hash limit then lets about four times `most` rows of each through, however many there are, and only those are shuffled.
+    """
+    scale = 1 << 30
+    counts = stored(rows.groupBy(by).agg(F.count("*").alias("_n")))
+    hashed = rows.withColumn("_u", F.pmod(F.xxhash64(*key), F.lit(scale)))
+    few = hashed.join(small_or_not(counts, 100_000), by).filter(F.col("_u").cast("double") * F.col("_n") < 4.0 * most * scale)
+    first = Window.partitionBy(by).orderBy("_u", *key)
+    return few.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= most).drop("_u", "_n", "_k")

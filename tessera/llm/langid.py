@@ -8,9 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_sample
+
 ORDER = 3
 UNDETERMINED = "und"
 _LETTER = re.compile("[A-Za-z]")
@@ -47,8 +49,7 @@ def gram_counts(docs: DataFrame, per_language: int) -> DataFrame:
                     yield pd.DataFrame({"lang": lang, "gram": grams.astype(np.int64), "n": n.astype(np.int64)})
 
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = labelled.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language)
+    sample = bounded_sample(labelled, "lang", per_language, "doc_id", "text")
     return sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
