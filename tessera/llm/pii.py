@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_sample
+
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns; matches are leftmost and non-overlapping per kind, and dropped without a retry if they fail.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -183,8 +185,8 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
 
 def training_texts(docs: DataFrame, most: int = 400) -> list[str]:
     """The texts with digits or @ with the smallest hashes, at most so many: the bounded sample that the field is fitted on."""
-    marked = docs.filter(F.rlike("text", F.lit("[0-9@]"))).select("text", F.xxhash64("text").alias("_h"))
-    return [r["text"] for r in marked.orderBy("_h", "text").limit(most).collect()]
+    marked = docs.filter(F.rlike("text", F.lit("[0-9@]"))).select("text", F.lit(0).alias("_all"))
+    return [r["text"] for r in bounded_sample(marked, "_all", most, "text").orderBy("text").collect()]
 
 
 def find_personal_data(docs: DataFrame, field: Field | None = None, sure: float = 0.9) -> DataFrame:
