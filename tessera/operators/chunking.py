@@ -142,3 +142,77 @@ def semantic_boundaries(paragraphs: DataFrame, key: str, order: str, embedding:
 
     marks = folded.select(key, F.explode(F.arrays_zip(F.transform("_p", lambda p: p["o"]).alias("o"), F.aggregate("_p", start, step, lambda a: a["out"]).alias("c"))).alias("_x"))
     return paragraphs.join(marks.select(key, F.col("_x.o").alias(order), F.col("_x.c").alias("chunk")), [key, order])
+
+
+def outline_paths(blocks: DataFrame, key: str) -> DataFrame:
+    """blocks (key, block, kind, level, content) with path: the headings that a block stands under. A heading of level n keeps the first n - 1 of the path before it and is added.
+
+    Only a document's headings are folded; its blocks look their path up by how many headings precede them.
+    """
+    title = F.regexp_replace("content", r"^#+\s+", "")
+    heads = F.array_sort(F.collect_list(F.when(F.col("kind") == "HEADING", F.struct("block", "level", title.alias("t")))))
+    start = F.struct(F.array().cast("array<string>").alias("now"), F.array().cast("array<array<string>>").alias("all"))
+
+    def step(a: Column, h: Column) -> Column:
+        now = F.array_append(F.slice(a["now"], F.lit(1), F.greatest(h["level"] - 1, F.lit(0))), h["t"])
+        return F.struct(now.alias("now"), F.array_append(a["all"], now).alias("all"))
+
+    paths = blocks.groupBy(key).agg(F.aggregate(heads, start, step, lambda a: a["all"]).alias("_paths"))
+    seen = F.sum((F.col("kind") == "HEADING").cast("int")).over(Window.partitionBy(key).orderBy("block")).cast("int")
+    none = F.array().cast("array<string>")
+    return blocks.withColumn("_h", seen).join(paths, key).withColumn("path", F.coalesce(F.get("_paths", F.col("_h") - 1), none)).drop("_h", "_paths")
+
+
+def _runs(rows: DataFrame, key: str, order: str, entry: Column, start: Column, step) -> DataFrame:
+    """rows with _run: a number for each, from a fold over a key's entries in order; step gives the next state (with field r, the row's run)."""
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), entry.alias("e")))).alias("_l"))
+    begin = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
+
+    def one(a: Column, x: Column) -> Column:
+        s = step(a["s"], x["e"])
+        return F.struct(s.alias("s"), F.array_append(a["out"], s["r"]).alias("out"))
+
+    zipped = F.arrays_zip(F.transform("_l", lambda x: x["o"]).alias("o"), F.aggregate("_l", begin, one, lambda a: a["out"]).alias("r"))
+    return rows.join(listed.select(key, F.explode(zipped).alias("_x")).select(key, F.col("_x.o").alias(order), F.col("_x.r").alias("_run")), [key, order])
+
+
+def section_chunks(blocks: DataFrame, key: str, target: int = 800) -> DataFrame:
+    """key, chunk_index, kind, path, content, embedding_text from blocks with paths: texts and lists of one section are put together up to `target` characters; tables, code and
+    images are chunks of their own; headings only name the section, which embedding texts begin with."""
+    own = F.col("kind").isin("TABLE", "CODE", "IMAGE")
+    entry = F.struct(own.alias("own"), (F.col("kind") == "HEADING").alias("head"), F.char_length("content").alias("n"))
+    start = F.struct(F.lit(0).alias("r"), F.lit(0).alias("n"), F.lit(False).alias("fresh"))
+
+    def step(s: Column, e: Column) -> Column:
+        new = e["own"] | e["head"] | s["fresh"] | ((s["n"] > 0) & (s["n"] + e["n"] > target))
+        return F.struct(F.when(new, s["r"] + 1).otherwise(s["r"]).alias("r"), F.when(e["own"] | e["head"], 0).when(new, e["n"]).otherwise(s["n"] + e["n"]).alias("n"), (e["own"] | e["head"]).alias("fresh"))
+
+    marked = _runs(blocks, key, "block", entry, start, step).filter("kind <> 'HEADING'")
+    parts = marked.groupBy(key, "_run").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
+        F.first("path").alias("path"),
+        F.max(F.when(own, F.col("kind")).otherwise(F.lit(""))).alias("kind"),
+    )
+    section = F.when(F.size("path") > 0, F.concat(F.lit("章节: "), F.array_join("path", " > "), F.lit("\n"))).otherwise("")
+    number = F.row_number().over(Window.partitionBy(key).orderBy("_run")) - 1
+    return parts.select(key, number.alias("chunk_index"), F.when(F.col("kind") == "", "PARAGRAPH").otherwise(F.col("kind")).alias("kind"), "path", "content", F.concat(section, F.col("content")).alias("embedding_text"))
+
+
+def packed_chunks(chunks: DataFrame, key: str, least: int = 600) -> DataFrame:
+    """key, chunk_index, kind, content: neighbouring paragraphs, lists and images below `least` characters put together until they reach it; others are barriers, and larger ones end a pack."""
+    soft = F.col("kind").isin("PARAGRAPH", "LIST", "IMAGE")
+    entry = F.struct(soft.alias("soft"), F.char_length("content").alias("n"))
+    start = F.struct(F.lit(0).alias("r"), F.lit(-1).alias("n"))  # n: characters in the open pack, -1 if none is open
+
+    def step(s: Column, e: Column) -> Column:
+        small = e["soft"] & (e["n"] < least)
+        joins = small & (s["n"] >= 0)
+        total = F.when(joins, s["n"] + e["n"]).otherwise(e["n"])
+        return F.struct(F.when(joins, s["r"]).otherwise(s["r"] + 1).alias("r"), F.when(small & (total < least), total).otherwise(-1).alias("n"))
+
+    marked = _runs(chunks, key, "chunk_index", entry, start, step)
+    packs = marked.groupBy(key, "_run").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
+        F.when(F.count_distinct("kind") == 1, F.max("kind")).otherwise("PARAGRAPH").alias("kind"),
+    )
+    return packs.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("_run")) - 1).alias("chunk_index"), "kind", "content")

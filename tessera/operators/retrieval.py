@@ -21,7 +21,12 @@ def tokens(text: Column) -> Column:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k best chunks (chunk_id, content) for each query (query_id, text), in millionths.
+    """query_id, chunk_id, score, rank: the k best chunks of bm25_scores() for each query."""
+    return top(bm25_scores(queries, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score (millionths) of every chunk (chunk_id, content) that shares a term with a query (query_id, text).
 
     Postings are made for the queries' terms only (a broadcast of their distinct terms filters the tokens before the shuffle); document frequencies
     and lengths cover all chunks. Sums are of whole millionths, so their order doesn't matter.
@@ -35,8 +40,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
     weighted = postings.join(df, "term").join(F.broadcast(corpus), F.lit(True)).select("term", "chunk_id", F.round(part * 1_000_000).cast("long").alias("_p"))
-    scored = weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("_p").alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("_p").alias("score"))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:

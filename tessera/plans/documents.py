@@ -91,18 +91,18 @@ def recommended_questions(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.recommended(samples, asked)
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, CAST(round(value * 10) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id < 30),
+@query("""WITH RECURSIVE e AS (SELECT user_id, CAST(round(value * 10) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 w AS (SELECT user_id, i, n, v AS level, CAST(0 AS BIGINT) AS gap FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.n, CAST(floor((w.level * 65 + e.v * 35) / 100) AS BIGINT), e.v - w.level FROM e JOIN w ON e.user_id = w.user_id AND e.i = w.i + 1)
 SELECT user_id, level, CASE WHEN gap >= 300 THEN 'up' WHEN gap <= -300 THEN 'down' ELSE 'flat' END AS trend FROM w WHERE i = n""")
 def smoothed_levels(spark: SparkSession, sf: str) -> DataFrame:
-    scores = table(spark, sf, "events").filter("user_id < 30").select("user_id", "event_id", F.round(F.col("value") * 10).cast("long").alias("v"))
+    scores = table(spark, sf, "events").select("user_id", "event_id", F.round(F.col("value") * 10).cast("long").alias("v"))
     return decisions.smoothed(scores, "user_id", "event_id", "v")
 
 
 @query()
 def query_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Density clusters of the stated query set (every tenth vector) within each base. A test holds them against a plain version."""
-    return clustering.query_clusters(table(spark, sf, "embeddings").filter("vec_id % 10 = 0"), "label", "vec_id", "embedding", 0.8, 2)
+    """Density clusters of the stated query set (ids divisible by 100) within each base. A test holds them against written cases."""
+    return clustering.query_clusters(table(spark, sf, "embeddings").filter("vec_id % 100 = 0"), "label", "vec_id", "embedding", 0.9, 2)
 
 
 @query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -131,3 +131,21 @@ def citation_support(spark: SparkSession, sf: str) -> DataFrame:
     replies = said.filter("role = 'assistant'").selectExpr("concat(conv_id, '-', turn) as answer_id", "conv_id", "concat(text, ' [1]') as answer")
     sources = replies.select("answer_id", "conv_id").join(said.filter("role = 'user'").select("conv_id", (F.floor(F.col("turn") / 2) + 1).cast("int").alias("ref"), F.col("text").alias("content")), "conv_id")
     return answers.checked_citations(replies, sources).withColumn("refs", F.array_join("refs", ","))
+
+
+@query()
+def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks of their sections. A test holds the rules against written cases."""
+    blocks = chunking.outline_blocks(table(spark, sf, "documents"), "doc_id", "text")
+    return chunking.section_chunks(chunking.outline_paths(blocks, "doc_id"), "doc_id").withColumn("path", F.array_join("path", " > "))
+
+
+@query(r"""WITH RECURSIVE c AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, parts[i] AS content, length(parts[i]) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)),
+w AS (SELECT doc_id, i, 1 AS r, CASE WHEN n < 200 THEN n ELSE -1 END AS open FROM c WHERE i = 0 UNION ALL SELECT c.doc_id, c.i, CASE WHEN c.n < 200 AND w.open >= 0 THEN w.r ELSE w.r + 1 END,
+  CASE WHEN c.n < 200 AND CASE WHEN w.open >= 0 THEN w.open + c.n ELSE c.n END < 200 THEN CASE WHEN w.open >= 0 THEN w.open + c.n ELSE c.n END ELSE -1 END FROM c JOIN w ON c.doc_id = w.doc_id AND c.i = w.i + 1)
+SELECT doc_id, CAST(r - 1 AS INTEGER) AS chunk_index, sha256(string_agg(content, chr(10) || chr(10) ORDER BY i)) AS hash FROM w JOIN c USING (doc_id, i) GROUP BY doc_id, r""")
+def packed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the documents, short neighbours put together."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "content"), F.lit("PARAGRAPH").alias("kind"))
+    out = chunking.packed_chunks(lines, "doc_id", 200)
+    return out.select("doc_id", "chunk_index", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))

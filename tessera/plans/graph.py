@@ -9,12 +9,12 @@ from tessera.operators import graph
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
-EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 200 + 100000 AS dst FROM lineitem WHERE l_orderkey % 20 = 0)"
+EDGES_SQL = "edges AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 10000000 AS dst FROM lineitem)"
 BOTH_SQL = "both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0").selectExpr("l_suppkey as src", "l_partkey % 200 + 100000 as dst").distinct()
+    return table(spark, sf, "lineitem").selectExpr("l_suppkey as src", "l_partkey + 10000000 as dst").distinct()
 
 
 @query("""WITH m AS (SELECT l_orderkey AS g, 'p' || (l_partkey % 50) AS name, l_linenumber AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000 + l_partkey) AS r FROM lineitem)
@@ -24,11 +24,11 @@ def cooccurrence_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cooccurrences(mentions, "g", "name", "place")
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, {BOTH_SQL}, walk AS (SELECT src AS start, src AS node, 0 AS hops FROM (SELECT DISTINCT src FROM edges WHERE src % 25 = 0) UNION SELECT start, dst, hops + 1 FROM walk JOIN both_ways ON node = src WHERE hops < 2)
+@query(f"""WITH RECURSIVE {EDGES_SQL}, {BOTH_SQL}, walk AS (SELECT src AS start, src AS node, 0 AS hops FROM (SELECT DISTINCT src FROM edges WHERE src % 100 = 0) UNION SELECT start, dst, hops + 1 FROM walk JOIN both_ways ON node = src WHERE hops < 2)
 SELECT start, node, min(hops) AS hops FROM walk WHERE node <> start GROUP BY 1, 2""")
 def bfs_expand(spark: SparkSession, sf: str) -> DataFrame:
     edges = _edges(spark, sf)
-    return graph.within_hops(edges, edges.filter("src % 25 = 0").select(F.col("src").alias("start")).distinct(), 2)
+    return graph.within_hops(edges, edges.filter("src % 100 = 0").select(F.col("src").alias("start")).distinct(), 2)
 
 
 @query(f"""WITH {EDGES_SQL}, {BOTH_SQL}, v AS (SELECT DISTINCT src AS node FROM both_ways WHERE src % 3 <> 0)
@@ -71,10 +71,10 @@ def merge_views(spark: SparkSession, sf: str) -> DataFrame:
     return graph.merged_edges(of("l_linenumber = 1", 1), of("l_linenumber <= 2", 2)).groupBy("relation", "weight").agg(F.count("*").alias("n"))
 
 
-@query("""WITH g AS (SELECT p_partkey AS node, p_brand AS kb, p_type AS kind FROM part), e AS (SELECT DISTINCT p.l_partkey AS src, q.l_partkey AS dst FROM lineitem p JOIN lineitem q ON p.l_orderkey = q.l_orderkey AND p.l_partkey < q.l_partkey WHERE p.l_orderkey % 20 = 0)
+@query("""WITH g AS (SELECT p_partkey AS node, p_brand AS kb, p_type AS kind FROM part), e AS (SELECT DISTINCT p.l_partkey AS src, q.l_partkey AS dst FROM lineitem p JOIN lineitem q ON p.l_orderkey = q.l_orderkey AND p.l_partkey < q.l_partkey)
 SELECT least(a.kb || '/' || a.kind, b.kb || '/' || b.kind) AS g1, greatest(a.kb || '/' || a.kind, b.kb || '/' || b.kind) AS g2, count(*) AS edges, bool_or(a.kb <> b.kb) AS "cross" FROM e JOIN g a ON a.node = src JOIN g b ON b.node = dst WHERE (a.kb, a.kind) <> (b.kb, b.kind) GROUP BY 1, 2""")
 def overview_aggregate(spark: SparkSession, sf: str) -> DataFrame:
-    few = table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_partkey")
+    few = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     edges = few.withColumnRenamed("l_partkey", "src").join(few.withColumnRenamed("l_partkey", "dst"), "l_orderkey").filter("src < dst").select("src", "dst").distinct()
     return graph.overview(edges, table(spark, sf, "part").selectExpr("p_partkey as node", "p_brand as kb", "p_type as kind"))
 

@@ -59,18 +59,18 @@ def user_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.profiles(messages, votes, old)
 
 
-@query("""WITH RECURSIVE """ + CHUNKS_SQL.replace("chunks AS", "every AS", 1) + """, l AS (SELECT doc_id, chunk_index, length(content) AS n FROM every WHERE doc_id % 5 = 0),
+@query("""WITH RECURSIVE """ + CHUNKS_SQL.replace("chunks AS", "every AS", 1) + """, l AS (SELECT doc_id, chunk_index, length(content) AS n FROM every),
 w AS (SELECT doc_id, chunk_index, 0 AS batch, 1 AS k, n::BIGINT AS c FROM l WHERE chunk_index = 0 UNION ALL SELECT l.doc_id, l.chunk_index, CASE WHEN k >= 6 OR c + n > 900 THEN batch + 1 ELSE batch END, CASE WHEN k >= 6 OR c + n > 900 THEN 1 ELSE k + 1 END, CASE WHEN k >= 6 OR c + n > 900 THEN n ELSE c + n END
   FROM l JOIN w ON l.doc_id = w.doc_id AND l.chunk_index = w.chunk_index + 1) SELECT doc_id, chunk_index, batch FROM w""")
 def prompt_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches for every fifth document, the stated set of those to be extracted from."""
-    wanted = chunks(spark, sf).filter("doc_id % 5 = 0")
+    """Batches of each document's chunks."""
+    wanted = chunks(spark, sf)
     return extraction.prompt_batches(wanted, "doc_id", "chunk_index", "content", 6, 900)
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 200 + 100000 AS dst FROM lineitem WHERE l_orderkey % 20 = 0), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), d AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY 1),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 10000000 AS dst FROM lineitem), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), d AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY 1),
 t AS (SELECT node, row_number() OVER (ORDER BY degree DESC, node) AS r FROM d ORDER BY r LIMIT 260) SELECT src, dst FROM e WHERE src IN (SELECT node FROM t) AND dst IN (SELECT node FROM t)""")
 def top_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     """The edges among the 260 nodes of the highest degree."""
-    edges = table(spark, sf, "lineitem").filter("l_orderkey % 20 = 0").selectExpr("l_suppkey as src", "l_partkey % 200 + 100000 as dst").distinct()
+    edges = table(spark, sf, "lineitem").selectExpr("l_suppkey as src", "l_partkey + 10000000 as dst").distinct()
     return graph.induced(edges, graph.degrees(edges).orderBy(F.desc("degree"), "node").limit(260))

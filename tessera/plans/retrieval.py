@@ -37,10 +37,10 @@ def _lexical(spark: SparkSession, sf: str, k: int = 12) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    scored = retrieval.bm25(_questions(spark, sf), chunks(spark, sf), 1 << 30)
-    lexical = scored.filter("rank <= 12").select("query_id", F.lit("keyword").alias("channel"), "rank", F.col("chunk_id").alias("item"))
+    scored = retrieval.bm25_scores(_questions(spark, sf), chunks(spark, sf))
+    lexical = retrieval.top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], 12).select("query_id", F.lit("keyword").alias("channel"), "rank", F.col("chunk_id").alias("item"))
     order = [F.desc(F.floor(F.col("score") / 4_000_000)), F.sha2(F.col("chunk_id").cast("binary"), 256)]
-    other = retrieval.top(scored.drop("rank"), ["query_id"], order, 12).select("query_id", F.lit("other").alias("channel"), "rank", F.col("chunk_id").alias("item"))
+    other = retrieval.top(scored, ["query_id"], order, 12).select("query_id", F.lit("other").alias("channel"), "rank", F.col("chunk_id").alias("item"))
     return lexical.unionByName(other)
 
 
@@ -109,20 +109,21 @@ def weighted_fuse_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.weighted_fusion(count(events.filter(F.col("ts") < middle)), count(events.filter((F.col("ts") >= middle) & (F.col("value") > 50))), ["user_id", "item"], 7, 3)
 
 
-@query("""WITH n AS (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id AS probe_id, label, e FROM n WHERE vec_id % 100 = 7),
+@query("""WITH n AS (SELECT *, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id AS probe_id, label, e FROM n WHERE vec_id % 100 = 0),
 s AS (SELECT probe_id, vec_id AS entry_id, CAST(round(list_sum(list_transform(list_zip(p.e, n.e), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(p.e, lambda x: x * x))) * sqrt(list_sum(list_transform(n.e, lambda x: x * x)))) * 1000000) AS BIGINT) AS score
-  FROM p JOIN n ON p.label = n.label AND n.vec_id <= p.probe_id AND p.probe_id - n.vec_id <= 400 AND n.vec_id % 2 = 0)
+  FROM p JOIN n ON p.label = n.label AND n.vec_id < p.probe_id AND p.probe_id - n.vec_id <= 400)
 SELECT probe_id, entry_id, score FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, entry_id) AS r FROM s WHERE score >= 100000) WHERE r = 1""")
 def semantic_cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = table(spark, sf, "embeddings").withColumnRenamed("label", "scope").withColumn("at", F.col("vec_id"))
-    probes = vectors.filter("vec_id % 100 = 7").withColumnRenamed("vec_id", "probe_id")
-    return retrieval.cached_answers(probes, vectors.filter("vec_id % 2 = 0").withColumnRenamed("vec_id", "entry_id"), 0.1, 400)
+    """The stated query set, ids divisible by 100, against the entries before each."""
+    vectors = table(spark, sf, "embeddings").withColumnRenamed("label", "scope")
+    probes = vectors.filter("vec_id % 100 = 0").withColumn("at", F.col("vec_id") - 1).withColumnRenamed("vec_id", "probe_id")
+    return retrieval.cached_answers(probes, vectors.withColumn("at", F.col("vec_id")).withColumnRenamed("vec_id", "entry_id"), 0.1, 399)
 
 
 ACL_SQL = """res AS (SELECT p_partkey AS resource_id, p_partkey % 3 AS tenant, p_partkey % 40 AS owner, CASE p_size % 3 WHEN 0 THEN 'TENANT' WHEN 1 THEN 'DEPARTMENT' ELSE 'PRIVATE' END AS visibility, CAST(p_size % 25 AS VARCHAR) AS department, CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS deleted FROM part),
-pri AS (SELECT c_custkey AS user_id, c_custkey % 3 AS tenant, CASE c_mktsegment WHEN 'MACHINERY' THEN 'admin' ELSE c_mktsegment END AS role, CAST(c_nationkey AS VARCHAR) AS department FROM customer WHERE c_custkey % 30 = 1),
+pri AS (SELECT c_custkey AS user_id, c_custkey % 3 AS tenant, CASE c_mktsegment WHEN 'MACHINERY' THEN 'admin' ELSE c_mktsegment END AS role, CAST(c_nationkey AS VARCHAR) AS department FROM customer WHERE c_custkey % 100 = 0),
 gr AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'USER' WHEN 1 THEN 'ROLE' ELSE 'DEPARTMENT' END AS subject_type, CASE l_linenumber % 3 WHEN 0 THEN CAST(l_suppkey AS VARCHAR) WHEN 1 THEN 'BUILDING' ELSE CAST(l_suppkey % 25 AS VARCHAR) END AS subject_id,
-  l_partkey AS resource_id, CASE l_returnflag WHEN 'A' THEN 'READ' WHEN 'N' THEN 'WRITE' ELSE 'MANAGE' END AS permission, CASE WHEN l_quantity < 5 THEN 1 ELSE 0 END AS deleted FROM lineitem WHERE l_orderkey % 50 = 0)"""
+  l_partkey AS resource_id, CASE l_returnflag WHEN 'A' THEN 'READ' WHEN 'N' THEN 'WRITE' ELSE 'MANAGE' END AS permission, CASE WHEN l_quantity < 5 THEN 1 ELSE 0 END AS deleted FROM lineitem)"""
 
 
 def _acl(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -130,10 +131,10 @@ def _acl(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]
         "p_partkey as resource_id", "p_partkey % 3 as tenant", "p_partkey % 40 as owner", "case p_size % 3 when 0 then 'TENANT' when 1 then 'DEPARTMENT' else 'PRIVATE' end as visibility",
         "cast(p_size % 25 as string) as department", "case when p_partkey % 11 = 0 then 1 else 0 end as deleted",
     )
-    principals = table(spark, sf, "customer").filter("c_custkey % 30 = 1").selectExpr(
+    principals = table(spark, sf, "customer").filter("c_custkey % 100 = 0").selectExpr(
         "c_custkey as user_id", "c_custkey % 3 as tenant", "case c_mktsegment when 'MACHINERY' then 'admin' else c_mktsegment end as role", "cast(c_nationkey as string) as department"
     )
-    grants = table(spark, sf, "lineitem").filter("l_orderkey % 50 = 0").selectExpr(
+    grants = table(spark, sf, "lineitem").selectExpr(
         "case l_linenumber % 3 when 0 then 'USER' when 1 then 'ROLE' else 'DEPARTMENT' end as subject_type",
         "case l_linenumber % 3 when 0 then cast(l_suppkey as string) when 1 then 'BUILDING' else cast(l_suppkey % 25 as string) end as subject_id", "l_partkey as resource_id",
         "case l_returnflag when 'A' then 'READ' when 'N' then 'WRITE' else 'MANAGE' end as permission", "case when l_quantity < 5 then 1 else 0 end as deleted",

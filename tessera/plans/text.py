@@ -60,11 +60,11 @@ def pii_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", n(fn.ID_CARD).alias("id_cards"), n(fn.PHONE).alias("phones"), n(fn.EMAIL).alias("emails"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(1[3-9]\d)\d{4}(\d{4})', '\1****\2', 'g'), '([a-zA-Z0-9._%+-]{2})[a-zA-Z0-9._%+-]+(@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', '\1***\2', 'g')) AS masked
-FROM documents WHERE regexp_matches(text, '[a-zA-Z0-9._%+-]{3,}@|1[3-9]\d{9}') AND NOT regexp_matches(text, '(^|[^a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]{1,2}@')""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([1-9]\d{5})(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])(\d{3}[\dXx])', '\1********\2', 'g'), '(1[3-9]\d)\d{4}(\d{4})', '\1****\2', 'g'),
+  '([a-zA-Z0-9._%+-]{2})[a-zA-Z0-9._%+-]+(@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', '\1***\2', 'g'), '(^|[^a-zA-Z0-9._%+*-])[a-zA-Z0-9._%+-]{1,2}(@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})', '\1***\2', 'g')) AS masked
+FROM documents""")
 def pii_mask(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").filter(F.rlike("text", F.lit(r"[a-zA-Z0-9._%+-]{3,}@|1[3-9]\d{9}")) & ~F.rlike("text", F.lit(r"(^|[^a-zA-Z0-9._%+-])[a-zA-Z0-9._%+-]{1,2}@")))
-    return docs.select("doc_id", F.sha2(fn.mask_personal_data(F.col("text")).cast("binary"), 256).alias("masked"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(fn.mask_personal_data(F.col("text")).cast("binary"), 256).alias("masked"))
 
 
 def _refusal_sql() -> str:

@@ -328,3 +328,21 @@ def test_base_cases(spark):
     new = spark.createDataFrame([("t", "q1", 5, ["x"]), ("t", "q2", 1, ["y"]), ("t", "q2", 2, ["z"]), ("t", "q3", 1, ["w"])], "tenant string, question string, at int, sources array<string>")
     got = {r["question"]: (r["sources"], r["golden"], r["active"]) for r in base_cases(old, new).collect()}
     assert got == {"q1": (["a"], True, True), "q2": (["z"], False, False), "q3": (["w"], False, False)}
+
+
+def test_sections(spark):
+    text = "# A\n\nintro\n\n### C\n\nunder c\n\n## B\n\nfirst\n\nsecond\n\n" + "x" * 30 + "\n\n| t |\n| - |\n\n- item"
+    blocks = chunking.outline_blocks(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
+    with_paths = chunking.outline_paths(blocks, "id")
+    out = chunking.section_chunks(with_paths, "id", 30).orderBy("chunk_index").collect()
+    assert [(r["kind"], r["path"], r["content"]) for r in out] == [
+        ("PARAGRAPH", ["A"], "intro"), ("PARAGRAPH", ["A", "C"], "under c"), ("PARAGRAPH", ["A", "B"], "first\n\nsecond"), ("PARAGRAPH", ["A", "B"], "x" * 30), ("TABLE", ["A", "B"], "| t |\n| - |"), ("PARAGRAPH", ["A", "B"], "- item")
+    ]
+    assert out[1]["embedding_text"] == "章节: A > C\nunder c"
+
+
+def test_packs(spark):
+    kinds = [("PARAGRAPH", 3), ("LIST", 3), ("PARAGRAPH", 20), ("PARAGRAPH", 3), ("TABLE", 2), ("IMAGE", 9), ("IMAGE", 9), ("PARAGRAPH", 1)]
+    df = spark.createDataFrame([(1, i, k, "z" * n) for i, (k, n) in enumerate(kinds)], "id int, chunk_index int, kind string, content string")
+    out = chunking.packed_chunks(df, "id", 10).orderBy("chunk_index").collect()
+    assert [(r["kind"], len(r["content"])) for r in out] == [("PARAGRAPH", 8), ("PARAGRAPH", 20), ("PARAGRAPH", 3), ("TABLE", 2), ("IMAGE", 20), ("PARAGRAPH", 1)]
