@@ -53,6 +53,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
         .agg(F.sum("_docs").alias("_docs"), F.max("_last").alias("_last"))
         .filter(F.col("_docs") >= min_docs)
         .select("_a", "_b", "_last")
+        .hint("rebalance")  # else the join takes over the aggregate's partitioning, and Spark can't split a frequent line's occurrences
     )
     gone = found.join(shared, ["_a", "_b"]).filter(~F.col("_id").eqNullSafe(F.col("_last")))
     words = gone.groupBy("_id", "_h1", "_h2", F.floor(F.col("_pos") / WORD_BITS).cast("int").alias("_word")).agg(
