@@ -96,3 +96,17 @@ def paths(nodes: DataFrame, most_depth: int = 20) -> DataFrame:
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are among the nodes (node)."""
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def mentioned_chunks(questions: DataFrame, entities: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, name, score, rank: chunks of entities (name, description, chunk_id) that hold a term of a question (query_id, terms) in their name (100) or else in their
+    description (72). The best k entities of a question are taken (ties: the shorter name), then each of their chunks once, as long as any stay.
+
+    The questions are a stated set and meet all entities; each task keeps k rows a question before the shuffle."""
+    asked = F.broadcast(questions.select("query_id", "terms"))
+    held = lambda c: F.exists("terms", lambda t: F.contains(F.lower(c), t))
+    met = entities.join(asked, F.lit(True)).withColumn("score", F.when(held("name"), 100).when(held("description"), 72)).filter("score is not null")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.char_length("name"), "name", "chunk_id")
+    top = met.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= max(1, min(k, 50)))
+    once = top.withColumn("_c", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("_r"))).filter("_c = 1")
+    return once.select("query_id", "chunk_id", "name", "score", F.row_number().over(Window.partitionBy("query_id").orderBy("_r")).alias("rank"))

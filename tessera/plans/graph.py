@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import query_terms
 from tessera.operators import graph
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -84,3 +85,14 @@ w AS (SELECT id, name AS path, 0 AS depth FROM n WHERE parent IS NULL UNION ALL
 def intent_paths(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "customer").selectExpr("c_custkey as id", "case when c_custkey >= 10 then c_custkey div 10 end as parent", "c_mktsegment as name")
     return graph.paths(nodes)
+
+
+@query(r"""WITH q AS (SELECT item_id AS query_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:12] AS terms FROM (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.:/-]{1,}'), lambda w: lower(w)) AS l FROM benchmark)),
+e AS (SELECT n_name || CASE WHEN n_nationkey % 5 = 0 THEN ' the of' ELSE '' END AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'thand in ention' ELSE 'none' END AS description, 'c' || (n_nationkey % 8) AS chunk_id FROM nation),
+m AS (SELECT query_id, chunk_id, name, CASE WHEN len(list_filter(terms, lambda t: contains(lower(name), t))) > 0 THEN 100 WHEN len(list_filter(terms, lambda t: contains(lower(description), t))) > 0 THEN 72 END AS score FROM q, e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(name), name, chunk_id) AS r FROM m WHERE score IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY r) AS c FROM r WHERE r <= 10)
+SELECT query_id, chunk_id, name, score, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM o WHERE c = 1""", ints=("rank",))
+def graph_topk(spark: SparkSession, sf: str) -> DataFrame:
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.col("text")).alias("terms"))
+    entities = table(spark, sf, "nation").selectExpr("concat(n_name, if(n_nationkey % 5 = 0, ' the of', '')) as name", "if(n_nationkey % 3 = 0, 'thand in ention', 'none') as description", "concat('c', n_nationkey % 8) as chunk_id")
+    return graph.mentioned_chunks(asked, entities, 10)
