@@ -89,8 +89,8 @@ def greedy_distinct(ranked: DataFrame, by: str, rank: str, content: str, item: s
     listed = ranked.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(item).alias("id"), trigrams(F.col(content)).alias("g")))).alias("_l"))
 
     def alike(a: Column, b: Column) -> Column:
-        both = F.size(F.array_union(a, b))
-        return F.when(both == 0, True).otherwise(F.size(F.array_intersect(a, b)) >= both * threshold)
+        both = F.size(a) + F.size(b)  # common / (both - common) >= threshold, with the common ones counted once
+        return F.when(both == 0, True).otherwise(F.size(F.array_intersect(a, b)) * (1 + threshold) >= both * threshold)
 
     none = F.filter("_l", lambda x: F.lit(False))
     kept = F.aggregate("_l", none, lambda a, x: F.when(F.exists(a, lambda y: alike(x["g"], y["g"])), a).otherwise(F.array_append(a, x)))

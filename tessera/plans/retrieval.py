@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import estimate_tokens
 from tessera.operators import access, retrieval
+from tessera.operators.lineage import written
 from tessera.plans.registry import query
 from tessera.sources.tables import CHUNKS_SQL, chunks, table
 
@@ -37,7 +38,7 @@ def _lexical(spark: SparkSession, sf: str, k: int = 12) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    scored = retrieval.bm25_scores(_questions(spark, sf), chunks(spark, sf))
+    scored = written(retrieval.bm25_scores(_questions(spark, sf), chunks(spark, sf)))
     lexical = retrieval.top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], 12).select("query_id", F.lit("keyword").alias("channel"), "rank", F.col("chunk_id").alias("item"))
     order = [F.desc(F.floor(F.col("score") / 4_000_000)), F.sha2(F.col("chunk_id").cast("binary"), 256)]
     other = retrieval.top(scored, ["query_id"], order, 12).select("query_id", F.lit("other").alias("channel"), "rank", F.col("chunk_id").alias("item"))
@@ -166,8 +167,8 @@ def answer_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way from questions to contexts: two channels, bounded, fused, near-copies dropped, neighbours added, cut to a budget of tokens with a quota per base."""
     every = chunks(spark, sf)
     fused = retrieval.reciprocal_rank_fusion(retrieval.bound_candidates(_hits(spark, sf), 40), {"other": 0.5})
-    named = fused.withColumnRenamed("item", "chunk_id").join(every, "chunk_id")
-    kept = retrieval.greedy_distinct(named, "query_id", "rank", "content", "chunk_id").join(named.drop("rank"), ["query_id", "chunk_id"])
+    named = written(fused.withColumnRenamed("item", "chunk_id").join(every, "chunk_id"))  # at most 40 rows a question
+    kept = written(retrieval.greedy_distinct(named, "query_id", "rank", "content", "chunk_id").join(named.drop("rank"), ["query_id", "chunk_id"]))
     anchors = kept.filter("rank <= 5").select("query_id", "chunk_id", "doc_id", "chunk_index", "score")
     near = retrieval.expand_neighbours(anchors, every, 1).select("query_id", "chunk_id", "score")
     pool = kept.select("query_id", "chunk_id", "score").unionByName(near).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
