@@ -64,12 +64,16 @@ def small_or_not(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def bounded_sample(rows: DataFrame, by: str, most: int, *key: str) -> DataFrame:
-    """At most `most` rows of each value of `by`, those with the smallest hashes of the key: a fixed sample, for fitting models only.
+def bounded_sample(rows: DataFrame, by: str | None, most: int, *key: str) -> DataFrame:
+    """At most `most` rows of each value of `by` (of all rows, if it is None), those with the smallest hashes of the key: a fixed sample, for fitting models only.
 
     The groups are counted first; a hash limit then lets about four times `most` rows of each through, however many there are, and only those are shuffled.
     """
     scale = 1 << 30
+    if by is None:
+        limit = 4.0 * most * scale / max(1, rows.count())
+        few = rows.withColumn("_u", F.pmod(F.xxhash64(*key), F.lit(scale))).filter(F.col("_u") < limit)
+        return few.orderBy("_u", *key).limit(most).drop("_u")
     counts = stored(rows.groupBy(by).agg(F.count("*").alias("_n")))
     hashed = rows.withColumn("_u", F.pmod(F.xxhash64(*key), F.lit(scale)))
     few = hashed.join(small_or_not(counts, 100_000), by).filter(F.col("_u").cast("double") * F.col("_n") < 4.0 * most * scale)

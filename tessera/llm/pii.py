@@ -185,8 +185,8 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
 
 def training_texts(docs: DataFrame, most: int = 400) -> list[str]:
     """The texts with digits or @ with the smallest hashes, at most so many: the bounded sample that the field is fitted on."""
-    marked = docs.filter(F.rlike("text", F.lit("[0-9@]"))).select("text", F.lit(0).alias("_all"))
-    return [r["text"] for r in bounded_sample(marked, "_all", most, "text").orderBy("text").collect()]
+    marked = docs.filter(F.rlike("text", F.lit("[0-9@]"))).select("text")
+    return [r["text"] for r in bounded_sample(marked, None, most, "text").collect()]
 
 
 def find_personal_data(docs: DataFrame, field: Field | None = None, sure: float = 0.9) -> DataFrame:
