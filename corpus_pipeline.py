@@ -14,6 +14,8 @@ from tessera.llm import decontamination, langid, linededup, packing, registry, s
 ORACLE_SQL = None
 #: A language is told if it has so much of the probability, code lengths taken per 64 bytes.
 LEAST_SCORE = 0.75
+#: Near-duplicates: words of a shingle, and the Jaccard similarity from which on documents are linked.
+SHINGLE, LEAST_SIMILARITY = 5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; rows of equal doc_id stay or go together. Columns of docs."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """Of each group of near-duplicates, linked by 5-word shingles with a Jaccard similarity of 0.8 or more, the document with the smallest doc_id stays; rows of equal
+    doc_id stay or go together. Columns of docs."""
+    groups = simhash.similar_documents(docs.select("doc_id", "text"), SHINGLE, LEAST_SIMILARITY)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")
 

@@ -135,3 +135,98 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: i
     names = placed.groupBy("_root").agg(F.min("_first").alias("component_id"))
     named = placed.join(names, "_root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of a text's word shingles, as signed longs; words and short texts as in fingerprint()."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.int64)
+    joined, found = b" ".join(words), []
+    stops = np.cumsum([len(w) + 1 for w in words]) - 1
+    count = max(1, len(words) - width + 1)
+    starts, ends = [0, *(stops[: count - 1] + 1).tolist()], [*stops[width - 1 : -1].tolist(), len(joined)]
+    for at in range(0, count, 65536):
+        pieces = zip(starts[at : at + 65536], ends[at : at + 65536])
+        found.append(np.unique(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in pieces), dtype="<u8")))
+    return np.unique(np.concatenate(found).view(np.int64))
+
+
+def common_shingles(marked: DataFrame, width: int, most_texts: int = 20_000, most: int = 100_000) -> np.ndarray:
+    """Shingles that repeat in a sample of the texts, sorted. They only set the order of the prefixes, which is free, so a sample changes the work and not the result."""
+
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, width) for t in texts])
+
+    scale = 1 << 30
+    few = marked.filter(F.pmod(F.xxhash64("node"), F.lit(scale)) < most_texts * scale / max(1, marked.count()))
+    counts = few.dropDuplicates(["node"]).select(F.explode(F.pandas_udf(of, "array<long>")("text")).alias("s")).groupBy("s").count().filter("count > 2")
+    return np.array(sorted(r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(most).collect()), dtype=np.int64)
+
+
+def shingle_candidates(marked: DataFrame, width: int, least: float, salt_rows: int = 512) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes among which are all whose shingle sets have a Jaccard similarity of `least` or more; marked: node, n (size of its set), text.
+
+    Prefix filter: in any one order of all shingles, two such sets share one of the first n - ceil(least * n) + 1 of either. Sizes and places in
+    the prefix then leave out pairs that can't reach it. Long lists of one shingle are met in salted parts of `salt_rows` rows by all.
+    """
+    common = common_shingles(marked, width)
+
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            out = []
+            for t in texts:
+                x = shingle_set(t, width)
+                at = np.searchsorted(common, x)
+                often = np.isin(x, common, assume_unique=True) if len(common) and (common[np.minimum(at, len(common) - 1)] == x).any() else np.zeros(len(x), dtype=bool)
+                first = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 if len(x) else 0
+                out.append(np.concatenate([x[~often], x[often]])[:first])
+            yield pd.Series(out)
+
+    posts = stored(marked.select("node", "n", F.posexplode(F.pandas_udf(of, "array<long>")("text")).alias("at", "s")).distinct())
+    lists = posts.groupBy("s").count().filter("count > 1")
+    met = stored(posts.join(lists, "s").withColumn("_k", F.ceil(F.col("count") / salt_rows).cast("int")))
+    left = met.select("s", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("at").alias("_i"), F.pmod(F.xxhash64("node"), F.col("_k")).cast("int").alias("_p"))
+    right = met.select("s", F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("at").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_p"))
+    shared = F.lit(least / (1 + least)) * (F.col("_na") + F.col("_nb")) - 1e-6  # what the sets must share
+    able = F.least(F.col("_na") - F.col("_i"), F.col("_nb") - F.col("_j"))
+    long_enough = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-6
+    # a pair meets at its first shared shingle, where nothing before it is shared, so `able` bounds what they share
+    return left.join(right, ["s", "_p"]).filter((F.col("a") > F.col("b")) & long_enough & (able >= shared)).select("a", "b").distinct()
+
+
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, component_id for every row of docs (doc_id, text): the smallest doc_id reachable over links of texts whose sets of `width`-word shingles have a
+    Jaccard similarity of `least` or more. All such pairs are found; each candidate is verified over the whole sets of both texts.
+
+    Texts of equal sets are one node. Null and empty texts are one group; a text of fewer words is one shingle. Null doc_ids as in near_duplicates().
+    """
+
+    def key(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for texts in batches:
+            sets = [shingle_set(t, width) for t in texts]
+            nodes = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"node": nodes, "n": np.array([len(x) for x in sets], dtype=np.int32)})
+
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, width) for t in texts])
+
+    marked = stored(docs.select("doc_id", "text", F.pandas_udf(key, "node long, n int")("text").alias("_k")).select("doc_id", "text", "_k.*"))
+    pairs = stored(shingle_candidates(marked, width, least))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    one = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))  # texts of one node have one set
+    sets = stored(one.select("node", F.pandas_udf(whole, "array<long>")("text").alias("_s")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_s").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("_s").alias("_b")), "b")
+    both = both.withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    alike = both.filter(F.col("_both") >= (F.size("_a") + F.size("_b") - F.col("_both")) * least - 1e-6).select("a", "b")
+    roots = smallest_reachable(alike)
+    nodes = marked.groupBy("node").agg(F.min("doc_id").alias("_first"))
+    placed = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "_first", F.coalesce("root", "node").alias("_root"))
+    names = placed.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    return marked.select("doc_id", "node").join(placed.join(names, "_root").select("node", "component_id"), "node").select("doc_id", "component_id")

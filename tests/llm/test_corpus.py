@@ -239,3 +239,52 @@ def test_pipeline_stages(spark, odd):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and out.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 1024").count() == 0
+
+
+def brute_similar(rows, width=5, least=0.8):
+    """doc_id, smallest doc_id of the group of each row, all pairs compared."""
+
+    def shingles(text):
+        w = [x for x in (text or "").translate(LOW).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if x]
+        return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
+
+    sets = [shingles(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b) - 1e-9:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    first = {g: min((i for (i, _), h in zip(rows, group) if h == g and i is not None), default=None) for g in set(group)}
+    return Counter((i, first[g]) for (i, _), g in zip(rows, group))
+
+
+def test_similar_documents(spark, odd, none):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):  # near copies: a few words changed, so most lie between 0.7 and 0.95 and beyond 4 bits of the fingerprint
+        words = [f"w{k}" for k in rng.integers(0, 5000, 120)]
+        rows.append((100 * i, " ".join(words)))
+        for c in range(1, 5):
+            for at in rng.choice(120, c, replace=False):
+                words[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((100 * i + c, " ".join(words)))
+    rows += [(9000 + i, "the same opening of every page here " * 2 + " ".join(f"y{k}" for k in rng.integers(0, 5000, 60))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_similar(rows)
+    assert Counter(map(tuple, simhash.similar_documents(docs).collect())) == want
+    near = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert sum(i != c for i, c in near) < sum(i != c for i, c in want) / 2
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert kept == {c for _, c in want}
+    assert Counter(map(tuple, simhash.similar_documents(odd).collect())) == brute_similar(ODD)
+    assert simhash.similar_documents(none).count() == 0
+
+
+def test_salted_candidates_find_the_same(spark):
+    rng = np.random.default_rng(9)
+    sets = [sorted(rng.choice(60, 40, replace=False).tolist()) for _ in range(60)]
+    docs = spark.createDataFrame([(i, i, 40, " ".join(f"s{x}" for x in s)) for i, s in enumerate(sets)], "doc_id long, node long, n int, text string")
+    want = {(i, j) for i in range(60) for j in range(i) if len(set(sets[i]) & set(sets[j])) * 9 >= 4 * 80}
+    for salt_rows in (3, 512):
+        assert want <= {(r["a"], r["b"]) for r in simhash.shingle_candidates(docs, 1, 0.8, salt_rows).collect()}
