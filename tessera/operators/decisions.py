@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import folds
+
 # Which status a document may pass to.
 TRANSITIONS = (
     ("UPLOADED", "PENDING_REVIEW"),
@@ -73,12 +76,14 @@ def recommended(samples: DataFrame, questions: DataFrame, most: int = 3) -> Data
 
 def smoothed(scores: DataFrame, key: str, order: str, value: str, keep: int = 65) -> DataFrame:
     """key, level (thousandths), trend: values folded in order, each new level keeping `keep` percent of the last; trend: up or down when the last value is 300 thousandths off the level before it."""
-    listed = scores.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("long").alias("v")))), lambda x: x["v"]).alias("_v"))
-    start = F.struct(F.lit(None).cast("long").alias("level"), F.lit(0).cast("long").alias("gap"))
 
-    def step(a: Column, v: Column) -> Column:
-        level = F.coalesce(F.floor((a["level"] * keep + v * (100 - keep)) / 100).cast("long"), v)
-        return F.struct(level.alias("level"), F.coalesce(v - a["level"], F.lit(0)).cast("long").alias("gap"))
+    def step(state: tuple, rows: pa.RecordBatch) -> tuple:
+        level, gap = state
+        for v in rows.column("_v").to_pylist():
+            gap = 0 if v is None or level is None else v - level
+            level = v if v is None or level is None else (level * keep + v * (100 - keep)) // 100
+        return level, gap
 
-    out = listed.withColumn("_o", F.aggregate("_v", start, step))
-    return out.select(key, F.col("_o.level").alias("level"), F.when(F.col("_o.gap") >= 300, "up").when(F.col("_o.gap") <= -300, "down").otherwise("flat").alias("trend"))
+    rows = scores.select(key, order, F.col(value).cast("long").alias("_v"))
+    out = folds.final(rows, key, [order, "_v"], {"level": "bigint", "_gap": "bigint"}, lambda: (None, 0), step, lambda state: state)
+    return out.select(key, "level", F.when(F.col("_gap") >= 300, "up").when(F.col("_gap") <= -300, "down").otherwise("flat").alias("trend"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import folds
+
 # Limits of jobs, in seconds where they are times.
 STALE_AFTER, LEAST_TIMEOUT, DEFAULT_SLA_MS = 15 * 60, 15 * 60, 300_000
 
@@ -47,16 +52,19 @@ def chain_hash(previous: Column, *parts: Column) -> Column:
 
 
 def chained(entries: DataFrame, key: str, order: str, payload: str) -> DataFrame:
-    """entries with previous_hash and entry_hash: each key's entries in order, each hash covering the one before. A key's chain is a fold over its own entries."""
-    listed = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).cast("string").alias("p")))).alias("_l"))
-    start = F.array().cast("array<struct<o:bigint,previous_hash:string,entry_hash:string>>")
-
-    def step(a: Column, x: Column) -> Column:
-        before = F.when(F.size(a) > 0, F.element_at(a, -1)["entry_hash"]).otherwise(F.lit("genesis"))
-        return F.array_append(a, F.struct(x["o"].cast("long").alias("o"), before.alias("previous_hash"), chain_hash(before, x["o"].cast("string"), x["p"]).alias("entry_hash")))
-
-    hashes = listed.select(key, F.explode(F.aggregate(F.when(F.size("_l") > 0, F.col("_l")), start, step)).alias("_x"))
-    return entries.join(hashes.select(key, F.col("_x.o").alias(order), "_x.previous_hash", "_x.entry_hash"), [key, order])
+    """entries with previous_hash and entry_hash: each key's entries in order, each hash covering the one before. Streamed with the last hash as the only state."""
+
+    def step(before: str, rows: pa.RecordBatch) -> tuple[str, tuple[list, list]]:
+        previous, made = [], []
+        for o, p in zip(rows.column("_o").to_pylist(), rows.column("_p").to_pylist()):
+            previous.append(before)
+            before = hashlib.sha256("|".join(x for x in (before, o, p) if x is not None).encode()).hexdigest()
+            made.append(before)
+        return before, (previous, made)
+
+    rows = entries.withColumn("_o", F.col(order).cast("string")).withColumn("_p", F.col(payload).cast("string"))
+    keep = [key, order, *(c for c in entries.columns if c not in (key, order))]
+    return folds.running(rows, key, [order, "_p"], keep, {"previous_hash": "string", "entry_hash": "string"}, lambda: "genesis", step)
 
 
 def broken_links(chain: DataFrame, key: str, order: str, payload: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import interview, rules
 from tessera.functions import text as fn
-from tessera.operators import chunking
+from tessera.operators import chunking, folds
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -115,9 +115,9 @@ def content_hash_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT source, left(sha256(string_agg(h, chr(10) ORDER BY h)), 16) AS snapshot FROM (SELECT source, lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || left(sha256(text), 16) AS h FROM documents) GROUP BY 1""")
 def corpus_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest of each base's documents: digests of hash ranges first, so no base is gathered whole; with one range it is the digest of all lines."""
+    """A digest of each base's documents: their lines are streamed in order into one running digest, so no base is gathered whole."""
     docs = table(spark, sf, "documents").select("source", F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(":"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16)).alias("h"))
-    return docs.groupBy("source").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n").cast("binary"), 256), 1, 16).alias("snapshot"))
+    return folds.digests(docs, "source", "h", "snapshot")
 
 
 @query("""WITH c AS (SELECT doc_id, text, unnest(generate_series(1, greatest(length(text), 1), 384)) AS s FROM documents)

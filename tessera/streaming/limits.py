@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from tessera.operators import folds
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: How late events may be.
@@ -43,11 +46,11 @@ def rate_limited(events: DataFrame, key: str, ts: str, event: str, limit: int, w
     if events.isStreaming:
         return micros.groupBy(key).applyInPandasWithState(judge, schema, "log array<long>", "append", GroupStateTimeout.NoTimeout)
 
-    def whole(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_t", event])
-        return pd.DataFrame({key: keys[0], event: rows[event], "admitted": admitted(rows["_t"].tolist(), [], limit, window_seconds * 1_000_000)[0]})
+    def step(log: list, rows: pa.RecordBatch) -> tuple[list, tuple[list]]:
+        ok, log = admitted([float("nan") if t is None else t for t in rows.column("_t").to_pylist()], log, limit, window_seconds * 1_000_000)
+        return log, (ok,)
 
-    return micros.groupBy(key).applyInPandas(whole, schema)
+    return folds.running(micros, key, [F.asc_nulls_last("_t"), F.asc_nulls_last(event)], [key, event], {"admitted": "boolean"}, list, step)
 
 
 def daily_quota(events: DataFrame, key: str, ts: str, order: str, cost: str, quota: int) -> DataFrame:
@@ -72,21 +75,21 @@ def tumbling(events: DataFrame, ts: str, width: str, by: str, bad: str) -> DataF
 def breaker_states(calls: DataFrame, key: str, order: str, ts: str, failed: str, after: int = 3, pause_seconds: int = 30) -> DataFrame:
     """key, order, state (closed, open, half_open) before each call: open after so many failures in a row, half open once the pause is over. Calls while open aren't
     made and change nothing; a success closes it, a failure when half open opens it again. Folded per key in order, as what is made depends on the state."""
-    kind = {f.name: f.dataType.simpleString() for f in calls.schema}
     few = calls.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(failed).alias("_f"))
 
-    def fold(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_t", order])
-        failures, opened, out = 0, None, []
-        for t, bad in zip(rows["_t"], rows["_f"]):
+    def step(now: tuple, rows: pa.RecordBatch) -> tuple[tuple, tuple[list]]:
+        failures, opened = now
+        out = []
+        for t, bad in zip(rows.column("_t").to_pylist(), rows.column("_f").to_pylist()):
+            t = float("nan") if t is None else t
             state = "closed" if opened is None else "half_open" if t - opened >= pause_seconds * 1_000_000 else "open"
             out.append(state)
             if state != "open":
                 failures = failures + 1 if bad else 0
                 opened = t if bad and (failures >= after or state == "half_open") else None
-        return pd.DataFrame({key: keys[0], order: rows[order], "state": out})
+        return (failures, opened), (out,)
 
-    return few.groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, {order} {kind[order]}, state string")
+    return folds.running(few, key, [F.asc_nulls_last("_t"), F.asc_nulls_last(order)], [key, order], {"state": "string"}, lambda: (0, None), step)
 
 
 def first_seen(events: DataFrame, keys: list[str], ts: str) -> DataFrame:

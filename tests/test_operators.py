@@ -346,3 +346,36 @@ def test_packs(spark):
     df = spark.createDataFrame([(1, i, k, "z" * n) for i, (k, n) in enumerate(kinds)], "id int, chunk_index int, kind string, content string")
     out = chunking.packed_chunks(df, "id", 10).orderBy("chunk_index").collect()
     assert [(r["kind"], len(r["content"])) for r in out] == [("PARAGRAPH", 8), ("PARAGRAPH", 20), ("PARAGRAPH", 3), ("TABLE", 2), ("IMAGE", 20), ("PARAGRAPH", 1)]
+
+
+def test_folds_stream_one_hot_key(spark):
+    """A key's rows come in pieces, in order; none of the plans gathers a key's rows."""
+    import hashlib
+
+    from tessera.operators import decisions, folds
+    from tessera.streaming import limits
+
+    n = 25000  # more than one Arrow batch of a key
+    df = spark.range(n).selectExpr("id", "if(id % 5 = 0, id % 7, null) as k", "concat('l', id) as line", "timestamp_seconds(id * 7) as ts", "id % 3 <> 0 as bad", "id * 37 % 1000 as v")
+    keys = {None: [i for i in range(n) if i % 5]} | {k: [i for i in range(0, n, 5) if i % 7 == k] for k in range(7)}
+    chain, digest, levels = {}, {}, {}
+    for k, ids in keys.items():
+        before, level, gap = "genesis", None, 0
+        for i in ids:
+            before = chain[i] = hashlib.sha256(f"{before}|{i}|l{i}".encode()).hexdigest()
+            v = i * 37 % 1000
+            level, gap = (v, 0) if level is None else ((level * 65 + v * 35) // 100, v - level)
+        digest[k] = hashlib.sha256("\n".join(sorted(f"l{i}" for i in ids)).encode()).hexdigest()[:16]
+        levels[k] = (level, "up" if gap >= 300 else "down" if gap <= -300 else "flat")
+    chained, lines, smooth = integrity.chained(df, "k", "id", "line"), folds.digests(df, "k", "line", "d"), decisions.smoothed(df, "k", "id", "v")
+    limited, broken = limits.rate_limited(df, "k", "ts", "id", 2, 60), limits.breaker_states(df, "k", "id", "ts", "bad", 3, 30)
+    assert {r["id"]: r["entry_hash"] for r in chained.collect()} == chain
+    assert {r["k"]: r["d"] for r in lines.collect()} == digest
+    assert {r["k"]: (r["level"], r["trend"]) for r in smooth.collect()} == levels
+    assert {r["id"]: r["admitted"] for r in limited.collect()} == {i: ok for ids in keys.values() for i, ok in zip(ids, limits.admitted([i * 7_000_000 for i in ids], [], 2, 60_000_000)[0])}
+    assert broken.count() == n
+    for plan in (chained, lines, smooth, limited, broken):
+        text = plan._jdf.queryExecution().toString()
+        assert "collect_list" not in text and "FlatMapGroupsInPandas" not in text
+    assert integrity.chained(df.filter("false"), "k", "id", "line").count() == 0
+    assert folds.digests(df.filter("false"), "k", "line", "d").count() == 0
