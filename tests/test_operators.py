@@ -379,3 +379,40 @@ def test_folds_stream_one_hot_key(spark):
         assert "collect_list" not in text and "FlatMapGroupsInPandas" not in text
     assert integrity.chained(df.filter("false"), "k", "id", "line").count() == 0
     assert folds.digests(df.filter("false"), "k", "line", "d").count() == 0
+
+
+@pytest.mark.parametrize("eps, least", [(0.3, 2), (0.02, 3), (0.05, 4), (0.9, 1)])
+def test_density_clusters_against_brute_force(spark, eps, least):
+    import numpy as np
+
+    from tessera.operators.clustering import density_labels, query_clusters, units
+
+    rng = np.random.default_rng(least)
+    x = rng.normal(size=(160, 2)) if least > 2 else rng.normal(size=(160, 8))
+    x[[3, 90]] = 0
+    data = [("a" if i % 3 else None, i * 7 % 160, [float(v) for v in e]) for i, e in enumerate(x)]
+    df = spark.createDataFrame(data, "g string, i int, e array<float>")
+    want = {}
+    for g in ("a", None):
+        own = sorted((i, e) for h, i, e in data if h == g)
+        u = units(np.array([e for _, e in own], dtype=np.float32))
+        within = u @ u.T >= 1 - eps - 1e-12
+        np.fill_diagonal(within, False)
+        want |= {(g, i): int(c) for (i, _), c in zip(own, density_labels(within, least))}
+    got = {(r["g"], r["i"]): r["cluster"] for r in query_clusters(df, "g", "i", "e", eps, least, rows=16).collect()}
+    assert got == want and max(want.values()) > 0
+
+
+def test_weak_seeds_come_in_order(spark):
+    from tessera.operators.clustering import first_seeds
+
+    weak = spark.createDataFrame([(i,) for i in range(6)], "w long")
+    hubs = spark.createDataFrame([(a, i, i + 1) for i in range(4) for a in (i, i + 1)], "w long, h1 long, h2 long")
+    assert sorted(r["w"] for r in first_seeds(weak, hubs).collect()) == [0, 2, 4, 5]
+
+
+def test_clusters_take_every_vector(spark):
+    from tessera.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    assert registry.queries()["query_clusters"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
