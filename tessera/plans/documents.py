@@ -124,6 +124,14 @@ def memory_actions(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.remembered(facts, said.filter("role = 'assistant'").selectExpr("conv_id", "text as memory"), "conv_id", 2.0)
 
 
+@query()
+def memory_actions_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole user turns as facts against the answers of their conversation as memories, with the production threshold. A test holds it against brute force."""
+    said = table(spark, sf, "conversations")
+    facts = said.filter("role = 'user' and turn > 0").selectExpr("conv_id", "text as fact")
+    return clustering.remembered(facts, said.filter("role = 'assistant'").selectExpr("conv_id", "text as memory"), "conv_id")
+
+
 @query()
 def citation_support(spark: SparkSession, sf: str) -> DataFrame:
     """Each answer's sentences against the user turns of its conversation as sources. A test holds the rules against written cases."""

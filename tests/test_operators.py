@@ -416,3 +416,35 @@ def test_clusters_take_every_vector(spark):
 
     sf = "/root/testdata/sf0.001"
     assert registry.queries()["query_clusters"](spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_whole_memories_against_brute_force(spark, tmp_path):
+    """Near-equal turns that hold none of each other are known by their bigrams, also where they differ past character 25."""
+    from tessera.plans import registry
+
+    said = [(c, t, r, x) for c, turns in enumerate([
+        ("unused", "My sister and I moved to the old town by the river in the spring of last year.", "My sister and we moved to the old town by the river in the spring of last year."),
+        ("unused", "I have worked as a gardener since I left school, mostly with roses.", "I have worked as a gardener since I left school, and I now keep bees and goats."),
+        ("unused", "likes tea", "likes tea a lot"),
+        ("unused", "abcabcabc", "bcabcabca"),
+        ("unused", "", "x"),
+    ]) for t, (r, x) in enumerate(zip(("user", "assistant", "user"), turns))]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def brute(rows):
+        grams = lambda x: {x[i : i + 2] for i in range(len(x) - 1)}
+        out = {}
+        for c, turn, role, fact in rows:
+            if role == "user" and turn > 0:
+                known = [x for d, _, r, x in rows if r == "assistant" and d == c]
+                alike = lambda a, b: bool(a and b) and len(a & b) / len(a | b) > 0.92
+                out[(c, fact)] = "NOOP" if any(fact in m or m in fact or alike(grams(fact), grams(m)) for m in known) else "ADD"
+        return out
+
+    run = registry.queries()["memory_actions_whole"]
+    got = {(r["conv_id"], r["fact"]): r["action"] for r in run(spark, str(tmp_path)).collect()}
+    assert got == brute(said)
+    assert [a for _, a in sorted(got.items())] == ["NOOP", "ADD", "NOOP", "NOOP", "NOOP"]
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert {(r["conv_id"], r["fact"]): r["action"] for r in run(spark, sf).collect()} == brute(rows)
