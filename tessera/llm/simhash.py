@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import small_or_not, stored
 
 BITS = 64
 SEED = 42
@@ -154,7 +154,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate(found).view(np.int64))
 
 
-def common_shingles(marked: DataFrame, width: int, most_texts: int = 20_000, most: int = 100_000) -> np.ndarray:
+def common_shingles(marked: DataFrame, width: int, most_texts: int = 4_000, most: int = 100_000) -> np.ndarray:
     """Shingles that repeat in a sample of the texts, sorted. They only set the order of the prefixes, which is free, so a sample changes the work and not the result."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -162,8 +162,8 @@ def common_shingles(marked: DataFrame, width: int, most_texts: int = 20_000, mos
             yield pd.Series([shingle_set(t, width) for t in texts])
 
     scale = 1 << 30
-    few = marked.filter(F.pmod(F.xxhash64("node"), F.lit(scale)) < most_texts * scale / max(1, marked.count()))
-    counts = few.dropDuplicates(["node"]).select(F.explode(F.pandas_udf(of, "array<long>")("text")).alias("s")).groupBy("s").count().filter("count > 2")
+    few = marked.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < most_texts * scale / max(1, marked.select("text").count()))
+    counts = few.distinct().select(F.explode(F.pandas_udf(of, "array<long>")("text")).alias("s")).groupBy("s").count().filter("count > 2")
     return np.array(sorted(r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(most).collect()), dtype=np.int64)
 
 
@@ -186,9 +186,11 @@ def shingle_candidates(marked: DataFrame, width: int, least: float, salt_rows: i
                 out.append(np.concatenate([x[~often], x[often]])[:first])
             yield pd.Series(out)
 
-    posts = stored(marked.select("node", "n", F.posexplode(F.pandas_udf(of, "array<long>")("text")).alias("at", "s")).distinct())
-    lists = posts.groupBy("s").count().filter("count > 1")
-    met = stored(posts.join(lists, "s").withColumn("_k", F.ceil(F.col("count") / salt_rows).cast("int")))
+    posts = marked.select("node", "n", F.posexplode(F.pandas_udf(of, "array<long>")("text")).alias("at", "s"))
+    repeated = stored(posts.groupBy("s").count().filter("count > 1").select("s"))  # most shingles occur once: they are never stored; copies of a text count too
+    several = stored(posts.join(small_or_not(repeated, 500_000), "s", "left_semi").distinct())
+    lists = several.groupBy("s").count().filter("count > 1")
+    met = stored(several.join(lists, "s").withColumn("_k", F.ceil(F.col("count") / salt_rows).cast("int")))
     left = met.select("s", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("at").alias("_i"), F.pmod(F.xxhash64("node"), F.col("_k")).cast("int").alias("_p"))
     right = met.select("s", F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("at").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_p"))
     shared = F.lit(least / (1 + least)) * (F.col("_na") + F.col("_nb")) - 1e-6  # what the sets must share
@@ -217,10 +219,11 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> Da
         for texts in batches:
             yield pd.Series([shingle_set(t, width) for t in texts])
 
-    marked = stored(docs.select("doc_id", "text", F.pandas_udf(key, "node long, n int")("text").alias("_k")).select("doc_id", "text", "_k.*"))
-    pairs = stored(shingle_candidates(marked, width, least))
+    keyed = docs.select("doc_id", "text", F.pandas_udf(key, "node long, n int")("text").alias("_k")).select("doc_id", "text", "_k.*")  # texts are never stored, but read again
+    marked = stored(keyed.select("doc_id", "node"))
+    pairs = stored(shingle_candidates(keyed, width, least))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))  # texts of one node have one set
+    one = keyed.join(small_or_not(asked, 500_000), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))  # texts of one node have one set
     sets = stored(one.select("node", F.pandas_udf(whole, "array<long>")("text").alias("_s")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_s").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("_s").alias("_b")), "b")
     both = both.withColumn("_both", F.size(F.array_intersect("_a", "_b")))
