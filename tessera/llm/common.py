@@ -47,6 +47,11 @@ def same_key(left: DataFrame, right: DataFrame) -> Column:
     return left["_id"].eqNullSafe(right["_id"]) & (left["_h1"] == right["_h1"]) & (left["_h2"] == right["_h2"])
 
 
+def with_columns(docs: DataFrame, **new: Column) -> DataFrame:
+    """_row, a struct of all columns of docs, and the new columns: whatever names docs has, they don't clash."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(name) for name, c in new.items()])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,11 +7,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TOKEN, bind, indices, lower_ascii
-
-#: A line with at most eight words that begins with one of these is navigation or boilerplate (compared in lower case).
-NAVIGATION = ("home", "menu", "login", "log in", "sign in", "sign up", "subscribe", "share this", "click here", "read more", "next page", "previous page", "back to top", "skip to")
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "javascript is disabled", "enable javascript", "lorem ipsum")
+from tessera.llm.common import SPACE, TOKEN, bind, indices, lower_ascii, with_columns
+
+#: A line made of nothing but these, and marks between them, is navigation (compared in lower case).
+NAVIGATION = (
+    *("home", "menu", "login", "log in", "sign in", "sign up", "subscribe", "share this", "click here", "read more", "next page", "previous page", "back to top", "skip to content"),
+    *("startseite", "anmelden", "registrieren", "weiterlesen", "nach oben", "accueil", "connexion", "lire la suite", "haut de page", "inicio", "iniciar sesión", "leer más", "volver arriba"),
+)
+#: A line of at most short_words words that holds one of these is boilerplate.
+BOILERPLATE = (
+    *("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "javascript is disabled", "enable javascript", "lorem ipsum"),
+    *("alle rechte vorbehalten", "datenschutzerklärung", "tous droits réservés", "politique de confidentialité", "todos los derechos reservados", "política de privacidad"),
+)
+#: Marks that prose has few words with, marks between the links of a menu, and the end of a sentence.
+SYMBOL = r"[#*$%&|<>~^\\={}@_+]"
+LINKING = "|»›·•→"
+LETTER = r"[A-Za-z0-9]|[^\x00-\x7F]"
+SENTENCE_END = r"""[.!?…。！？;:]['")\]»”’]*$"""
 
 
 @dataclass(frozen=True)
@@ -19,24 +31,37 @@ class Rules:
     min_words: int = 50
     #: Percent of words in repeated 3-word windows beyond which a document fails.
     most_repeated: int = 50
-    #: A line of so many words or more must have a letter or digit in at least half its characters that are not white space.
+    #: Lines of fewer words aren't judged by shares.
     judged_words: int = 3
+    #: Percent of a line's words that hold a symbol, from which on it fails.
+    symbol_words: int = 30
+    #: A line fails with two link marks or more, if they are so many percent of its words.
+    link_marks: int = 20
+    #: Percent of a line's ASCII letters that are capitals, beyond which it fails (from shouted_words words on).
+    most_capitals: int = 60
+    shouted_words: int = 5
+    #: Lines of judged_words to short_paragraph words must end as a sentence does; a longer one is prose even where it breaks off.
+    short_paragraph: int = 50
+    short_words: int = 8
     #: Percent of a document's words in failed lines beyond which it is rejected.
     most_lost: int = 60
 
 
-def line_fails(line: Column, rules: Rules) -> Column:
-    """Whether a line is navigation, boilerplate or mostly punctuation. Lines without words don't fail (they hold nothing to lose)."""
+def navigation_pattern() -> str:
+    links = "|".join(NAVIGATION)
+    return rf"^\W*({links})(\W+({links}))*\W*$"
 
-    def judge(parts: Column) -> Column:
-        low, n, solid = parts["low"], parts["n"], parts["solid"]
-        starts = F.exists(F.array(*map(F.lit, NAVIGATION)), lambda p: F.startswith(low, p))
-        holds = F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(low, p))
-        marks = F.char_length(solid) - F.char_length(F.translate(solid, "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", ""))
-        return ((n <= 8) & (starts | holds)) | ((n >= rules.judged_words) & (marks * 2 > F.char_length(solid)))
 
-    trimmed = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
-    return bind(F.struct(lower_ascii(trimmed).alias("low"), F.regexp_count(line, F.lit(TOKEN)).alias("n"), F.translate(line, " \t\n\x0b\x0c\r", "").alias("solid")), judge)
+def line_fails(line: Column, n: Column, rules: Rules) -> Column:
+    """Whether a line of n > 0 words is navigation, boilerplate, shouted, full of symbols, without a letter or digit, or a fragment."""
+    trimmed = F.btrim(line, F.lit(SPACE))
+    count = lambda marks: F.regexp_count(line, F.lit(f"[{marks}]"))
+    symbols = (n >= rules.judged_words) & (F.regexp_count(line, F.lit(SYMBOL + TOKEN[:-1] + "*")) * 100 >= n * rules.symbol_words)
+    menu = bind(count(LINKING), lambda links: (links >= 2) & (links * 100 >= n * rules.link_marks))
+    shouted = (n >= rules.shouted_words) & bind(count("A-Z"), lambda c: (c >= rules.shouted_words) & (c * 100 > (c + count("a-z")) * rules.most_capitals))
+    fragment = n.between(rules.judged_words, rules.short_paragraph) & ~F.rlike(trimmed, F.lit(SENTENCE_END))
+    phrases = (n <= rules.short_words) & F.rlike(lower_ascii(line), F.lit(navigation_pattern() + "|" + "|".join(BOILERPLATE)))
+    return phrases | fragment | menu | shouted | symbols | ~F.rlike(line, F.lit(LETTER))
 
 
 def repeated_words(words: Column) -> Column:
@@ -57,52 +82,50 @@ def repeated_words(words: Column) -> Column:
         )
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda i: F.array(i, i + 1, i + 2)))))
 
-    def grams(h: Column) -> Column:
-        return F.transform(indices(F.size(h) - 2), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2]))
-
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return bind(hashes, lambda h: bind(grams(h), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(count(g)))).cast("long")
-
+    def grams(w: Column) -> Column:
+        return F.transform(indices(F.size(w) - 2), lambda i: F.xxhash64(w[i], F.lit(" "), w[i + 1], F.lit(" "), w[i + 2]))
 
-def duplicate_lines(lines: Column) -> Column:
-    """Lines with a word that equal an earlier line."""
-    wordy = F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    return bind(wordy, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    return bind(grams(words), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(count(g))).cast("long")
 
 
 def judge_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """All columns of docs (text) with _q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words (words in failed lines),
+    """All columns of docs (text) with _q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words (words in lines that go),
     clean_text (the lines that stay, joined by \\n) and kept.
 
-    Everything is computed within a row: no shuffle. A null or empty text has no words and so fails; ties and repeated rows don't matter.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-
-    def verdict(x: Column) -> Column:
-        n = F.size(x["words"]).cast("long")
-        failed = F.filter(x["lines"], lambda line: line_fails(line, rules))
-        stats = F.struct(
-            n.alias("n_words"),
-            F.char_length(F.array_join(x["words"], "")).cast("long").alias("word_chars"),
-            (F.char_length(x["text"]) - F.char_length(F.translate(x["text"], "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            duplicate_lines(x["lines"]).alias("n_dup_lines"),
-            repeated_words(x["words"]).alias("n_repeat_words"),
-            F.aggregate(failed, F.lit(0).cast("long"), lambda a, line: a + F.regexp_count(line, F.lit(TOKEN))).alias("lost_words"),
-            F.when(F.size(failed) == 0, x["text"]).otherwise(F.array_join(F.filter(x["lines"], lambda line: ~line_fails(line, rules)), "\n")).alias("clean_text"),
-        )
-        return bind(
-            stats,
-            lambda s: bind(
-                (s["n_words"] < rules.min_words) | (s["n_repeat_words"] * 100 > s["n_words"] * rules.most_repeated),
-                lambda base: F.struct(
-                    *[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-                    base.alias("base_failed"),
-                    s["lost_words"].alias("lost_words"),
-                    s["clean_text"].alias("clean_text"),
-                    (~base & (s["lost_words"] * 100 <= s["n_words"] * rules.most_lost)).alias("kept"),
-                ),
-            ),
-        )
+    Lines come first: each is judged alone by line_fails(), and one that equals an earlier line of its text goes too, as do blank ones. A document that fails
+    the base rules, or loses more than most_lost percent of its words with its lines, isn't kept.
 
-    parts = F.struct(text.alias("text"), F.split(text, "\n", -1).alias("lines"), F.regexp_extract_all(text, F.lit(TOKEN), 0).alias("words"))
-    return docs.withColumn("_q", bind(parts, verdict))
+    Everything is computed within a row: no shuffle, and no rows of an empty table. A null or empty text has no words, so it fails, and its clean_text is
+    empty; equal rows get equal results. An input column _q is replaced; other names of the input, internal ones included, don't matter.
+    """
+    row = with_columns(docs, text=F.coalesce(F.col("text"), F.lit("")))
+    cut = row.select(
+        "_row",
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).alias("symbols"),
+        (F.char_length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).alias("solid"),
+        F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")).alias("wordy"),
+        F.split("text", "\n", -1).alias("lines"),
+        F.regexp_extract_all("text", F.lit(TOKEN), 0).alias("words"),
+    )
+    counted = F.filter(
+        F.transform(F.array_distinct("lines"), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(TOKEN)).alias("n"))),
+        lambda x: x["n"] > 0,
+    )
+    judged = cut.select(
+        "_row",
+        F.size("words").cast("long").alias("n_words"),
+        "wordy",
+        F.col("solid").cast("long").alias("word_chars"),
+        F.col("symbols").cast("long").alias("n_symbols"),
+        repeated_words(F.col("words")).alias("n_repeat_words"),
+        counted.alias("distinct"),
+    ).select("*", F.filter("distinct", lambda x: ~line_fails(x["line"], x["n"], rules)).alias("stay"))
+    base = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.most_repeated)
+    lost = F.col("n_words") - F.aggregate("stay", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    verdict = judged.select("*", (F.col("wordy") - F.size("distinct")).cast("long").alias("n_dup_lines"), base.alias("base_failed"), lost.alias("lost_words"))
+    q = F.struct(
+        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words"),
+        F.array_join(F.transform("stay", lambda x: x["line"]), "\n").alias("clean_text"),
+        (~F.col("base_failed") & (F.col("lost_words") * 100 <= F.col("n_words") * rules.most_lost)).alias("kept"),
+    )
+    return verdict.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "_q"], q.alias("_q"))

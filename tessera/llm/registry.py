@@ -121,27 +121,32 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 
 
 _TOKENS = r"'[^\x20\x09-\x0D]+'"
-_PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _quality_sql() -> str:
     rules = quality.Rules()
-    starts = " OR ".join(f"starts_with(low, '{p}')" for p in quality.NAVIGATION)
-    holds = " OR ".join(f"contains(low, '{p}')" for p in quality.BOILERPLATE)
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    phrases = text(quality.navigation_pattern() + "|" + "|".join(quality.BOILERPLATE))
+    symbol_word, links, end = text(quality.SYMBOL + r"[^\x20\x09-\x0D]*"), text(f"[{quality.LINKING}]"), text(quality.SENTENCE_END)
     blank = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    count = lambda pattern: f"len(regexp_extract_all(line, {pattern}))"
+    failed = f"n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.most_repeated} * n_words"
     return rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_TOKENS}) AS w FROM documents),
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
 again AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
-l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
-m AS (SELECT r, line, len(regexp_extract_all(line, {_TOKENS})) AS n, translate(line, {blank}, '') AS solid,
-  translate(trim(line, {blank}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM l),
-f AS (SELECT r, line, n, (n <= 8 AND ({starts} OR {holds})) OR (n >= {rules.judged_words} AND 2 * (length(solid) - length(translate(solid, '{_PUNCTUATION}', ''))) > length(solid)) AS fails FROM m),
-s AS (SELECT r, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS dup, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost FROM f GROUP BY r),
+l AS (SELECT r, line, len(regexp_extract_all(line, {_TOKENS})) AS n, count(*) AS times FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) GROUP BY r, line),
+c AS (SELECT *, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, {count(symbol_word)} AS marked, {count(links)} AS links,
+  {count("'[A-Z]'")} AS capitals, {count("'[a-z]'")} AS small FROM l WHERE n > 0),
+f AS (SELECT *, n <= {rules.short_words} AND regexp_matches(low, {phrases})
+  OR n BETWEEN {rules.judged_words} AND {rules.short_paragraph} AND NOT regexp_matches(trim(line, {blank}), {end})
+  OR links >= 2 AND 100 * links >= {rules.link_marks} * n
+  OR n >= {rules.shouted_words} AND capitals >= {rules.shouted_words} AND 100 * capitals > {rules.most_capitals} * (capitals + small)
+  OR n >= {rules.judged_words} AND 100 * marked >= {rules.symbol_words} * n OR NOT regexp_matches(line, '{quality.LETTER}') AS fails FROM c),
+s AS (SELECT r, sum(times - 1) AS dup, sum(n) FILTER (WHERE NOT fails) AS stay FROM f GROUP BY r),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-  CAST(dup AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, lost FROM d JOIN s USING (r) LEFT JOIN again USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.most_repeated} * n_words AS base_failed,
-  NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.most_repeated} * n_words) AND 100 * lost <= {rules.most_lost} * n_words AS kept FROM b"""
+  CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(w) - coalesce(stay, 0) AS lost FROM d LEFT JOIN s USING (r) LEFT JOIN again USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} AS base_failed, NOT ({failed}) AND 100 * lost <= {rules.most_lost} * n_words AS kept FROM b"""
 
 
 def oracle_sql() -> dict[str, str]:

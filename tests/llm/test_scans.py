@@ -160,12 +160,28 @@ def test_quality_base(spark, odd, none):
 
 
 def test_quality_lines(spark):
-    good = "\n".join("plain words make a line that stays in the text without any trouble" for _ in range(1)) + " " + " ".join(f"w{i}" for i in range(60))
-    bad = "\n".join(["Home", "Sign in | Sign up", "All rights reserved", "!!! --- ??? ... !!!"])
-    lost = "\n".join([" ".join(f"u{i}" for i in range(20))] + ["*** !!! --- ::: ;;; ... " * 3 + str(i) for i in range(30)])
-    out = {r["doc_id"]: r["_q"] for r in quality.judge_quality(spark.createDataFrame([(1, good + "\n" + bad), (2, lost)], "doc_id long, text string")).collect()}
-    assert out[1]["kept"] and out[1]["clean_text"] == good and out[1]["lost_words"] == 14
-    assert not out[2]["kept"] and not out[2]["base_failed"] or out[2]["base_failed"]
+    """Every rule on its own, and the rejection of documents that pass the base rules."""
+    prose = " ".join(f"w{i}" for i in range(60)) + "."
+    bad = ["Home", "Sign in | Sign up", "All rights reserved", "!!! --- ??? ... !!!", "one » two » three.", "NOT ONE WORD IS QUIET HERE.", "a### b*** c d.", "it breaks off here", "Startseite"]
+    good = ["Homer wrote this.", "Read more books than you sell.", "It ends (so).", "USA and EU agreed.", "a | b is a choice of several in all."]
+    rows = [(1, "\n".join([prose, *bad, *good])), (2, "\n".join([prose, "", prose, *good])), (3, prose + "\n" + "\n".join(f"k{i} | l{i} | m{i} | n{i}" for i in range(40)))]
+    out = {r["doc_id"]: r["_q"] for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1]["kept"] and out[1]["clean_text"] == "\n".join([prose, *good])
+    assert out[2]["lost_words"] == 60 and out[2]["clean_text"] == "\n".join([prose, *good]) and not out[2]["base_failed"]
+    assert not out[3]["kept"] and not out[3]["base_failed"] and out[3]["clean_text"] == prose
+
+
+def test_quality_on_labels(spark):
+    """Of the documents that pass the base rules, those labelled bad are rejected, and those labelled good are kept."""
+    sf = "/root/testdata/sf0.01"
+    out = registry.op6_quality(spark, sf).filter("not base_failed").join(registry.table(spark, sf, "labels"), "doc_id").groupBy("quality", "kept").count().collect()
+    n = Counter({(r["quality"], r["kept"]): r["count"] for r in out})
+    assert n[0, False] >= 0.9 * (n[0, False] + n[0, True]) and n[0, False] >= 0.9 * (n[0, False] + n[1, False]) and n[0, False] > 10 and n[1, True] > 200
+
+
+def test_quality_clashing_columns(spark, odd):
+    out = quality.judge_quality(odd.withColumn("_q", quality.F.lit(1)).withColumn("lines", quality.F.lit(2)).withColumn("_row", quality.F.lit(3)))
+    assert out.count() == len(ODD) and out.select("_q.kept", "lines", "_row").distinct().count() <= 2
 
 
 def test_language(spark, odd, none):
