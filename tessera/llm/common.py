@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,21 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+#: The same before A-Z are lowered.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def word_hash(word: Column) -> Column:
+    """XXH64 of a word found by ANY_WORD, A-Z lowered. ASCII words, by far the most, are lowered by the faster function."""
+    return F.xxhash64(F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(lower_ascii(word)))
+
+
+def word_positions(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """keep, _pos (from 0), _term (word_hash) of every word of every text."""
+    words = docs.select(*keep, F.posexplode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY_WORD), 0)).alias("_pos", "_word"))
+    return words.select(*keep, "_pos", word_hash(F.col("_word")).alias("_term"))
+
+
 def scan_words(text: Column) -> Column:
     """The words of a text for phrase scans; a null text has none."""
     return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
@@ -37,36 +54,80 @@ def indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Columns that tell rows apart: rows equal in all of them have equal id and text, so any per-text result is the same."""
-    return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_h1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_h2")]
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """Columns (128 bits) that tell rows apart: rows equal in them have equal id and text, so any result of a row is the same for them."""
+    named = F.coalesce(doc_id.cast("string"), F.lit("no id"))
+    return [F.xxhash64(named, text).alias("_k1"), F.xxhash64(text, F.lit("second"), named).alias("_k2")]
+
+
+KEY = ["_k1", "_k2"]
+
+
+def set_apart(docs: DataFrame, into: str) -> tuple[DataFrame, Column, Column, Callable[[DataFrame, Column], DataFrame]]:
+    """docs under column names that clash with nothing, its doc_id (null if it has none), its text, and a function that gives a frame its old names back, with a value
+    in the column `into` (in place of one of that name)."""
+    names = {n: f"c{i}_" for i, n in enumerate(docs.columns)}
 
+    def back(df: DataFrame, value: Column) -> DataFrame:
+        return df.select(*[F.col(names[n]).alias(n) for n in docs.columns if n != into], value.alias(into))
 
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality on row_key()."""
-    return left["_id"].eqNullSafe(right["_id"]) & (left["_h1"] == right["_h1"]) & (left["_h2"] == right["_h2"])
+    doc_id = F.col(names["doc_id"]) if "doc_id" in names else F.lit(None).cast("long")
+    return docs.toDF(*names.values()), doc_id, F.col(names["text"]), back
 
 
-def with_columns(docs: DataFrame, **new: Column) -> DataFrame:
-    """_row, a struct of all columns of docs, and the new columns: whatever names docs has, they don't clash."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(name) for name, c in new.items()])
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """A column name that docs doesn't have."""
+    while wanted in docs.columns:
+        wanted += "_"
+    return wanted
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. In local mode, where there is one machine, a temporary one if that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _local_folder()
+    return folder.rstrip("/")
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder; later reads outlive any executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small_or_not(df: DataFrame, most_rows: int) -> DataFrame:
-    """A broadcast hint if the frame has at most so many rows, else the frame as it is: Spark then shuffles both sides."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def tabled(df: DataFrame) -> DataFrame:
+    """The rows written once as a Parquet table to the shared folder: smaller than a checkpoint, for tables that grow with the corpus."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_or_not(df: DataFrame, most_rows: int = 500_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """A broadcast hint if the frame has at most so many rows and (as JSON) bytes, else the frame as it is: Spark then shuffles both sides.
+
+    df should be stored: it is read for the count and again for the join."""
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= most_rows and size["b"] <= most_bytes else df
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores: a table of fewer partitions than the cluster has cores (one row group, say) is dealt out before heavy work on its rows."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def bounded_sample(rows: DataFrame, by: str | None, most: int, *key: str) -> DataFrame:

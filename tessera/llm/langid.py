@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample
+from tessera.llm.common import bounded_sample, set_apart
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -22,13 +22,42 @@ _CHUNK = 1 << 20
 
 
 @dataclass(frozen=True)
-class ContextTrees:
-    """Frozen per-language context trees as tables: bits of every byte in every context, escapes included."""
+class ContextTree:
+    """One language's frozen tree, as sorted arrays of what it has seen. For each order k: strings of k context bytes and a next one (as numbers) with the bits of the
+    next byte there, and contexts of k bytes with the bits of an escape from them."""
+
+    grams: tuple[np.ndarray, ...]
+    bits: tuple[np.ndarray, ...]
+    contexts: tuple[np.ndarray, ...]
+    escapes: tuple[np.ndarray, ...]
+
+    def code_lengths(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string of ORDER + 1 bytes, after the others: from the longest context that has it, with the escapes on the way."""
+        total, left = np.zeros(len(codes)), np.arange(len(codes))
+        for k in range(ORDER, -1, -1):
+            gram = codes[left] & ((1 << 8 * (k + 1)) - 1)
+            at, has = _find(self.grams[k], gram)
+            total[left[has]] += self.bits[k][at[has]]
+            left, gram = left[~has], gram[~has]
+            at, has = _find(self.contexts[k], gram >> 8)
+            total[left[has]] += self.escapes[k][at[has]]
+        total[left] += 8  # below the empty context all 256 bytes are alike
+        return total
+
+
+def _find(sorted_values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted values, and which of them are there."""
+    at = np.searchsorted(sorted_values, wanted)
+    if not len(sorted_values):
+        return at, np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(at, len(sorted_values) - 1)
+    return at, sorted_values[at] == wanted
+
 
+@dataclass(frozen=True)
+class ContextTrees:
     languages: tuple[str, ...]
-    symbols: np.ndarray  # 256 -> number of the byte, the last one for bytes never seen
-    state_of: np.ndarray  # of three symbols -> context: the longest one in any tree
-    bits: np.ndarray  # (context * n_symbols + symbol, language) -> bits
+    trees: tuple[ContextTree, ...]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,69 +82,44 @@ def gram_counts(docs: DataFrame, per_language: int) -> DataFrame:
     return sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, per_language: int = 300, least: int = 8) -> ContextTrees:
+def train(docs: DataFrame, per_language: int = 300) -> ContextTrees:
     """Context trees of the languages of docs (doc_id, text, lang), from at most per_language whole documents of each.
 
     Escape probabilities are those of method C: in a context seen n times with d different bytes, a byte seen c times has c / (n + d), and the
-    escape to the next shorter context d / (n + d). Contexts of three bytes are kept if a language has seen them `least` times; the order
-    below the empty context is uniform over 256 bytes. What is collected is bounded by the sample.
+    escape to the next shorter context d / (n + d); the order below the empty context is uniform over 256 bytes. A tree holds what its language's sample has
+    and nothing else, so the model grows with the languages' samples only; what is collected is bounded by them.
     """
     table = gram_counts(docs, per_language).toPandas()
     languages = tuple(sorted(table["lang"].unique()))
-    code = table["gram"].to_numpy(dtype=np.int64)
-    parts = np.stack([(code >> s) & 255 for s in (24, 16, 8, 0)], axis=1) if len(table) else np.zeros((0, 4), dtype=np.int64)
-    known = np.unique(np.concatenate([parts.ravel(), [10]]))
-    size = len(known) + 1
-    symbols = np.full(256, size - 1, dtype=np.int32)
-    symbols[known] = np.arange(len(known))
-    parts = symbols[parts]
-    which = np.searchsorted(np.array(languages), table["lang"].to_numpy(dtype=str)) if len(table) else np.zeros(0, dtype=int)
-    counts = table["n"].to_numpy(dtype=np.float64)
-    deep, seen = np.unique(parts[:, :3].astype(np.int64) @ np.array([size * size, size, 1]), return_inverse=True)
-    mass = np.zeros((len(languages), len(deep)))
-    np.add.at(mass, (which, seen), counts)
-    deep = deep[(mass >= least).any(axis=0)] if len(languages) else deep[:0]
-    state_of = np.tile(np.arange(size * size, dtype=np.int32), size)
-    state_of[deep] = size * size + np.arange(len(deep), dtype=np.int32)
-    bits = np.empty((size * size + len(deep), size, len(languages)), dtype=np.float32)
-    for i in range(len(languages)):
-        p, c = parts[which == i], counts[which == i]
-
-        def refine(keys: np.ndarray, n: int, below: np.ndarray) -> np.ndarray:
-            """Probabilities one order up: of the contexts 0 .. n-1; below: of their shorter contexts, row by row."""
-            hits = np.zeros((n, size))
-            at = keys >= 0
-            np.add.at(hits, (keys[at], p[at, 3]), c[at])
-            total, kinds = hits.sum(axis=1, keepdims=True), (hits > 0).sum(axis=1, keepdims=True)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                own = np.where(hits > 0, hits, kinds * below) / (total + kinds)
-            return np.where(total > 0, own, below)
-
-        zero = refine(np.zeros(len(p), dtype=np.int64), 1, np.full((1, size), 1 / 256))
-        one = refine(p[:, 2].astype(np.int64), size, np.broadcast_to(zero, (size, size)))
-        two = refine(p[:, 1].astype(np.int64) * size + p[:, 2], size * size, np.tile(one, (size, 1)))
-        full = p[:, :3].astype(np.int64) @ np.array([size * size, size, 1])
-        at = np.searchsorted(deep, full).clip(0, max(0, len(deep) - 1))
-        three = refine(np.where(deep[at] == full, at, -1) if len(deep) else np.full(len(p), -1), len(deep), two[deep % (size * size)])
-        bits[:, :, i] = -np.log2(np.concatenate([two, three]))
-    return ContextTrees(languages, symbols, state_of, bits.reshape(len(bits) * size, len(languages)))
+    return ContextTrees(languages, tuple(tree(own["gram"].to_numpy(dtype=np.int64), own["n"].to_numpy(dtype=np.float64)) for own in (table[table["lang"] == x] for x in languages)))
+
+
+def tree(grams: np.ndarray, counts: np.ndarray) -> ContextTree:
+    """The tree of one language, from counts of its strings of ORDER + 1 bytes."""
+    levels = []
+    for k in range(ORDER + 1):
+        keys, at = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        seen = np.bincount(at, weights=counts, minlength=len(keys))
+        contexts, of, kinds = np.unique(keys >> 8, return_inverse=True, return_counts=True)
+        total = np.bincount(of, weights=seen, minlength=len(contexts)) + kinds
+        levels.append((keys, -np.log2(seen / total[of]), contexts, -np.log2(kinds / total)))
+    return ContextTree(*zip(*levels))
 
 
 def code_lengths(texts: list[bytes], trees: ContextTrees) -> np.ndarray:
-    """Exact code length in bits of each text under each language."""
-    size = int(trees.symbols.max()) + 1
+    """Exact code length in bits of each text under each language, _CHUNK bytes at a time: each distinct string of a chunk is looked up once."""
     total = np.zeros((len(texts), len(trees.languages)))
     waiting: list[tuple[int, bytes]] = []
 
     def score() -> None:
-        data = trees.symbols[np.frombuffer(b"".join(x for _, x in waiting), dtype=np.uint8)]
-        contexts = trees.state_of[(data[:-3] * size + data[1:-2]) * size + data[2:-1]]
-        bits = trees.bits[contexts.astype(np.int64) * size + data[3:]]
+        data = np.frombuffer(b"".join(x for _, x in waiting), dtype=np.uint8).astype(np.int64)
+        codes, at = np.unique(data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:], return_inverse=True)
         ends = np.cumsum([len(x) for _, x in waiting])
         starts = np.concatenate([[0], ends[:-1]])
         # The last ORDER places before a text's end would look into the next text.
-        sums = np.add.reduceat(bits, np.stack([starts, ends - ORDER], axis=1).ravel()[: 2 * len(waiting) - 1], axis=0, dtype=np.float64)[::2]
-        np.add.at(total, [i for i, _ in waiting], sums)
+        edges, owner = np.stack([starts, ends - ORDER], axis=1).ravel()[: 2 * len(waiting) - 1], [i for i, _ in waiting]
+        for k, language in enumerate(trees.trees):
+            np.add.at(total[:, k], owner, np.add.reduceat(language.code_lengths(codes)[at], edges)[::2])
         waiting.clear()
 
     held = 0
@@ -151,17 +155,18 @@ def predict(texts: list[str | None], trees: ContextTrees) -> tuple[list[str], np
     return names, scores
 
 
-def identify_languages(docs: DataFrame, trees: ContextTrees) -> DataFrame:
-    """All columns of docs (text) with _lang: struct of pred and score (0 to 1).
+def identify_languages(docs: DataFrame, trees: ContextTrees, into: str = "_lang") -> DataFrame:
+    """All columns of docs (text) with `into`: struct of pred and score (0 to 1).
 
     `und` with score 0 for a null text or one without letters, or if nothing was learned. Any text is scored whole; lang, source and doc_id
-    play no part.
+    play no part. Equal rows get equal results; an empty table gives no rows; an input column of the name `into` is replaced, and no other name matters.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trees)  # a few tens of MB, bounded by the training sample
+    model = docs.sparkSession.sparkContext.broadcast(trees)  # sparse, and bounded by the training sample
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             names, scores = predict(texts.tolist(), model.value)
             yield pd.DataFrame({"pred": names, "score": scores})
 
-    return docs.withColumn("_lang", F.pandas_udf(of, "pred string, score double")("text"))
+    rows, _, text, back = set_apart(docs, into)
+    return back(rows, F.pandas_udf(of, "pred string, score double")(text))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import base64
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -16,49 +17,59 @@ from tessera.llm.common import shuffle_partitions, stored
 
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 #: Words a worker remembers the ids of; beyond it starts anew, which changes speed only.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 600_000
 
 
 class WordIds(dict):
-    """Token ids of words as little-endian uint32 bytes, looked up once and remembered."""
+    """Token ids of words as little-endian uint32 bytes, by a tokenizers file, looked up once and remembered."""
 
-    def __init__(self, vocabulary: str, ranks: str, pattern: str):
-        import tiktoken
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+        from tokenizers import Tokenizer
 
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
-        self.vocabulary = vocabulary
-        self.full = None
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        #: Whether words that begin at a space, and lone newlines, are parts of their own, which a text can be cut into.
+        self.cuts = [w for w, _ in split("one two\nthree")] == ["one", "\u0120two", "\u010a", "three"] and self.tokenizer.normalizer is None
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED_WORDS:
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > REMEMBERED_WORDS:
             self.clear()
-        self[word] = ids = np.asarray(self.encode(word), dtype="<u4").tobytes()
-        return ids
-
-    def of(self, text: str) -> bytes:
-        """The ids of a text. A single space or newline between other characters always begins a token, so the words between can be encoded alone."""
-        if "<|" in text:  # maybe a special token, which the full tokenizer knows
-            if self.full is None:
-                from tokenizers import Tokenizer
-
-                self.full = Tokenizer.from_file(self.vocabulary)
-            return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if not text or _ODD_SPACE.search(text):
-            return np.asarray(self.encode(text), dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00"))) if "\x00" not in text else np.asarray(self.encode(text), dtype="<u4").tobytes()
-
-
-def pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int, end_id: int) -> DataFrame:
+            new = list(words)
+        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+            self[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text. A single space or newline between other characters always begins a part, so the words between can be encoded alone; texts with
+        other white space, or that may hold a special token, are encoded whole."""
+        for text in texts:
+            if not self.cuts or not text or "<|" in text or "\x00" in text or _ODD_SPACE.search(text):
+                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                words = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+                try:
+                    yield b"".join(map(self.__getitem__, words))
+                except KeyError:
+                    self.learn(set(words))
+                    yield b"".join(map(self.__getitem__, words))
+
+
+@cache
+def word_ids(vocabulary: str) -> WordIds:
+    """One for all tasks of a worker."""
+    return WordIds(vocabulary)
+
+
+def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids with end_id, in pieces of `capacity`, the first of which may be shorter."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end = WordIds(vocabulary, ranks, pattern), np.asarray([end_id], dtype="<u4").tobytes()
+        words, end = word_ids(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                ids = words.of(text or "") + end
+            for doc, ids in zip(batch["doc_id"], words.of([t or "" for t in batch["text"]])):
+                ids += end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 out += [(doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
@@ -124,10 +135,10 @@ def packing_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return plan, sequences
 
 
-def best_fit_packing(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pack every document of docs (doc_id, text) into sequences of at most `capacity` tokens.
 
-    Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset. The plan comes from the histogram of lengths (at most
+    `vocabulary` is a file of the tokenizers library. Returns per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset. The plan comes from the histogram of lengths (at most
     `capacity` numbers); pieces are then numbered within their length, in parallel, and looked up in the plan.
 
     A null or empty text is one piece of just end_id; a null doc_id stays null; equal rows are packed one by one; an empty table gives no
@@ -136,7 +147,7 @@ def best_fit_packing(docs: DataFrame, vocabulary: str, ranks: str, pattern: str,
     spark = docs.sparkSession
     what = ["doc_id", "piece", "start", "length", "ids_crc32"]
     cut = stored(
-        pieces(docs, vocabulary, ranks, pattern, capacity, end_id)
+        pieces(docs, vocabulary, capacity, end_id)
         .withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shuffle_partitions(spark))).cast("int"))
     )
     parts = stored(cut.groupBy("length", "_part").count())

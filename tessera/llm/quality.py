@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, TOKEN, bind, indices, lower_ascii, with_columns
+from tessera.llm.common import SPACE, TOKEN, bind, indices, lower_ascii, set_apart
 
 #: A line made of nothing but these, and marks between them, is navigation (compared in lower case).
 NAVIGATION = (
@@ -88,19 +88,19 @@ def repeated_words(words: Column) -> Column:
     return bind(grams(words), lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(count(g))).cast("long")
 
 
-def judge_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """All columns of docs (text) with _q: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words (words in lines that go),
+def judge_quality(docs: DataFrame, rules: Rules = Rules(), into: str = "_q") -> DataFrame:
+    """All columns of docs (text) with a struct `into`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words (words in lines that go),
     clean_text (the lines that stay, joined by \\n) and kept.
 
     Lines come first: each is judged alone by line_fails(), and one that equals an earlier line of its text goes too, as do blank ones. A document that fails
     the base rules, or loses more than most_lost percent of its words with its lines, isn't kept.
 
     Everything is computed within a row: no shuffle, and no rows of an empty table. A null or empty text has no words, so it fails, and its clean_text is
-    empty; equal rows get equal results. An input column _q is replaced; other names of the input, internal ones included, don't matter.
+    empty; equal rows get equal results. An input column of the name `into` is replaced, and no other name matters.
     """
-    row = with_columns(docs, text=F.coalesce(F.col("text"), F.lit("")))
-    cut = row.select(
-        "_row",
+    rows, _, given, back = set_apart(docs, into)
+    cut = rows.select("*", F.coalesce(given, F.lit("")).alias("text")).select(
+        *rows.columns,
         F.regexp_count("text", F.lit("[#*$%&|<>]")).alias("symbols"),
         (F.char_length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).alias("solid"),
         F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*")).alias("wordy"),
@@ -112,7 +112,7 @@ def judge_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         lambda x: x["n"] > 0,
     )
     judged = cut.select(
-        "_row",
+        *rows.columns,
         F.size("words").cast("long").alias("n_words"),
         "wordy",
         F.col("solid").cast("long").alias("word_chars"),
@@ -128,4 +128,4 @@ def judge_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         F.array_join(F.transform("stay", lambda x: x["line"]), "\n").alias("clean_text"),
         (~F.col("base_failed") & (F.col("lost_words") * 100 <= F.col("n_words") * rules.most_lost)).alias("kept"),
     )
-    return verdict.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "_q"], q.alias("_q"))
+    return back(verdict, q)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, langid, licenses, linededup, packing, pii, quality, secrets, sharding, simhash
+from tessera.llm.common import spread
 
 N_SHARDS = 16
 CAPACITY, END_ID = 1024, 2
@@ -18,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_files() -> tuple[str, str, str]:
-    """Paths of the vocabulary and its ranks, and the pattern that splits a text into parts."""
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of documents, over all cores."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
+def vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _joined_spans(spans: Column, names: tuple[str, ...]) -> Column:
@@ -36,23 +41,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), WINDOW)
+    out = decontamination.decontaminate(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), WINDOW)
     return out.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
-        F.col("_n_hit").alias("n_hit"),
-        F.size("_item_ids").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_item_ids", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("_n_hit") > 0).alias("contaminated"),
+        "_hits.n_words",
+        "_hits.n_hit",
+        F.size("_hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_hits.items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("_hits.n_hit") > 0).alias("contaminated"),
+        F.size("_hits.near_items").cast("long").alias("n_near_items"),
     )
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf_dir, "documents"), *tokenizer_files(), CAPACITY, END_ID)
+    return packing.best_fit_packing(documents(spark, sf_dir, "doc_id", "text"), vocabulary(), CAPACITY, END_ID)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    out = licenses.scan_licenses(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "_licenses.*")
     base = F.filter("spans", lambda s: s["exact"])
     labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     return out.withColumn("_base", base).select(
@@ -68,17 +74,17 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality.judge_quality(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", *[F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = secrets.scan_secrets(documents(spark, sf_dir, "doc_id", "text"))
     base = F.filter("_secrets", lambda m: m["kind"] != "random")
     count = lambda kind: F.size(F.filter("_secrets", lambda m: m["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(
@@ -90,7 +96,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    out = pii.find_personal_data(documents(spark, sf_dir, "doc_id", "text"))
     count = lambda i, kind: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{kind}")
     return out.select(
         "doc_id",
@@ -101,15 +107,15 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     out = langid.identify_languages(docs.select("doc_id", "text"), langid.train(docs))
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang.pred").alias("lang_pred"), F.col("_lang.score").alias("score"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    gone = F.size(linededup.dropped_positions(F.col("_dropped")))
-    return out.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"), F.sha2(F.col("_kept").cast("binary"), 256).alias("kept_sha256"))
+    out = linededup.drop_shared_lines(documents(spark, sf_dir, "doc_id", "text"))
+    gone = F.size(linededup.dropped_positions(F.col("_lines.dropped")))
+    return out.select("doc_id", F.col("_lines.n_lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"), F.sha2(F.col("_lines.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -164,10 +170,20 @@ places AS (
   FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT DISTINCT r, i, p.n, item FROM places p JOIN runs USING (n, run)),
 words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS k FROM hits) GROUP BY r),
+place AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+often AS (SELECT word, count(*) AS n FROM place GROUP BY word),
+parts AS (SELECT item, s, w[s + k] AS word, min(s + k) AS o FROM (
+  SELECT item, w, s, unnest(generate_series(0, least(len(w), {WINDOW}) - 1)) AS k FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - {WINDOW} + 1, 1))) AS s FROM b WHERE len(w) > 0))
+  GROUP BY item, s, word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item, s ORDER BY n, word) AS k, min(n) OVER (PARTITION BY item, s) AS least FROM (SELECT item, s, word, o, coalesce(n, 0) AS n FROM parts LEFT JOIN often USING (word))),
+pairs AS (SELECT DISTINCT item, max(word) FILTER (WHERE k = 1) AS w1, max(o) FILTER (WHERE k = 1) AS o1, max(word) FILTER (WHERE k = 2) AS w2, max(o) FILTER (WHERE k = 2) AS o2
+  FROM ranked WHERE least > 0 GROUP BY item, s),
+near AS (SELECT a.r, count(DISTINCT item) AS n_near FROM pairs JOIN place a ON a.word = w1 LEFT JOIN place c ON c.word = w2 AND c.r = a.r AND abs((c.p - o2) - (a.p - o1)) <= 3
+  WHERE w2 IS NULL OR c.r IS NOT NULL GROUP BY a.r),
 items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)""",
         "op10_line_dedup": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, r, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),

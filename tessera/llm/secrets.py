@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bind, bounded_sample, indices, with_columns
+from tessera.llm.common import bind, bounded_sample, indices, set_apart
 
 #: Kinds and patterns; matches are leftmost and non-overlapping, then judged.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -135,15 +135,15 @@ def matches(text: Column, pattern: str, kind: str, order: int) -> Column:
     return bind(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: F.when(F.size(found) == 0, nothing).otherwise(place(found)))
 
 
-def scan_secrets(docs: DataFrame, models: MarkovModels | None = None, threshold: float = 10.0) -> DataFrame:
-    """All columns of docs (text) with _secrets: array of (start, order, stop, kind, found, log_ratio), by start and then kind (assign, access, hex, random).
+def scan_secrets(docs: DataFrame, models: MarkovModels | None = None, threshold: float = 10.0, into: str = "_secrets") -> DataFrame:
+    """All columns of docs (text) with `into`: array of (start, order, stop, kind, found, log_ratio), by start and then kind (assign, access, hex, random).
 
     Spans of kind random are those whose log-likelihood ratio under the two models is above the threshold: the values of assignments (so a password that
     was made by a machine is told from a placeholder), and runs of 20 or more characters of ALPHABET that overlap no span of another kind. Only they
     have a log_ratio. The threshold was chosen on held-out samples: see the tests.
 
     A null or empty text has no spans; an empty table gives no rows; equal rows get equal results. Everything is computed within a row, over the whole text;
-    models default to those of labelled_samples() with words of docs. An input column _secrets is replaced; other names of the input don't matter.
+    models default to those of labelled_samples() with words of docs. An input column of the name `into` is replaced, and no other name matters.
     """
     models = models or train(labelled_samples(docs.sparkSession, corpus_words(docs)))
     fields = ("start", "order", "stop", "kind", "found")
@@ -167,8 +167,8 @@ def scan_secrets(docs: DataFrame, models: MarkovModels | None = None, threshold:
 
         return bind(base, both)
 
-    found = with_columns(docs, _secrets=bind(F.coalesce(F.col("text"), F.lit("")), scan))
-    return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "_secrets"], "_secrets")
+    rows, _, text, back = set_apart(docs, into)
+    return back(rows, bind(F.coalesce(text, F.lit("")), scan))
 
 
 def span_list(spans: Column) -> Column:

@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions, stored
+from tessera.llm.common import shuffle_partitions, small_or_not, stored
 
 #: numpy draws hypergeometric numbers only from populations below this.
 _NUMPY_LIMIT = 10**9
 MOST_BLOCKS = 1 << 16
+#: Rows that are equal in id, size and checksum and may share a block.
+MOST_EQUAL = 10_000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -62,8 +64,9 @@ def shuffled_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, blocks:
     Rows are first dealt to `blocks` blocks by hash (at least 256, else as many as shuffle partitions), permuted there, cut by the
     drawn counts, exchanged, and permuted again. Only ids, sizes and checksums move, never texts.
 
-    A null text has size 1 and checksum 0; a null doc_id is a value like any other; rows that are equal in all columns are dealt like
-    different ones, in neighbouring places; an empty table gives no rows; other columns are ignored.
+    A null text has size 1 and checksum 0; a null doc_id is a value like any other; rows that are equal in all three columns are dealt like different ones; where
+    there are many of them (over MOST_EQUAL), a number that the first write froze spreads them over blocks and parts. An empty table gives no rows; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     blocks = min(MOST_BLOCKS, blocks or max(256, shuffle_partitions(spark)))
@@ -72,7 +75,12 @@ def shuffled_shards(docs: DataFrame, n_shards: int = 16, seed: int = 7, blocks:
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size") + 1,
         F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"),
-    ).toDF("doc_id", "size", "text_crc32")
+        F.monotonically_increasing_id().alias("_u"),
+    ).toDF("doc_id", "size", "text_crc32", "_u")
+    rows = stored(rows.withColumn("_h", F.xxhash64(F.col("doc_id").isNull(), *what)))
+    equal = stored(rows.groupBy("_h").count().filter(F.col("count") > MOST_EQUAL).select("_h", F.lit(True).alias("_many")))
+    rows = rows.join(small_or_not(equal), "_h", "left").withColumn("_salt", F.when(F.col("_many"), F.col("_u")).otherwise(F.lit(0).cast("long")))
+    what = [*what, "_salt"]
     rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), *what), F.lit(blocks)).cast("int"))
     sizes = {r[0]: r[1] for r in rows.groupBy("_block").count().collect()}  # at most `blocks` rows
     order = sorted(sizes)

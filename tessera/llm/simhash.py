@@ -98,7 +98,8 @@ def smallest_reachable(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node of its component) for every node of the edges (a, b).
 
     Alternating stars: every node's larger neighbours move to its smallest neighbour, then its smaller ones do, until nothing changes; each round is
-    written to the shared checkpoint folder. Components of n nodes need about log n rounds.
+    written to the shared checkpoint folder. Components of n nodes need about log n rounds. The neighbours of a hub are met in joins that Spark can split: the
+    smallest ones are dealt out first, else the join would take over the partitioning by node of their aggregate.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
 
@@ -108,10 +109,10 @@ def smallest_reachable(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = mark(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")).hint("rebalance")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.unionByName(low.filter("a <> low").select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = large.groupBy("a").agg(F.min("b").alias("low")).hint("rebalance")
         small = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         now = stored(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
         if (found := mark(now)) == seen:
@@ -132,7 +133,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: i
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")))
     roots = smallest_reachable(links(nodes.select("fp"), distance, crowd))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "_first", F.coalesce("root", "fp").alias("_root"))
-    names = placed.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    names = placed.groupBy("_root").agg(F.min("_first").alias("component_id")).hint("rebalance")  # so that Spark can split a large component in the join
     named = placed.join(names, "_root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -231,5 +232,5 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> Da
     roots = smallest_reachable(alike)
     nodes = marked.groupBy("node").agg(F.min("doc_id").alias("_first"))
     placed = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "_first", F.coalesce("root", "node").alias("_root"))
-    names = placed.groupBy("_root").agg(F.min("_first").alias("component_id"))
+    names = placed.groupBy("_root").agg(F.min("_first").alias("component_id")).hint("rebalance")
     return marked.select("doc_id", "node").join(placed.join(names, "_root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontamination, packing, registry, sharding, simhash
+from tessera.llm import decontamination, licenses, linededup, packing, pipeline, quality, registry, sharding, simhash
 
 from .conftest import ODD
-from .test_scans import LOW, WORD
+from .test_scans import LOW, WORD, brute_code_length
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,13 +74,14 @@ def test_packing_plan(capacity):
 def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
-    vocabulary, ranks, pattern = registry.tokenizer_files()
+    vocabulary = registry.vocabulary()
     tokenizer = Tokenizer.from_file(vocabulary)
-    words = packing.WordIds(vocabulary, ranks, pattern)
+    words = packing.word_ids(vocabulary)
+    assert words.cuts
     texts = [r["text"] for r in registry.table(spark, SF, "documents").limit(60).collect()] + [t or "" for _, t in ODD] + [" a", "a ", "a  b", "a \nb", "\n", "a\n\nb", "a\tb", "a b", "a\x00 b", "l'été n't 12a"]
-    for t in texts:
-        assert np.frombuffer(words.of(t), dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
-    got = packing.best_fit_packing(odd, vocabulary, ranks, pattern, 64).collect()
+    for t, ids in zip(texts, words.of(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    got = packing.best_fit_packing(odd, vocabulary, 64).collect()
     lengths, ids = defaultdict(int), {}
     for i, t in ODD:
         ids.setdefault(i, []).append(tokenizer.encode(t or "", add_special_tokens=False).ids + [2])
@@ -101,7 +102,7 @@ def test_packing(spark, odd, none):
             assert offset == at
             at += length
         assert at <= 64
-    assert packing.best_fit_packing(none, vocabulary, ranks, pattern).count() == 0
+    assert packing.best_fit_packing(none, vocabulary).count() == 0
 
 
 def brute_fingerprint(text):
@@ -185,7 +186,7 @@ def brute_hits(docs, items, n=10):
     for item, text in items:
         w = WORD.findall((text or "").translate(LOW))
         for i in range(max(1, len(w) - n + 1) if w else 0):
-            runs[tuple(w[i : i + n])].add(str(item))
+            runs[tuple(w[i : i + n])] |= {str(item)} - {"None"}
     out = Counter()
     for i, text in docs:
         w = WORD.findall((text or "").translate(LOW))
@@ -199,46 +200,142 @@ def brute_hits(docs, items, n=10):
     return out
 
 
+ITEMS = [(1, "general public license"), (2, "SHARED"), (3, None), (4, ""), (5, "again and again again and again again and again again and again"), (50, "a line that is shared by many no"), (6, "shared"), (7, "never there at all"), (None, "x")]
+
+
+def hits(df):
+    return Counter((r["doc_id"], r["_hits"]["n_words"], r["_hits"]["n_hit"], ",".join(r["_hits"]["items"])) for r in df.collect())
+
+
 def test_decontamination(spark, odd, none):
-    items = [(1, "general public license"), (2, "SHARED"), (3, None), (4, ""), (5, "again and again again and again again and again again and again"), (50, "a line that is shared by many no"), (6, "shared"), (7, "never there at all")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.decontaminate(odd, bench).collect()
-    assert Counter((r["doc_id"], r["_n_words"], r["_n_hit"], ",".join(r["_item_ids"])) for r in got) == brute_hits(ODD, items)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = decontamination.decontaminate(odd.withColumn("_n", decontamination.F.lit(1)), bench)
+    assert hits(got) == brute_hits(ODD, ITEMS)
+    assert all(set(r["_hits"]["items"]) <= set(r["_hits"]["near_items"]) for r in got.collect())
     assert decontamination.decontaminate(none, bench).count() == 0
-    assert decontamination.decontaminate(odd, bench.filter("false")).agg({"_n_hit": "sum"}).first()[0] == 0
+    assert hits(decontamination.decontaminate(odd, bench.filter("false"))) == brute_hits(ODD, [])
+    docs = [(i, " ".join(f"w{k}" for k in rng)) for i, rng in enumerate(np.random.default_rng(2).integers(0, 4, (60, 40)))]
+    items = [(i, t) for i, (_, t) in enumerate(docs[:5])] + [(90 + i, t[:20]) for i, (_, t) in enumerate(docs[:3])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for length, anchors in ((4, 2), (6, 3), (10, 1)):
+        assert hits(decontamination.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"), length, anchors)) == brute_hits(docs, items, length)
 
 
 def test_shuffled_joins_find_the_same(spark, odd, monkeypatch):
-    items = spark.createDataFrame([(1, "general public license"), (2, "shared by many")], "item_id long, text string")
-    want = sorted(map(str, decontamination.decontaminate(odd, items).select("doc_id", "_n_hit").collect()))
-    monkeypatch.setattr(decontamination, "small_or_not", lambda df, most: df)
-    assert sorted(map(str, decontamination.decontaminate(odd, items).select("doc_id", "_n_hit").collect())) == want
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "small_or_not", lambda df: df)
+    assert hits(decontamination.decontaminate(odd, items)) == brute_hits(ODD, ITEMS)
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha x y z q beta"), (3, "beta alpha")], "doc_id long, text string")
-    windows = decontamination.benchmark_windows(spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), 10)
-    near = decontamination.proximity_matches(docs, windows, 2)
-    assert sorted(r["_id"] for r in near.collect()) == [1, 3]
+    docs = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha x y z q beta"), (3, "beta alpha"), (4, "alpha beta")], "doc_id long, text string")
+    out = decontamination.decontaminate(docs, spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), 10, slack=2)
+    assert {r["doc_id"]: (r["_hits"]["near_items"], r["_hits"]["n_hit"]) for r in out.collect()} == {1: (["1"], 0), 2: ([], 0), 3: (["1"], 0), 4: (["1"], 2)}
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, tmp_path_factory):
+    """Odd rows, documents of four languages and near copies of some, in a folder of their own, with columns whose names clash with internal ones."""
+    plain = [(r["doc_id"] + 100, r["text"], r["lang"]) for r in registry.table(spark, SF, "documents").filter("length(text) between 300 and 1500").orderBy("doc_id").limit(60).collect()]
+    copies = [(i + 1000, t.replace(t.split()[7], "changed", 1), x) for i, t, x in plain[:10]]
+    items = [(1, " ".join(plain[20][1].split()[5:40])), (2, "general public license again"), (3, None)]
+    rows = [(i, t, x, len(t or ""), "_h1", 3, "y", 5) for i, t, x in [(i, t, "en") for i, t in ODD] + plain + copies]
+    folder = str(tmp_path_factory.mktemp("mixed"))
+    names = "doc_id long, text string, lang string, n_chars long, _lang string, _kept int, _hits string, count int"
+    spark.createDataFrame(rows, names).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, rows, items
+
+
+def brute_language(rows):
+    names = sorted({r[2] for r in rows if r[2] and r[1]})
+    learned = {x: [r[1].encode() for r in rows if r[2] == x and r[1] and (r[0] is None or zlib.crc32(str(r[0]).encode()) % 4 != 2)] for x in names}
+    out = []
+    for r in rows:
+        if r[1] and any(c.isalpha() for c in r[1]):
+            bits = np.array([brute_code_length(r[1].encode(), learned[x]) for x in names])
+            if 1 / np.exp2((bits.min() - bits) / max(1, len(r[1].encode()) / 64)).sum() >= pipeline.LEAST_SCORE:
+                out.append(r)
+    return out
+
+
+def brute_line_stage(rows):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOW)
+    held = defaultdict(set)
+    for r in rows:
+        for x in (r[1] or "").split("\n"):
+            if len(key(x)) >= 20:
+                held[key(x)].add(r[0])
+    last = {k: max(v, key=lambda i: -1 if i is None else i) for k, v in held.items() if len(v) >= 3}
+    out = []
+    for r in rows:
+        lines = (r[1] or "").split("\n")
+        kept = [x for x in lines if last.get(key(x), r[0]) == r[0]]
+        if len(kept) == len(lines):
+            out.append(r)
+        elif "".join(kept).strip(" \t\x0b\x0c\r"):
+            out.append((r[0], "\n".join(kept), r[2], len("\n".join(kept)), *r[4:]))
+    return out
+
 
+def brute_near_stage(rows):
+    stay = {i for i, first in brute_similar([r[:2] for r in rows]) if i == first}
+    return [r for r in rows if r[0] in stay]
 
-def test_pipeline_stages(spark, odd):
-    docs = odd
-    kept = {}
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        if name != "pack":
-            assert out.columns == odd.columns
-            kept[name] = [r["doc_id"] for r in out.collect()]
-            docs = spark.createDataFrame(out.collect(), odd.schema)
-    assert set(kept["language"]) == {i for i, t in ODD if any(c.isalpha() for c in t or "")}
-    assert len(kept["near_dedup"]) <= len(kept["line_dedup"])
-    assert out.agg({"offset": "max"}).first()[0] < 1024
 
+def brute_clean_stage(rows, items):
+    bad = {(i, n): hit for (i, n, hit, _) in brute_hits([r[:2] for r in rows], items)}
+    return [r for r in rows if not bad[r[0], len(WORD.findall((r[1] or "").translate(LOW)))]]
 
-def test_pipeline_runs(spark):
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 50 and out.groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 1024").count() == 0
+
+def check_packing(rows, out, capacity=1024):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(registry.vocabulary())
+    want, sequences = Counter(), defaultdict(list)
+    for r in rows:
+        ids = tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2]
+        edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+        want.update((r[0], k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:])))
+    for r in out:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    for spans in sequences.values():
+        assert [o for o, _ in sorted(spans)] == np.cumsum([0, *(n for _, n in sorted(spans))])[:-1].tolist() and sum(n for _, n in spans) <= capacity
+    assert len(sequences) <= 1.1 * sum(x[3] * k for x, k in want.items()) / capacity + 2
+
+
+def test_pipeline_stages_against_brute_force(spark, mixed):
+    """The whole rows of every stage, each on what brute force makes of the stage before, and those of run()."""
+    folder, rows, items = mixed
+    brute = {"language": brute_language, "line_dedup": brute_line_stage, "near_dedup": brute_near_stage, "decontaminate": lambda x: brute_clean_stage(x, items)}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names, schema = docs.columns, docs.schema
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, spark.createDataFrame(rows, schema), folder)
+        before, rows = rows, brute[name](rows)
+        assert got.columns == names and Counter(map(tuple, got.collect())) == Counter(rows) and rows != before, name
+    check_packing(rows, corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame(rows, schema), folder).collect())
+    check_packing(rows, corpus_pipeline.run(spark, folder).collect())
+
+
+def test_pipeline_on_an_empty_table(spark, none, tmp_path):
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_equal_rows_and_a_very_long_text(spark):
+    """10,000 equal rows, and a text of 4 MB, go through every operator that scans texts."""
+    many = spark.range(10_000).selectExpr("7L as doc_id", "'the same line of text in every row' as text")
+    assert sharding.shuffled_shards(many, 4).groupBy("shard").count().filter("count = 2500").count() == 4
+    assert linededup.drop_shared_lines(many).filter("_lines.dropped is not null").count() == 0
+    assert simhash.near_duplicates(many).filter("component_id = 7").count() == 10_000
+    long = spark.range(1).selectExpr("1L as doc_id", "repeat('a quiet line of words that ends here. ', 100000) as text")
+    items = spark.createDataFrame([(1, "that ends here a quiet line of words that ends here")], "item_id long, text string")
+    assert decontamination.decontaminate(long, items).first()["_hits"]["n_hit"] == 800_000 - 5
+    assert quality.judge_quality(long).first()["_q"]["n_words"] == 800_000
+    assert licenses.scan_licenses(long).first()["_licenses"]["n_words"] == 800_000
 
 
 def brute_similar(rows, width=5, least=0.8):
@@ -275,7 +372,7 @@ def test_similar_documents(spark, odd, none):
     assert Counter(map(tuple, simhash.similar_documents(docs).collect())) == want
     near = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert sum(i != c for i, c in near) < sum(i != c for i, c in want) / 2
-    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    kept = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, SF).collect()}
     assert kept == {c for _, c in want}
     assert Counter(map(tuple, simhash.similar_documents(odd).collect())) == brute_similar(ODD)
     assert simhash.similar_documents(none).count() == 0
