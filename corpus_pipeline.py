@@ -1,66 +1,5 @@
-"""The corpus pipeline: five of the training-data operators, each over all that its predecessor kept."""
+"""The corpus pipeline, whose stages are in tessera.llm.pipeline: five of the training-data operators, each over all that its predecessor kept."""
 
-from __future__ import annotations
+from tessera.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.llm import decontamination, langid, linededup, packing, registry, simhash
-
-#: SQL can express neither the language models nor the fingerprints nor the packing; tests hold every stage against brute force.
-ORACLE_SQL = None
-#: A language is told if it has so much of the probability, code lengths taken per 64 bytes.
-LEAST_SCORE = 0.75
-#: Near-duplicates: words of a shingle, and the Jaccard similarity from which on documents are linked.
-SHINGLE, LEAST_SIMILARITY = 5, 0.8
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told: null texts, those without letters, and those whose best language has less than LEAST_SCORE of the probability
-    (texts of a word or two). Columns of docs."""
-    told = langid.identify_languages(docs, langid.train(docs))
-    return told.filter((F.col("_lang.pred") != langid.UNDETERMINED) & (F.col("_lang.score") >= LEAST_SCORE)).select(*docs.columns)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop shared lines; documents of which nothing but white space is left go. Columns of docs, with text and n_chars (if there) made anew."""
-    out = linededup.drop_shared_lines(docs)
-    new = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}
-    changed = out.filter(F.col("_dropped").isNull() | (F.btrim("_kept", F.lit(" \t\n\x0b\x0c\r")) != ""))
-    return changed.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, linked by 5-word shingles with a Jaccard similarity of 0.8 or more, the document with the smallest doc_id stays; rows of equal
-    doc_id stay or go together. Columns of docs."""
-    groups = simhash.similar_documents(docs.select("doc_id", "text"), SHINGLE, LEAST_SIMILARITY)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents with a benchmark passage. Columns of docs."""
-    out = decontamination.decontaminate(docs, registry.table(spark, sf_dir, "benchmark"), registry.WINDOW)
-    return out.filter(F.col("_n_hit") == 0).select(*docs.columns)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, with their sequences."""
-    return packing.best_fit_packing(docs, *registry.tokenizer_files(), registry.CAPACITY, registry.END_ID)
-
-
-STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = registry.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
