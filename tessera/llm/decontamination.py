@@ -5,54 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bind, indices, row_key, same_key, scan_words, small_or_not, stored
+from tessera.llm.common import ANY_WORD, KEY, bind, indices, row_key, scan_words, set_apart, small_or_not, stored, tabled, word_positions
 
-#: Most rows of a benchmark-side table that is sent to every executor; larger ones are joined by a shuffle.
-MOST_BROADCAST_ROWS = 500_000
 
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """_item (a number), _words, _ids: the distinct word sequences of the items (item_id, text) that have words, with the ids of the items that have them."""
+    words = benchmark.select(F.col("item_id").cast("string").alias("_id"), scan_words(F.col("text")).alias("_words")).filter(F.size("_words") > 0)
+    return words.groupBy("_words").agg(F.array_sort(F.collect_set("_id")).alias("_ids")).select(F.xxhash64("_words").alias("_item"), "_words", "_ids")
 
-def benchmark_windows(benchmark: DataFrame, length: int) -> DataFrame:
-    """_window, _words, _n, _items: every distinct run of `length` words of an item, or the whole item where it is shorter, with its items' ids."""
-    words = benchmark.select(F.col("item_id").cast("string").alias("_item"), scan_words(F.col("text")).alias("_all"))
-    runs = bind(
-        F.col("_all"),
-        lambda w: F.when(F.size(w) == 0, F.array().cast("array<array<string>>"))
-        .when(F.size(w) <= length, F.array(w))
-        .otherwise(F.transform(indices(F.size(w) - (length - 1)), lambda i: F.slice(w, i + 1, length))),
+
+def item_windows(items: DataFrame, length: int) -> DataFrame:
+    """_item, _window (its first word's place), _offset, _word, _term: the words of every window; an item of fewer words than `length` is one window."""
+    windows = items.select("_item", "_words", F.explode(indices(F.greatest(F.size("_words") - (length - 1), F.lit(1)))).alias("_window"))
+    return windows.select("_item", "_window", F.posexplode(F.slice("_words", F.col("_window") + 1, F.lit(length))).alias("_at", "_word")).select(
+        "_item", "_window", (F.col("_window") + F.col("_at")).alias("_offset"), "_word", F.xxhash64("_word").alias("_term")
     )
-    each = words.select("_item", F.explode(F.array_distinct(runs)).alias("_words"))
-    return each.groupBy("_words").agg(F.collect_set("_item").alias("_items")).select(F.xxhash64("_words").alias("_window"), "_words", F.size("_words").alias("_n"), "_items")
 
 
-def token_postings(docs: DataFrame, terms: DataFrame, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """The positional index of docs for the given terms (_term, a word's hash): _term, the row key of the document, _pos (from 0)."""
-    tokens = docs.select(*row_key(), F.posexplode(F.transform(scan_words(F.col("text")), lambda w: F.xxhash64(w))).alias("_pos", "_term"))
-    return tokens.join(small_or_not(terms, most_rows), "_term")
+def anchor_sets(windows: DataFrame, frequency: DataFrame, anchors: int) -> DataFrame:
+    """_set, _item, _needed, _term, _offset, _bit: for every window the places in its item of its `anchors` rarest distinct words, windows that share all of them taken
+    together. Windows with a word that no document has are left out."""
+    counted = windows.join(frequency, "_term", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    each = Window.partitionBy("_item", "_window", "_term").orderBy("_offset")
+    distinct = counted.withColumn("_k", F.row_number().over(each)).filter("_k = 1")
+    rare = Window.partitionBy("_item", "_window").orderBy("_n", "_word")
+    ranked = distinct.withColumn("_rank", F.row_number().over(rare)).withColumn("_least", F.min("_n").over(Window.partitionBy("_item", "_window")))
+    chosen = ranked.filter(f"_rank <= {anchors} and _least > 0").groupBy("_item", "_window").agg(F.array_sort(F.collect_list(F.struct("_rank", "_offset", "_term"))).alias("_a"))
+    sets = chosen.select("_item", "_a").distinct().withColumn("_set", F.xxhash64("_item", "_a"))
+    needed = F.expr("shiftleft(1, size(_a)) - 1")
+    return sets.select("_set", "_item", needed.alias("_needed"), F.explode("_a").alias("_x")).select(
+        "_set", "_item", "_needed", F.col("_x._term").alias("_term"), F.col("_x._offset").alias("_offset"), F.expr("shiftleft(1, _x._rank - 1)").alias("_bit")
+    )
 
 
-def occurrences(docs: DataFrame, windows: DataFrame, anchors: int = 2, most_rows: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """Places where a window's rarest terms stand at the right distance: row key, _window, _start; places to be checked word by word.
+def token_postings(docs: DataFrame, text: Column, terms: DataFrame) -> DataFrame:
+    """The positional index of docs for the given terms: row key, _term, _pos, stored in the shared folder."""
+    return tabled(word_positions(docs, text, *KEY).join(small_or_not(terms), "_term"))
 
-    Document frequencies are counted over all documents for the windows' terms only. Each window is then looked up by its `anchors` rarest
-    terms: their postings, moved back by the term's offset in the window, must meet at one start.
-    """
-    terms = windows.select("_window", F.posexplode(F.transform("_words", lambda w: F.xxhash64(w))).alias("_offset", "_term"))
-    vocabulary = stored(terms.select("_term").distinct())
-    per_doc = docs.select(F.explode(F.array_distinct(F.transform(scan_words(F.col("text")), lambda w: F.xxhash64(w)))).alias("_term"))
-    frequency = per_doc.join(small_or_not(vocabulary, most_rows), "_term").groupBy("_term").agg(F.count("*").alias("_df"))
-    rare = Window.partitionBy("_window").orderBy("_df", "_term", "_offset")
-    ranked = terms.join(frequency, "_term", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
-    possible = ranked.withColumn("_rank", F.row_number().over(rare)).withColumn("_least", F.min("_df").over(Window.partitionBy("_window")))
-    wanted = stored(possible.filter(f"_rank <= {anchors} and _least > 0").groupBy("_term").agg(F.collect_list(F.struct("_window", "_offset", "_rank")).alias("_uses")))
-    needed = windows.select("_window", F.least(F.size("_words"), F.lit(anchors)).alias("_needed"))
-    moved = (
-        token_postings(docs, wanted, most_rows)
-        .select("_id", "_h1", "_h2", "_pos", F.explode("_uses").alias("_use"))
-        .select("_id", "_h1", "_h2", F.col("_use._window").alias("_window"), (F.col("_pos") - F.col("_use._offset")).alias("_start"), F.expr("shiftleft(1, _use._rank - 1)").alias("_bit"))
-        .filter("_start >= 0")
-    )
-    met = moved.groupBy("_id", "_h1", "_h2", "_window", "_start").agg(F.expr("bit_count(bit_or(_bit))").alias("_met"))
-    return met.join(small_or_not(needed, most_rows), "_window").filter("_met = _needed").select("_id", "_h1", "_h2", "_window", "_start")
+
+def meetings(postings: DataFrame, sets: DataFrame, anchors: int, slack: int) -> DataFrame:
+    """Row key, _item, _exact (diagonals: places where the item's first word would stand), _near: where the lists of a set's anchors meet, each moved back by its offset:
+    at one diagonal, or (_near) within `slack` of the first one's. Only sets all of whose anchors a document has are gathered."""
+    moved = postings.join(small_or_not(sets), "_term").select(*KEY, "_set", "_item", "_needed", "_bit", (F.col("_pos") - F.col("_offset")).alias("_diagonal"))
+    present = tabled(moved.groupBy(*KEY, "_set").agg(F.bit_or("_bit").alias("_has"), F.first("_needed").alias("_all")).filter("_has = _all").select(*KEY, "_set"))
+    lists = [F.collect_set(F.when(F.col("_bit") == 1 << r, F.col("_diagonal"))).alias(f"_l{r}") for r in range(anchors)]
+    met = moved.join(small_or_not(present), [*KEY, "_set"], "left_semi").groupBy(*KEY, "_set", "_item", "_needed").agg(*lists)
+    exact = near = F.col("_l0")
+    for r in range(1, anchors):
+        there = F.shiftright("_needed", r) > 0
+        around = F.flatten(F.transform(f"_l{r}", lambda d: F.sequence(d - slack, d + slack)))
+        exact = F.when(there, F.array_intersect(exact, F.col(f"_l{r}"))).otherwise(exact)
+        near = F.when(there, F.array_intersect(near, around)).otherwise(near)
+    return met.select(*KEY, "_item", exact.alias("_exact"), (F.size(near) > 0).alias("_near")).filter("_near")
 
 
 def covered(spans: Column) -> Column:
@@ -69,47 +73,60 @@ def covered(spans: Column) -> Column:
     )
 
 
-def proximity_matches(docs: DataFrame, windows: DataFrame, slack: int) -> DataFrame:
-    """Row key, _window, _from, _to: the two rarest terms of a window within `slack` words of their distance there (0: exactly it)."""
-    terms = windows.select("_window", F.posexplode(F.transform("_words", lambda w: F.xxhash64(w))).alias("_offset", "_term"))
-    places = stored(token_postings(docs, stored(terms.select("_term").distinct())))
-    frequency = places.groupBy("_term").agg(F.count("*").alias("_n"))
-    ranked = terms.join(frequency, "_term").withColumn("_rank", F.row_number().over(Window.partitionBy("_window").orderBy("_n", "_term", "_offset")))
-    pair = ranked.filter("_rank <= 2").groupBy("_window").agg(
-        F.max_by(F.struct("_term", "_offset"), -F.col("_rank")).alias("_a"), F.max_by(F.struct("_term", "_offset"), F.col("_rank")).alias("_b"), F.count("*").alias("_k")
+def equal_runs(words: Column, item: Column, diagonal: Column, length: int) -> Column:
+    """Spans (start, stop) of words of a text that equal the item's on a diagonal, `length` words or more (or the whole item, if it is shorter)."""
+    least = F.least(F.size(item), F.lit(length))
+    first, last = F.greatest(F.lit(0), -diagonal), F.least(F.size(item), F.size(words) - diagonal)  # places in the item that fall into the text
+    differ = F.filter(F.sequence(first, last), lambda j: (j == last) | ~F.get(words, diagonal + j).eqNullSafe(F.get(item, j)))
+    ends = lambda d: F.transform(d, lambda j, k: F.struct((diagonal + F.when(k == 0, first).otherwise(F.get(d, k - 1) + 1)).alias("start"), (diagonal + j).alias("stop")))
+    found = bind(differ, lambda d: F.filter(ends(d), lambda s: s["stop"] - s["start"] >= least))
+    return F.when(first < last, found).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+
+
+def contaminated(docs: DataFrame, text: Column, benchmark: DataFrame, length: int = 10, anchors: int = 2, slack: int = 3) -> DataFrame:
+    """Row key, n_hit, items, near_items of the rows of docs (with their row key) that have an exact or a near match; see decontaminate()."""
+    items = stored(benchmark_items(benchmark))
+    windows = stored(item_windows(items, length))
+    vocabulary = stored(windows.select("_term").distinct())
+    frequency = stored(word_positions(docs, text).join(small_or_not(vocabulary), "_term").groupBy("_term").agg(F.count("*").alias("_n")))
+    sets = stored(anchor_sets(windows, frequency, anchors))
+    met = tabled(meetings(token_postings(docs, text, stored(sets.select("_term").distinct())), sets, anchors, slack))
+    places = met.groupBy(*KEY, "_item").agg(F.array_distinct(F.flatten(F.collect_list("_exact"))).alias("_diagonals"))
+    per_doc = tabled(
+        places.join(small_or_not(items), "_item").groupBy(*KEY).agg(F.collect_list(F.struct("_words", "_ids", "_diagonals")).alias("_places"))
+    )
+    asked = docs.select(*KEY, text.alias("_text")).join(small_or_not(per_doc), KEY).select(*KEY, "_places", scan_words(F.col("_text")).alias("_w"))
+    none = F.array().cast("array<string>")
+    runs = F.transform("_places", lambda p: F.struct(p["_ids"].alias("ids"), F.flatten(F.transform(p["_diagonals"], lambda d: equal_runs(F.col("_w"), p["_words"], d, length))).alias("spans")))
+    checked = asked.select(*KEY, "_places", runs.alias("_runs")).select(
+        *KEY,
+        covered(F.flatten(F.transform("_runs", lambda r: r["spans"]))).alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.concat(F.array(none), F.transform(F.filter("_runs", lambda r: F.size(r["spans"]) > 0), lambda r: r["ids"]))))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.concat(F.array(none), F.transform("_places", lambda p: p["_ids"]))))).alias("near_items"),
     )
-    pair = pair.filter("_k = 2").select("_window", F.col("_a._term").alias("_ta"), F.col("_b._term").alias("_tb"), (F.col("_b._offset") - F.col("_a._offset")).alias("_apart"))
-    a = places.withColumnRenamed("_term", "_ta").withColumnRenamed("_pos", "_pa").join(pair, "_ta")
-    a = a.withColumn("_pb", F.explode(F.sequence(F.col("_pa") + F.col("_apart") - slack, F.col("_pa") + F.col("_apart") + slack)))
-    b = places.select(F.col("_id").alias("_bid"), F.col("_h1").alias("_b1"), F.col("_h2").alias("_b2"), F.col("_term").alias("_tb"), F.col("_pos").alias("_pb"))
-    met = a.join(b, (a["_h1"] == b["_b1"]) & (a["_h2"] == b["_b2"]) & a["_id"].eqNullSafe(b["_bid"]) & (a["_tb"] == b["_tb"]) & (a["_pb"] == b["_pb"]))
-    return met.select("_id", "_h1", "_h2", "_window", F.least("_pa", a["_pb"]).alias("_from"), F.greatest("_pa", a["_pb"]).alias("_to")).distinct()
+    return tabled(checked.dropDuplicates(KEY))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, anchors: int = 2) -> DataFrame:
-    """All columns of docs (doc_id, text) with _n_words, _n_hit (words inside a window's exact occurrence) and _item_ids (ids with such windows,
-    as sorted strings).
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, anchors: int = 2, slack: int = 3, into: str = "_hits") -> DataFrame:
+    """All columns of docs (doc_id, text) with a struct `into`: n_words, n_hit (words inside a window's exact occurrence), items (ids with such windows, as sorted
+    strings) and near_items (proximity matches: ids of items with a window whose `anchors` rarest words all stand within `slack` words of where they would beside the
+    rarest one; exact matches are among them).
 
     Words are runs of digits, ASCII letters (lowered) and characters beyond ASCII. A window is `length` consecutive words of an item
-    (item_id, text); an item of fewer words, but not none, is one window. Found places are checked word by word.
+    (item_id, text); an item of fewer words, but not none, is one window.
 
-    Null and empty texts and items have no words; a null item_id is not listed; equal rows get equal results; an empty benchmark hits nothing.
+    Postings of the windows' rarest words are stored; the lists of a window, moved back by the words' offsets, must meet at one diagonal; there the text is compared
+    word by word. Only texts with such places are looked at again, and only row keys and numbers are joined to the rest.
+
+    Null and empty texts and items have no words; a null item_id is not listed; equal rows get equal results; an empty benchmark hits nothing; an empty table
+    gives no rows; an input column of the name `into` is replaced, and no other name matters.
     """
-    windows = stored(benchmark_windows(benchmark, length))
-    places = occurrences(docs, windows, anchors).join(small_or_not(windows, MOST_BROADCAST_ROWS), "_window")
-    per_doc = places.groupBy("_id", "_h1", "_h2").agg(F.collect_list(F.struct(F.col("_start").alias("start"), F.col("_words").alias("words"), F.col("_items").alias("items"))).alias("_places"))
-    left = docs.select(F.struct("*").alias("_row"), *row_key())
-    joined = left.join(per_doc, same_key(left, per_doc), "left").select("_row", "_places")
-    result = bind(
-        scan_words(F.col("_row.text")),
-        lambda w: bind(
-            F.filter("_places", lambda p: F.slice(w, p["start"] + 1, F.size(p["words"])) == p["words"]),
-            lambda hits: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                F.when(hits.isNull(), F.lit(0).cast("long")).otherwise(covered(F.transform(hits, lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.size(p["words"])).alias("stop"))))).alias("n_hit"),
-                F.when(hits.isNull(), F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda p: p["items"]))))).alias("items"),
-            ),
-        ),
+    rows, doc_id, text, back = set_apart(docs, into)
+    found = contaminated(rows.select("*", *row_key(doc_id, text)), text, benchmark, length, anchors, slack)
+    left = rows.select("*", *row_key(doc_id, text), F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY_WORD), 0)).cast("long").alias("_n"))
+    joined = left.join(small_or_not(found), KEY, "left")
+    none = F.array().cast("array<string>")
+    return back(
+        joined,
+        F.struct(F.col("_n").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items")),
     )
-    out = joined.withColumn("_result", result)
-    return out.select("_row.*", F.col("_result.n_words").alias("_n_words"), F.col("_result.n_hit").alias("_n_hit"), F.col("_result.items").alias("_item_ids"))
