@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, indices, lower_ascii, row_key, same_key, shuffle_partitions
+from tessera.llm.common import KEY, SPACE, bind, indices, lower_ascii, row_key, set_apart, shuffle_partitions, small_or_not, tabled
 
 WORD_BITS = 64
 
@@ -16,50 +16,38 @@ def text_lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return lower_ascii(F.btrim(line, F.lit(SPACE)))
+    return bind(F.btrim(line, F.lit(SPACE)), lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(lower_ascii(x)))
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Which lines of docs (doc_id, text) go: those whose key (trimmed, A-Z lowered) has min_chars code points and is found in min_docs
-    documents, except in the largest doc_id that holds it.
+def keep_bitmaps(docs: DataFrame, doc_id: Column, text: Column, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """Which lines of docs (with their row key) go: those whose key (trimmed, A-Z lowered) has min_chars code points and is found in min_docs documents, except
+    in the largest doc_id that holds it.
 
-    Returns a row only for texts that lose lines: the row key _id, _h1, _h2 and _dropped, a sparse bitmap: array of (word, mask), the bits of
+    Returns a row only for texts that lose lines: the row key and _dropped, a sparse bitmap: array of (word, mask), the bits of
     whose masks are the lines 64 * word + bit that go. Words without such bits are left out.
 
-    Key hashes (128 bits) are range-partitioned with the documents of a hash in `slices` (as many as shuffle partitions), so that even a line
-    that all documents share lies in many tasks; each task sorts by hash, document (largest first) and position and streams through, giving the
-    first occurrence and the number of documents of each slice. Slices are combined by hash; occurrences then look up their line's keeper
-    in a join that Spark may split where a line is frequent.
+    Keys are hashed (128 bits) once and stored. They are range-partitioned with the documents of a hash in `slices` (as many as shuffle partitions), so that even a
+    line that all documents share lies in many tasks; each task sorts by hash, document (largest first) and position and streams through, giving the first
+    occurrence and the number of documents of each slice. Slices are combined by hash; occurrences then look up their line's keeper, in a broadcast of the
+    shared lines where those are counted small, else in a join that Spark may split where a line is frequent.
 
     Rows with equal doc_id count as one document; a null doc_id is one, smaller than any number.
     """
     slices = shuffle_partitions(docs.sparkSession)
-    keyed = docs.select(*row_key(), F.transform(text_lines(F.col("text")), lambda x: line_key(x)).alias("_keys"))
-    wanted = F.filter(
-        F.transform("_keys", lambda k, i: F.struct(i.alias("pos"), k.alias("key"))),
-        lambda x: F.char_length(x["key"]) >= min_chars,
-    )
-    found = (
-        keyed.select("_id", "_h1", "_h2", F.explode(wanted).alias("_x"))
-        .select("_id", "_h1", "_h2", F.col("_x.pos").alias("_pos"), F.xxhash64("_x.key").alias("_a"), F.xxhash64(F.lit("line"), "_x.key").alias("_b"))
-        .withColumn("_slice", F.pmod(F.xxhash64("_id"), F.lit(slices)).cast("int"))
-    )
+    lines = docs.select(*KEY, doc_id.alias("_id"), F.posexplode(text_lines(text)).alias("_pos", "_line"))
+    keyed = lines.select(*KEY, "_id", "_pos", line_key(F.col("_line")).alias("_key")).filter(F.char_length("_key") >= min_chars)
+    hashed = keyed.select(*KEY, "_id", "_pos", F.xxhash64("_key").alias("_a"), F.xxhash64(F.lit("line"), "_key").alias("_b"))
+    found = tabled(hashed.withColumn("_slice", F.pmod(F.xxhash64("_id"), F.lit(slices)).cast("int")))
     spread = found.select("_a", "_b", "_slice", "_id", "_pos").repartitionByRange(slices, "_a", "_b", "_slice")
     stream = Window.partitionBy("_a", "_b", "_slice").orderBy(F.desc_nulls_last("_id"), "_pos")
     firsts = spread.withColumn("_first", F.lag("_pos").over(stream).isNull() | ~F.lag("_id").over(stream).eqNullSafe(F.col("_id"))).filter("_first")
     per_slice = firsts.groupBy("_a", "_b", "_slice").agg(F.count("*").alias("_docs"), F.max("_id").alias("_last"))
-    shared = (
-        per_slice.groupBy("_a", "_b")
-        .agg(F.sum("_docs").alias("_docs"), F.max("_last").alias("_last"))
-        .filter(F.col("_docs") >= min_docs)
-        .select("_a", "_b", "_last")
-        .hint("rebalance")  # else the join takes over the aggregate's partitioning, and Spark can't split a frequent line's occurrences
+    shared = tabled(
+        per_slice.groupBy("_a", "_b").agg(F.sum("_docs").alias("_docs"), F.max("_last").alias("_last")).filter(F.col("_docs") >= min_docs).select("_a", "_b", "_last")
     )
-    gone = found.join(shared, ["_a", "_b"]).filter(~F.col("_id").eqNullSafe(F.col("_last")))
-    words = gone.groupBy("_id", "_h1", "_h2", F.floor(F.col("_pos") / WORD_BITS).cast("int").alias("_word")).agg(
-        F.expr(f"bit_or(shiftleft(1L, _pos % {WORD_BITS}))").alias("_mask")
-    )
-    return words.groupBy("_id", "_h1", "_h2").agg(F.collect_list(F.struct(F.col("_word").alias("word"), F.col("_mask").alias("mask"))).alias("_dropped"))
+    gone = found.join(small_or_not(shared), ["_a", "_b"]).filter(~F.col("_id").eqNullSafe(F.col("_last")))
+    words = gone.groupBy(*KEY, F.floor(F.col("_pos") / WORD_BITS).cast("int").alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, _pos % {WORD_BITS}))").alias("_mask"))
+    return tabled(words.groupBy(*KEY).agg(F.collect_list(F.struct(F.col("_word").alias("word"), F.col("_mask").alias("mask"))).alias("_dropped")))
 
 
 def dropped_positions(bitmap: Column) -> Column:
@@ -75,16 +63,22 @@ def dropped_positions(bitmap: Column) -> Column:
     return F.flatten(per_word)
 
 
-def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """All columns of docs with _dropped (the bitmap of keep_bitmaps, null: all stay), _n_lines and _kept, the lines that stay joined by \\n.
+def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, into: str = "_lines") -> DataFrame:
+    """All columns of docs (doc_id, text) with a struct `into`: dropped (the bitmap of keep_bitmaps, null: all stay), n_lines and kept, the lines that stay joined by \\n.
 
-    A null text stays null in `text`; its _kept is the empty string. A text all of whose lines go has an empty _kept.
+    A null text stays null in `text`; it has one empty line, and its kept is the empty string. A text all of whose lines go has an empty kept. Equal rows get equal
+    results; an empty table gives no rows; an input column of the name `into` is replaced, and no other name matters.
     """
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs)
-    left = docs.select(F.struct("*").alias("_row"), *row_key())
-    joined = left.join(bitmaps, same_key(left, bitmaps), "left").select("_row", bitmaps["_dropped"])
-    lines = joined.withColumn("_lines", text_lines(F.col("_row.text")))
-    kept = F.when(F.col("_dropped").isNull(), F.coalesce(F.col("_row.text"), F.lit(""))).otherwise(
-        F.array_join(F.transform(F.array_except(indices(F.size("_lines")), dropped_positions(F.col("_dropped"))), lambda i: F.col("_lines")[i]), "\n")
+    rows, doc_id, text, back = set_apart(docs, into)
+    keyed = rows.select("*", *row_key(doc_id, text))
+    joined = keyed.join(small_or_not(keep_bitmaps(keyed, doc_id, text, min_chars, min_docs)), KEY, "left")
+    whole = F.coalesce(text, F.lit(""))
+    left = bind(text_lines(text), lambda lines: F.array_join(F.transform(F.array_except(indices(F.size(lines)), dropped_positions(F.col("_dropped"))), lambda i: lines[i]), "\n"))
+    return back(
+        joined,
+        F.struct(
+            F.col("_dropped").alias("dropped"),
+            (F.regexp_count(whole, F.lit("\n")) + 1).alias("n_lines"),
+            F.when(F.col("_dropped").isNull(), whole).otherwise(left).alias("kept"),
+        ),
     )
-    return lines.select("_row.*", "_dropped", F.size("_lines").alias("_n_lines"), kept.alias("_kept"))
