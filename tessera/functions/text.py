@@ -148,3 +148,62 @@ def entities(content: Column, most: int = 12) -> Column:
         F.array().cast("array<string>"),
         lambda a, x: F.when((F.size(a) >= most) | F.exists(a, lambda y: F.lower(y) == F.lower(x)), a).otherwise(F.array_append(a, x)),
     )
+
+
+# Where an explicit compound question is split, and what is stripped from its parts.
+EXPLICIT_COMPOUND = r"(?:以及|并且|同时|然后|；|;|\?{2,}|？{2,})"
+EXPLICIT_MARKS = " ,，;；?？"
+
+
+def decomposed(question: Column, most: int = 4) -> Column:
+    """The parts of a question that is compound by its own marks, at most so many; else the question, white space collapsed; none of an empty one."""
+    flat = F.btrim(F.regexp_replace(text_or_empty(question), r"\s+", " "))
+    parts = F.filter(F.transform(F.split(flat, EXPLICIT_COMPOUND, -1), lambda p: F.btrim(p, F.lit(EXPLICIT_MARKS))), lambda p: p != "")
+    return F.when(flat == "", F.array().cast("array<string>")).when(F.size(parts) > 1, F.slice(parts, 1, max(1, most))).otherwise(F.array(flat))
+
+
+# Names too general to link two knowledge bases by.
+GENERAL_NAMES = tuple(
+    "and any api array block bool boolean class code create data delete description dict div else error false float for from get id if apikey authorization http https input int item json key list "
+    "main map name node none not null object option output parse post put request response result return set span string system table tbody td text then password secret token true type update url "
+    "user value void where with xml yaml".split()
+)
+
+
+def normalized_name(name: Column) -> Column:
+    """A name in lower case, letters and digits alone."""
+    return F.regexp_replace(F.lower(text_or_empty(name)), r"[^\p{L}\p{N}]+", "")
+
+
+def links_bases(name: Column) -> Column:
+    """Whether a name may link knowledge bases: normalised, it has two characters with a CJK one or three without, isn't a number, and isn't one of the general names."""
+    plain = normalized_name(name)
+    least = F.when(F.rlike(plain, F.lit(r"[\x{4e00}-\x{9fff}]")), 2).otherwise(3)
+    return (F.char_length(plain) >= least) & ~F.rlike(plain, F.lit(r"^\p{Nd}+$")) & ~plain.isin(*GENERAL_NAMES)
+
+
+def markdown_table(headers: Column, rows: Column) -> Column:
+    """A table as Markdown, short rows and headers filled up with empty cells; | is escaped and line ends become <br>. Empty if there are no columns."""
+    width = F.greatest(F.size(headers), F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0)))
+    cell = lambda c: F.regexp_replace(F.replace(text_or_empty(c), F.lit("|"), F.lit("\\|")), "\n", "<br>")
+
+    def line(w: Column, row: Column) -> Column:
+        filled = F.concat(F.transform(row, cell), F.array_repeat(F.lit(""), (w - F.size(row)).cast("int")))
+        return F.concat(F.lit("| "), F.array_join(filled, " | "), F.lit(" |"))
+
+    def whole(w: Column) -> Column:
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), w.cast("int")), " | "), F.lit(" |"))
+        return F.when(w == 0, "").otherwise(F.array_join(F.concat(F.array(line(w, headers), rule), F.transform(rows, lambda r: line(w, r))), "\n"))
+
+    return F.transform(F.array(width), whole)[0]
+
+
+def iso_utc(at: Column) -> Column:
+    """A timestamp without zone, taken as UTC, as ISO 8601 with Z; fractions of a second only where there are any."""
+    micro = F.date_format(at, "SSSSSS")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micro == "000000", "").otherwise(F.concat(F.lit("."), micro)), F.lit("Z"))
+
+
+def fallback_terms(query: Column) -> Column:
+    """Distinct terms by which chunks are compared without an index, in lower case: Latin ones of three characters or more, and CJK runs of two to six."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(query), F.lit(r"[A-Za-z][A-Za-z0-9_+.#/-]{2,}|[\x{4e00}-\x{9fff}]{2,6}"), 0), lambda w: F.lower(w)))

@@ -163,7 +163,7 @@ def outline_paths(blocks: DataFrame, key: str) -> DataFrame:
     return blocks.withColumn("_h", seen).join(paths, key).withColumn("path", F.coalesce(F.get("_paths", F.col("_h") - 1), none)).drop("_h", "_paths")
 
 
-def _runs(rows: DataFrame, key: str, order: str, entry: Column, start: Column, step) -> DataFrame:
+def run_numbers(rows: DataFrame, key: str, order: str, entry: Column, start: Column, step) -> DataFrame:
     """rows with _run: a number for each, from a fold over a key's entries in order; step gives the next state (with field r, the row's run)."""
     listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), entry.alias("e")))).alias("_l"))
     begin = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
@@ -187,7 +187,7 @@ def section_chunks(blocks: DataFrame, key: str, target: int = 800) -> DataFrame:
         new = e["own"] | e["head"] | s["fresh"] | ((s["n"] > 0) & (s["n"] + e["n"] > target))
         return F.struct(F.when(new, s["r"] + 1).otherwise(s["r"]).alias("r"), F.when(e["own"] | e["head"], 0).when(new, e["n"]).otherwise(s["n"] + e["n"]).alias("n"), (e["own"] | e["head"]).alias("fresh"))
 
-    marked = _runs(blocks, key, "block", entry, start, step).filter("kind <> 'HEADING'")
+    marked = run_numbers(blocks, key, "block", entry, start, step).filter("kind <> 'HEADING'")
     parts = marked.groupBy(key, "_run").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
         F.first("path").alias("path"),
@@ -210,7 +210,7 @@ def packed_chunks(chunks: DataFrame, key: str, least: int = 600) -> DataFrame:
         total = F.when(joins, s["n"] + e["n"]).otherwise(e["n"])
         return F.struct(F.when(joins, s["r"]).otherwise(s["r"] + 1).alias("r"), F.when(small & (total < least), total).otherwise(-1).alias("n"))
 
-    marked = _runs(chunks, key, "chunk_index", entry, start, step)
+    marked = run_numbers(chunks, key, "chunk_index", entry, start, step)
     packs = marked.groupBy(key, "_run").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
         F.when(F.count_distinct("kind") == 1, F.max("kind")).otherwise("PARAGRAPH").alias("kind"),

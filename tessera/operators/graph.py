@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import written
+
 
 def cooccurrences(mentions: DataFrame, group: str, name: str, place: str, most: int = 8) -> DataFrame:
     """src, dst, n: pairs of the first `most` names of each group (src < dst), with the number of groups that have them. At most most * (most - 1) / 2 rows a group."""
@@ -79,20 +81,42 @@ def overview(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.groupBy("g1", "g2").agg(F.count("*").alias("edges"), F.bool_or("x").alias("cross"))
 
 
-def paths(nodes: DataFrame, most_depth: int = 20) -> DataFrame:
-    """id, path, depth: names from the root, joined by ' > ', of nodes (id, parent, name) whose parents lead to a root; cycles are left out."""
-    rim = nodes.filter("parent is null").select("id", F.col("name").alias("path"), F.lit(0).alias("depth"))
-    out = rim
-    kids = nodes.filter("parent is not null")
-    for depth in range(1, most_depth + 1):
-        up = rim.select(F.col("id").alias("parent"), F.col("path").alias("_p"))
-        rim = kids.join(up, "parent").select("id", F.concat_ws(" > ", "_p", "name").alias("path"), F.lit(depth).alias("depth"))
-        if rim.isEmpty():
-            break
+def paths(nodes: DataFrame) -> DataFrame:
+    """id, path, depth: names from the root, joined by ' > ', of nodes (id, parent, name). A node without a parent, or whose parent isn't in the table, is a root; nodes of
+    cycles, and below them, have no path. One join a level, however many there are; each level is written, so none is computed twice."""
+    kids = written(nodes.filter("parent is not null").select("id", "parent", "name"))
+    placed = nodes.join(nodes.select(F.col("id").alias("parent")).distinct(), "parent", "left_anti")
+    out = rim = written(placed.select("id", F.col("name").alias("path"), F.lit(0).alias("depth")))
+    while not rim.isEmpty():
+        up = rim.select(F.col("id").alias("parent"), F.col("path").alias("_p"), F.col("depth").alias("_d"))
+        rim = written(kids.join(up, "parent").select("id", F.concat_ws(" > ", "_p", "name").alias("path"), (F.col("_d") + 1).alias("depth")))
         out = out.unionByName(rim)
     return out
 
 
+def recall_paths(edges: DataFrame, nodes: DataFrame, questions: DataFrame, most: int = 4) -> DataFrame:
+    """query_id, place, src, dst: the first `most` edges of a breadth-first tree for each question (query_id, text). It starts at the node (node, name) with the longest name that the
+    question holds (ties: the smaller id), else at the one of the highest degree; neighbours are met in the order of their ids.
+
+    At most `most` nodes a question are gone on from at each hop, and at most `most` hops are made."""
+    both = written(undirected(edges))
+    named = nodes.join(F.broadcast(questions.select("query_id", F.lower("text").alias("_t"))), F.contains("_t", F.lower("name")) & (F.char_length("name") > 0))  # a stated query set against all nodes
+    best = named.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.char_length("name")), "node"))).filter("_r = 1").select("query_id", "node")
+    hub = both.groupBy(F.col("src").alias("_hub")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_hub").limit(1).select("_hub")
+    seeds = questions.select("query_id").join(best, "query_id", "left").join(F.broadcast(hub), F.lit(True), "left").select("query_id", F.coalesce("node", "_hub").alias("node")).filter("node is not null")
+    seen = written(seeds.select("query_id", "node", F.lit(0).alias("place"), F.lit(None).cast(edges.schema["src"].dataType).alias("src")))
+    rim = seen
+    for _ in range(most):
+        met = rim.select("query_id", F.col("node").alias("src"), "place").join(both, "src").join(seen.select("query_id", F.col("node").alias("dst")), ["query_id", "dst"], "left_anti")
+        first = met.groupBy("query_id", F.col("dst").alias("node")).agg(F.min(F.struct("place", "src")).alias("_m"))
+        count = seen.groupBy("query_id").agg(F.max("place").alias("_n"))
+        order = Window.partitionBy("query_id").orderBy("_m.place", "node")
+        rim = first.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).join(count, "query_id").withColumn("place", F.col("_n") + F.col("_r")).filter(F.col("place") <= most)
+        rim = written(rim.select("query_id", "node", "place", F.col("_m.src").alias("src")))
+        seen = written(seen.unionByName(rim))
+    return seen.filter("place > 0").select("query_id", "place", "src", F.col("node").alias("dst"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges both of whose ends are among the nodes (node)."""
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")

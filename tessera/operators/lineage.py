@@ -1,15 +1,36 @@
-"""Cutting lineage where a small result is used more than once."""
+"""Cutting lineage where a result is used more than once, and the size checks of broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder that all executors share. In local mode, where there is one machine, a temporary one if that is unset."""
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "local")
+    if folder is None and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or _local_folder()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder, so that later uses neither compute them again nor depend on an executor. A folder is set only where the session names none."""
+    """The rows written once to the shared checkpoint folder, so that later uses neither compute them again nor depend on an executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def if_small(df: DataFrame, most_rows: int = 500_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """A broadcast hint if the (written) frame has at most so many rows and, as JSON, bytes; else the frame as it is, for a shuffle join that Spark may split."""
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= most_rows and size["b"] <= most_bytes else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import trigrams
 from tessera.functions.vectors import cosine
+from tessera.operators.lineage import if_small, written
 
 K1, B = 1.2, 0.75
 
@@ -20,35 +21,75 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k best chunks of bm25_scores() for each query."""
-    return top(bm25_scores(queries, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+def weighted_postings(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """term, chunk_id, p (millionths): the BM25 part of every term of a query (query_id, text) in every chunk (chunk_id, content) that has it.
 
-
-def bm25_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score (millionths) of every chunk (chunk_id, content) that shares a term with a query (query_id, text).
-
-    Postings are made for the queries' terms only (a broadcast of their distinct terms filters the tokens before the shuffle); document frequencies
-    and lengths cover all chunks. Sums are of whole millionths, so their order doesn't matter.
+    Document frequencies and lengths cover all chunks. Parts are whole numbers, so the order of sums doesn't matter.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    asked = written(queries.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct())
     sized = chunks.select("chunk_id", tokens(F.col("content")).alias("_w")).withColumn("length", F.size("_w"))
     corpus = sized.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
-    words = sized.select("chunk_id", "length", F.explode("_w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    words = sized.select("chunk_id", "length", F.explode("_w").alias("term")).join(if_small(asked), "term", "left_semi")
     postings = words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df")).hint("rebalance")  # else the join takes over its partitioning, and a common term is one task
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    weighted = postings.join(df, "term").join(F.broadcast(corpus), F.lit(True)).select("term", "chunk_id", F.round(part * 1_000_000).cast("long").alias("_p"))
-    return weighted.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum("_p").alias("score"))
+    return postings.join(df, "term").join(F.broadcast(corpus), F.lit(True)).select("term", "chunk_id", F.round(part * 1_000_000).cast("long").alias("p"))
+
 
+def bm25(queries: DataFrame, chunks: DataFrame, k: int, probe: int = 20) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k chunks with the highest BM25 score (millionths; ties: chunk_id) for each query; exact, without scoring every chunk.
+
+    Each query's terms are taken by falling rarity. The k-th best sum over its rarest terms (those of about probe * k postings) is a lower bound of its k-th
+    score. Common terms whose greatest possible parts add up to less than it can't bring in a chunk alone: their postings are skipped, and looked up only
+    for chunks whose sum over the other terms can still reach the bound.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    postings = written(weighted_postings(queries, chunks))
+    stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("p").alias("most"))
+    rarest = Window.partitionBy("query_id").orderBy("df", "term")
+    later = rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    terms = written(
+        asked.join(stats, "term").select(
+            "query_id", "term", "most", F.sum("most").over(later).alias("from_here"), (F.sum("df").over(rarest) - F.col("df")).alias("before")
+        )
+    )
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    def sums(of: DataFrame) -> DataFrame:
+        return postings.join(if_small(of), "term").groupBy("query_id", "chunk_id").agg(F.sum("p").alias("sum"))
+
+    def bounds(scored: DataFrame) -> DataFrame:
+        kth = top(scored, ["query_id"], [F.desc("sum")], k).filter(F.col("rank") == k)
+        return written(kth.select("query_id", F.col("sum").alias("bound")))
+
+    first = bounds(sums(written(terms.filter(F.col("before") < probe * k).select("query_id", "term"))))
+    placed = written(terms.join(if_small(first), "query_id", "left").withColumn("common", F.col("from_here") < F.coalesce("bound", F.lit(0))))
+    partial = written(sums(written(placed.filter("not common").select("query_id", "term"))))
+    open_ = placed.filter("common").groupBy("query_id").agg(F.sum("most").alias("rest"))
+    bound = written(bounds(partial).join(open_, "query_id", "full_outer").select("query_id", F.coalesce("bound", F.lit(0)).alias("bound"), F.coalesce("rest", F.lit(0)).alias("rest")))
+    able = written(partial.join(if_small(bound), "query_id", "left").filter(F.col("sum") + F.coalesce("rest", F.lit(0)) >= F.coalesce("bound", F.lit(0))).select("query_id", "chunk_id", "sum"))
+    lookups = able.join(if_small(written(placed.filter("common").select("query_id", "term"))), "query_id")
+    found = lookups.join(postings, ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum("p").alias("more"))
+    scored = able.join(found, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("score"))
+    return top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2000, bucket: int = 50_000) -> DataFrame:
     """query_id, vec_id, score, rank: the k most similar vectors (vec_id, embedding) for each query (query_id, embedding), by exact cosine in millionths.
 
-    The stated queries go against all rows; each task keeps k rows a query before the shuffle.
+    The stated queries go against all rows. Up to `block` queries are broadcast; more are met with the vectors in a grid of blocks of queries and buckets of
+    vectors, each cell a key of its own. Each task keeps k rows a query before the shuffle.
     """
-    pairs = vectors.join(F.broadcast(queries.withColumnRenamed("embedding", "_q")), F.lit(True))
+    asked = written(queries.withColumnRenamed("embedding", "_q"))
+    n = asked.count()
+    if n <= block:
+        pairs = vectors.join(F.broadcast(asked), F.lit(True))
+    else:
+        blocks, buckets = -(-n // block), -(-vectors.count() // bucket)
+        cell = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = vectors.withColumn("_bucket", cell("vec_id", buckets)).withColumn("_block", every(blocks))
+        pairs = left.join(asked.withColumn("_block", cell("query_id", blocks)).withColumn("_bucket", every(buckets)), ["_block", "_bucket"])
     scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("_q"), F.col("embedding")) * 1_000_000).cast("long").alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
 
@@ -108,6 +149,18 @@ def expand_neighbours(anchors: DataFrame, chunks: DataFrame, window: int, fade:
     return best.select("query_id", "chunk_id", F.floor(F.col("_s") * fade).cast("long").alias("score"), "nearest")
 
 
+def fallback_sources(queries: DataFrame, chunks: DataFrame, k: int = 16, full: int = 1200) -> DataFrame:
+    """query_id, chunk_id, score (ten-thousandths), rank: what is found where no index answers: for each query (query_id, text, kb) the chunks (chunk_id, chunk_index, kb, content) of its base by how
+    many of its terms they hold, plus their share of `full` characters up to one; ties: the lower index, then the id. All chunks of the base are looked at; each task keeps k rows a query."""
+    from tessera.functions.text import fallback_terms
+
+    met = queries.select("query_id", "kb", fallback_terms(F.col("text")).alias("_t")).join(chunks, "kb")
+    low = met.withColumn("_c", F.lower("content"))
+    held = F.size(F.filter("_t", lambda t: F.contains(F.col("_c"), t)))
+    scored = low.select("query_id", "chunk_id", "chunk_index", F.round((held + F.least(F.lit(1.0), F.char_length("content") / full)) * 10_000).cast("long").alias("score"))
+    return top(scored, ["query_id"], [F.desc("score"), F.col("chunk_index"), F.col("chunk_id")], k).select("query_id", "chunk_id", "score", "rank")
+
+
 def available(hits: DataFrame, states: DataFrame) -> DataFrame:
     """Hits (chunk_id, hash) whose id is available in states (chunk_id, hash, enabled, deleted), or else whose hash is that of an available row.
 

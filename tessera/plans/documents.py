@@ -116,20 +116,23 @@ def nearest_copies(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.nearest_of(a, vectors, "label", "vec_id", "embedding", 0.1)
 
 
-@query("""WITH f AS (SELECT conv_id, left(text, 25) AS fact FROM conversations WHERE role = 'user' AND turn > 0), m AS (SELECT conv_id, text AS memory FROM conversations WHERE role = 'assistant'),
-g AS (SELECT f.conv_id, fact, memory FROM f LEFT JOIN m USING (conv_id)) SELECT conv_id, fact, CASE WHEN bool_or(coalesce(contains(memory, fact) OR contains(fact, memory), false)) THEN 'NOOP' ELSE 'ADD' END AS action FROM g GROUP BY 1, 2""")
+_GRAMS = "CASE WHEN length(text) > 1 THEN list_distinct(list_transform(generate_series(1, length(text) - 1), lambda i: substr(text, i, 2))) ELSE [] END"
+
+
+@query(f"""WITH f AS (SELECT conv_id, text AS fact, {_GRAMS} AS a FROM conversations WHERE role = 'user' AND turn > 0), m AS (SELECT conv_id, text AS memory, {_GRAMS} AS b FROM conversations WHERE role = 'assistant'),
+g AS (SELECT f.conv_id, fact, memory, a, b, len(list_intersect(a, b)) AS n FROM f LEFT JOIN m USING (conv_id))
+SELECT conv_id, fact, CASE WHEN bool_or(coalesce(contains(memory, fact) OR contains(fact, memory) OR (len(a) > 0 AND len(b) > 0 AND n > CAST(len(a) + len(b) - n AS DOUBLE) * CAST(0.92 AS DOUBLE)), false)) THEN 'NOOP' ELSE 'ADD' END AS action FROM g GROUP BY 1, 2""")
 def memory_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole user turns as facts against the answers of their conversation as memories, with the production threshold."""
     said = table(spark, sf, "conversations")
-    facts = said.filter("role = 'user' and turn > 0").selectExpr("conv_id", "substring(text, 1, 25) as fact")
-    return clustering.remembered(facts, said.filter("role = 'assistant'").selectExpr("conv_id", "text as memory"), "conv_id", 2.0)
+    facts = said.filter("role = 'user' and turn > 0").selectExpr("conv_id", "text as fact")
+    return clustering.remembered(facts, said.filter("role = 'assistant'").selectExpr("conv_id", "text as memory"), "conv_id")
 
 
 @query()
 def memory_actions_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole user turns as facts against the answers of their conversation as memories, with the production threshold. A test holds it against brute force."""
-    said = table(spark, sf, "conversations")
-    facts = said.filter("role = 'user' and turn > 0").selectExpr("conv_id", "text as fact")
-    return clustering.remembered(facts, said.filter("role = 'assistant'").selectExpr("conv_id", "text as memory"), "conv_id")
+    """The same query under its first name. A test holds it against brute force."""
+    return memory_actions(spark, sf)
 
 
 @query()

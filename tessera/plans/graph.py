@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import query_terms
+from tessera.functions.text import links_bases, normalized_name
 from tessera.operators import graph
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -50,11 +51,13 @@ def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, degree
 
 
-@query(f"""WITH {NODES_SQL}, {DEGREE_SQL}, r AS (SELECT tenant, name, kb, id FROM (SELECT n.*, row_number() OVER (PARTITION BY tenant, name, kb ORDER BY coalesce(degree, 0) DESC, n.id) AS k FROM nodes n LEFT JOIN deg USING (id)) WHERE k = 1)
+@query(f"""WITH {NODES_SQL}, {DEGREE_SQL}, m AS (SELECT id, tenant, kb, regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS name FROM nodes WHERE length(regexp_replace(name, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) >= 3),
+r AS (SELECT tenant, name, kb, id FROM (SELECT n.*, row_number() OVER (PARTITION BY tenant, name, kb ORDER BY coalesce(degree, 0) DESC, n.id) AS k FROM m n LEFT JOIN deg USING (id)) WHERE k = 1)
 SELECT a.tenant, a.name, a.kb AS kb_a, b.kb AS kb_b, a.id AS a, b.id AS b FROM r a JOIN r b ON a.tenant = b.tenant AND a.name = b.name AND a.kb < b.kb""")
 def cross_kb_bridges(spark: SparkSession, sf: str) -> DataFrame:
     nodes, degree = _parts(spark, sf)
-    return graph.bridges(nodes, degree.withColumnRenamed("id", "node"))
+    named = nodes.filter(links_bases(F.col("name"))).withColumn("name", normalized_name(F.col("name")))
+    return graph.bridges(named, degree.withColumnRenamed("id", "node"))
 
 
 @query(f"""WITH {NODES_SQL}, {DEGREE_SQL} SELECT id, kind, rank, total FROM (SELECT n.id, kind, row_number() OVER (PARTITION BY kind ORDER BY coalesce(degree, 0) DESC, name, n.id) AS rank, count(*) OVER (PARTITION BY kind) AS total FROM nodes n LEFT JOIN deg USING (id)) WHERE rank <= 20""", ints=("rank",))
@@ -96,3 +99,11 @@ def graph_topk(spark: SparkSession, sf: str) -> DataFrame:
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), query_terms(F.col("text")).alias("terms"))
     entities = table(spark, sf, "nation").selectExpr("concat(n_name, if(n_nationkey % 5 = 0, ' the of', '')) as name", "if(n_nationkey % 3 = 0, 'thand in ention', 'none') as description", "concat('c', n_nationkey % 8) as chunk_id")
     return graph.mentioned_chunks(asked, entities, 10)
+
+
+@query()
+def recall_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The first edges of a walk from the part that each question names, or from the best linked one. A test holds it against brute force."""
+    edges = table(spark, sf, "lineitem").filter("l_linenumber <= 2").selectExpr("concat('s', l_suppkey) as src", "concat('p', l_partkey) as dst").distinct()
+    nodes = table(spark, sf, "part").selectExpr("concat('p', p_partkey) as node", "split(p_name, ' ')[0] as name")
+    return graph.recall_paths(edges, nodes, table(spark, sf, "benchmark").selectExpr("item_id as query_id", "text"))

@@ -61,12 +61,13 @@ def hash_chain(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.chained(entries, "user_id", "event_id", "event_type").select("user_id", "event_id", "entry_hash")
 
 
-@query("SELECT 0 AS broken WHERE false")
+@query("SELECT user_id, event_id FROM events WHERE event_id % 50 = 7 AND event_type <> 'view'")
 def hash_chain_verify(spark: SparkSession, sf: str) -> DataFrame:
-    """No broken link in a chain as written."""
+    """Entries that were changed after the chain was written: every fiftieth is given the type view, which breaks its own hash unless it had that type."""
     entries = table(spark, sf, "events").select("user_id", "event_id", "event_type")
     chain = integrity.chained(entries, "user_id", "event_id", "event_type")
-    return integrity.broken_links(chain, "user_id", "event_id", "event_type").select(F.lit(0).alias("broken"))
+    changed = chain.withColumn("event_type", F.when(F.col("event_id") % 50 == 7, "view").otherwise(F.col("event_type")))
+    return integrity.broken_links(changed, "user_id", "event_id", "event_type").select("user_id", "event_id")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 OR o_custkey % 8 >= 6 THEN 'DEAD' ELSE 'RETRY' END AS status, CASE WHEN NOT (o_orderkey % 10 = 0 OR o_custkey % 8 >= 6) THEN least(30, CAST(pow(2, least(greatest(o_custkey % 8, 1), 5)) AS INTEGER)) ELSE 0 END AS wait FROM orders""")
@@ -89,11 +90,13 @@ def retention_cutoff(spark: SparkSession, sf: str) -> DataFrame:
     return kept.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT item_id AS case_id, (item_id * 37 + j) % 1300 AS doc_id FROM benchmark, (SELECT unnest(generate_series(0, 2)) AS j))
+@query("""WITH c AS (SELECT item_id AS case_id, (item_id * 37 + j) % (SELECT CAST(floor(1.3 * count(*)) AS BIGINT) FROM documents) AS doc_id FROM benchmark, (SELECT unnest(generate_series(0, 2)) AS j))
 SELECT case_id, doc_id FROM c WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def corpus_binding_check(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = table(spark, sf, "benchmark").selectExpr("item_id as case_id", "explode(sequence(0, 2)) as j").selectExpr("case_id", "(case_id * 37 + j) % 1300 as doc_id")
-    return wanted.join(table(spark, sf, "documents").select("doc_id"), "doc_id", "left_anti").select("case_id", "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id")
+    size = docs.agg(F.floor(F.count("*") * 1.3).cast("long").alias("n"))  # so that about a quarter of the bindings lead nowhere
+    wanted = table(spark, sf, "benchmark").selectExpr("item_id as case_id", "explode(sequence(0, 2)) as j").join(F.broadcast(size), F.lit(True)).selectExpr("case_id", "(case_id * 37 + j) % n as doc_id")
+    return wanted.join(docs, "doc_id", "left_anti").select("case_id", "doc_id")
 
 
 @query("""WITH s AS (SELECT DISTINCT user_id, event_type AS kb FROM events WHERE value < 20) SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = e.user_id AND s.kb = e.event_type)""")

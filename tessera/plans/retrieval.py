@@ -21,11 +21,15 @@ weighted AS (SELECT term, chunk_id, CAST(round(ln(1 + (n - df + 0.5) / (df + 0.5
 scored AS (SELECT query_id, chunk_id, CAST(sum(p) AS BIGINT) AS score FROM weighted JOIN asked USING (term) GROUP BY 1, 2),
 lexical AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 12)"""
 
-# The second channel stands in for another index: scores in coarse steps, ties by hash.
-OTHER_SQL = """other AS (SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score // 4000000 DESC, sha256(chunk_id)) AS rank FROM scored) WHERE rank <= 12)"""
-HITS_SQL = "hits AS (SELECT query_id, 'keyword' AS channel, rank, chunk_id AS item FROM lexical UNION ALL SELECT query_id, 'other', rank, chunk_id FROM other)"
+# The second channel: the vector of a document belongs to its first chunk, that of a question has the question's number.
+VECTOR_SQL = """near AS (SELECT item_id AS query_id, e.vec_id || '-0' AS chunk_id, e.vec_id,
+  CAST(round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) /
+  (sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) * 1000000) AS BIGINT) AS score
+  FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e WHERE e.vec_id IN (SELECT doc_id FROM documents WHERE text IS NOT NULL)),
+vector AS (SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM near) WHERE rank <= 12)"""
+HITS_SQL = "hits AS (SELECT query_id, 'keyword' AS channel, rank, chunk_id AS item FROM lexical UNION ALL SELECT query_id, 'vector', rank, chunk_id FROM vector)"
 RRF_SQL = """fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, f, item) AS rank FROM (
-  SELECT query_id, item, CAST(sum(CAST(round(CASE channel WHEN 'other' THEN 0.5 ELSE 1.0 END / (60 + rank) * 1000000000) AS BIGINT)) AS BIGINT) AS score, count(DISTINCT channel) AS channels,
+  SELECT query_id, item, CAST(sum(CAST(round(CASE channel WHEN 'vector' THEN 0.5 ELSE 1.0 END / (60 + rank) * 1000000000) AS BIGINT)) AS BIGINT) AS score, count(DISTINCT channel) AS channels,
   min(channel || lpad(CAST(rank AS VARCHAR), 4, '0')) AS f FROM hits GROUP BY 1, 2))"""
 
 
@@ -38,11 +42,13 @@ def _lexical(spark: SparkSession, sf: str, k: int = 12) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    scored = written(retrieval.bm25_scores(_questions(spark, sf), chunks(spark, sf)))
-    lexical = retrieval.top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], 12).select("query_id", F.lit("keyword").alias("channel"), "rank", F.col("chunk_id").alias("item"))
-    order = [F.desc(F.floor(F.col("score") / 4_000_000)), F.sha2(F.col("chunk_id").cast("binary"), 256)]
-    other = retrieval.top(scored, ["query_id"], order, 12).select("query_id", F.lit("other").alias("channel"), "rank", F.col("chunk_id").alias("item"))
-    return lexical.unionByName(other)
+    """The hits of two channels, keyword and vector, 12 a question each."""
+    lexical = _lexical(spark, sf).select("query_id", F.lit("keyword").alias("channel"), "rank", F.col("chunk_id").alias("item"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = _questions(spark, sf).join(vectors, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    stored = vectors.join(table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    near = retrieval.nearest(asked, stored, 12).select("query_id", F.lit("vector").alias("channel"), "rank", F.concat_ws("-", "vec_id", F.lit("0")).alias("item"))
+    return written(lexical.unionByName(near))
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, chunk_id, score, rank FROM lexical", ints=("rank",))
@@ -60,9 +66,9 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.nearest(asked, vectors.select("vec_id", "embedding"), 10)
 
 
-@query(f"WITH {BM25_SQL}, {OTHER_SQL}, {HITS_SQL}, {RRF_SQL} SELECT query_id, item, score, channels, rank FROM fused", ints=("rank",))
+@query(f"WITH {BM25_SQL}, {VECTOR_SQL}, {HITS_SQL}, {RRF_SQL} SELECT query_id, item, score, channels, rank FROM fused", ints=("rank",))
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.reciprocal_rank_fusion(_hits(spark, sf), {"other": 0.5}).drop("first_channel")
+    return retrieval.reciprocal_rank_fusion(_hits(spark, sf), {"vector": 0.5}).drop("first_channel")
 
 
 @query(f"""WITH {BM25_SQL}, k AS (SELECT l.*, kb FROM lexical l JOIN chunks USING (chunk_id)),
@@ -73,7 +79,7 @@ def kb_interleave(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.interleave(hits, "query_id", "kb", "score", "rank").select("query_id", "chunk_id", "turn", "place")
 
 
-@query(f"""WITH {BM25_SQL}, {OTHER_SQL}, {HITS_SQL} SELECT query_id, channel, item, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, channel) AS place FROM hits) WHERE place <= 15""", ints=("place",))
+@query(f"""WITH {BM25_SQL}, {VECTOR_SQL}, {HITS_SQL} SELECT query_id, channel, item, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, channel) AS place FROM hits) WHERE place <= 15""", ints=("place",))
 def candidate_bound(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.bound_candidates(_hits(spark, sf), 15).select("query_id", "channel", "item", "place")
 
@@ -166,7 +172,7 @@ def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def answer_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way from questions to contexts: two channels, bounded, fused, near-copies dropped, neighbours added, cut to a budget of tokens with a quota per base."""
     every = chunks(spark, sf)
-    fused = retrieval.reciprocal_rank_fusion(retrieval.bound_candidates(_hits(spark, sf), 40), {"other": 0.5})
+    fused = retrieval.reciprocal_rank_fusion(retrieval.bound_candidates(_hits(spark, sf), 40), {"vector": 0.5})
     named = written(fused.withColumnRenamed("item", "chunk_id").join(every, "chunk_id"))  # at most 40 rows a question
     kept = written(retrieval.greedy_distinct(named, "query_id", "rank", "content", "chunk_id").join(named.drop("rank"), ["query_id", "chunk_id"]))
     anchors = kept.filter("rank <= 5").select("query_id", "chunk_id", "doc_id", "chunk_index", "score")
@@ -176,7 +182,7 @@ def answer_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.select_context(priced, "query_id", "chunk_id", "kb", "score", "cost", 0, 600, 10, 1)
 
 
-@query(f"""WITH {BM25_SQL}, c AS (SELECT query_id, chunk_id, score, rank, length(content) AS n FROM lexical JOIN chunks USING (chunk_id) WHERE length(content) <= 100000)
+@query(f"""WITH {BM25_SQL}, c AS (SELECT query_id, chunk_id, score, rank, length(content) AS n FROM lexical JOIN chunks USING (chunk_id))
 SELECT query_id, max(rank) AS hits, CAST(sum(n) AS BIGINT) AS chars, max(score) AS best, CASE WHEN max(score) >= 30000000 THEN 'answer' ELSE 'insufficient_relevance' END AS decision FROM c GROUP BY 1""", ints=("hits",))
 def retrieval_decision(spark: SparkSession, sf: str) -> DataFrame:
     hits = _lexical(spark, sf).join(chunks(spark, sf).select("chunk_id", "content"), "chunk_id")

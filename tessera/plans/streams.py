@@ -48,6 +48,6 @@ def threshold_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select(F.date_format("d", "yyyy-MM-dd").alias("day"), (F.col("bad") * 100 > F.col("n") * 22).alias("error_alert"), F.coalesce(jump, F.lit(False)).alias("backlog_alert"), (F.col("p") > 150).alias("latency_alert"))
 
 
-@query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS r FROM events) WHERE r = 1""")
+@query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1""")
 def first_events(spark: SparkSession, sf: str) -> DataFrame:
-    return limits.first_seen(table(spark, sf, "events"), ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id")
+    return limits.first_seen(table(spark, sf, "events"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")

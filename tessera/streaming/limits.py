@@ -92,8 +92,8 @@ def breaker_states(calls: DataFrame, key: str, order: str, ts: str, failed: str,
     return folds.running(few, key, [F.asc_nulls_last("_t"), F.asc_nulls_last(order)], [key, order], {"state": "string"}, lambda: (0, None), step)
 
 
-def first_seen(events: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """Each key's first event; on a stream, repetitions are dropped within the watermark."""
+def first_seen(events: DataFrame, keys: list[str], ts: str, *ties: str) -> DataFrame:
+    """Each key's first event, by time and then `ties`; on a stream, repetitions are dropped within the watermark."""
     if events.isStreaming:
         return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", WATERMARK).dropDuplicatesWithinWatermark(keys)
-    return events.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(ts))).filter("_r = 1").drop("_r")
+    return events.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(ts, *ties))).filter("_r = 1").drop("_r")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
 from tessera.functions.vectors import cosine
-from tessera.operators import access, chunking, evaluation, graph, integrity, retrieval, statistics
+from tessera.operators import access, blocks, chunking, evaluation, graph, integrity, retrieval, statistics
 
 
 def rows(df, *cols):
@@ -183,6 +183,10 @@ def test_hops_and_expandable(spark):
 def test_paths_leave_cycles_out(spark):
     nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 4, "c"), (4, 3, "d")], "id int, parent int, name string")
     assert rows(graph.paths(nodes), "id", "path") == [(1, "a"), (2, "a > b")]
+    chain = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(30)] + [(100, 99, "dangling"), (101, 100, "below"), (200, 201, "x"), (201, 200, "y")], "id int, parent int, name string")
+    got = {r["id"]: (r["path"], r["depth"]) for r in graph.paths(chain).collect()}
+    assert len(got) == 32 and got[29] == (" > ".join(f"n{i}" for i in range(30)), 29) and got[101] == ("dangling > below", 1)
+
 
 
 def test_diff(spark):
@@ -310,7 +314,7 @@ def test_extraction(spark):
 
 
 def test_continued_tables(spark):
-    from tessera.operators.extraction import continued_tables, value_type
+    from tessera.operators.extraction import cell_kind, continued_tables
 
     t = [
         ("d", "a", 1, 0.7, 0.95, 0.1, 0.9, ["name", "n"], [["x", "1"], ["y", "2"]]), ("d", "b", 2, 0.05, 0.95, 0.1, 0.9, ["Name", "N"], [["z", "3"]]), ("d", "c", 3, 0.05, 0.5, 0.1, 0.9, ["w", "4"], [["v", "5"]]),
@@ -318,7 +322,8 @@ def test_continued_tables(spark):
     ]
     df = spark.createDataFrame(t, "d string, block_id string, page int, top double, bottom double, x0 double, x1 double, headers array<string>, rows array<array<string>>")
     assert rows(continued_tables(df, "d"), "block_id", "table_id", "mode") == [("a", "a", ""), ("b", "a", "repeated"), ("c", "a", "headerless"), ("e", "e", ""), ("f", "f", "")]
-    assert [value_type(x) for x in ("1,200.5%", "2024-01-02", "Yes", " ", "a1")] == ["number", "date", "boolean", "empty", "text"]
+    cells = spark.createDataFrame([(i, x) for i, x in enumerate(("1,200.5%", "2024-01-02", "Yes", " ", "a1", None))], "i int, x string")
+    assert [r[0] for r in cells.orderBy("i").select(cell_kind(F.col("x"))).collect()] == ["number", "date", "boolean", "empty", "text", "empty"]
 
 
 def test_base_cases(spark):
@@ -448,3 +453,133 @@ def test_whole_memories_against_brute_force(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert {(r["conv_id"], r["fact"]): r["action"] for r in run(spark, sf).collect()} == brute(rows)
+
+
+TEXT = """# One
+intro line
+goes on
+
+| a | b |
+| --- | --- |
+| 1 |  |
+| 2 | x |
+
+- first
+- second
+
+- third
+
+
+- apart
+![alt text](http://x/y.png)
+## Two
+```py
+code
+
+more
+```
+tail"""
+
+
+def test_typed_blocks(spark):
+    df = spark.createDataFrame([(1, TEXT), (2, ""), (3, None), (4, "a\r\nb")], "id int, t string")
+    got = [(r["id"], r["kind"], r["content"]) for r in blocks.typed_blocks(df, "id", "t").orderBy("id", "block").collect()]
+    assert got == [
+        (1, "HEADING", "# One\n"), (1, "PARAGRAPH", "intro line\ngoes on\n"), (1, "TABLE", "| a | b |\n| --- | --- |\n| 1 |  |\n| 2 | x |\n\n"), (1, "LIST", "- first\n- second\n\n- third\n\n"), (1, "LIST", "- apart\n"),
+        (1, "IMAGE", "![alt text](http://x/y.png)\n"), (1, "HEADING", "## Two\n"), (1, "CODE", "```py\ncode\n\nmore\n```\n"), (1, "PARAGRAPH", "tail"), (4, "PARAGRAPH", "a\nb"),
+    ]
+
+
+def test_block_parts(spark):
+    parts = [(r["kind"], r["content"], r["embedding_text"]) for r in blocks.block_parts(spark.createDataFrame([(1, TEXT)], "id int, t string"), "id", "t").orderBy("chunk_index").collect()]
+    assert parts[1] == ("TABLE", "[One]\n| a | b |\n| --- | --- |\n| 1 |  |\n| 2 | x |", "[One]\nheaders: a, b\na: 1\na: 2; b: x")
+    assert parts[4] == ("IMAGE", "[One]\n![alt text](http://x/y.png)\n", "[One]\n[图片: alt text]") and parts[-1] == ("PARAGRAPH", "[One > Two]\ntail", "")
+    long = "```\n" + "\n".join(f"line {i}" for i in range(170)) + "\n```"
+    code = [r["content"].count("\n") + 1 for r in blocks.block_parts(spark.createDataFrame([(1, long)], "id int, t string"), "id", "t").orderBy("chunk_index").collect()]
+    assert code == [80, 80, 12]
+
+
+def plain_cut(text, target, most):
+    """The rule, character by character."""
+    if len(text) <= most:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        goal, limit = min(at + target, len(text)), min(at + most, len(text))
+        ends = [i for i in range(goal, limit) if i > at and text[i - 1] in "。！？.!?" and (text[i].isspace() or text[i].isupper() or ord(text[i]) > 0x2E80)]
+        lines = [i + 1 for i in range(goal, limit) if text[i] == "\n"]
+        end = (ends or lines or [goal])[0]
+        out += [text[at:end].strip()] if text[at:end].strip() else []
+        at = end
+    return out
+
+
+def test_cut_paragraph(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab .\nC。é1!") for _ in range(rng.randint(1, 300))) for _ in range(60)] + ["x" * 200, "."]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", blocks.cut_paragraph(F.col("t"), 20, 40).alias("p"))
+    assert {r["i"]: r["p"] for r in df.collect()} == {i: plain_cut(t, 20, 40) for i, t in enumerate(texts)}
+
+
+def test_structure_chunks_overlap_and_tail(spark):
+    text = "aaaa\n\nbbbbbbbb\n\n# h\ncc\n\n"
+    sizes = blocks.Sizes(target=8, most=10, least=4, overlap=3)
+    got = [r["content"] for r in blocks.structure_chunks(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t", sizes).orderBy("chunk_index").collect()]
+    assert got == ["aaaa\n\n", "aa\n\n"[-3:] + "bbbbbbbb\n\n", "b\n\n# h\ncc\n"]
+
+
+def test_repaired_texts(spark):
+    cases = {
+        "see http://a.b/c/\nd?x=1 end": "see http://a.b/c/d?x=1 end", "http://a.b/c\n/d": "http://a.b/c/d", "http://a.b.\ncom x": "http://a.b.com x", "http://a.b/\n\nnew": "http://a.b/\n\nnew",
+        "http://a.b/\n1. item": "http://a.b/\n1. item", "plain\nline": "plain\nline", "中文\n断行": "中文断行", "a\r\nb": "a\nb", "http://a.b/c\nword": "http://a.b/c\nword", None: "",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", blocks.repaired(F.col("t")).alias("r"))
+    assert {r["t"]: r["r"] for r in df.collect()} == cases
+
+
+def test_strategies():
+    assert blocks.strategy("FIXED-SIZE")[0] == "fixed_window" and blocks.strategy("structure_aware")[1].target == 1400 and blocks.strategy("block_aware", 500)[1].target == 500
+    with pytest.raises(ValueError):
+        blocks.strategy("other")
+
+
+def test_recall_paths(spark):
+    links = [("a", "b"), ("b", "c"), ("a", "d"), ("c", "e"), ("d", "e"), ("x", "y")]
+    nodes = [("a", "Alpha"), ("b", "beta"), ("c", "alpha beta"), ("x", "xx"), ("e", "")]
+    asked = [(1, "about ALPHA"), (2, "alpha beta now"), (3, "nothing"), (4, "xx?")]
+    got = graph.recall_paths(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame(nodes, "node string, name string"), spark.createDataFrame(asked, "query_id int, text string"))
+
+    def walk(seed):
+        near = lambda n: sorted({b for a, b in links if a == n} | {a for a, b in links if b == n})
+        queue, seen, out = [seed], {seed}, []
+        while queue and len(out) < 4:
+            at = queue.pop(0)
+            for n in near(at):
+                if n not in seen and len(out) < 4:
+                    seen.add(n)
+                    queue.append(n)
+                    out.append((len(out) + 1, at, n))
+        return out
+
+    want = {(q, *e) for q, seed in ((1, "a"), (2, "c"), (3, "a"), (4, "x")) for e in walk(seed)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_lexical_bounds_find_what_full_scores_do(spark):
+    rng = random.Random(7)
+    words = ["the"] * 30 + ["of"] * 20 + [f"w{i}" for i in range(60)]
+    chunks = [(f"c{i}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for i in range(300)]
+    asked = [(i, " ".join(rng.choice(words) for _ in range(8))) for i in range(12)] + [(50, "the of"), (51, "zzz"), (52, "w1")]
+    q, c = spark.createDataFrame(asked, "query_id int, text string"), spark.createDataFrame(chunks, "chunk_id string, content string")
+    parts = retrieval.weighted_postings(q, c)
+    full = retrieval.top(q.select("query_id", F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term")).join(parts, "term").groupBy("query_id", "chunk_id").agg(F.sum("p").alias("score")), ["query_id"], [F.desc("score"), F.col("chunk_id")], 5)
+    want = rows(full, "query_id", "chunk_id", "score", "rank")
+    for probe in (1, 20):
+        assert rows(retrieval.bm25(q, c, 5, probe), "query_id", "chunk_id", "score", "rank") == want
+
+
+def test_nearest_in_a_grid(spark):
+    rng = random.Random(3)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id int, embedding array<double>")
+    asked = vectors.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    assert rows(retrieval.nearest(asked, vectors, 4, block=7, bucket=13), "query_id", "vec_id", "score", "rank") == rows(retrieval.nearest(asked, vectors, 4), "query_id", "vec_id", "score", "rank")
