@@ -10,15 +10,23 @@ from tessera.sources.tables import table
 from tessera.streaming import limits
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT user_id, event_id, i, true AS admitted, [t] AS log FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.i, len(k) < 3, CASE WHEN len(k) < 3 THEN list_append(k, e.t) ELSE k END FROM e JOIN w ON e.user_id = w.user_id AND e.i = w.i + 1, LATERAL (SELECT list_filter(w.log, lambda x: x > e.t - 7200000000) AS k))
+SELECT user_id, event_id, admitted FROM w""")
 def rate_limiter(spark: SparkSession, sf: str) -> DataFrame:
-    """At most 3 admitted events a user in any two hours. A test holds it against brute force."""
+    """At most 3 admitted events a user in any two hours. A test holds it against brute force as well."""
     return limits.rate_limited(table(spark, sf, "events"), "user_id", "ts", "event_id", 3, 7200)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type IN ('error', 'view') AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT DISTINCT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS i, '' AS state, 0 AS failures, CAST(NULL AS BIGINT) AS opened FROM e
+  UNION ALL SELECT e.user_id, e.event_id, e.i, s, CASE WHEN s = 'open' THEN w.failures WHEN e.bad THEN w.failures + 1 ELSE 0 END,
+    CASE WHEN s = 'open' THEN w.opened WHEN e.bad AND (w.failures + 1 >= 3 OR s = 'half_open') THEN e.t END
+  FROM e JOIN w ON e.user_id = w.user_id AND e.i = w.i + 1, LATERAL (SELECT CASE WHEN w.opened IS NULL THEN 'closed' WHEN e.t - w.opened >= 86400000000 THEN 'half_open' ELSE 'open' END AS s))
+SELECT user_id, event_id, state FROM w WHERE i > 0""")
 def circuit_breaker(spark: SparkSession, sf: str) -> DataFrame:
-    """A breaker a user over its failures, with a pause of a day. A test holds it against brute force."""
+    """A breaker a user over its failures, with a pause of a day. A test holds it against brute force as well."""
     calls = table(spark, sf, "events").withColumn("bad", F.col("event_type").isin("error", "view"))
     return limits.breaker_states(calls, "user_id", "event_id", "ts", "bad", 3, 86400)
 
