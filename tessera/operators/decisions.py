@@ -6,7 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 from tessera.operators import folds
+from tessera.operators.lineage import met_in_blocks
 
 # Which status a document may pass to.
 TRANSITIONS = (
@@ -47,7 +49,7 @@ def invest(cases: Column, before: Column, after: Column, p95_ms: Column, least_c
 
 def scopes_named(questions: DataFrame, scopes: DataFrame) -> DataFrame:
     """query_id, scope: scopes (scope, name) whose name, of three characters or more, the question holds; all scopes for a question that holds none. scopes is a short configured list."""
-    pairs = questions.join(F.broadcast(scopes), F.lit(True))
+    pairs = met_in_blocks(scopes, questions)
     named = pairs.withColumn("_in", (F.char_length(F.regexp_replace("name", r"[^\p{L}\p{N}]", "")) >= 3) & F.contains(F.lower("text"), F.lower("name")))
     return named.withColumn("_any", F.bool_or("_in").over(Window.partitionBy("query_id"))).filter("_in or not _any").select("query_id", "scope")
 
@@ -55,7 +57,7 @@ def scopes_named(questions: DataFrame, scopes: DataFrame) -> DataFrame:
 def intent_scores(questions: DataFrame, nodes: DataFrame, most: int = 5, least: float = 0.3) -> DataFrame:
     """query_id, code, score, rank, ambiguous: nodes (code, name, haystack; a short configured list) by the share of the question's terms they hold (65 parts) and whether the
     question holds their name (35 parts), cut to 0.95; at most `most` of `least` and over. ambiguous: the best is 0.55 or more and the next within 0.08."""
-    pairs = questions.withColumn("_q", F.lower(F.trim("text"))).filter("_q <> ''").join(F.broadcast(nodes), F.lit(True))
+    pairs = met_in_blocks(nodes, questions.withColumn("_q", F.lower(F.trim("text"))).filter("_q <> ''"))
     terms = F.array_distinct(F.regexp_extract_all("_q", F.lit(r"[\p{L}\p{N}_]{2,}"), 0))
     share = F.size(F.filter(terms, lambda t: F.contains(F.lower("haystack"), t))) / F.greatest(F.lit(1), F.size(terms))
     direct = F.when((F.col("name") != "") & F.contains("_q", F.lower("name")), 0.35).otherwise(0.0)
@@ -69,7 +71,7 @@ def intent_scores(questions: DataFrame, nodes: DataFrame, most: int = 5, least:
 def recommended(samples: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
     """query_id, suggestion, rank: sample questions (kb, sample, place) of all bases or the question's (query_id, kb, text), other than the question, each once, in order."""
     own = questions.join(samples.filter("kb is not null and kb <> ''"), "kb").select("query_id", "text", "sample", "place")
-    every = questions.join(F.broadcast(samples.filter("kb is null or kb = ''").drop("kb")), F.lit(True)).select("query_id", "text", "sample", "place")
+    every = met_in_blocks(samples.filter("kb is null or kb = ''").drop("kb"), questions).select("query_id", "text", "sample", "place")
     fit = own.unionByName(every).filter((F.trim("sample") != "") & (F.trim("sample") != F.trim("text"))).groupBy("query_id", F.trim("sample").alias("suggestion")).agg(F.min("place").alias("place"))
     return fit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "suggestion"))).filter(F.col("rank") <= most).drop("place")
 

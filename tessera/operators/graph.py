@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import written
+from tessera.operators.lineage import met_in_blocks, written
 
 
 def cooccurrences(mentions: DataFrame, group: str, name: str, place: str, most: int = 8) -> DataFrame:
@@ -100,7 +100,7 @@ def recall_paths(edges: DataFrame, nodes: DataFrame, questions: DataFrame, most:
 
     At most `most` nodes a question are gone on from at each hop, and at most `most` hops are made."""
     both = written(undirected(edges))
-    named = nodes.join(F.broadcast(questions.select("query_id", F.lower("text").alias("_t"))), F.contains("_t", F.lower("name")) & (F.char_length("name") > 0))  # a stated query set against all nodes
+    named = met_in_blocks(questions.select("query_id", F.lower("text").alias("_t")), nodes).filter(F.contains("_t", F.lower("name")) & (F.char_length("name") > 0))
     best = named.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.char_length("name")), "node"))).filter("_r = 1").select("query_id", "node")
     hub = both.groupBy(F.col("src").alias("_hub")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_hub").limit(1).select("_hub")
     seeds = questions.select("query_id").join(best, "query_id", "left").join(F.broadcast(hub), F.lit(True), "left").select("query_id", F.coalesce("node", "_hub").alias("node")).filter("node is not null")
@@ -127,9 +127,8 @@ def mentioned_chunks(questions: DataFrame, entities: DataFrame, k: int) -> DataF
     description (72). The best k entities of a question are taken (ties: the shorter name), then each of their chunks once, as long as any stay.
 
     The questions are a stated set and meet all entities; each task keeps k rows a question before the shuffle."""
-    asked = F.broadcast(questions.select("query_id", "terms"))
     held = lambda c: F.exists("terms", lambda t: F.contains(F.lower(c), t))
-    met = entities.join(asked, F.lit(True)).withColumn("score", F.when(held("name"), 100).when(held("description"), 72)).filter("score is not null")
+    met = met_in_blocks(questions.select("query_id", "terms"), entities).withColumn("score", F.when(held("name"), 100).when(held("description"), 72)).filter("score is not null")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.char_length("name"), "name", "chunk_id")
     top = met.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= max(1, min(k, 50)))
     once = top.withColumn("_c", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("_r"))).filter("_c = 1")

@@ -30,6 +30,19 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def met_in_blocks(asked: DataFrame, rows: DataFrame, block: int = 2000, bucket: int = 50_000) -> DataFrame:
+    """Every one of a stated query set beside every row. Up to `block` queries are broadcast; more are met in a grid of blocks of queries and buckets of rows, each cell a key of its own."""
+    asked = written(asked)
+    n = asked.count()
+    if n <= block:
+        return rows.join(F.broadcast(asked), F.lit(True))
+    blocks, buckets = -(-n // block), -(-rows.count() // bucket)
+    cell = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(k, 1) - 1)))
+    left = rows.withColumn("_bucket", cell(rows, max(buckets, 1))).withColumn("_block", every(blocks))
+    return left.join(asked.withColumn("_block", cell(asked, blocks)).withColumn("_bucket", every(buckets)), ["_block", "_bucket"]).drop("_block", "_bucket")
+
+
 def if_small(df: DataFrame, most_rows: int = 500_000, most_bytes: int = 64 << 20) -> DataFrame:
     """A broadcast hint if the (written) frame has at most so many rows and, as JSON, bytes; else the frame as it is, for a shuffle join that Spark may split."""
     size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import trigrams
 from tessera.functions.vectors import cosine
-from tessera.operators.lineage import if_small, written
+from tessera.operators.lineage import if_small, met_in_blocks, written
 
 K1, B = 1.2, 0.75
 
@@ -77,19 +77,9 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, probe: int = 20) -> Data
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2000, bucket: int = 50_000) -> DataFrame:
     """query_id, vec_id, score, rank: the k most similar vectors (vec_id, embedding) for each query (query_id, embedding), by exact cosine in millionths.
 
-    The stated queries go against all rows. Up to `block` queries are broadcast; more are met with the vectors in a grid of blocks of queries and buckets of
-    vectors, each cell a key of its own. Each task keeps k rows a query before the shuffle.
+    The stated queries go against all rows, by met_in_blocks(). Each task keeps k rows a query before the shuffle.
     """
-    asked = written(queries.withColumnRenamed("embedding", "_q"))
-    n = asked.count()
-    if n <= block:
-        pairs = vectors.join(F.broadcast(asked), F.lit(True))
-    else:
-        blocks, buckets = -(-n // block), -(-vectors.count() // bucket)
-        cell = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = vectors.withColumn("_bucket", cell("vec_id", buckets)).withColumn("_block", every(blocks))
-        pairs = left.join(asked.withColumn("_block", cell("query_id", blocks)).withColumn("_bucket", every(buckets)), ["_block", "_bucket"])
+    pairs = met_in_blocks(queries.withColumnRenamed("embedding", "_q"), vectors, block, bucket)
     scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("_q"), F.col("embedding")) * 1_000_000).cast("long").alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
 

@@ -26,7 +26,14 @@ def outline_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return blocks.groupBy("doc_id", "kind").agg(F.count("*").alias("blocks"))
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, CAST(0 AS BIGINT) AS k, false AS last FROM d
+  UNION ALL SELECT d.doc_id, a, CASE WHEN z < n AND cut > 0 THEN z - 128 + cut ELSE z END, w.k + 1, CASE WHEN z < n AND cut > 0 THEN z - 128 + cut ELSE z END >= n
+  FROM w JOIN d USING (doc_id), LATERAL (SELECT CASE WHEN w.k = 0 THEN 0 WHEN w.e - 128 > w.s THEN w.e - 128 ELSE w.e END AS a), LATERAL (SELECT least(a + 512, n) AS z),
+  LATERAL (SELECT substr(t, z - 127, 128) AS tail), LATERAL (SELECT CASE WHEN contains(tail, chr(10)) THEN 129 - strpos(reverse(tail), chr(10))
+    WHEN regexp_matches(tail, '[。！？]') THEN length(regexp_extract(tail, '(?s)^(.*[。！？])', 1)) ELSE length(regexp_extract(tail, '(?s)^(.*[.!?])(?:\s|$)', 1)) END AS cut)
+  WHERE NOT w.last)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, substr(t, s + 1, e - s) AS content FROM w JOIN d USING (doc_id) WHERE k > 0 AND regexp_matches(substr(t, s + 1, e - s), '\S')""")
 def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Windows that end at sentences. A test holds them against brute force."""
     return chunking.sentence_windows(table(spark, sf, "documents"), "doc_id", "text", 512, 128)
@@ -135,7 +142,19 @@ def memory_actions_whole(spark: SparkSession, sf: str) -> DataFrame:
     return memory_actions(spark, sf)
 
 
-@query()
+_TERMS = r"list_distinct(list_transform(regexp_extract_all(regexp_replace({0}, '\[\d+\]', '', 'g'), '[\x{{3400}}-\x{{9fff}}]|[A-Za-z0-9_]{{2,}}'), lambda w: lower(w)))"
+
+
+@query(rf"""WITH r AS (SELECT conv_id || '-' || turn AS answer_id, conv_id, text || ' [1]' AS answer FROM conversations WHERE role = 'assistant'),
+s AS (SELECT answer_id, conv_id, string_split(regexp_replace(regexp_replace(answer, '([。！？.!?\n])', '\1' || chr(1), 'g'), chr(1) || '(\[\d+\])', '\1', 'g'), chr(1)) AS parts FROM r),
+c AS (SELECT answer_id, conv_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS sentence_no FROM (SELECT answer_id, conv_id, list_filter(parts, lambda s: len({_TERMS.format("s")}) > 0) AS p FROM s)),
+k AS (SELECT answer_id, conv_id, CAST(sentence_no AS INTEGER) AS sentence_no, {_TERMS.format("s")} AS c, list_transform(regexp_extract_all(s, '\[(\d+)\]', 1), lambda n: CAST(n AS INTEGER)) AS marks FROM c),
+e AS (SELECT conv_id, CAST(turn // 2 + 1 AS INTEGER) AS ref, {_TERMS.format("text")} AS e FROM conversations WHERE role = 'user'),
+j AS (SELECT answer_id, sentence_no, marks, ref, len(c) AS n, len(list_intersect(c, e)) AS m FROM k LEFT JOIN e USING (conv_id)),
+v AS (SELECT *, CASE WHEN ref IS NOT NULL AND m >= CASE WHEN n <= 2 THEN 1 ELSE 2 END THEN CAST(m AS DOUBLE) / n ELSE 0 END AS s FROM j),
+g AS (SELECT answer_id, sentence_no, any_value(marks) AS marks, coalesce(list_sort(list_distinct(list(ref) FILTER (WHERE s >= 0.15 AND list_contains(marks, ref)))), []) AS good, list(ref ORDER BY s DESC, ref) FILTER (WHERE s >= 0.15) AS best FROM v GROUP BY 1, 2)
+SELECT answer_id, sentence_no, CASE WHEN len(good) > 0 THEN array_to_string(good, ',') WHEN best IS NOT NULL THEN CAST(best[1] AS VARCHAR) ELSE '' END AS refs, len(good) = 0 AND best IS NOT NULL AS attached,
+  len(good) = 0 AND best IS NULL AS unsupported, CAST(len(list_filter(marks, lambda m: NOT list_contains(good, m))) AS INTEGER) AS invalid FROM g""")
 def citation_support(spark: SparkSession, sf: str) -> DataFrame:
     """Each answer's sentences against the user turns of its conversation as sources. A test holds the rules against written cases."""
     said = table(spark, sf, "conversations")
@@ -144,10 +163,15 @@ def citation_support(spark: SparkSession, sf: str) -> DataFrame:
     return answers.checked_citations(replies, sources).withColumn("refs", F.array_join("refs", ","))
 
 
-@query()
+@query(r"""WITH RECURSIVE p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, line FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line) <> ''),
+w AS (SELECT doc_id, k, 1 AS r, length(line) AS n FROM p WHERE k = 1 UNION ALL SELECT p.doc_id, p.k, CASE WHEN w.n > 0 AND w.n + length(line) > 800 THEN w.r + 1 ELSE w.r END, CASE WHEN w.n > 0 AND w.n + length(line) > 800 THEN length(line) ELSE w.n + length(line) END
+  FROM p JOIN w ON p.doc_id = w.doc_id AND p.k = w.k + 1)
+SELECT doc_id, CAST(r - 1 AS INTEGER) AS chunk_index, 'PARAGRAPH' AS kind, any_value(source) AS path, string_agg(line, chr(10) || chr(10) ORDER BY k) AS content, '章节: ' || any_value(source) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY k) AS embedding_text
+FROM w JOIN p USING (doc_id, k) GROUP BY doc_id, r""")
 def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as chunks of their sections. A test holds the rules against written cases."""
-    blocks = chunking.outline_blocks(table(spark, sf, "documents"), "doc_id", "text")
+    """Documents, each under a heading and with its lines as paragraphs, as chunks of their sections. A test holds the rules against written cases as well."""
+    docs = table(spark, sf, "documents").selectExpr("doc_id", "concat('# ', source, '\\n\\n', replace(text, '\\n', '\\n\\n')) as text")
+    blocks = chunking.outline_blocks(docs, "doc_id", "text")
     return chunking.section_chunks(chunking.outline_paths(blocks, "doc_id"), "doc_id").withColumn("path", F.array_join("path", " > "))
 
 

@@ -583,3 +583,25 @@ def test_nearest_in_a_grid(spark):
     vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id int, embedding array<double>")
     asked = vectors.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
     assert rows(retrieval.nearest(asked, vectors, 4, block=7, bucket=13), "query_id", "vec_id", "score", "rank") == rows(retrieval.nearest(asked, vectors, 4), "query_id", "vec_id", "score", "rank")
+
+
+def test_entity_mentions_against_brute_force(spark):
+    """The names of whole documents against the rules in plain Python."""
+    import re
+
+    from tessera.plans import registry
+
+    def named(text):
+        heads = [re.sub(r"^\d+(?:\.\d+)*[、.\s-]*", "", h) for h in re.findall(r"(?m)^#{1,6}\s+(.{2,80})$", text)]
+        found = heads + re.findall(r"`([^`\n]{2,80})`", text) + re.findall(r"\b(?:[A-Z][A-Za-z0-9]+){1,}[A-Za-z0-9]*\b|\b[A-Za-z][A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+\b", text)
+        out = {}
+        for x in (re.sub(r"\s+", " ", f).strip(" -:：，。") for f in found):
+            if 2 <= len(x) <= 80 and x.lower() not in ("typescript", "javascript", "string", "true", "false"):
+                out.setdefault(x.lower(), x)
+        return list(out.values())[:12]
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    got = {}
+    for r in registry.queries()["entity_mentions"](spark, "/root/testdata/sf0.001").orderBy("doc_id", "place").collect():
+        got.setdefault(r["doc_id"], []).append(r["name"])
+    assert got == {i: n for i, t in docs.items() if (n := named(t or ""))}
