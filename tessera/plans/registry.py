@@ -26,7 +26,7 @@ def query(sql: str | None = None, ints: tuple[str, ...] = ()) -> Callable[[Query
 
 
 def _load() -> None:
-    from tessera.plans import chunks, documents, evaluation, graph, integrity, lifecycle, monitoring, projections, retrieval, streams, text  # noqa: F401
+    from tessera.plans import chunks, documents, evaluation, graph, integrity, lifecycle, monitoring, projections, retrieval, rules, streams, text  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
