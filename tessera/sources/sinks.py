@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.retrieval import tokens
@@ -37,28 +38,33 @@ def write_generation(rows: DataFrame, folder: str, generation: str, by: str = "k
 
 
 def promote(spark: SparkSession, folder: str, generation: str, expected: int) -> None:
-    """Make a generation the visible one, if it holds the expected rows and any at all. Readers follow a pointer of one row, so they see either the old or the new one whole."""
+    """Make a generation the visible one, if it holds the expected rows and any at all. Readers follow the pointer of the highest version, a folder of its own that appears whole, so they
+    see either the old or the new one. Of two writers that find the same version, the second one's write is refused, as its folder exists."""
     found = spark.read.parquet(f"{folder}/generation={generation}").count()
     if found != expected or not found:
         raise IncompleteGeneration(f"generation {generation} has {found} rows of {expected}")
-    versions = [int(p) for p in _pointers(spark, folder)]
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.parquet(f"{folder}/_pointer/{max(versions, default=0) + 1}")
+    newest = _pointer(spark, folder)
+    version = newest["version"] + 1 if newest else 1
+    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("errorifexists").parquet(f"{folder}/pointer/version={version}")
 
 
-def _pointers(spark: SparkSession, folder: str) -> list[str]:
-    jvm, path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_pointer")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    done = lambda s: fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    return [s.getPath().getName() for s in fs.listStatus(path) if done(s)]
+def _pointer(spark: SparkSession, folder: str) -> Row | None:
+    """generation and version of the newest pointer, or None before the first."""
+    try:
+        pointers = spark.read.schema("generation string, version long").parquet(f"{folder}/pointer")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return pointers.orderBy(F.desc("version")).first()
 
 
 def visible(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of the visible generation."""
-    newest = max(map(int, _pointers(spark, folder)))
-    generation = spark.read.parquet(f"{folder}/_pointer/{newest}").first()["generation"]
-    return spark.read.parquet(f"{folder}/generation={generation}")
+    newest = _pointer(spark, folder)
+    if newest is None:
+        raise IncompleteGeneration(f"{folder} has no visible generation")
+    return spark.read.parquet(f"{folder}/generation={newest['generation']}")
 
 
 def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
