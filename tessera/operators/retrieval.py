@@ -40,9 +40,9 @@ def weighted_postings(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, probe: int = 20) -> DataFrame:
     """query_id, chunk_id, score, rank: the k chunks with the highest BM25 score (millionths; ties: chunk_id) for each query; exact, without scoring every chunk.
 
-    Each query's terms are taken by falling rarity. The k-th best sum over its rarest terms (those of about probe * k postings) is a lower bound of its k-th
-    score. Common terms whose greatest possible parts add up to less than it can't bring in a chunk alone: their postings are skipped, and looked up only
-    for chunks whose sum over the other terms can still reach the bound.
+    Each query's terms are taken by falling rarity. The chunks with the best sums over its rarest terms (those of about probe * k postings) are scored in full: the k-th of these scores is a
+    lower bound of the query's k-th. Common terms whose greatest possible parts add up to less than a third of it can't bring in a chunk alone: their postings are skipped, and
+    looked up only for chunks whose sum over the other terms can still reach the bound.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     postings = written(weighted_postings(queries, chunks))
@@ -56,21 +56,22 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, probe: int = 20) -> Data
     )
 
     def sums(of: DataFrame) -> DataFrame:
-        return postings.join(if_small(of), "term").groupBy("query_id", "chunk_id").agg(F.sum("p").alias("sum"))
-
-    def bounds(scored: DataFrame) -> DataFrame:
-        kth = top(scored, ["query_id"], [F.desc("sum")], k).filter(F.col("rank") == k)
-        return written(kth.select("query_id", F.col("sum").alias("bound")))
-
-    first = bounds(sums(written(terms.filter(F.col("before") < probe * k).select("query_id", "term"))))
-    placed = written(terms.join(if_small(first), "query_id", "left").withColumn("common", F.col("from_here") < F.coalesce("bound", F.lit(0))))
-    partial = written(sums(written(placed.filter("not common").select("query_id", "term"))))
-    open_ = placed.filter("common").groupBy("query_id").agg(F.sum("most").alias("rest"))
-    bound = written(bounds(partial).join(open_, "query_id", "full_outer").select("query_id", F.coalesce("bound", F.lit(0)).alias("bound"), F.coalesce("rest", F.lit(0)).alias("rest")))
-    able = written(partial.join(if_small(bound), "query_id", "left").filter(F.col("sum") + F.coalesce("rest", F.lit(0)) >= F.coalesce("bound", F.lit(0))).select("query_id", "chunk_id", "sum"))
-    lookups = able.join(if_small(written(placed.filter("common").select("query_id", "term"))), "query_id")
-    found = lookups.join(postings, ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum("p").alias("more"))
-    scored = able.join(found, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("score"))
+        return postings.join(if_small(written(of.select("query_id", "term"))), "term").groupBy("query_id", "chunk_id").agg(F.sum("p").alias("sum"))
+
+    def looked_up(of: DataFrame, which: DataFrame) -> DataFrame:
+        """query_id, chunk_id, more: the parts of which (query_id, term) in the chunks of (query_id, chunk_id), each found by term and chunk."""
+        return of.join(if_small(written(which.select("query_id", "term"))), "query_id").join(postings, ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum("p").alias("more"))
+
+    promising = top(sums(terms.filter(F.col("before") < probe * k)), ["query_id"], [F.desc("sum"), F.col("chunk_id")], 5 * k, "_r").select("query_id", "chunk_id")
+    kth = top(looked_up(written(promising), terms), ["query_id"], [F.desc("more")], k).filter(F.col("rank") == k)
+    bound = written(kth.select("query_id", F.col("more").alias("bound")))
+    placed = written(terms.join(if_small(bound), "query_id", "left").withColumn("common", F.col("from_here") * 3 < F.coalesce("bound", F.lit(0))))
+    rest = placed.groupBy("query_id").agg(F.sum(F.when(F.col("common"), F.col("most")).otherwise(0)).alias("rest"), F.coalesce(F.max("bound"), F.lit(0)).alias("bound"))
+    partial = written(sums(placed.filter("not common")))
+    better = top(partial, ["query_id"], [F.desc("sum")], k).filter(F.col("rank") == k).select("query_id", F.col("sum").alias("_b"))
+    limits = written(rest.join(better, "query_id", "left").select("query_id", "rest", F.greatest("bound", F.coalesce("_b", F.lit(0))).alias("bound")))
+    able = written(partial.join(if_small(limits), "query_id").filter(F.col("sum") + F.col("rest") >= F.col("bound")).select("query_id", "chunk_id", "sum"))
+    scored = able.join(looked_up(able, placed.filter("common")), ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
