@@ -28,13 +28,13 @@ def weighted_postings(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     asked = written(queries.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct())
     sized = chunks.select("chunk_id", tokens(F.col("content")).alias("_w")).withColumn("length", F.size("_w"))
-    corpus = sized.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg"))
+    corpus = written(sized.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg")))
     words = sized.select("chunk_id", "length", F.explode("_w").alias("term")).join(if_small(asked), "term", "left_semi")
-    postings = words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).hint("rebalance")  # else the join takes over its partitioning, and a common term is one task
+    postings = written(words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
+    df = written(postings.groupBy("term").agg(F.count("*").alias("df")))
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    return postings.join(df, "term").join(F.broadcast(corpus), F.lit(True)).select("term", "chunk_id", F.round(part * 1_000_000).cast("long").alias("p"))
+    return postings.join(if_small(df), "term").join(F.broadcast(corpus), F.lit(True)).select("term", "chunk_id", F.round(part * 1_000_000).cast("long").alias("p"))
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, probe: int = 20) -> DataFrame:
@@ -45,7 +45,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, probe: int = 20) -> Data
     looked up only for chunks whose sum over the other terms can still reach the bound.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    postings = written(weighted_postings(queries, chunks))
+    postings = weighted_postings(queries, chunks)
     stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("p").alias("most"))
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
     later = rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing)
