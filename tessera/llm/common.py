@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -124,6 +125,33 @@ def small_or_not(df: DataFrame, most_rows: int = 500_000, most_bytes: int = 64 <
     return F.broadcast(df) if size["n"] <= most_rows and size["b"] <= most_bytes else df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs meanwhile: Python workers then hold few texts, and what is made of them, at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def tidied(results: Iterator) -> Iterator:
+    """The results of a worker's batches; after each, memory that it no longer needs goes back to the system, as workers stay for later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for result in results:
+        yield result
+        del result
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """docs over all cores: a table of fewer partitions than the cluster has cores (one row group, say) is dealt out before heavy work on its rows."""
     cores = docs.sparkSession.sparkContext.defaultParallelism

@@ -25,7 +25,7 @@ def item_windows(items: DataFrame, length: int) -> DataFrame:
 def anchor_sets(windows: DataFrame, frequency: DataFrame, anchors: int) -> DataFrame:
     """_set, _item, _needed, _term, _offset, _bit: for every window the places in its item of its `anchors` rarest distinct words, windows that share all of them taken
     together. Windows with a word that no document has are left out."""
-    counted = windows.join(frequency, "_term", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    counted = windows.join(small_or_not(frequency), "_term", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     each = Window.partitionBy("_item", "_window", "_term").orderBy("_offset")
     distinct = counted.withColumn("_k", F.row_number().over(each)).filter("_k = 1")
     rare = Window.partitionBy("_item", "_window").orderBy("_n", "_word")

@@ -11,14 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_sample, set_apart
+from tessera.llm.common import bounded_sample, set_apart, tidied
 
 ORDER = 3
 UNDETERMINED = "und"
 _LETTER = re.compile("[A-Za-z]")
 _START = b"\n" * ORDER
 #: Bytes scored at a time, which bounds a worker's memory for texts of any length.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
+#: Texts encoded at a time.
+_TEXTS = 256
 
 
 @dataclass(frozen=True)
@@ -145,10 +147,14 @@ def predict(texts: list[str | None], trees: ContextTrees) -> tuple[list[str], np
     usable = [i for i, t in enumerate(texts) if t and has_letter(t)] if trees.languages else []
     names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     if usable:
-        data = [texts[i].encode("utf-8") for i in usable]
-        lengths = code_lengths(data, trees)
+        parts, sizes = [], []
+        for at in range(0, len(usable), _TEXTS):
+            data = [texts[i].encode("utf-8") for i in usable[at : at + _TEXTS]]
+            parts.append(code_lengths(data, trees))
+            sizes += map(len, data)
+        lengths = np.concatenate(parts)
         best = lengths.argmin(axis=1)
-        excess = (lengths - lengths.min(axis=1, keepdims=True)) / np.maximum(1, np.array([len(x) for x in data]) / 64)[:, None]
+        excess = (lengths - lengths.min(axis=1, keepdims=True)) / np.maximum(1, np.array(sizes) / 64)[:, None]
         scores[usable] = 1 / np.exp2(-excess).sum(axis=1)
         for i, b in zip(usable, best):
             names[i] = trees.languages[b]
@@ -164,9 +170,11 @@ def identify_languages(docs: DataFrame, trees: ContextTrees, into: str = "_lang"
     model = docs.sparkSession.sparkContext.broadcast(trees)  # sparse, and bounded by the training sample
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            names, scores = predict(texts.tolist(), model.value)
-            yield pd.DataFrame({"pred": names, "score": scores})
+        yield from tidied(judged(texts) for texts in batches)
+
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        names, scores = predict(texts.tolist(), model.value)
+        return pd.DataFrame({"pred": names, "score": scores})
 
     rows, _, text, back = set_apart(docs, into)
     return back(rows, F.pandas_udf(of, "pred string, score double")(text))

@@ -15,44 +15,58 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shuffle_partitions, stored
 
+#: The pattern of byte-level pre-tokenizers; what it finds is encoded part by part.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PROBE = "one two\nthree  four's 12a!? \t\u00e9t\u00e9 "
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 #: Words a worker remembers the ids of; beyond it starts anew, which changes speed only.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 400_000
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable Latin-1 and no space, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)}
 
 
 class WordIds(dict):
-    """Token ids of words as little-endian uint32 bytes, by a tokenizers file, looked up once and remembered."""
+    """Token ids of words and parts of words as little-endian uint32 bytes, by the model of a tokenizers file, looked up once and remembered."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        #: Whether words that begin at a space, and lone newlines, are parts of their own, which a text can be cut into.
-        self.cuts = [w for w, _ in split("one two\nthree")] == ["one", "\u0120two", "\u010a", "three"] and self.tokenizer.normalizer is None
+        self.tokenizer, self.characters, self.split = Tokenizer.from_file(vocabulary), byte_characters(), regex.compile(PARTS).findall
+        own = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(_PROBE)]
+        #: Whether the file's pre-tokenizer cuts texts as PARTS does; if not, they are encoded whole.
+        self.cuts = self.tokenizer.normalizer is None and own == [self.shown(p) for p in self.split(_PROBE)]
+
+    def shown(self, part: str) -> str:
+        return part.encode("utf-8").decode("latin-1").translate(self.characters)
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED_WORDS:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBERED_WORDS:
             self.clear()
-            new = list(words)
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+        parts = self.split(word)
+        if len(parts) == 1:
+            ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(self.shown(word))], dtype="<u4").tobytes()
+        else:
+            ids = b"".join([self[p] for p in parts])
+        self[word] = ids
+        return ids
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text. A single space or newline between other characters always begins a part, so the words between can be encoded alone; texts with
-        other white space, or that may hold a special token, are encoded whole."""
+        """The ids of each text. A single space or newline between other characters always begins a part, so the words between can be encoded alone; texts with other white space
+        are cut into their parts, and those that may hold a special token are encoded whole."""
         for text in texts:
-            if not self.cuts or not text or "<|" in text or "\x00" in text or _ODD_SPACE.search(text):
+            if not self.cuts or "<|" in text:
                 yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            elif not text or "\x00" in text or _ODD_SPACE.search(text):
+                yield b"".join(map(self.__getitem__, self.split(text)))
             else:
-                words = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-                try:
-                    yield b"".join(map(self.__getitem__, words))
-                except KeyError:
-                    self.learn(set(words))
-                    yield b"".join(map(self.__getitem__, words))
+                yield b"".join(map(self.__getitem__, text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")))
 
 
 @cache

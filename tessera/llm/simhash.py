@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_or_not, stored
+from tessera.llm.common import KEY, row_key, small_batches, small_or_not, stored, tabled, tidied
 
 BITS = 64
 SEED = 42
@@ -159,8 +159,7 @@ def common_shingles(marked: DataFrame, width: int, most_texts: int = 4_000, most
     """Shingles that repeat in a sample of the texts, sorted. They only set the order of the prefixes, which is free, so a sample changes the work and not the result."""
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingle_set(t, width) for t in texts])
+        yield from tidied(pd.Series([shingle_set(t, width) for t in texts]) for texts in batches)
 
     scale = 1 << 30
     few = marked.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < most_texts * scale / max(1, marked.select("text").count()))
@@ -168,28 +167,38 @@ def common_shingles(marked: DataFrame, width: int, most_texts: int = 4_000, most
     return np.array(sorted(r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(most).collect()), dtype=np.int64)
 
 
-def shingle_candidates(marked: DataFrame, width: int, least: float, salt_rows: int = 512) -> DataFrame:
-    """Pairs (a, b), a > b, of nodes among which are all whose shingle sets have a Jaccard similarity of `least` or more; marked: node, n (size of its set), text.
+def shingle_marks(docs: DataFrame, width: int, least: float, common: np.ndarray) -> DataFrame:
+    """docs (text) with node (a hash of the text's shingle set), n (the set's size) and prefix: the first n - ceil(least * n) + 1 shingles of the set in one order for all texts, common ones last."""
+    from xxhash import xxh64_intdigest
+
+    def prefix(x: np.ndarray) -> np.ndarray:
+        often = np.zeros(len(x), dtype=bool)
+        if len(common) and len(x):
+            at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+            often = common[at] == x
+        first = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 if len(x) else 0
+        return np.concatenate([x[~often], x[often]])[:first]
+
+    def marked(texts: pd.Series) -> pd.DataFrame:
+        found = [(xxh64_intdigest(x.tobytes(), SEED), len(x), prefix(x)) for x in (shingle_set(t, width) for t in texts)]
+        nodes, sizes = np.array([f[0] for f in found], dtype=np.uint64).view(np.int64), np.array([f[1] for f in found], dtype=np.int32)
+        return pd.DataFrame({"node": nodes, "n": sizes, "prefix": [f[2] for f in found]})
+
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidied(marked(texts) for texts in batches)
+
+    return docs.withColumn("_m", F.pandas_udf(of, "node long, n int, prefix array<long>")("text")).select(*docs.columns, "_m.*")
+
+
+def shingle_candidates(marked: DataFrame, least: float, salt_rows: int = 512) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes among which are all whose shingle sets have a Jaccard similarity of `least` or more; marked: node, n, prefix as in shingle_marks().
 
     Prefix filter: in any one order of all shingles, two such sets share one of the first n - ceil(least * n) + 1 of either. Sizes and places in
     the prefix then leave out pairs that can't reach it. Long lists of one shingle are met in salted parts of `salt_rows` rows by all.
     """
-    common = common_shingles(marked, width)
-
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out = []
-            for t in texts:
-                x = shingle_set(t, width)
-                at = np.searchsorted(common, x)
-                often = np.isin(x, common, assume_unique=True) if len(common) and (common[np.minimum(at, len(common) - 1)] == x).any() else np.zeros(len(x), dtype=bool)
-                first = len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 if len(x) else 0
-                out.append(np.concatenate([x[~often], x[often]])[:first])
-            yield pd.Series(out)
-
-    posts = marked.select("node", "n", F.posexplode(F.pandas_udf(of, "array<long>")("text")).alias("at", "s"))
-    repeated = stored(posts.groupBy("s").count().filter("count > 1").select("s"))  # most shingles occur once: they are never stored; copies of a text count too
-    several = stored(posts.join(small_or_not(repeated, 500_000), "s", "left_semi").distinct())
+    posts = marked.select("node", "n", F.posexplode("prefix").alias("at", "s"))
+    repeated = stored(posts.groupBy("s").count().filter("count > 1").select("s"))  # most shingles occur once: they go no further; copies of a text count too
+    several = stored(posts.join(small_or_not(repeated), "s", "left_semi").distinct())
     lists = several.groupBy("s").count().filter("count > 1")
     met = stored(several.join(lists, "s").withColumn("_k", F.ceil(F.col("count") / salt_rows).cast("int")))
     left = met.select("s", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("at").alias("_i"), F.pmod(F.xxhash64("node"), F.col("_k")).cast("int").alias("_p"))
@@ -205,27 +214,26 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> Da
     """doc_id, component_id for every row of docs (doc_id, text): the smallest doc_id reachable over links of texts whose sets of `width`-word shingles have a
     Jaccard similarity of `least` or more. All such pairs are found; each candidate is verified over the whole sets of both texts.
 
-    Texts of equal sets are one node. Null and empty texts are one group; a text of fewer words is one shingle. Null doc_ids as in near_duplicates().
-    """
+    Every text goes through Python once, for its node and prefix, which are stored; then one text of each node that has a candidate. Both in small batches, which bounds a worker's memory.
 
-    def key(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh64_intdigest
+    Texts of equal sets are one node. Null and empty texts are one group; a text of fewer words is one shingle. Null doc_ids as in near_duplicates(); an empty table
+    gives no rows; other columns are ignored.
+    """
+    with small_batches(docs.sparkSession):
+        return _similar_documents(docs, width, least)
 
-        for texts in batches:
-            sets = [shingle_set(t, width) for t in texts]
-            nodes = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "n": np.array([len(x) for x in sets], dtype=np.int32)})
 
+def _similar_documents(docs: DataFrame, width: int, least: float) -> DataFrame:
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingle_set(t, width) for t in texts])
-
-    keyed = docs.select("doc_id", "text", F.pandas_udf(key, "node long, n int")("text").alias("_k")).select("doc_id", "text", "_k.*")  # texts are never stored, but read again
-    marked = stored(keyed.select("doc_id", "node"))
-    pairs = stored(shingle_candidates(keyed, width, least))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = keyed.join(small_or_not(asked, 500_000), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))  # texts of one node have one set
-    sets = stored(one.select("node", F.pandas_udf(whole, "array<long>")("text").alias("_s")))
+        yield from tidied(pd.Series([shingle_set(t, width) for t in texts]) for texts in batches)
+
+    keyed = docs.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
+    marked = tabled(shingle_marks(keyed, width, least, common_shingles(docs, width)).drop("text"))
+    pairs = stored(shingle_candidates(marked, least))
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    one = stored(marked.join(small_or_not(asked), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*KEY)).alias("_k")).select("node", "_k.*"))  # texts of one node have one set
+    texts = keyed.select(*KEY, "text").join(small_or_not(one), KEY).groupBy("node").agg(F.min("text").alias("text"))
+    sets = stored(texts.select("node", F.pandas_udf(whole, "array<long>")("text").alias("_s")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_s").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("_s").alias("_b")), "b")
     both = both.withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     alike = both.filter(F.col("_both") >= (F.size("_a") + F.size("_b") - F.col("_both")) * least - 1e-6).select("a", "b")

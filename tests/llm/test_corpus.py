@@ -381,7 +381,8 @@ def test_similar_documents(spark, odd, none):
 def test_salted_candidates_find_the_same(spark):
     rng = np.random.default_rng(9)
     sets = [sorted(rng.choice(60, 40, replace=False).tolist()) for _ in range(60)]
-    docs = spark.createDataFrame([(i, i, 40, " ".join(f"s{x}" for x in s)) for i, s in enumerate(sets)], "doc_id long, node long, n int, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"s{x}" for x in s)) for i, s in enumerate(sets)], "i long, text string")
+    marked = simhash.shingle_marks(docs, 1, 0.8, simhash.common_shingles(docs, 1)).withColumn("node", simhash.F.col("i"))
     want = {(i, j) for i in range(60) for j in range(i) if len(set(sets[i]) & set(sets[j])) * 9 >= 4 * 80}
     for salt_rows in (3, 512):
-        assert want <= {(r["a"], r["b"]) for r in simhash.shingle_candidates(docs, 1, 0.8, salt_rows).collect()}
+        assert want <= {(r["a"], r["b"]) for r in simhash.shingle_candidates(marked, 0.8, salt_rows).collect()}
