@@ -198,7 +198,7 @@ def shingle_candidates(marked: DataFrame, least: float, salt_rows: int = 512) ->
     """
     posts = marked.select("node", "n", F.posexplode("prefix").alias("at", "s"))
     repeated = stored(posts.groupBy("s").count().filter("count > 1").select("s"))  # most shingles occur once: they go no further; copies of a text count too
-    several = stored(posts.join(small_or_not(repeated), "s", "left_semi").distinct())
+    several = stored(posts.join(small_or_not(repeated, 2_000_000), "s", "left_semi").distinct())
     lists = several.groupBy("s").count().filter("count > 1")
     met = stored(several.join(lists, "s").withColumn("_k", F.ceil(F.col("count") / salt_rows).cast("int")))
     left = met.select("s", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("at").alias("_i"), F.pmod(F.xxhash64("node"), F.col("_k")).cast("int").alias("_p"))
@@ -234,10 +234,21 @@ def _similar_documents(docs: DataFrame, width: int, least: float) -> DataFrame:
     one = stored(marked.join(small_or_not(asked), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*KEY)).alias("_k")).select("node", "_k.*"))  # texts of one node have one set
     texts = keyed.select(*KEY, "text").join(small_or_not(one), KEY).groupBy("node").agg(F.min("text").alias("text"))
     sets = stored(texts.select("node", F.pandas_udf(whole, "array<long>")("text").alias("_s")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("_s").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("_s").alias("_b")), "b")
-    both = both.withColumn("_both", F.size(F.array_intersect("_a", "_b")))
-    alike = both.filter(F.col("_both") >= (F.size("_a") + F.size("_b") - F.col("_both")) * least - 1e-6).select("a", "b")
-    roots = smallest_reachable(alike)
+
+    def alike(asked: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are alike enough. Small tables of pairs go to the sets, which then move once."""
+        left = sets.select(F.col("node").alias("a"), F.col("_s").alias("_a")).join(small_or_not(asked, 2_000_000), "a")
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("_s").alias("_b")), "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+        return stored(both.filter(F.col("_both") >= (F.size("_a") + F.size("_b") - F.col("_both")) * least - 1e-6).select("a", "b"))
+
+    # Each node is compared with its smallest candidate first; of the other pairs, only those that this hasn't put into one group yet.
+    first = stored(pairs.groupBy("a").agg(F.min("b").alias("b")))
+    found = alike(first)
+    known = stored(smallest_reachable(found))
+    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"_r{c}"))
+    later = pairs.join(first, ["a", "b"], "left_anti").join(small_or_not(root("a"), 2_000_000), "a", "left").join(small_or_not(root("b"), 2_000_000), "b", "left")
+    rest = stored(later.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b"))
+    roots = smallest_reachable(found.unionByName(alike(rest)))
     nodes = marked.groupBy("node").agg(F.min("doc_id").alias("_first"))
     placed = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "_first", F.coalesce("root", "node").alias("_root"))
     names = placed.groupBy("_root").agg(F.min("_first").alias("component_id")).hint("rebalance")
