@@ -20,7 +20,7 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _PROBE = "one two\nthree  four's 12a!? \t\u00e9t\u00e9 "
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 #: Words a worker remembers the ids of; beyond it starts anew, which changes speed only.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 1_000_000
 
 
 def byte_characters() -> dict[int, str]:
