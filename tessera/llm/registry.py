@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, langid, licenses, linededup, packing, pii, quality, secrets, sharding, simhash
+from tessera.llm import crosspolytope, decontamination, fim, langid, licenses, linededup, packing, pii, quality, secrets, sharding, simhash, spelling
 from tessera.llm.common import spread
 
 N_SHARDS = 16
@@ -118,8 +118,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines.n_lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"), F.sha2(F.col("_lines.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(documents(spark, sf_dir, "doc_id", "text"))
+    part = lambda c: F.col(f"_fim.{c}")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select(
+        "doc_id", part("n"), part("form"), part("prefix").alias("prefix_chars"), part("middle").alias("middle_chars"),
+        sha(part("output")).alias("output_sha256"), sha(fim.restored(part("form"), part("output"))).alias("restored_sha256"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir, "doc_id", "text")).select("word", "n", "form", "n_near", "form_n", "root")
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return crosspolytope.nearest_neighbours(vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), vectors)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_sharding, op2_decontamination, op3_packing, op4_licenses, op5_simhash, op6_quality, op7_secrets, op8_personal_data, op9_language, op10_line_dedup)
+    named = (op1_sharding, op2_decontamination, op3_packing, op4_licenses, op5_simhash, op6_quality, op7_secrets, op8_personal_data, op9_language, op10_line_dedup, op11_fill_in_middle, op12_spelling_variants, op13_nearest_neighbours)
     return {f.__name__: f for f in named}
 
 
