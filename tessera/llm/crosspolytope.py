@@ -74,15 +74,15 @@ def _coded(rows: DataFrame, tables: int, probes: int, seed: int, of_query: bool)
 
     def hashed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for v, size, longest, bits in batches:
-            out = pd.Series([None] * len(v), dtype=object)
+            out: list[list[int]] = [[]] * len(v)
             for (d, m, b), part in pd.DataFrame({"d": size, "m": longest, "b": bits}).groupby(["d", "m", "b"]):
                 at = part.index.to_numpy()
                 x = np.stack(v.iloc[at].to_numpy()).astype(np.float64)
                 unit = on_sphere(x / np.linalg.norm(x, axis=1, keepdims=True), 1.0) if of_query else on_sphere(x, m)
                 codes = [((d * tables + t) << 40) + buckets(unit, t, int(b), probes if of_query else 1, seed) for t in range(tables)] if b else [np.full((len(at), 1), -d)]
-                for i, row in zip(at, np.concatenate(codes, axis=1)):
-                    out.iat[i] = row
-            yield out
+                for i, row in zip(at, np.concatenate(codes, axis=1).tolist()):
+                    out[i] = row
+            yield pd.Series(out, dtype=object)
 
     return rows.withColumn("code", F.explode(F.pandas_udf(hashed, "array<long>")("v", "size", "longest", "bits"))).drop("longest", "bits")
 

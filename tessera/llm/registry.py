@@ -212,4 +212,29 @@ m AS (SELECT doc_id, r, i, line, keeper IS NOT NULL AND doc_id <> keeper AS gone
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(gone::INT) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r""",
+        "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, CAST(length(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM u),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+        # the checksum CRC-32 by its table, number by number
+        "op12_spelling_variants": r"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS c FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(generate_series(1, 8) AS BIGINT[])), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) AS v FROM range(256) r(i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+s AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT run, n, hex(encode(s)) AS x FROM s),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda k: CAST('0x' || x[2 * k + 1:2 * k + 2] AS BIGINT))), lambda a, y: xor(a // 256, c[xor(a % 256, y) + 1]))) AS h FROM b, crc),
+k AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+v AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM w)),
+near AS (SELECT a.word, a.n, b.word AS other, b.n AS m FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT v.word, v.n, w.word, w.n FROM v JOIN w ON v.less = w.word UNION SELECT w.word, w.n, v.word, v.n FROM v JOIN w ON v.less = w.word),
+best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word, n),
+forms AS (SELECT word, other AS form, m AS form_n FROM best WHERE m >= 5 * n),
+path AS (SELECT word, form AS root FROM forms UNION ALL SELECT path.word, forms.form FROM path JOIN forms ON path.root = forms.word),
+ends AS (SELECT word, root FROM path WHERE root NOT IN (SELECT word FROM forms))
+SELECT w.word, w.n, form, coalesce(n_near, 0) AS n_near, form_n, coalesce(root, w.word) AS root FROM w LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN ends USING (word)""",
     }
