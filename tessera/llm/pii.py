@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -104,21 +105,21 @@ class Field:
 @dataclass
 class Graph:
     """Nodes (text, start, end, token) with their features, chain edges (neighbouring tokens with only white space between) and skip edges (each node to the
-    last and to the first one that shares a key). `keys` has the keys of every node."""
+    last and to the first one that shares a key)."""
 
     nodes: list[tuple[int, int, int, str]]
     marks: list[list[int]]
-    keys: list[list[str]]
     chain: np.ndarray
     skip: np.ndarray
 
 
-#: Nodes in one graph, which bounds a worker's memory. A longer text goes on in the next graph, with the beliefs of its earlier mentions.
+#: From so many nodes on, the next text begins a graph of its own, which bounds a worker's memory. A text, however long, is never divided, and those of one graph don't touch each other,
+#: so this changes no result.
 MOST_NODES = 50_000
 
 
 def graphs(texts: list[str], most: int = MOST_NODES) -> Iterator[Graph]:
-    g, chain, skip, of = Graph([], [], [], None, None), [], [], -1
+    g, chain, skip = Graph([], [], None, None), [], []
 
     def done() -> Graph:
         g.chain, g.skip = (np.array(x, dtype=np.int64).reshape(-1, 2) for x in (chain, sorted(set(skip))))
@@ -127,12 +128,12 @@ def graphs(texts: list[str], most: int = MOST_NODES) -> Iterator[Graph]:
     for i, text in enumerate(texts):
         if not _HINT.search(text):
             continue
+        if len(g.nodes) >= most:
+            yield done()
+            g, chain, skip = Graph([], [], None, None), [], []
         first: dict[str, int] = {}
         last: dict[str, int] = {}
         for m in _NODE.finditer(text):
-            if len(g.nodes) >= most:
-                yield done()
-                g, chain, skip, first, last = Graph([], [], [], None, None), [], [], {}, {}
             at, keys = len(g.nodes), similar_keys(m[0])
             if g.nodes and g.nodes[-1][0] == i and m.start() - g.nodes[-1][2] <= 2:
                 chain.append((at - 1, at))
@@ -142,7 +143,6 @@ def graphs(texts: list[str], most: int = MOST_NODES) -> Iterator[Graph]:
                 first.setdefault(key, at)
             g.nodes.append((i, m.start(), m.end(), m[0]))
             g.marks.append(features(m[0], text[max(0, m.start() - 24) : m.start()]))
-            g.keys.append(keys)
     if g.nodes:
         yield done()
 
@@ -276,25 +276,35 @@ def train(texts: list[str], rounds: int = 400, seed: int = 3) -> Field:
     return Field(w[:FEATURES], (before + after.T) / 2, (similar + similar.T) / 2)
 
 
-def beliefs(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, field: Field, most_rounds: int = 300, tolerance: float = 1e-4) -> np.ndarray:
-    """Marginals by loopy sum-product message passing with damping, until no message changes by more than the tolerance (or, where loops swing, most_rounds)."""
+#: Edges whose messages are computed at once, which bounds memory.
+EDGE_BLOCK = 100_000
+
+
+def beliefs(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, field: Field, texts: np.ndarray | None = None, most_rounds: int = 300, tolerance: float = 1e-4) -> np.ndarray:
+    """Marginals by loopy sum-product message passing with damping. `texts`: the text of each node, in rising order (all one, if not given). A text's messages rest once none of them changes by
+    more than the tolerance (or, where loops swing, after most_rounds), whatever the others do, so its marginals don't depend on what shares the graph."""
     pairs, half = np.concatenate([chain, skip]), len(chain) + len(skip)
     ends = np.concatenate([pairs, pairs[:, ::-1]])  # directed edges from, to
     kind = np.tile(np.repeat([0, 2], [len(chain), len(skip)]), 2) + np.repeat([0, 1], half)
     potential = np.stack([field.chain, field.chain.T, field.skip, field.skip])
     messages, total = np.zeros((2 * half, len(LABELS))), unary.copy()
-    for _ in range(most_rounds if half else 0):
-        z = total[ends[:, 0]] - np.concatenate([messages[half:], messages[:half]])
-        new = np.empty_like(messages)
-        for k in range(4):
-            at = kind == k
-            new[at] = np.logaddexp.reduce(z[at][:, :, None] + potential[k], axis=1)
-        new = 0.5 * messages + 0.5 * (new - new.max(axis=1, keepdims=True))
-        change = np.abs(new - messages).max()
-        messages, total = new, unary.copy()
-        np.add.at(total, ends[:, 1], messages)
-        if change < tolerance:
+    back = np.roll(np.arange(2 * half), half)  # the same edge the other way
+    of = np.zeros(len(unary), dtype=np.int64) if texts is None else np.unique(texts, return_inverse=True)[1]
+    edge_of, awake = of[ends[:, 0]], np.arange(2 * half)
+    for _ in range(most_rounds):
+        if not len(awake):
             break
+        old, change = messages.copy(), np.zeros(int(of[-1]) + 1)
+        for at in range(0, len(awake), EDGE_BLOCK):
+            e = awake[at : at + EDGE_BLOCK]
+            new = np.logaddexp.reduce((total[ends[e, 0]] - old[back[e]])[:, :, None] + potential[kind[e]], axis=1)
+            messages[e] = 0.5 * old[e] + 0.5 * (new - new.max(axis=1, keepdims=True))
+            np.maximum.at(change, edge_of[e], np.abs(messages[e] - old[e]).max(axis=1))
+        moved = np.zeros(len(unary), dtype=bool)
+        moved[ends[awake, 1]] = True
+        total[moved] = unary[moved]
+        np.add.at(total, ends[awake, 1], messages[awake])  # a text's edges are awake all or none
+        awake = awake[change[edge_of[awake]] >= tolerance]
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
@@ -309,8 +319,6 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
     """Spans of nodes that the field is sure of and that touch no base span. Neighbouring nodes of a phone or card number are one span, as far as one number goes;
     a span that can't be what it is taken for (by its digits, or without an address) is left out."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    earlier: dict[str, np.ndarray] = {}
-    text_of = -1
 
     def close(span: list | None) -> None:
         if span is None:
@@ -324,20 +332,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
         unary = np.zeros((len(g.nodes), len(LABELS)))
         for n, of in enumerate(g.marks):
             unary[n] = field.unary[of].sum(axis=0)
-        if g.nodes[0][0] == text_of:  # the text goes on: the mentions of earlier graphs speak to the first ones here
-            met: set[str] = set()
-            for n, (node, keys) in enumerate(zip(g.nodes, g.keys)):
-                if node[0] != text_of:
-                    break
-                for key in keys:
-                    if key in earlier and key not in met:
-                        unary[n] += np.logaddexp.reduce(earlier[key][:, None] + field.skip, axis=0)
-                    met.add(key)
-        p = beliefs(unary, g.chain, g.skip, field)
-        if g.nodes[-1][0] != text_of:
-            text_of, earlier = g.nodes[-1][0], {}
-        if len(g.nodes) >= most:
-            earlier.update((key, np.log(p[n] + 1e-12)) for n, node in enumerate(g.nodes) if node[0] == text_of for key in g.keys[n])
+        p = beliefs(unary, g.chain, g.skip, field, np.array([node[0] for node in g.nodes]))
         free, best, follows = node_labels(g.nodes, base) == 0, p.argmax(axis=1), set(g.chain[:, 1].tolist())
         span: list | None = None
         for n, (i, start, end, token) in enumerate(g.nodes):
@@ -358,6 +353,12 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
     return out
 
 
+@lru_cache(maxsize=4)
+def trained(texts: tuple[str, ...]) -> Field:
+    """train(), once for a sample."""
+    return train(list(texts))
+
+
 def training_texts(docs: DataFrame, most: int = 400, most_chars: int = 1 << 20) -> list[str]:
     """The distinct texts with digits or @ with the smallest hashes, at most so many, none over most_chars: the bounded sample that the field is fitted on."""
     marked = docs.filter(F.rlike("text", F.lit("[0-9@]")) & (F.char_length("text") <= most_chars)).select("text")
@@ -371,7 +372,7 @@ def find_personal_data(docs: DataFrame, field: Field | None = None, sure: float
     repeated rows get equal results; an empty table gives no rows; other columns are ignored. Without a field one is trained on training_texts(docs).
     """
     spark = docs.sparkSession
-    field = field or train(training_texts(docs))
+    field = field or trained(tuple(training_texts(docs)))
     model = spark.sparkContext.broadcast(field)
     span = "array<struct<start:int,kind:int,end:int>>"
 
