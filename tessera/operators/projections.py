@@ -85,15 +85,23 @@ def graph_limit(wanted: Column) -> Column:
 
 def pipeline_faults(nodes: DataFrame, known: tuple[str, ...]) -> DataFrame:
     """pipeline, node, fault of nodes (pipeline, node, type, next): duplicate (a repeated node), type (an unknown one), target (a next node that isn't there), cycle (a node that leads back to
-    itself). Where nodes lead is followed by doubling: every round joins twice as far, so a chain of n nodes takes log n joins."""
+    itself). A repeated node leads to all its next ones. Nodes that nothing leads to, and those that lead nowhere, are taken off round by round, each written; what is left is small, and where it leads is followed by doubling."""
     from tessera.operators.lineage import written
 
     twice = nodes.groupBy("pipeline", "node").count().filter("count > 1").select("pipeline", "node", F.lit("duplicate").alias("fault"))
     odd = nodes.filter(~F.col("type").isin(*known)).select("pipeline", "node", F.lit("type").alias("fault"))
     there = nodes.select("pipeline", F.col("node").alias("next")).distinct()
     lost = nodes.filter("next is not null").join(there, ["pipeline", "next"], "left_anti").select("pipeline", "node", F.lit("target").alias("fault"))
-    step = written(nodes.filter("next is not null").groupBy("pipeline", "node").agg(F.max("next").alias("to")))
-    for _ in range(step.count().bit_length()):
-        step = written(step.join(step.select("pipeline", F.col("node").alias("to"), F.col("to").alias("_far")), ["pipeline", "to"]).select("pipeline", "node", F.col("_far").alias("to")))
-    ends = step.select("pipeline", F.col("to").alias("node")).distinct()  # what is reached after more steps than there are nodes: the cycles
-    return twice.unionByName(odd).unionByName(lost).unionByName(ends.withColumn("fault", F.lit("cycle")))
+    edges = written(nodes.filter("next is not null").select("pipeline", F.col("node").alias("a"), F.col("next").alias("b")).distinct())
+    n, before = edges.count(), -1
+    while n and n != before:
+        ends = lambda c, name: edges.select("pipeline", F.col(c).alias(name)).distinct()  # noqa: E731, B023
+        edges = written(edges.join(ends("b", "a"), ["pipeline", "a"], "left_semi").join(ends("a", "b"), ["pipeline", "b"], "left_semi"))
+        n, before = edges.count(), n
+    reach, n, before = edges, n, -1
+    while n and n != before:
+        further = reach.join(reach.select("pipeline", F.col("a").alias("b"), F.col("b").alias("_c")), ["pipeline", "b"]).select("pipeline", "a", F.col("_c").alias("b"))
+        reach = written(reach.select("pipeline", "a", "b").unionByName(further).distinct())
+        n, before = reach.count(), n
+    cycles = reach.filter("a = b").select("pipeline", F.col("a").alias("node"), F.lit("cycle").alias("fault"))
+    return twice.unionByName(odd).unionByName(lost).unionByName(cycles)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +14,19 @@ from tessera.functions.text import trigrams
 from tessera.functions.vectors import cosine
 from tessera.operators.lineage import if_small, met_in_blocks, written
 
+if TYPE_CHECKING:
+    from tessera.sources.lexical import LexicalIndex
+    from tessera.sources.vectors import VectorIndex
+
 K1, B = 1.2, 0.75
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
 def top(df: DataFrame, by: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank; Spark drops the others before the shuffle."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
@@ -21,58 +36,60 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
-def weighted_postings(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, p (millionths): the BM25 part of every term of a query (query_id, text) in every chunk (chunk_id, content) that has it.
+def _saturated(idf: Column, tf: Column, length: Column, mean: Column) -> Column:
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
-    Document frequencies and lengths cover all chunks. Parts are whole numbers, so the order of sums doesn't matter.
-    """
-    asked = written(queries.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct())
-    sized = chunks.select("chunk_id", tokens(F.col("content")).alias("_w")).withColumn("length", F.size("_w"))
-    corpus = written(sized.agg(F.count("*").alias("_n"), F.avg("length").alias("_avg")))
-    words = sized.select("chunk_id", "length", F.explode("_w").alias("term")).join(if_small(asked), "term", "left_semi")
-    postings = written(words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
-    df = written(postings.groupBy("term").agg(F.count("*").alias("df")))
-    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_avg")))
-    return postings.join(if_small(df), "term").join(F.broadcast(corpus), F.lit(True)).select("term", "chunk_id", F.round(part * 1_000_000).cast("long").alias("p"))
 
+def _scored_blocks(pairs: DataFrame, postings: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """query_id, group, block, place, score: the k best chunks of each query (query_id, group, block, terms) in each block (ties: the lower place). A block is one task's work, with arrays of its postings."""
+    kind = pairs.schema["query_id"].dataType.simpleString()
+    pairs = pairs.select(*[F.col(c).alias(c) for c in pairs.columns])  # columns of its own, as both sides come from the postings
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int, probe: int = 20) -> DataFrame:
-    """query_id, chunk_id, score, rank: the k chunks with the highest BM25 score (millionths; ties: chunk_id) for each query; exact, without scoring every chunk.
+    def best(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        parts, size, out = {}, 1 + max((int(p[-1]) for p in found["places"]), default=0), []
+        for term, idf, mean, places, tfs, lengths in zip(*(found[c] for c in ("term", "idf", "mean", "places", "tfs", "lengths"))):
+            tf = tfs.astype(np.float64)
+            value = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths.astype(np.float64) / mean))
+            parts[term] = places, np.floor(value * 1_000_000 + 0.5).astype(np.int64)
+        for query, group, block, terms in zip(*(asked[c] for c in ("query_id", "group", "block", "terms"))):
+            total, met = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=bool)
+            for term in terms:
+                places, value = parts[term]
+                total[places] += value
+                met[places] = True
+            places = np.flatnonzero(met)
+            places = places[np.lexsort((places, -total[places]))[:k]]
+            out += [(query, group, block, int(p), int(total[p])) for p in places]
+        return pd.DataFrame(out, columns=["query_id", "group", "block", "place", "score"])
 
-    Each query's terms are taken by falling rarity. The chunks with the best sums over its rarest terms (those of about probe * k postings) are scored in full: the k-th of these scores is a
-    lower bound of the query's k-th. Common terms whose greatest possible parts add up to less than a third of it can't bring in a chunk alone: their postings are skipped, and
-    looked up only for chunks whose sum over the other terms can still reach the bound.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    postings = weighted_postings(queries, chunks)
-    stats = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("p").alias("most"))
-    rarest = Window.partitionBy("query_id").orderBy("df", "term")
-    later = rarest.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    terms = written(
-        asked.join(stats, "term").select(
-            "query_id", "term", "most", F.sum("most").over(later).alias("from_here"), (F.sum("df").over(rarest) - F.col("df")).alias("before")
-        )
-    )
+    blocks = if_small(written(pairs.select("group", "block").distinct()))
+    right = postings.join(blocks, ["group", "block"], "left_semi").join(weights, "term")
+    return pairs.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(best, f"query_id {kind}, group int, block int, place int, score long")
 
-    def sums(of: DataFrame) -> DataFrame:
-        return postings.join(if_small(written(of.select("query_id", "term"))), "term").groupBy("query_id", "chunk_id").agg(F.sum("p").alias("sum"))
 
-    def looked_up(of: DataFrame, which: DataFrame) -> DataFrame:
-        """query_id, chunk_id, more: the parts of which (query_id, term) in the chunks of (query_id, chunk_id), each found by term and chunk."""
-        return of.join(if_small(written(which.select("query_id", "term"))), "query_id").join(postings, ["term", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum("p").alias("more"))
+def bm25(queries: DataFrame, index: LexicalIndex, k: int, seeds: int = 2) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k chunks of a stored index with the highest BM25 score (millionths; ties: chunk_id) for each query (query_id, text); exact.
 
-    promising = top(sums(terms.filter(F.col("before") < probe * k)), ["query_id"], [F.desc("sum"), F.col("chunk_id")], 5 * k, "_r").select("query_id", "chunk_id")
-    kth = top(looked_up(written(promising), terms), ["query_id"], [F.desc("more")], k).filter(F.col("rank") == k)
-    bound = written(kth.select("query_id", F.col("more").alias("bound")))
-    placed = written(terms.join(if_small(bound), "query_id", "left").withColumn("common", F.col("from_here") * 3 < F.coalesce("bound", F.lit(0))))
-    rest = placed.groupBy("query_id").agg(F.sum(F.when(F.col("common"), F.col("most")).otherwise(0)).alias("rest"), F.coalesce(F.max("bound"), F.lit(0)).alias("bound"))
-    partial = written(sums(placed.filter("not common")))
-    better = top(partial, ["query_id"], [F.desc("sum")], k).filter(F.col("rank") == k).select("query_id", F.col("sum").alias("_b"))
-    limits = written(rest.join(better, "query_id", "left").select("query_id", "rest", F.greatest("bound", F.coalesce("_b", F.lit(0))).alias("bound")))
-    able = written(partial.join(if_small(limits), "query_id").filter(F.col("sum") + F.col("rest") >= F.col("bound")).select("query_id", "chunk_id", "sum"))
-    scored = able.join(looked_up(able, placed.filter("common")), ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("sum") + F.coalesce("more", F.lit(0))).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    Document frequencies and lengths cover the whole index. From the greatest frequency and the smallest length of each term in each block comes a bound of what a chunk there can score. Each query's
+    most promising `seeds` blocks are scored first; the k-th score there is a lower bound of the query's k-th, and only blocks that can reach it are scored too. Scores are sums of whole
+    millionths, so the order of sums doesn't matter.
+    """
+    asked = written(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
+    met = index.postings.join(if_small(written(asked.select("term").distinct())), "term", "left_semi")
+    corpus = index.chunks.agg(F.count("*").alias("_n"), F.avg("length").alias("mean"))
+    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = if_small(written(met.groupBy("term").agg(F.sum("n").alias("df")).join(F.broadcast(corpus), F.lit(True)).select("term", idf.alias("idf"), "mean")))
+    bound = F.ceil(_saturated(F.col("idf"), F.col("most"), F.col("least"), F.col("mean")) * 1_000_000).cast("long") + 1
+    bounds = met.select("group", "block", "term", "most", "least").join(weights, "term").select("group", "block", "term", bound.alias("bound"))
+    able = written(if_small(asked).join(bounds, "term").groupBy("query_id", "group", "block").agg(F.sum("bound").alias("bound"), F.collect_list("term").alias("terms")))
+    ordered = able.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")))
+    first = written(_scored_blocks(ordered.filter(F.col("_r") <= seeds).drop("_r"), met, weights, k))
+    kth = top(first, ["query_id"], [F.desc("score")], k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
+    later = ordered.filter(F.col("_r") > seeds).join(if_small(written(kth)), "query_id", "left").filter(F.col("bound") >= F.coalesce("_least", F.lit(0)))
+    hits = first.unionByName(_scored_blocks(written(later.drop("_r", "_least")), met, weights, k))
+    tied = written(hits.withColumn("_r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("_r") <= k))
+    named = index.chunks.select("group", "block", "place", "chunk_id").join(if_small(tied), ["group", "block", "place"])
+    return top(named.select("query_id", "chunk_id", "score"), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2000, bucket: int = 50_000) -> DataFrame:
@@ -85,6 +102,70 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2000, b
     return top(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
 
 
+def cells_in_reach(queries: DataFrame, index: VectorIndex) -> DataFrame:
+    """query_id, embedding, group, cell, bound (millionths) for each query and each cell: no vector of the cell has a greater cosine than that, as angles obey the triangle inequality."""
+    centres = index.centres
+    kind = queries.schema["query_id"].dataType.simpleString()
+    radii = written(index.cells.select("group", "cell", "radius"))
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = unit_rows(np.stack(batch["embedding"].to_numpy())) if len(batch) else np.zeros((0, centres.shape[1]))
+            cells = batch["cell"].to_numpy()
+            angle = np.arccos(np.clip((x * centres[np.maximum(cells, 0)]).sum(axis=1) if len(centres) else np.zeros(len(x)), -1, 1))
+            able = np.cos(np.maximum(0.0, angle - batch["radius"].to_numpy() - 1e-7))
+            able = np.where((cells < 0) | ~(x != 0).any(axis=1), 0.0, able)
+            yield batch[["query_id", "embedding", "group", "cell"]].assign(bound=np.ceil(able * 1_000_000).astype(np.int64) + 1)
+
+    pairs = met_in_blocks(queries.select("query_id", "embedding"), radii)
+    return pairs.mapInPandas(bounds, f"query_id {kind}, embedding array<double>, group int, cell int, bound long")
+
+
+def _scored_cells(pairs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best vectors of each query (query_id, embedding, cell) in each cell (ties: the smaller id). A cell is one task's work; a matrix product finds what may be
+    among the k best, which is scored again number by number."""
+    kind, of = pairs.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
+
+    pairs = pairs.select(*[F.col(c).alias(c) for c in pairs.columns])
+
+    def best(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(found):
+            found = found.sort_values("vec_id", kind="stable")
+            v, ids = np.stack(found["embedding"].to_numpy()).astype(np.float64), found["vec_id"].to_numpy()
+            q = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
+            length = lambda x: np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1])
+            lq, lv, rough = length(q), length(v), unit_rows(q) @ unit_rows(v).T
+            for n, query in enumerate(asked["query_id"]):
+                at = np.arange(len(v)) if len(v) <= k else np.flatnonzero(rough[n] >= np.partition(rough[n], -k)[-k] - 3e-6)
+                both = lq[n] * lv[at]
+                cosine = np.divide(np.add.accumulate(q[n] * v[at], axis=1)[:, -1], both, out=np.zeros(len(at)), where=both > 0) * 1_000_000
+                score = (np.sign(cosine) * np.floor(np.abs(cosine) + 0.5)).astype(np.int64)
+                order = np.lexsort((at, -score))[:k]
+                out += [(query, ids[i], s) for i, s in zip(at[order], score[order].tolist())]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    wanted = if_small(written(pairs.select("group", "cell").distinct()))
+    right = vectors.join(wanted, ["group", "cell"], "left_semi").select("cell", "vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return pairs.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(best, f"query_id {kind}, vec_id {of}, score long")
+
+
+def nearest_in(queries: DataFrame, index: VectorIndex, k: int, probes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """query_id, vec_id, score, rank: the k vectors of a stored index with the highest cosine (millionths; ties: the smaller id) for each query (query_id, embedding), exactly; and query_id, cells, read: how many
+    cells there are and were read for it.
+
+    Each query reads its `probes` most promising cells first; the k-th score there is a lower bound, and only cells that can reach it are read too. Queries have the index's length; those without vector find nothing.
+    """
+    asked = queries.filter("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    cells = written(cells_in_reach(asked, index).withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell"))))
+    first = written(_scored_cells(cells.filter(F.col("_r") <= probes), index.vectors, k))
+    kth = written(top(first, ["query_id"], [F.desc("score")], k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_least")))
+    marked = cells.join(if_small(kth), "query_id", "left").withColumn("_read", (F.col("_r") <= probes) | F.coalesce(F.col("bound") >= F.col("_least"), F.lit(True)))
+    later = written(marked.filter(f"_read and _r > {probes}").drop("_least", "_read"))
+    hits = top(first.unionByName(_scored_cells(later, index.vectors, k)), ["query_id"], [F.desc("score"), F.col("vec_id")], k)
+    return hits, marked.groupBy("query_id").agg(F.count("*").alias("cells"), F.count_if("_read").alias("read"))
+
+
 def reciprocal_rank_fusion(hits: DataFrame, weights: dict[str, float] | None = None, k: int = 60) -> DataFrame:
     """query_id, item, score, channels, first_channel, rank: hits (query_id, channel, rank, item) fused by summed weight / (k + rank).
 
@@ -129,13 +210,15 @@ def greedy_distinct(ranked: DataFrame, by: str, rank: str, content: str, item: s
     return listed.select(by, F.explode(kept).alias("_x")).select(by, F.col("_x.id").alias(item), F.col("_x.r").alias(rank))
 
 
-def expand_neighbours(anchors: DataFrame, chunks: DataFrame, window: int, fade: float = 0.95) -> DataFrame:
-    """query_id, chunk_id, score, nearest: chunks (chunk_id, doc_id, chunk_index) within `window` of an anchor (query_id, chunk_id, doc_id, chunk_index, score) that
-    are not anchors themselves, with `fade` times the score of the closest anchor (ties: the higher score). The range becomes an equality join."""
+def expand_neighbours(anchors: DataFrame, index: LexicalIndex, window: int, fade: float = 0.95) -> DataFrame:
+    """query_id, chunk_id, score, nearest: indexed chunks within `window` of an anchor (query_id, chunk_id, doc_id, chunk_index, score) that are not anchors themselves, with `fade` times the score
+    of the closest anchor (ties: the higher score). The range becomes an equality join, which reads the groups of the asked chunks only."""
     reach = anchors.select(
         "query_id", "doc_id", F.col("chunk_id").alias("nearest"), F.col("chunk_index").alias("_at"), F.col("score").alias("_s"), F.explode(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window)).alias("chunk_index")
     )
-    met = reach.join(chunks.select("chunk_id", "doc_id", "chunk_index"), ["doc_id", "chunk_index"]).join(anchors.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    where = written(index.located(reach.filter("chunk_index >= 0")))
+    found = index.chunks_at(where).select("group", "block", "doc_id", "chunk_index", "chunk_id").join(if_small(where), ["group", "block", "doc_id", "chunk_index"])
+    met = found.join(anchors.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     best = top(met, ["query_id", "chunk_id"], [F.abs(F.col("chunk_index") - F.col("_at")), F.desc("_s"), F.col("nearest")], 1, "_r")
     return best.select("query_id", "chunk_id", F.floor(F.col("_s") * fade).cast("long").alias("score"), "nearest")
 

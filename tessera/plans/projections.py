@@ -84,8 +84,7 @@ def lowest_rated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT s_nationkey AS pipeline, s_suppkey % 13 AS node, CASE WHEN s_suppkey % 11 = 0 THEN 'odd' ELSE 'parse' END AS type, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE (s_suppkey * 7) % 15 END AS nxt FROM supplier),
-m AS (SELECT pipeline, node, max(nxt) AS nxt FROM n WHERE nxt IS NOT NULL GROUP BY 1, 2),
-w AS (SELECT pipeline, node AS first, nxt AS here, 1 AS k FROM m UNION ALL SELECT w.pipeline, w.first, m.nxt, k + 1 FROM w JOIN m ON m.pipeline = w.pipeline AND m.node = w.here WHERE k < 20)
+w AS (SELECT DISTINCT pipeline, node AS first, nxt AS here FROM n WHERE nxt IS NOT NULL UNION SELECT w.pipeline, w.first, n.nxt FROM w JOIN n ON n.pipeline = w.pipeline AND n.node = w.here WHERE n.nxt IS NOT NULL)
 SELECT pipeline, node, 'duplicate' AS fault FROM n GROUP BY 1, 2 HAVING count(*) > 1 UNION ALL SELECT pipeline, node, 'type' FROM n WHERE type = 'odd'
 UNION ALL SELECT pipeline, node, 'target' FROM n WHERE nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n o WHERE o.pipeline = n.pipeline AND o.node = n.nxt)
 UNION ALL SELECT DISTINCT pipeline, w.first, 'cycle' FROM w WHERE w.first = w.here""".replace("WITH n AS", "WITH RECURSIVE n AS", 1))

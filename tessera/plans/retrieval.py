@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import estimate_tokens
 from tessera.operators import access, retrieval
-from tessera.operators.lineage import written
+from tessera.operators.lineage import if_small, written
 from tessera.plans.registry import query
-from tessera.sources.tables import CHUNKS_SQL, chunks, table
+from tessera.sources.tables import CHUNKS_SQL, chunk_index, table, vector_index
 
 BM25_SQL = rf"""{CHUNKS_SQL},
 asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark),
@@ -38,7 +38,15 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf: str, k: int = 12) -> DataFrame:
-    return retrieval.bm25(_questions(spark, sf), chunks(spark, sf), k)
+    return retrieval.bm25(_questions(spark, sf), chunk_index(spark, sf), k)
+
+
+def _rows_of(spark: SparkSession, sf: str, named: DataFrame, *columns: str) -> DataFrame:
+    """named (chunk_id) with columns of the stored chunks: the id has document and place in it, so only the groups that hold those chunks are read."""
+    index = chunk_index(spark, sf)
+    at = named.withColumn("_d", F.substring_index("chunk_id", "-", 1)).withColumn("_i", F.substring_index("chunk_id", "-", -1).cast("int"))
+    where = written(index.located(at, "_d", "_i").drop("_d", "_i"))
+    return index.chunks_at(where).select("group", "block", "chunk_id", *columns).join(if_small(where), ["group", "block", "chunk_id"]).drop("group", "block")
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +71,7 @@ SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITIO
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.nearest(asked, vectors.select("vec_id", "embedding"), 10)
+    return retrieval.nearest_in(asked, vector_index(spark, sf), 10)[0]
 
 
 @query(f"WITH {BM25_SQL}, {VECTOR_SQL}, {HITS_SQL}, {RRF_SQL} SELECT query_id, item, score, channels, rank FROM fused", ints=("rank",))
@@ -75,7 +83,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, rank) AS turn, min(rank) OVER (PARTITION BY query_id, kb) AS g FROM k)
 SELECT query_id, chunk_id, turn, row_number() OVER (PARTITION BY query_id ORDER BY turn, g, rank) AS place FROM t""", ints=("place", "turn"))
 def kb_interleave(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _lexical(spark, sf).join(chunks(spark, sf).select("chunk_id", "kb"), "chunk_id")
+    hits = _rows_of(spark, sf, _lexical(spark, sf), "kb")
     return retrieval.interleave(hits, "query_id", "kb", "score", "rank").select("query_id", "chunk_id", "turn", "place")
 
 
@@ -89,9 +97,8 @@ m AS (SELECT a.query_id, c.chunk_id, a.chunk_id AS nearest, a.score, abs(c.chunk
   WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.query_id = a.query_id AND b.chunk_id = c.chunk_id))
 SELECT query_id, chunk_id, CAST(floor(score * 0.95) AS BIGINT) AS score, nearest FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY d, score DESC, nearest) AS r FROM m) WHERE r = 1""")
 def neighbor_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    every = chunks(spark, sf)
-    anchors = _lexical(spark, sf, 5).join(every, "chunk_id").select("query_id", "chunk_id", "doc_id", "chunk_index", "score")
-    return retrieval.expand_neighbours(anchors, every, 2)
+    anchors = written(_rows_of(spark, sf, _lexical(spark, sf, 5), "doc_id", "chunk_index"))
+    return retrieval.expand_neighbours(anchors, chunk_index(spark, sf), 2)
 
 
 @query("""WITH s AS (SELECT doc_id, sha256(text) AS hash, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 1 END AS enabled, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS deleted FROM documents)
@@ -164,27 +171,26 @@ def acl_write_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def greedy_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lexical hits without near-copies of better ones. Its acceptance feeds back on itself, which SQL doesn't express; a test holds it against brute force."""
-    hits = _lexical(spark, sf).join(chunks(spark, sf).select("chunk_id", "content"), "chunk_id")
+    hits = _rows_of(spark, sf, _lexical(spark, sf), "content")
     return retrieval.greedy_distinct(hits, "query_id", "rank", "content", "chunk_id")
 
 
 @query()
 def answer_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way from questions to contexts: two channels, bounded, fused, near-copies dropped, neighbours added, cut to a budget of tokens with a quota per base."""
-    every = chunks(spark, sf)
     fused = retrieval.reciprocal_rank_fusion(retrieval.bound_candidates(_hits(spark, sf), 40), {"vector": 0.5})
-    named = written(fused.withColumnRenamed("item", "chunk_id").join(every, "chunk_id"))  # at most 40 rows a question
+    named = written(_rows_of(spark, sf, fused.withColumnRenamed("item", "chunk_id"), "doc_id", "chunk_index", "kb", "content"))  # at most 40 rows a question
     kept = written(retrieval.greedy_distinct(named, "query_id", "rank", "content", "chunk_id").join(named.drop("rank"), ["query_id", "chunk_id"]))
     anchors = kept.filter("rank <= 5").select("query_id", "chunk_id", "doc_id", "chunk_index", "score")
-    near = retrieval.expand_neighbours(anchors, every, 1).select("query_id", "chunk_id", "score")
+    near = retrieval.expand_neighbours(anchors, chunk_index(spark, sf), 1).select("query_id", "chunk_id", "score")
     pool = kept.select("query_id", "chunk_id", "score").unionByName(near).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    priced = pool.join(every, "chunk_id").withColumn("cost", estimate_tokens(F.col("content")))
+    priced = _rows_of(spark, sf, pool, "kb", "content").withColumn("cost", estimate_tokens(F.col("content")))
     return retrieval.select_context(priced, "query_id", "chunk_id", "kb", "score", "cost", 0, 600, 10, 1)
 
 
 @query(f"""WITH {BM25_SQL}, c AS (SELECT query_id, chunk_id, score, rank, length(content) AS n FROM lexical JOIN chunks USING (chunk_id))
 SELECT query_id, max(rank) AS hits, CAST(sum(n) AS BIGINT) AS chars, max(score) AS best, CASE WHEN max(score) >= 30000000 THEN 'answer' ELSE 'insufficient_relevance' END AS decision FROM c GROUP BY 1""", ints=("hits",))
 def retrieval_decision(spark: SparkSession, sf: str) -> DataFrame:
-    hits = _lexical(spark, sf).join(chunks(spark, sf).select("chunk_id", "content"), "chunk_id")
+    hits = _rows_of(spark, sf, _lexical(spark, sf), "content")
     decision = F.when(F.max("score") >= 30_000_000, "answer").otherwise("insufficient_relevance")
     return hits.groupBy("query_id").agg(F.max("rank").alias("hits"), F.sum(F.char_length("content")).alias("chars"), F.max("score").alias("best"), decision.alias("decision"))

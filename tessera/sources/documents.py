@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,16 +100,27 @@ def parse_pages(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """source_file, headers, row_number, cells of delimited files with a header line; white space in cells is collapsed, short rows are padded and long ones cut."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("text"))
-    parsed = lines.select("source_file", F.posexplode(F.filter(F.split(F.regexp_replace("text", "\r", ""), "\n", -1), lambda x: F.trim(x) != "")).alias("i", "line"))
-    cells = F.transform(F.split("line", ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)", -1), lambda c: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), '^"|"$', ""), '""', '"'))
-    rows = parsed.select("source_file", "i", cells.alias("c"))
-    heads = rows.filter("i = 0").select("source_file", F.col("c").alias("headers"))
-    fitted = F.transform("headers", lambda h, k: F.coalesce(F.get("c", k), F.lit("")))
-    return rows.filter("i > 0").join(heads, "source_file").select("source_file", "headers", F.col("i").alias("row_number"), fitted.alias("cells"))
-
+    """source_file, headers, row_number (the header is 0), cells of delimited files with a header line. Quoted cells may hold commas, doubled quotes and line breaks; a byte order mark is left out. White
+    space in cells is collapsed, empty records are left out, short rows are padded and long ones cut. A file is one task's work."""
 
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, text in zip(*(batch.column(c).to_pylist() for c in ("source_file", "text"))):
+                found, headers = [], None
+                for cells in csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")):
+                    cells = [" ".join(c.split()) for c in cells]
+                    if not any(cells):
+                        continue
+                    headers = cells if headers is None else headers
+                    found.append((cells + [""] * len(headers))[: len(headers)])
+                rows = found[1:]
+                yield pa.RecordBatch.from_pydict({"source_file": [file] * len(rows), "headers": [headers] * len(rows), "row_number": range(1, len(rows) + 1), "cells": rows}, pa.schema(_RECORDS))
+
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
+    return whole.mapInArrow(records, "source_file string, headers array<string>, row_number int, cells array<string>")
+
+
+_RECORDS = [("source_file", pa.string()), ("headers", pa.list_(pa.string())), ("row_number", pa.int32()), ("cells", pa.list_(pa.string()))]
 CASE_SCHEMA = "id string, question string, expected_chunk_ids array<string>, expected_doc_ids array<string>, expected_chunk_hashes array<string>, relevance_grades map<string,double>, category string, difficulty string, answerable boolean, active boolean, expected_answer string, knowledge_base_ids array<string>"
 
 
@@ -177,18 +191,26 @@ _FORBIDDEN = re.compile(r"\b(insert|update|delete|merge|drop|alter|create|trunca
 
 
 def guarded_sql(spark: SparkSession, statement: str, allowed: set[str], tenant_id: str, most_rows: int) -> DataFrame:
-    """The result of a user's query: one SELECT or WITH over the allowed tables that names tenant_id = :tenant_id, cut to most_rows.
+    """The result of a user's query: one SELECT or WITH over the allowed tables (plain names; each has a tenant_id) that names tenant_id = :tenant_id, cut to most_rows.
 
-    The relations come from Spark's own parsed plan, not from the text.
+    Whatever the statement's own conditions say, it sees the tenant's rows only: every allowed table is a common table expression of that name before its own ones, with the rows of the tenant. Relations are
+    told from Spark's parsed plan. A common table expression may not be named like an allowed table, nor like any other one that is there, as its body could then mean that table.
     """
     text = statement.strip()
     if not re.match(r"(?is)^(select|with)\b", text) or ";" in text or "--" in text or "/*" in text or _FORBIDDEN.search(re.sub(r"'[^']*'", "''", text)):
         raise UnsafeSQL("only one plain SELECT is allowed")
+    if re.match(r"(?is)^with\s+recursive\b", text):
+        raise UnsafeSQL("recursion isn't allowed")
     if not re.search(r"(?i)\btenant_id\s*=\s*:tenant_id\b", text):
         raise UnsafeSQL("the query must be bound to the tenant")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    named = {x.strip("[]").split(",")[0].strip().lower() for x in re.findall(r"UnresolvedRelation (\[[^\]]*\])", plan)}
-    own = {x.lower() for x in re.findall(r"CTE \[([^\]]*)\]", plan) for x in x.split(", ")}
-    if extra := named - own - {a.lower() for a in allowed}:
+    names = {a.lower() for a in allowed}
+    plan = spark.sql(f"EXPLAIN EXTENDED {text}", args={"tenant_id": tenant_id}).first()[0].split("== Analyzed Logical Plan ==")[0]
+    named = {".".join(y.strip() for y in x.strip("[]").split(",")).lower() for x in re.findall(r"UnresolvedRelation (\[[^\]]*\])", plan)}
+    own = {x.strip().lower() for y in re.findall(r"CTE \[([^\]]*)\]", plan) for x in y.split(",")}
+    if extra := named - own - names:
         raise UnsafeSQL(f"tables not allowed: {sorted(extra)}")
-    return spark.sql(text, args={"tenant_id": tenant_id}).limit(most_rows)
+    if taken := {x for x in own if x in names or spark.catalog.tableExists(x)}:
+        raise UnsafeSQL(f"names of tables can't be given to parts of the query: {sorted(taken)}")
+    bound = ", ".join(f"`{a}` AS (SELECT * FROM `{a}` WHERE tenant_id = :tenant_id)" for a in sorted(names))
+    rest = re.sub(r"(?is)^with\b", ",", text) if text[:4].lower() == "with" else f" {text}"
+    return spark.sql(f"WITH {bound}{rest}", args={"tenant_id": tenant_id}).limit(most_rows)

@@ -1,4 +1,4 @@
-"""Writers of generations: vectors, postings and graph projections, and the pointer that makes a generation visible."""
+"""Writers of generations: vectors, manifests and graph projections, and the pointer that makes a generation visible."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import tokens
-
 
 class WrongDimension(ValueError):
     """Vectors whose length isn't the table's."""
@@ -24,12 +22,6 @@ def checked_vectors(vectors: DataFrame, embedding: str, dimension: int) -> DataF
     return vectors.withColumn(embedding, F.when(good, v).otherwise(F.raise_error(F.lit(f"a vector hasn't {dimension} numbers")).cast(vectors.schema[embedding].dataType)))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """kb, term, chunk_id, tf, length of chunks (kb, chunk_id, content)."""
-    words = chunks.select("kb", "chunk_id", tokens(F.col("content")).alias("_w")).select("kb", "chunk_id", F.size("_w").alias("length"), F.explode("_w").alias("term"))
-    return words.groupBy("kb", "term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
 def write_generation(rows: DataFrame, folder: str, generation: str, by: str = "kb") -> int:
     """Write one generation, partitioned by knowledge base, and return its number of rows as read back. Writing it again replaces it."""
     path = f"{folder}/generation={generation}"

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import shared_folder
+from tessera.sources import lexical, vectors
+from tessera.sources.sinks import IncompleteGeneration
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; one of texts that comes in fewer partitions than there are cores (in one row group, say) is dealt out to all of them, as its rows are much work each."""
@@ -42,3 +48,30 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHUNKS_SQL = """chunks AS (SELECT doc_id || '-' || (i - 1) AS chunk_id, doc_id, source AS kb, lang AS tenant, CAST(i - 1 AS INTEGER) AS chunk_index, parts[i] AS content
   FROM (SELECT *, string_split(text, chr(10)) AS parts, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents))"""
+
+
+_OPENED: dict[tuple[str, str], object] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, kind: str, opened: Callable, built: Callable) -> object:
+    """An index in the shared folder, built at first use and named after the paths, sizes and times of a table's files, so changed files get an index of their own."""
+    files = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("h")).distinct()
+    state = files.agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).cast("string").alias("s")).first()
+    folder = f"{shared_folder(spark).rstrip('/')}/{kind}-{state['n']}-{(state['s'] or '0').replace('-', 'm')}"
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _OPENED:
+        try:
+            _OPENED[key] = opened(spark, folder)
+        except IncompleteGeneration:
+            _OPENED[key] = built(folder)
+    return _OPENED[key]
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
+    """The stored lexical index of chunks()."""
+    return _stored(spark, sf_dir, "documents", "lexical", lexical.opened, lambda folder: lexical.built(chunks(spark, sf_dir), folder))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.VectorIndex:
+    """The stored index of all embeddings."""
+    return _stored(spark, sf_dir, "embeddings", "vectors", vectors.opened, lambda folder: vectors.built(table(spark, sf_dir, "embeddings"), folder))

@@ -68,14 +68,6 @@ def test_context_quota(spark):
     assert context(spark, [("x", "a", 0.9, 1), ("y", "b", 0.8, 1)], most=1, quota=1) == ["x", "y"]
 
 
-def test_neighbours(spark):
-    chunks = spark.createDataFrame([(f"c{i}", "d", i) for i in (10, 12, 13)], "chunk_id string, doc_id string, chunk_index int")
-    anchors = spark.createDataFrame([("q", "c13", "d", 13, 900)], "query_id string, chunk_id string, doc_id string, chunk_index int, score long")
-    out = retrieval.expand_neighbours(anchors, chunks, 2)
-    assert rows(out, "chunk_id", "score", "nearest") == [("c12", 855, "c13")]
-    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
-
-
 def test_availability(spark):
     states = spark.createDataFrame([("on", "h1", 1, 0), ("off", "h2", 0, 0), ("gone", "h3", 1, 1), ("null", "h4", None, 0)], "chunk_id string, hash string, enabled int, deleted int")
     hits = spark.createDataFrame([("on", "h1"), ("off", "h2"), ("x", "h2"), ("gone", "h3"), ("null", "h4"), ("y", "h1"), ("off", "h1")], "chunk_id string, hash string")
@@ -256,6 +248,12 @@ def test_delimited(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿name,note\n"tea, red", long   text\nshort\na,b,c\n', encoding="utf-8")
     got = read_delimited(spark, str(tmp_path / "a.csv")).orderBy("row_number").collect()
     assert got[0]["headers"] == ["name", "note"] and [r["cells"] for r in got] == [["tea, red", "long text"], ["short", ""], ["a", "b"]]
+    (tmp_path / "b.csv").write_bytes('a,b\r\n"one\r\ntwo",3\r\n,"say ""hi"", then\n go"\r\n\r\n5" disk, x\r\n'.encode())
+    got = read_delimited(spark, str(tmp_path / "b.csv")).orderBy("row_number").collect()
+    assert [(r["row_number"], r["cells"]) for r in got] == [(1, ["one two", "3"]), (2, ["", 'say "hi", then go']), (3, ['5" disk', "x"])]
+    (tmp_path / "c.csv").write_text("only,heads\n")
+    assert read_delimited(spark, str(tmp_path / "c.csv")).count() == 0
+    assert read_delimited(spark, str(tmp_path / "[ab].csv")).groupBy("headers").count().count() == 2
 
 
 def test_import_folder(spark, tmp_path):
@@ -280,6 +278,27 @@ def test_guarded_sql(spark):
             guarded_sql(spark, bad, {"chunk_view"}, "t", 3)
 
 
+def test_guarded_sql_binds_every_table_to_the_tenant(spark):
+    from tessera.sources.documents import UnsafeSQL, guarded_sql
+
+    spark.range(10).selectExpr("id", "if(id % 2 = 0, 't', 'u') as tenant_id").createOrReplaceTempView("chunk_view")
+    spark.range(4).selectExpr("id", "'t' as tenant_id").createOrReplaceTempView("secret_view")
+    ids = lambda sql: sorted(r[0] for r in guarded_sql(spark, sql, {"chunk_view"}, "t", 100).collect())
+    assert ids("SELECT id FROM chunk_view WHERE tenant_id = :tenant_id OR 1=1") == [0, 2, 4, 6, 8]
+    assert ids("SELECT id FROM chunk_view WHERE tenant_id = :tenant_id UNION ALL SELECT id FROM chunk_view") == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8]
+    assert ids("WITH a AS (SELECT id, tenant_id FROM chunk_view), b AS (SELECT * FROM a WHERE tenant_id = :tenant_id OR true) SELECT id FROM b WHERE id IN (SELECT id FROM chunk_view)") == [0, 2, 4, 6, 8]
+    for bad in (
+        "WITH secret_view AS (SELECT * FROM secret_view WHERE tenant_id = :tenant_id OR true) SELECT * FROM secret_view",
+        "WITH chunk_view AS (SELECT * FROM chunk_view WHERE tenant_id = :tenant_id) SELECT id FROM chunk_view",
+        "SELECT 'CTE [secret_view]', id FROM secret_view WHERE tenant_id = :tenant_id",
+        "WITH RECURSIVE r AS (SELECT 1 AS id UNION ALL SELECT id + 1 FROM r WHERE id < 3) SELECT id FROM r, chunk_view WHERE tenant_id = :tenant_id",
+        "SELECT id FROM default.chunk_view WHERE tenant_id = :tenant_id",
+        "SELECT * FROM parquet.`/tmp/x` WHERE tenant_id = :tenant_id",
+    ):
+        with pytest.raises(UnsafeSQL):
+            guarded_sql(spark, bad, {"chunk_view"}, "t", 3)
+
+
 def test_density_clusters(spark):
     from tessera.operators.clustering import query_clusters
 
@@ -390,7 +409,28 @@ def test_folds_stream_one_hot_key(spark):
 def test_density_clusters_against_brute_force(spark, eps, least):
     import numpy as np
 
-    from tessera.operators.clustering import density_labels, query_clusters, units
+    from tessera.operators.clustering import query_clusters
+    from tessera.operators.retrieval import unit_rows
+
+    def clusters(within):
+        """Components of strong points by union of their neighbours; then each unreached point that may begin a cluster takes what it and the components beside it reach."""
+        n, near = len(within), [set(np.flatnonzero(row)) for row in within]
+        strong, component = {i for i in range(n) if len(near[i]) >= least}, {}
+        for i in sorted(strong):
+            if i not in component:
+                new = {i}
+                while grown := {k for j in new for k in near[j] & strong} - new:
+                    new |= grown
+                component |= dict.fromkeys(new, frozenset(new))
+        label, count = {}, 0
+        for p in range(n):
+            if p in label or len(near[p]) + 1 < least:
+                continue
+            count += 1
+            cores = set().union(*(component[q] for q in (near[p] | {p}) & strong if q not in label))
+            for q in {p} | near[p] | cores | {x for c in cores for x in near[c]}:
+                label.setdefault(q, count)
+        return [label.get(i, 0) for i in range(n)]
 
     rng = np.random.default_rng(least)
     x = rng.normal(size=(160, 2)) if least > 2 else rng.normal(size=(160, 8))
@@ -400,10 +440,10 @@ def test_density_clusters_against_brute_force(spark, eps, least):
     want = {}
     for g in ("a", None):
         own = sorted((i, e) for h, i, e in data if h == g)
-        u = units(np.array([e for _, e in own], dtype=np.float32))
+        u = unit_rows(np.array([e for _, e in own], dtype=np.float32))
         within = u @ u.T >= 1 - eps - 1e-12
         np.fill_diagonal(within, False)
-        want |= {(g, i): int(c) for (i, _), c in zip(own, density_labels(within, least))}
+        want |= {(g, i): int(c) for (i, _), c in zip(own, clusters(within))}
     got = {(r["g"], r["i"]): r["cluster"] for r in query_clusters(df, "g", "i", "e", eps, least, rows=16).collect()}
     assert got == want and max(want.values()) > 0
 
@@ -565,19 +605,6 @@ def test_recall_paths(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_lexical_bounds_find_what_full_scores_do(spark):
-    rng = random.Random(7)
-    words = ["the"] * 30 + ["of"] * 20 + [f"w{i}" for i in range(60)]
-    chunks = [(f"c{i}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for i in range(300)]
-    asked = [(i, " ".join(rng.choice(words) for _ in range(8))) for i in range(12)] + [(50, "the of"), (51, "zzz"), (52, "w1")]
-    q, c = spark.createDataFrame(asked, "query_id int, text string"), spark.createDataFrame(chunks, "chunk_id string, content string")
-    parts = retrieval.weighted_postings(q, c)
-    full = retrieval.top(q.select("query_id", F.explode(F.array_distinct(retrieval.tokens(F.col("text")))).alias("term")).join(parts, "term").groupBy("query_id", "chunk_id").agg(F.sum("p").alias("score")), ["query_id"], [F.desc("score"), F.col("chunk_id")], 5)
-    want = rows(full, "query_id", "chunk_id", "score", "rank")
-    for probe in (1, 20):
-        assert rows(retrieval.bm25(q, c, 5, probe), "query_id", "chunk_id", "score", "rank") == want
-
-
 def test_nearest_in_a_grid(spark):
     rng = random.Random(3)
     vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)], "vec_id int, embedding array<double>")

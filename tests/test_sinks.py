@@ -26,8 +26,3 @@ def test_vectors_of_another_length_fail(spark):
     assert sinks.checked_vectors(good, "e", 2).count() == 1
     with pytest.raises(Exception, match="2 numbers"):
         sinks.checked_vectors(good.union(spark.createDataFrame([(2, [1.0])], "id int, e array<float>")), "e", 2).collect()
-
-
-def test_postings(spark):
-    chunks = spark.createDataFrame([("k", "c1", "Red red blue"), ("k", "c2", "")], "kb string, chunk_id string, content string")
-    assert sorted(tuple(r) for r in sinks.postings(chunks).select("term", "chunk_id", "tf", "length").collect()) == [("blue", "c1", 1, 3), ("red", "c1", 2, 3)]
