@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -44,18 +46,32 @@ class WordIds(dict):
         self.cuts = self.tokenizer.normalizer is None and own == [self.shown(p) for p in self.split(_PROBE)]
 
     def shown(self, part: str) -> str:
+        if part.isascii() and part.isprintable():
+            return part.replace(" ", self.characters[32])
         return part.encode("utf-8").decode("latin-1").translate(self.characters)
 
+    def parts(self, word: str) -> list[str]:
+        """As the pattern cuts it; letters alone, and letters before one comma or point, are known without it."""
+        letters = word[1:] if word.startswith(" ") else word
+        if letters.isalpha():
+            return [word]
+        if letters[:-1].isalpha() and letters[-1] in ",.":
+            return [word[:-1], word[-1]]
+        return self.split(word)
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
-        parts = self.split(word)
+        parts = self.parts(word)
         if len(parts) == 1:
-            ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(self.shown(word))], dtype="<u4").tobytes()
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(self.shown(word))])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            found = ids.tobytes()
         else:
-            ids = b"".join([self[p] for p in parts])
-        self[word] = ids
-        return ids
+            found = b"".join([self[p] for p in parts])
+        self[word] = found
+        return found
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text. A single space or newline between other characters always begins a part, so the words between can be encoded alone; texts with other white space
