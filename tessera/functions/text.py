@@ -134,14 +134,20 @@ def trigrams(text: Column) -> Column:
     return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 
+# How headings, back-ticked names and identifiers are written that count as names, what is stripped from them, and names that don't count.
+HEADING_NAME, HEADING_NUMBER, TICKED_NAME = r"(?m)^#{1,6}\s+(.{2,80})$", r"^\d+(?:\.\d+)*[、.\s-]*", r"`([^`\n]{2,80})`"
+IDENTIFIER = r"\b(?:[A-Z][A-Za-z0-9]+){1,}[A-Za-z0-9]*\b|\b[A-Za-z][A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+\b"
+NAME_EDGES, NO_NAMES = " -:：，。", ("typescript", "javascript", "string", "true", "false")
+
+
 def entities(content: Column, most: int = 12) -> Column:
     """Names that a chunk mentions, in this order: headings without their numbers, back-ticked names, capitalised identifiers and paths; distinct in lower case."""
     c = text_or_empty(content)
-    heads = F.transform(F.regexp_extract_all(c, F.lit(r"(?m)^#{1,6}\s+(.{2,80})$"), 1), lambda h: F.regexp_replace(h, r"^\d+(?:\.\d+)*[、.\s-]*", ""))
-    ticked = F.regexp_extract_all(c, F.lit(r"`([^`\n]{2,80})`"), 1)
-    capital = F.regexp_extract_all(c, F.lit(r"\b(?:[A-Z][A-Za-z0-9]+){1,}[A-Za-z0-9]*\b|\b[A-Za-z][A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+\b"), 0)
-    named = F.transform(F.concat(heads, ticked, capital), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" -:：，。")))
-    stop = F.array(*[F.lit(x) for x in ("typescript", "javascript", "string", "true", "false")])
+    heads = F.transform(F.regexp_extract_all(c, F.lit(HEADING_NAME), 1), lambda h: F.regexp_replace(h, HEADING_NUMBER, ""))
+    ticked = F.regexp_extract_all(c, F.lit(TICKED_NAME), 1)
+    capital = F.regexp_extract_all(c, F.lit(IDENTIFIER), 0)
+    named = F.transform(F.concat(heads, ticked, capital), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(NAME_EDGES)))
+    stop = F.array(*[F.lit(x) for x in NO_NAMES])
     good = F.filter(named, lambda x: F.char_length(x).between(2, 80) & ~F.array_contains(stop, F.lower(x)))
     return F.aggregate(
         good,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 from tessera.operators import folds
-from tessera.operators.lineage import met_in_blocks
+from tessera.operators.lineage import met_in_blocks, written
 
 # Which status a document may pass to.
 TRANSITIONS = (
@@ -69,10 +69,16 @@ def intent_scores(questions: DataFrame, nodes: DataFrame, most: int = 5, least:
 
 
 def recommended(samples: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
-    """query_id, suggestion, rank: sample questions (kb, sample, place) of all bases or the question's (query_id, kb, text), other than the question, each once, in order."""
-    own = questions.join(samples.filter("kb is not null and kb <> ''"), "kb").select("query_id", "text", "sample", "place")
-    every = met_in_blocks(samples.filter("kb is null or kb = ''").drop("kb"), questions).select("query_id", "text", "sample", "place")
-    fit = own.unionByName(every).filter((F.trim("sample") != "") & (F.trim("sample") != F.trim("text"))).groupBy("query_id", F.trim("sample").alias("suggestion")).agg(F.min("place").alias("place"))
+    """query_id, suggestion, rank: sample questions (kb, sample, place) of all bases or the question's (query_id, kb, text), other than the question, each once, in order.
+
+    Of each base, and of those for all bases, only the first `most` + 1 different samples can be among them, as one of them at most is the question itself; so questions meet few rows each.
+    """
+    named = samples.select(F.when(F.col("kb") != "", F.col("kb")).alias("kb"), F.trim("sample").alias("suggestion"), "place").filter("suggestion <> ''")
+    first = named.groupBy("kb", "suggestion").agg(F.min("place").alias("place"))
+    first = written(first.withColumn("_r", F.row_number().over(Window.partitionBy("kb").orderBy("place", "suggestion"))).filter(F.col("_r") <= most + 1).drop("_r"))
+    own = questions.join(first.filter("kb is not null"), "kb").select("query_id", "text", "suggestion", "place")
+    every = questions.join(F.broadcast(first.filter("kb is null").drop("kb")), F.lit(True)).select("query_id", "text", "suggestion", "place")  # at most `most` + 1 rows
+    fit = own.unionByName(every).filter(F.col("suggestion") != F.trim("text")).groupBy("query_id", "suggestion").agg(F.min("place").alias("place"))
     return fit.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "suggestion"))).filter(F.col("rank") <= most).drop("place")
 
 

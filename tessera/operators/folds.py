@@ -28,7 +28,7 @@ def _sorted(rows: DataFrame, key: str, order: list) -> DataFrame:
 def running(rows: DataFrame, key: str, order: list[str | Column], keep: list[str], new: dict[str, str], begin: Callable, step: Callable) -> DataFrame:
     """The columns `keep` of rows and the new ones (name: type): step(state, rows as an Arrow batch) gives the next state and the lists of the new columns."""
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    types = {"string": pa.string(), "boolean": pa.bool_()}
+    types = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64()}
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import met_in_blocks, written
+from tessera.operators.lineage import if_small, met_in_blocks, written
 
 
 def cooccurrences(mentions: DataFrame, group: str, name: str, place: str, most: int = 8) -> DataFrame:
@@ -16,6 +16,23 @@ def cooccurrences(mentions: DataFrame, group: str, name: str, place: str, most:
     return a.join(b, group).filter("src < dst").groupBy("src", "dst").agg(F.count_distinct(group).alias("n"))
 
 
+def updated_cooccurrences(edges: DataFrame, before: DataFrame, after: DataFrame, group: str, name: str, place: str, most: int = 8) -> DataFrame:
+    """cooccurrences() of all mentions, from those that were there (edges: src, dst, n) and from the mentions of the groups that changed, before and after the change: a pair's number is a sum over groups, so what they
+    add and take away is enough. Work grows with the changed groups; pairs that don't change aren't computed again."""
+    count = lambda rows, sign: cooccurrences(rows, group, name, place, most).select("src", "dst", (F.col("n") * sign).alias("n"))
+    change = written(count(after, 1).unionByName(count(before, -1)).groupBy("src", "dst").agg(F.sum("n").alias("_d")).filter("_d <> 0"))
+    small = if_small(change)
+    same = edges.join(small, ["src", "dst"], "left_anti").select("src", "dst", "n")
+    moved = change.join(edges.join(small.select("src", "dst"), ["src", "dst"], "left_semi"), ["src", "dst"], "left").select("src", "dst", (F.coalesce("n", F.lit(0)) + F.col("_d")).alias("n"))
+    return same.unionByName(moved.filter("n > 0"))
+
+
+def first_nodes(nodes: DataFrame, order: list, most: int) -> DataFrame:
+    """The first `most` nodes with rank and truncated: whether there are more. One node more is looked at for that."""
+    few = nodes.orderBy(*order).limit(most + 1).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # at most `most` + 1 rows
+    return few.withColumn("truncated", F.max("rank").over(Window.partitionBy()) > most).filter(F.col("rank") <= most)
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

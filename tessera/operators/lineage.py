@@ -30,20 +30,38 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def met_in_blocks(asked: DataFrame, rows: DataFrame, block: int = 2000, bucket: int = 50_000) -> DataFrame:
-    """Every one of a stated query set beside every row. Up to `block` queries are broadcast; more are met in a grid of blocks of queries and buckets of rows, each cell a key of its own."""
+def _size(df: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes as JSON, of a written frame."""
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    return size["n"], size["b"]
+
+
+def met_in_blocks(asked: DataFrame, rows: DataFrame, block: int = 2000, bucket: int = 50_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """Every one of a stated query set beside every row. Up to `block` queries of up to `block_bytes` are broadcast; more are met in a grid of blocks of queries and buckets of rows, each cell a key of its own."""
     asked = written(asked)
-    n = asked.count()
-    if n <= block:
+    n, size = _size(asked)
+    if n <= block and size <= block_bytes:
         return rows.join(F.broadcast(asked), F.lit(True))
-    blocks, buckets = -(-n // block), -(-rows.count() // bucket)
+    blocks, buckets = max(-(-n // block), -(-size // block_bytes)), -(-rows.count() // bucket)
     cell = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(k, 1) - 1)))
     left = rows.withColumn("_bucket", cell(rows, max(buckets, 1))).withColumn("_block", every(blocks))
     return left.join(asked.withColumn("_block", cell(asked, blocks)).withColumn("_bucket", every(buckets)), ["_block", "_bucket"]).drop("_block", "_bucket")
 
 
+def met_by_key(asked: DataFrame, rows: DataFrame, key: str, block: int = 2000, bucket: int = 50_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """Every one of a stated query set beside every row of its key, of which there may be few: a small set is broadcast, so rows stay where they are; of a larger one each query is dealt to buckets of its
+    key's rows, so no task gets all rows of a key."""
+    asked = written(asked)
+    n, size = _size(asked)
+    if n <= block and size <= block_bytes:
+        return rows.join(F.broadcast(asked), key)
+    buckets = max(1, -(-rows.count() // bucket))
+    left = rows.withColumn("_bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(buckets)).cast("int"))
+    return left.join(asked.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))), [key, "_bucket"]).drop("_bucket")
+
+
 def if_small(df: DataFrame, most_rows: int = 500_000, most_bytes: int = 64 << 20) -> DataFrame:
     """A broadcast hint if the (written) frame has at most so many rows and, as JSON, bytes; else the frame as it is, for a shuffle join that Spark may split."""
-    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
-    return F.broadcast(df) if size["n"] <= most_rows and size["b"] <= most_bytes else df
+    n, size = _size(df)
+    return F.broadcast(df) if n <= most_rows and size <= most_bytes else df

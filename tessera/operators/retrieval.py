@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import trigrams
 from tessera.functions.vectors import cosine
-from tessera.operators.lineage import if_small, met_in_blocks, written
+from tessera.operators.lineage import if_small, met_by_key, met_in_blocks, written
 
 if TYPE_CHECKING:
     from tessera.sources.lexical import LexicalIndex
@@ -228,7 +228,7 @@ def fallback_sources(queries: DataFrame, chunks: DataFrame, k: int = 16, full: i
     many of its terms they hold, plus their share of `full` characters up to one; ties: the lower index, then the id. All chunks of the base are looked at; each task keeps k rows a query."""
     from tessera.functions.text import fallback_terms
 
-    met = queries.select("query_id", "kb", fallback_terms(F.col("text")).alias("_t")).join(chunks, "kb")
+    met = met_by_key(queries.select("query_id", "kb", fallback_terms(F.col("text")).alias("_t")), chunks, "kb")
     low = met.withColumn("_c", F.lower("content"))
     held = F.size(F.filter("_t", lambda t: F.contains(F.col("_c"), t)))
     scored = low.select("query_id", "chunk_id", "chunk_index", F.round((held + F.least(F.lit(1.0), F.char_length("content") / full)) * 10_000).cast("long").alias("score"))
@@ -288,7 +288,7 @@ def weighted_fusion(left: DataFrame, right: DataFrame, key: list[str], w_left: i
 def cached_answers(probes: DataFrame, cache: DataFrame, threshold: float, ttl: int) -> DataFrame:
     """probe_id, entry_id, score (millionths): for each probe (probe_id, scope, at, embedding) the most similar entry of its scope (entry_id, scope, at, embedding) that is at
     most ttl old and reaches the threshold; ties: the older entry. A ttl of 0 finds nothing."""
-    met = probes.select("probe_id", "scope", F.col("at").alias("_now"), F.col("embedding").alias("_q")).join(cache, "scope")
+    met = met_by_key(probes.select("probe_id", "scope", F.col("at").alias("_now"), F.col("embedding").alias("_q")), cache, "scope")
     fresh = met.filter((F.lit(ttl) > 0) & (F.col("_now") - F.col("at") <= ttl) & (F.col("_now") >= F.col("at")))
     scored = fresh.select("probe_id", "entry_id", "at", F.round(cosine(F.col("_q"), F.col("embedding")) * 1_000_000).cast("long").alias("score")).filter(F.col("score") >= int(threshold * 1_000_000))
     return top(scored, ["probe_id"], [F.desc("score"), F.col("at"), F.col("entry_id")], 1).select("probe_id", "entry_id", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import answers, chunking, clustering, decisions
+from tessera.operators import answers, bundles, chunking, clustering, decisions, memories
 from tessera.plans.registry import query
 from tessera.sources import documents
 from tessera.sources.tables import table
@@ -18,6 +18,20 @@ def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return documents.parse_pages(table(spark, sf, "pages"), "page_id", "html").withColumn("outline", F.array_join("outline", " > "))
 
 
+@query()
+def clipboard_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as pasted bundles: a heading and the turns, an image after each answer whose marker every third one lacks. A test holds the rules against plain Python."""
+    said = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    mark = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 > 0), F.concat(F.lit("![turn "), "turn", F.lit("](clipboard-image://i"), "turn", F.lit(")"))).otherwise("")
+    turn = F.concat_ws("\n\n", F.concat(F.lit("## "), "role"), "text", mark)
+    image = F.when(F.col("role") == "assistant", F.struct(F.concat(F.lit("i"), "turn").alias("id"), F.base64(F.encode("text", "UTF-8")).alias("data"), F.lit("image/png").alias("mimeType"), F.concat("turn", F.lit(".png")).alias("filename")))
+    whole = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", turn.alias("t"), image.alias("i")))).alias("_l"))  # the turns of one conversation
+    content = F.concat(F.lit("# "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("_l", lambda x: x["t"]), "\n\n"))
+    images = F.array_compact(F.transform("_l", lambda x: x["i"]))
+    bundle = F.to_json(F.struct(F.lit(1).alias("version"), content.alias("content"), images.alias("images")))
+    return bundles.bundle_blocks(whole.select("conv_id", bundle.alias("bundle")), "conv_id", "bundle").withColumn("path", F.array_join("path", " > "))
+
+
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 k AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN 'HEADING' WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'TABLE' WHEN regexp_matches(line, '^\s*(?:[-*+]|\d+[.)])\s+') THEN 'LIST' WHEN trim(line) = '' THEN 'BLANK' ELSE 'PARAGRAPH' END AS kind FROM l),
 s AS (SELECT *, kind IN ('HEADING', 'LIST') OR lag(kind) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM kind AS starts FROM k) SELECT doc_id, kind, count(*) AS blocks FROM s WHERE starts AND kind <> 'BLANK' GROUP BY 1, 2""")
@@ -89,11 +103,11 @@ def scopes_named(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.scopes_named(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), scopes)
 
 
-@query("""WITH s AS (SELECT CASE WHEN conv_id % 10 = 0 THEN '' ELSE 'kb' || (conv_id % 7) END AS kb, trim(left(text, 30)) AS sample, conv_id * 1000 + turn AS place FROM conversations WHERE role = 'user'), q AS (SELECT item_id AS query_id, 'kb' || (item_id % 7) AS kb, text FROM benchmark),
+@query("""WITH s AS (SELECT CASE WHEN conv_id % 10 = 0 THEN '' ELSE 'kb' || (conv_id % 7) END AS kb, trim(text) AS sample, conv_id * 1000 + turn AS place FROM conversations WHERE role = 'user'), q AS (SELECT item_id AS query_id, 'kb' || (item_id % 7) AS kb, text FROM benchmark),
 f AS (SELECT query_id, sample AS suggestion, min(place) AS place FROM q JOIN s ON (s.kb = q.kb OR s.kb = '') AND sample <> '' AND sample <> trim(text) GROUP BY 1, 2)
 SELECT query_id, suggestion, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, suggestion) AS rank FROM f) WHERE rank <= 3""", ints=("rank",))
 def recommended_questions(spark: SparkSession, sf: str) -> DataFrame:
-    samples = table(spark, sf, "conversations").filter("role = 'user'").selectExpr("if(conv_id % 10 = 0, '', concat('kb', conv_id % 7)) as kb", "trim(substring(text, 1, 30)) as sample", "conv_id * 1000 + turn as place")
+    samples = table(spark, sf, "conversations").filter("role = 'user'").selectExpr("if(conv_id % 10 = 0, '', concat('kb', conv_id % 7)) as kb", "trim(text) as sample", "conv_id * 1000 + turn as place")
     asked = table(spark, sf, "benchmark").selectExpr("item_id as query_id", "concat('kb', item_id % 7) as kb", "text")
     return decisions.recommended(samples, asked)
 
@@ -138,8 +152,9 @@ def memory_actions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def memory_actions_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same query under its first name. A test holds it against brute force."""
-    return memory_actions(spark, sf)
+    """Whole histories: each user turn against what the earlier ones of its conversation left. A fold whose state is a list of texts, which a test holds against brute force."""
+    said = table(spark, sf, "conversations").filter("role = 'user'")
+    return memories.merged(said.select("conv_id", "turn", "text"), "conv_id", "turn", "text")
 
 
 _TERMS = r"list_distinct(list_transform(regexp_extract_all(regexp_replace({0}, '\[\d+\]', '', 'g'), '[\x{{3400}}-\x{{9fff}}]|[A-Za-z0-9_]{{2,}}'), lambda w: lower(w)))"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import query_terms
 from tessera.functions.text import links_bases, normalized_name
 from tessera.operators import graph
+from tessera.operators.lineage import written
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -26,6 +27,25 @@ def cooccurrence_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.cooccurrences(mentions, "g", "name", "place")
 
 
+@query("""WITH a AS (SELECT l_orderkey AS g, 'p' || ((l_partkey + CASE WHEN l_orderkey % 50 = 33 THEN 1 ELSE 0 END) % 50) AS name, l_linenumber * 100000 + l_partkey AS place FROM lineitem WHERE l_orderkey % 50 <> 0),
+m AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY place) AS r FROM a)
+SELECT a.name AS src, b.name AS dst, count(DISTINCT a.g) AS n FROM m a JOIN m b ON a.g = b.g AND a.name < b.name WHERE a.r <= 8 AND b.r <= 8 GROUP BY 1, 2""")
+def cooccurrence_update(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored co-occurrences after one order in fifty is deleted and one in fifty has other parts: only these orders are looked at again."""
+    mentions = table(spark, sf, "lineitem").selectExpr("l_orderkey as g", "l_partkey", "concat('p', l_partkey % 50) as name", "l_linenumber * 100000 + l_partkey as place")
+    edges = written(graph.cooccurrences(mentions, "g", "name", "place"))
+    later = mentions.filter("g % 50 = 33").withColumn("name", F.concat(F.lit("p"), (F.col("l_partkey") + 1) % 50))
+    return graph.updated_cooccurrences(edges, mentions.filter("g % 50 in (0, 33)"), later, "g", "name", "place")
+
+
+@query("""WITH d AS (SELECT l_suppkey AS node, count(DISTINCT l_partkey) AS degree FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY degree DESC, node) AS rank FROM d)
+SELECT node, degree, CAST(rank AS INTEGER) AS rank, (SELECT count(*) FROM d) > 200 AS truncated FROM r WHERE rank <= 200""")
+def first_graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The 200 best linked suppliers, and whether there are more."""
+    nodes = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("node")).agg(F.count_distinct("l_partkey").alias("degree"))
+    return graph.first_nodes(nodes, [F.desc("degree"), F.col("node")], 200)
+
+
 @query(f"""WITH RECURSIVE {EDGES_SQL}, {BOTH_SQL}, walk AS (SELECT src AS start, src AS node, 0 AS hops FROM (SELECT DISTINCT src FROM edges WHERE src % 100 = 0) UNION SELECT start, dst, hops + 1 FROM walk JOIN both_ways ON node = src WHERE hops < 2)
 SELECT start, node, min(hops) AS hops FROM walk WHERE node <> start GROUP BY 1, 2""")
 def bfs_expand(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,6 +124,6 @@ def graph_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def recall_paths(spark: SparkSession, sf: str) -> DataFrame:
     """The first edges of a walk from the part that each question names, or from the best linked one. A test holds it against brute force."""
-    edges = table(spark, sf, "lineitem").filter("l_linenumber <= 2").selectExpr("concat('s', l_suppkey) as src", "concat('p', l_partkey) as dst").distinct()
+    edges = table(spark, sf, "lineitem").selectExpr("concat('s', l_suppkey) as src", "concat('p', l_partkey) as dst").distinct()
     nodes = table(spark, sf, "part").selectExpr("concat('p', p_partkey) as node", "split(p_name, ' ')[0] as name")
     return graph.recall_paths(edges, nodes, table(spark, sf, "benchmark").selectExpr("item_id as query_id", "text"))

@@ -44,11 +44,11 @@ def replaced_relations(spark: SparkSession, sf: str) -> DataFrame:
     return projections.replaced_relations(stored, incoming, table(spark, sf, "orders").filter("o_orderkey % 4 = 0").selectExpr("o_orderkey as doc_id"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_linenumber <= 2), k AS (SELECT * FROM e WHERE doc_id % 2 = 1), n AS (SELECT src AS name FROM k WHERE src % 7 <> 0 UNION SELECT dst FROM k)
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS doc_id, l_suppkey AS src, l_partkey AS dst FROM lineitem), k AS (SELECT * FROM e WHERE doc_id % 2 = 1), n AS (SELECT src AS name FROM k WHERE src % 7 <> 0 UNION SELECT dst FROM k)
 SELECT doc_id, src, dst FROM k WHERE src IN (SELECT name FROM n) AND dst IN (SELECT name FROM n)""")
 def graph_without_documents(spark: SparkSession, sf: str) -> DataFrame:
     """A graph after every other order is deleted; some suppliers are mentioned nowhere else."""
-    edges = table(spark, sf, "lineitem").filter("l_linenumber <= 2").selectExpr("l_orderkey as doc_id", "l_suppkey as src", "l_partkey as dst").distinct()
+    edges = table(spark, sf, "lineitem").selectExpr("l_orderkey as doc_id", "l_suppkey as src", "l_partkey as dst").distinct()
     mentions = edges.filter("src % 7 <> 0").selectExpr("doc_id", "src as name").unionByName(edges.selectExpr("doc_id", "dst as name"))
     return projections.without_documents(mentions, edges, table(spark, sf, "orders").filter("o_orderkey % 2 = 0").selectExpr("o_orderkey as doc_id"))[1]
 

@@ -27,10 +27,10 @@ def question_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), rules.question_kind(F.concat(prefix, "text")).alias("kind"))
 
 
-@query(f"""SELECT conv_id, turn, regexp_matches(regexp_replace(CASE turn % 3 WHEN 0 THEN '请问 它 的' WHEN 1 THEN '这个参数' ELSE '' END || left(text, 20), '\\s+', '', 'g'), '{fn.UNRESOLVED}') AS unclear FROM conversations""")
+@query(f"""SELECT conv_id, turn, regexp_matches(regexp_replace(CASE turn % 3 WHEN 0 THEN '请问 它 的' WHEN 1 THEN '这个参数' ELSE '' END || text, '\\s+', '', 'g'), '{fn.UNRESOLVED}') AS unclear FROM conversations""")
 def unclear_questions(spark: SparkSession, sf: str) -> DataFrame:
     prefix = F.when(F.col("turn") % 3 == 0, "请问 它 的").when(F.col("turn") % 3 == 1, "这个参数").otherwise("")
-    return table(spark, sf, "conversations").select("conv_id", "turn", fn.needs_clarification(F.concat(prefix, F.substring("text", 1, 20))).alias("unclear"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", fn.needs_clarification(F.concat(prefix, "text")).alias("unclear"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = l_linestatus THEN 'a,c' ELSE 'a,b,c' END AS changed FROM lineitem""")

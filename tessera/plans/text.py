@@ -113,11 +113,16 @@ def content_hash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1")
 
 
-@query("""SELECT source, left(sha256(string_agg(h, chr(10) ORDER BY h)), 16) AS snapshot FROM (SELECT source, lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || left(sha256(text), 16) AS h FROM documents) GROUP BY 1""")
+@query("""WITH h AS (SELECT source, doc_id // 1000 AS r, lpad(CAST(doc_id AS VARCHAR), 12, '0') || ':' || left(sha256(text), 16) AS h FROM documents),
+d AS (SELECT source, r, left(sha256(string_agg(h, chr(10) ORDER BY h)), 16) AS d FROM h GROUP BY 1, 2)
+SELECT source, left(sha256(string_agg(lpad(CAST(r AS VARCHAR), 12, '0') || ':' || d, chr(10) ORDER BY r)), 16) AS snapshot FROM d GROUP BY 1""")
 def corpus_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """A digest of each base's documents: their lines are streamed in order into one running digest, so no base is gathered whole."""
-    docs = table(spark, sf, "documents").select("source", F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(":"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16)).alias("h"))
-    return folds.digests(docs, "source", "h", "snapshot")
+    """A digest of each base: ranges of a thousand ids are digested in parallel, each as a running digest over its documents' lines in order, and then the ranges' digests in order."""
+    line = lambda n, h: F.concat(F.lpad(n.cast("string"), 12, "0"), F.lit(":"), h)
+    docs = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 1000).alias("_r"), line(F.col("doc_id"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16)).alias("h"))
+    ranges = folds.digests(docs.withColumn("_key", F.to_json(F.struct("source", "_r"))), "_key", "h", "_d")
+    of = F.from_json("_key", "source string, _r long")
+    return folds.digests(ranges.select(of.source.alias("source"), line(of._r, F.col("_d")).alias("h")), "source", "h", "snapshot")
 
 
 @query("""WITH c AS (SELECT doc_id, text, unnest(generate_series(1, greatest(length(text), 1), 384)) AS s FROM documents)

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import folds
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from tessera.streaming.ordered import in_order
 
 #: How late events may be.
 WATERMARK = "10 minutes"
@@ -30,34 +27,48 @@ def admitted(times: list[int], log: list[int], limit: int, window: int) -> tuple
 def rate_limited(events: DataFrame, key: str, ts: str, event: str, limit: int, window_seconds: int) -> DataFrame:
     """key, event, admitted for a stream or a batch of events; rejected ones aren't counted against later ones.
 
-    The state of a key is its log of at most `limit` times. On a stream, an event that comes after later ones of its key is judged by what is known then.
+    The state of a key is its log of at most `limit` times. On a stream, events wait until the watermark has passed them, so results are those of the batch; a log whose times count no more is let go.
     """
-    kind = {f.name: f.dataType.simpleString() for f in events.schema}
     micros = events.select(key, event, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
-    schema = f"{key} {kind[key]}, {event} {kind[event]}, admitted boolean"
-
-    def judge(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = list(state.get[0]) if state.exists else []
-        rows = pd.concat(batches).sort_values(["_t", event])
-        ok, log = admitted(rows["_t"].tolist(), log, limit, window_seconds * 1_000_000)
-        state.update((log,))
-        yield pd.DataFrame({key: keys[0], event: rows[event], "admitted": ok})
-
-    if events.isStreaming:
-        return micros.groupBy(key).applyInPandasWithState(judge, schema, "log array<long>", "append", GroupStateTimeout.NoTimeout)
+    window = window_seconds * 1_000_000
 
     def step(log: list, rows: pa.RecordBatch) -> tuple[list, tuple[list]]:
-        ok, log = admitted([float("nan") if t is None else t for t in rows.column("_t").to_pylist()], log, limit, window_seconds * 1_000_000)
+        ok, log = admitted([float("nan") if t is None else t for t in rows.column("_t").to_pylist()], log, limit, window)
         return log, (ok,)
 
+    def fades(log: list, now: int) -> tuple[list | None, int | None]:
+        log = [t for t in log if t > now - window]
+        return (log, log[-1] + window) if log else (None, None)
+
+    if events.isStreaming:
+        return in_order(micros, key, WATERMARK, ["_t", event], [event], {"admitted": "boolean"}, list, step, fades)
     return folds.running(micros, key, [F.asc_nulls_last("_t"), F.asc_nulls_last(event)], [key, event], {"admitted": "boolean"}, list, step)
 
 
+DAY = 86_400 * 1_000_000
+
+
 def daily_quota(events: DataFrame, key: str, ts: str, order: str, cost: str, quota: int) -> DataFrame:
-    """events with day, spent (before the event) and allowed: an event is allowed while something is left of the day's quota, which it may then pass once.
+    """events with day, spent (before the event) and allowed: an event is allowed while something is left of the day's quota, which it may then pass once. Days are those of UTC.
 
-    As refused events cost nothing and nothing is left once the quota is passed, the sum of all costs before an event decides.
+    As refused events cost nothing and nothing is left once the quota is passed, the sum of all costs before an event decides. On a stream (key, order, spent, allowed) that sum is a key's state until its day is over.
     """
+    if events.isStreaming:
+
+        def step(state: list, rows: pa.RecordBatch) -> tuple[list, tuple[list, list]]:
+            day, spent = state
+            before = []
+            for t, c in zip(rows.column("_t").to_pylist(), rows.column("_c").to_pylist()):
+                day, spent = (day, spent) if t // DAY == day else (t // DAY, 0)
+                before.append(spent)
+                spent += c or 0
+            return [day, spent], (before, [x < quota for x in before])
+
+        def fades(state: list, now: int) -> tuple[list | None, int | None]:
+            return (None, None) if state[0] is None or now >= (state[0] + 1) * DAY else (state, (state[0] + 1) * DAY)
+
+        few = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(cost).cast("long").alias("_c"))
+        return in_order(few, key, WATERMARK, ["_t", order], [order], {"spent": "long", "allowed": "boolean"}, lambda: [None, 0], step, fades)
     day = Window.partitionBy(key, "day").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
     out = events.withColumn("day", F.to_date(ts)).withColumn("spent", F.coalesce(F.sum(cost).over(day), F.lit(0)))
     return out.withColumn("allowed", F.col("spent") < quota)
@@ -74,7 +85,8 @@ def tumbling(events: DataFrame, ts: str, width: str, by: str, bad: str) -> DataF
 
 def breaker_states(calls: DataFrame, key: str, order: str, ts: str, failed: str, after: int = 3, pause_seconds: int = 30) -> DataFrame:
     """key, order, state (closed, open, half_open) before each call: open after so many failures in a row, half open once the pause is over. Calls while open aren't
-    made and change nothing; a success closes it, a failure when half open opens it again. Folded per key in order, as what is made depends on the state."""
+    made and change nothing; a success closes it, a failure when half open opens it again. Folded per key in order, as what is made depends on the state. On a stream, calls wait until the watermark has
+    passed them; a closed breaker without failures is no state."""
     few = calls.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(failed).alias("_f"))
 
     def step(now: tuple, rows: pa.RecordBatch) -> tuple[tuple, tuple[list]]:
@@ -89,6 +101,8 @@ def breaker_states(calls: DataFrame, key: str, order: str, ts: str, failed: str,
                 opened = t if bad and (failures >= after or state == "half_open") else None
         return (failures, opened), (out,)
 
+    if calls.isStreaming:
+        return in_order(few, key, WATERMARK, ["_t", order], [order], {"state": "string"}, lambda: (0, None), step, lambda now, _: (None if tuple(now) == (0, None) else now, None))
     return folds.running(few, key, [F.asc_nulls_last("_t"), F.asc_nulls_last(order)], [key, order], {"state": "string"}, lambda: (0, None), step)
 
 

@@ -448,6 +448,42 @@ def test_density_clusters_against_brute_force(spark, eps, least):
     assert got == want and max(want.values()) > 0
 
 
+def test_cooccurrences_after_random_changes(spark):
+    from tessera.operators import graph
+
+    rng = random.Random(11)
+    some = lambda g: [(g, rng.choice("abcdefgh"), i) for i in range(rng.randint(0, 10))]
+    schema = "g int, name string, place int"
+    now = {g: some(g) for g in range(60)}
+    frame = lambda of: spark.createDataFrame([r for rows_of in of for r in rows_of] or [], schema)
+    edges = graph.cooccurrences(frame(now.values()), "g", "name", "place", 4)
+    for _ in range(3):
+        changed = {g: some(g) if rng.random() < 0.7 else [] for g in rng.sample(range(70), 9)}
+        before = [now.get(g, []) for g in changed]
+        now |= changed
+        edges = spark.createDataFrame(graph.updated_cooccurrences(edges, frame(before), frame(changed.values()), "g", "name", "place", 4).collect(), "src string, dst string, n long")
+        assert rows(edges, "src", "dst", "n") == rows(graph.cooccurrences(frame(now.values()), "g", "name", "place", 4), "src", "dst", "n")
+
+
+def test_far_blocks_do_not_meet(spark):
+    import numpy as np
+
+    from tessera.operators import clustering
+
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(20, 6))
+    x = np.concatenate([m / np.linalg.norm(m) + rng.normal(size=(40, 6)) * 0.03 for m in middles])
+    points = spark.createDataFrame([(0, i, [float(v) for v in e]) for i, e in enumerate(x)], "_gid long, _i long, _e array<float>")
+    blocks = clustering.vector_blocks(points, 16, clustering.pivots_of(points, 8)).cache()
+    reach = float(np.arccos(0.7))
+    pairs, n = {tuple(r) for r in clustering.block_pairs(blocks, reach + 1e-6).collect()}, blocks.count()
+    of = {i: r["blk"] for r in blocks.collect() for i in r["ids"]}
+    u = clustering.unit_rows(x)
+    near = {tuple(sorted((of[i], of[j]))) for i, j in zip(*np.nonzero(u @ u.T >= 0.7))}
+    assert near <= pairs and sorted(of) == list(range(800)) and len(pairs) < 0.4 * n * (n + 1) / 2
+    blocks.unpersist()
+
+
 def test_weak_seeds_come_in_order(spark):
     from tessera.operators.clustering import first_seeds
 
