@@ -6,9 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import folds
+
 
 def fixed_windows(docs: DataFrame, text: str, size: int, overlap: int) -> DataFrame:
     """All other columns with chunk_index and content: windows of `size` characters, each size - overlap after the one before; blank ones are left out."""
@@ -127,21 +130,23 @@ def cross_references(chunks: DataFrame, key: str, reach: int = 3) -> DataFrame:
 
 def semantic_boundaries(paragraphs: DataFrame, key: str, order: str, embedding: str, text: str, target: int, threshold: float = 0.55) -> DataFrame:
     """paragraphs with chunk: a new one begins where the chunk holds `target` characters and the paragraph's cosine with the one before is below the threshold,
-    or where it would pass 1.5 times the target. The running length restarts at each boundary, so a key's paragraphs are folded in order, in the JVM."""
+    or where it would pass 1.5 times the target. The running length restarts at each boundary, so a key's paragraphs are streamed in order, with chunk and length as the only state."""
     from tessera.functions.vectors import cosine
 
-    w = Window.partitionBy(key).orderBy(order)
-    near = paragraphs.withColumn("_s", cosine(F.col(embedding), F.lag(embedding).over(w)))
-    folded = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.char_length(text).alias("n"), F.coalesce("_s", F.lit(1.0)).alias("s")))).alias("_p"))
-    start = F.struct(F.lit(-1).alias("c"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        cut = (a["c"] < 0) | ((a["n"] >= target) & (p["s"] < threshold)) | (a["n"] + p["n"] > 1.5 * target)
-        c = F.when(cut, a["c"] + 1).otherwise(a["c"])
-        return F.struct(c.alias("c"), F.when(cut, p["n"]).otherwise(a["n"] + 2 + p["n"]).cast("int").alias("n"), F.array_append(a["out"], c).alias("out"))
-
-    marks = folded.select(key, F.explode(F.arrays_zip(F.transform("_p", lambda p: p["o"]).alias("o"), F.aggregate("_p", start, step, lambda a: a["out"]).alias("c"))).alias("_x"))
-    return paragraphs.join(marks.select(key, F.col("_x.o").alias(order), F.col("_x.c").alias("chunk")), [key, order])
+    def step(state: tuple, rows: pa.RecordBatch) -> tuple[tuple, tuple[list]]:
+        chunk, held = state
+        out = []
+        for n, alike in zip(rows.column("_n").to_pylist(), rows.column("_s").to_pylist()):
+            if chunk < 0 or held >= target and alike < threshold or held + n > 1.5 * target:
+                chunk, held = chunk + 1, n
+            else:
+                held += 2 + n
+            out.append(chunk)
+        return (chunk, held), (out,)
+
+    near = F.coalesce(cosine(F.col(embedding), F.lag(embedding).over(Window.partitionBy(key).orderBy(order))), F.lit(1.0))
+    marked = paragraphs.withColumn("_s", near).withColumn("_n", F.coalesce(F.char_length(text), F.lit(0)))
+    return folds.running(marked, key, [order], paragraphs.columns, {"chunk": "int"}, lambda: (-1, 0), step)
 
 
 def outline_paths(blocks: DataFrame, key: str) -> DataFrame:

@@ -31,7 +31,13 @@ def may_pass(current: Column, target: Column) -> Column:
 
 
 def may_review(role: Column, owner: Column, can_write: Column) -> Column:
-    return role.isin("admin", "system_admin", "tenant_admin") | owner | can_write
+    """Whether someone may approve or reject a document: by role, as owner of its base, or with a grant to write there; unknown counts as no."""
+    return F.coalesce(role.isin("admin", "system_admin", "tenant_admin"), F.lit(False)) | F.coalesce(owner, F.lit(False)) | F.coalesce(can_write, F.lit(False))
+
+
+def initial_status(approval: Column) -> Column:
+    """The status of an uploaded document: it waits for a review where those are switched on, else for its turn."""
+    return F.when(approval, "PENDING_REVIEW").otherwise("queued")
 
 
 def tuning_hints(runs: DataFrame, by: list[str]) -> DataFrame:

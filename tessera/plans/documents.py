@@ -53,12 +53,41 @@ def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.sentence_windows(table(spark, sf, "documents"), "doc_id", "text", 512, 128)
 
 
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+v AS (SELECT doc_id, i, length(line) AS n, e, lag(e) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM l JOIN e ON vec_id = (doc_id * 31 + i) % (SELECT count(*) FROM embeddings)),
+p AS (SELECT doc_id, i, n, coalesce(list_sum(list_transform(list_zip(e, b), lambda x: x[1] * x[2])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(b, lambda x: x * x)))), 1) AS s FROM v),
+w AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS c, n AS held FROM p WHERE i = 0 UNION ALL SELECT p.doc_id, p.i, CASE WHEN cut THEN w.c + 1 ELSE w.c END, CASE WHEN cut THEN p.n ELSE w.held + 2 + p.n END
+  FROM p JOIN w ON p.doc_id = w.doc_id AND p.i = w.i + 1, LATERAL (SELECT w.held >= 300 AND p.s < CAST(0.05 AS DOUBLE) OR w.held + p.n > 450 AS cut))
+SELECT doc_id, CAST(c AS INTEGER) AS chunk, count(*) AS lines, CAST(sum(n) AS BIGINT) AS chars FROM w JOIN p USING (doc_id, i) GROUP BY 1, 2""")
+def semantic_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents as chunks that end where the next line's vector is unlike; a line's vector is that of a number made of document and line."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).withColumn("vec_id", (F.col("doc_id") * 31 + F.col("i")) % vectors.count())
+    out = chunking.semantic_boundaries(lines.join(vectors, "vec_id"), "doc_id", "i", "embedding", "line", 300, 0.05)
+    return out.groupBy("doc_id", "chunk").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"))
+
+
 @query()
 def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
     """Names that documents mention, at most twelve each."""
     return table(spark, sf, "documents").select("doc_id", F.posexplode(fn.entities(F.col("text"))).alias("place", "name"))
 
 
+@query("""WITH u AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'tenant_admin' WHEN c_custkey % 5 = 0 THEN NULL ELSE 'member' END AS role FROM customer),
+w AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' OR o_orderstatus = 'P' THEN 'PENDING_REVIEW' ELSE 'queued' END AS status, coalesce(role = 'tenant_admin', false) OR o_custkey % 11 = 0 OR l_orderkey IS NOT NULL AS reviewable
+FROM orders JOIN u ON o_custkey = c_custkey LEFT JOIN w ON l_orderkey = o_orderkey""")
+def upload_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as uploads: whether each waits for a review, and whether its customer may give it."""
+    role = F.when(F.col("c_custkey") % 7 == 0, "tenant_admin").when(F.col("c_custkey") % 5 == 0, None).otherwise("member")
+    users = table(spark, sf, "customer").select("c_custkey", role.alias("role"))
+    grants = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("_w", F.lit(True))
+    uploads = table(spark, sf, "orders").join(users, F.col("o_custkey") == F.col("c_custkey")).join(grants, "o_orderkey", "left")
+    status = decisions.initial_status(F.startswith("o_orderpriority", F.lit("1")) | (F.col("o_orderstatus") == "P"))
+    return uploads.select("o_orderkey", status.alias("status"), decisions.may_review(F.col("role"), F.col("o_custkey") % 11 == 0, F.col("_w")).alias("reviewable"))
+
+
 @query("""WITH m(a, b) AS (VALUES ('O>P', 1)), p AS (SELECT o_custkey, CASE o_orderstatus WHEN 'O' THEN 'QUEUED' WHEN 'P' THEN 'RUNNING' ELSE 'SUCCESS' END AS s, lead(CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'success' END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS t FROM orders)
 SELECT s AS current, t AS target, (s = 'QUEUED' AND t = 'running') OR (s = 'RUNNING' AND t = 'success') AS allowed, count(*) AS n FROM p WHERE t IS NOT NULL GROUP BY 1, 2, 3""")
 def status_transitions(spark: SparkSession, sf: str) -> DataFrame:
