@@ -167,8 +167,25 @@ def common_shingles(marked: DataFrame, width: int, most_texts: int = 4_000, most
     return np.array(sorted(r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(most).collect()), dtype=np.int64)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many of a set's hashes begin with each prefix of so many bits that there are about one or two to a prefix: a byte for each. Empty if a number doesn't fit."""
+    bits = max(0, len(shingles).bit_length() - 1)
+    counts = np.bincount((shingles.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(shingles), dtype=np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """A bound of what two sets share: no more of each prefix than the set with fewer of it has."""
+    x, y = (np.frombuffer(s, dtype=np.uint8).astype(np.int64) for s in (a, b))
+    if not len(x) or not len(y):
+        return 1 << 62
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(size, -1).sum(axis=1), y.reshape(size, -1).sum(axis=1)).sum())
+
+
 def shingle_marks(docs: DataFrame, width: int, least: float, common: np.ndarray) -> DataFrame:
-    """docs (text) with node (a hash of the text's shingle set), n (the set's size) and prefix: the first n - ceil(least * n) + 1 shingles of the set in one order for all texts, common ones last."""
+    """docs (text) with node (a hash of the text's shingle set), n (the set's size), sketch (see sketch()) and prefix: the first n - ceil(least * n) + 1 shingles of the set in one order for all texts,
+    common ones last."""
     from xxhash import xxh64_intdigest
 
     def prefix(x: np.ndarray) -> np.ndarray:
@@ -180,14 +197,14 @@ def shingle_marks(docs: DataFrame, width: int, least: float, common: np.ndarray)
         return np.concatenate([x[~often], x[often]])[:first]
 
     def marked(texts: pd.Series) -> pd.DataFrame:
-        found = [(xxh64_intdigest(x.tobytes(), SEED), len(x), prefix(x)) for x in (shingle_set(t, width) for t in texts)]
+        found = [(xxh64_intdigest(x.tobytes(), SEED), len(x), prefix(x), sketch(x)) for x in (shingle_set(t, width) for t in texts)]
         nodes, sizes = np.array([f[0] for f in found], dtype=np.uint64).view(np.int64), np.array([f[1] for f in found], dtype=np.int32)
-        return pd.DataFrame({"node": nodes, "n": sizes, "prefix": [f[2] for f in found]})
+        return pd.DataFrame({"node": nodes, "n": sizes, "prefix": [f[2] for f in found], "sketch": [f[3] for f in found]})
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from tidied(marked(texts) for texts in batches)
 
-    return docs.withColumn("_m", F.pandas_udf(of, "node long, n int, prefix array<long>")("text")).select(*docs.columns, "_m.*")
+    return docs.withColumn("_m", F.pandas_udf(of, "node long, n int, prefix array<long>, sketch binary")("text")).select(*docs.columns, "_m.*")
 
 
 def shingle_candidates(marked: DataFrame, least: float, salt_rows: int = 512) -> DataFrame:
@@ -224,22 +241,36 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> Da
 
 
 def _similar_documents(docs: DataFrame, width: int, least: float) -> DataFrame:
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from tidied(pd.Series([shingle_set(t, width) for t in texts]) for texts in batches)
+    def reach(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def jaccard(a: str, b: str) -> bool:
+            x, y = shingle_set(a, width), shingle_set(b, width)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both >= (len(x) + len(y) - both) * least - 1e-6
+
+        yield from tidied(pd.Series([jaccard(a, b) for a, b in zip(left, right)], dtype=bool) for left, right in batches)
+
+    @F.pandas_udf("boolean")
+    def able(a: pd.Series, n_a: pd.Series, b: pd.Series, n_b: pd.Series) -> pd.Series:
+        shared = np.array([most_shared(x, y) for x, y in zip(a, b)], dtype=np.float64)
+        return pd.Series(shared >= (n_a + n_b) * (least / (1 + least)) - 1e-6)
 
     keyed = docs.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
     marked = tabled(shingle_marks(keyed, width, least, common_shingles(docs, width)).drop("text"))
-    pairs = stored(shingle_candidates(marked, least))
+    candidates = stored(shingle_candidates(marked, least))
+    nodes = marked.join(small_or_not(stored(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "node", "left_semi").dropDuplicates(["node"])
+    nodes = tabled(nodes.select("node", "n", "sketch"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col("sketch").alias(f"_s{c}"))
+    met = candidates.hint("rebalance").join(side("a"), "a").join(side("b"), "b")  # sketches settle most pairs, so that texts move for few
+    pairs = stored(met.filter(able("_sa", "_na", "_sb", "_nb")).select("a", "b"))
     asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     one = stored(marked.join(small_or_not(asked), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*KEY)).alias("_k")).select("node", "_k.*"))  # texts of one node have one set
-    texts = keyed.select(*KEY, "text").join(small_or_not(one), KEY).groupBy("node").agg(F.min("text").alias("text"))
-    sets = stored(texts.select("node", F.pandas_udf(whole, "array<long>")("text").alias("_s")))
+    texts = tabled(keyed.select(*KEY, "text").join(small_or_not(one), KEY).dropDuplicates(["node"]).select("node", "text"))
 
     def alike(asked: DataFrame) -> DataFrame:
-        """The pairs whose whole sets are alike enough. Small tables of pairs go to the sets, which then move once."""
-        left = sets.select(F.col("node").alias("a"), F.col("_s").alias("_a")).join(small_or_not(asked, 2_000_000), "a")
-        both = left.join(sets.select(F.col("node").alias("b"), F.col("_s").alias("_b")), "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
-        return stored(both.filter(F.col("_both") >= (F.size("_a") + F.size("_b") - F.col("_both")) * least - 1e-6).select("a", "b"))
+        """The pairs whose whole sets are alike enough. Texts move, not sets: compressed they are less than half as large."""
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("_a")).join(small_or_not(asked, 2_000_000), "a")
+        both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_b")), "b")
+        return stored(both.filter(F.pandas_udf(reach, "boolean")("_a", "_b")).select("a", "b"))
 
     # Each node is compared with its smallest candidate first; of the other pairs, only those that this hasn't put into one group yet.
     first = stored(pairs.groupBy("a").agg(F.min("b").alias("b")))

@@ -378,6 +378,19 @@ def test_similar_documents(spark, odd, none):
     assert simhash.similar_documents(none).count() == 0
 
 
+def test_sketches_never_bound_too_low():
+    rng = np.random.default_rng(6)
+    for n, m in ((0, 0), (0, 5), (1, 1), (3, 4), (100, 90), (1000, 1000), (5000, 4096)):
+        for share in (0.0, 0.5, 1.0):
+            a = np.unique(rng.integers(-(2**63), 2**63, n, dtype=np.int64))
+            b = np.unique(np.concatenate([a[: int(share * min(n, m))], rng.integers(-(2**63), 2**63, m - int(share * min(n, m)), dtype=np.int64)]))
+            bound = simhash.most_shared(simhash.sketch(a), simhash.sketch(b))
+            assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
+            assert n < 100 or share or bound < 0.75 * min(n, m)  # and low enough to tell unlike sets
+    near = np.arange(300, dtype=np.int64)  # all in one prefix
+    assert simhash.sketch(near) == b"" and simhash.most_shared(b"", simhash.sketch(near[:9])) > 300
+
+
 def test_salted_candidates_find_the_same(spark):
     rng = np.random.default_rng(9)
     sets = [sorted(rng.choice(60, 40, replace=False).tolist()) for _ in range(60)]
