@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions, stored
+from tessera.llm.common import shuffle_partitions, stored, tidied
 
 #: The pattern of byte-level pre-tokenizers; what it finds is encoded part by part.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PROBE = "one two\nthree  four's 12a!? \t\u00e9t\u00e9 "
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
-#: Words a worker remembers the ids of; beyond it starts anew, which changes speed only.
-REMEMBERED_WORDS = 1_000_000
+#: Words a worker remembers the ids of, the first that it meets, among which are the common ones; others are looked up each time, which changes speed only.
+REMEMBERED_WORDS = 400_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -60,8 +60,6 @@ class WordIds(dict):
         return self.split(word)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
         parts = self.parts(word)
         if len(parts) == 1:
             ids = array("I", [t.id for t in self.tokenizer.model.tokenize(self.shown(word))])
@@ -70,7 +68,8 @@ class WordIds(dict):
             found = ids.tobytes()
         else:
             found = b"".join([self[p] for p in parts])
-        self[word] = found
+        if len(self) < REMEMBERED_WORDS:
+            self[word] = found
         return found
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
@@ -96,14 +95,17 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, end = word_ids(vocabulary), np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+
+        def of(batch: pd.DataFrame) -> pd.DataFrame:
             out = []
             for doc, ids in zip(batch["doc_id"], words.of([t or "" for t in batch["text"]])):
                 ids += end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 out += [(doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype})
+            return pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype})
+
+        yield from tidied(of(batch) for batch in batches)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a string keeps nulls apart from numbers
