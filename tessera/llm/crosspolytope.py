@@ -79,7 +79,7 @@ def _coded(rows: DataFrame, tables: int, probes: int, seed: int, of_query: bool)
                 at = part.index.to_numpy()
                 x = np.stack(v.iloc[at].to_numpy()).astype(np.float64)
                 unit = on_sphere(x / np.linalg.norm(x, axis=1, keepdims=True), 1.0) if of_query else on_sphere(x, m)
-                codes = [((d * tables + t) << 40) + buckets(unit, t, int(b), probes if of_query else 1, seed) for t in range(tables)] if b else [np.full((len(at), 1), -d)]
+                codes = [((int(d) * tables + t) << 40) + buckets(unit, t, int(b), probes if of_query else 1, seed) for t in range(tables)] if b else [np.full((len(at), 1), -int(d))]
                 for i, row in zip(at, np.concatenate(codes, axis=1).tolist()):
                     out[i] = row
             yield pd.Series(out, dtype=object)
