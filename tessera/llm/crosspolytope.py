@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions, small_batches, small_or_not, stored, tabled
+from tessera.llm.common import small_batches, small_or_not, stored, tabled
 
 #: Fast pseudo-rotations: rounds of random signs and a Hadamard transform.
 ROUNDS = 3
 #: Rows of vectors or queries that one cell of the search holds at most, on average; larger buckets are split into a grid of cells.
 CELL_ROWS = 20_000
+#: Cells of small indexes, so that their work is spread. More cells than an index needs cost rows, as each gives k for a query.
+LEAST_CELLS = 24
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -131,7 +133,7 @@ def _searched(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sizes = index.groupBy("code").agg(F.count("*").alias("_i")).join(queries.groupBy("code").agg(F.count("*").alias("_q")), "code")
     parts = lambda n: F.ceil(F.col(n) / CELL_ROWS).cast("int").alias(n)
     grids = small_or_not(stored(sizes.select("code", parts("_i"), parts("_q")).filter("_i > 1 or _q > 1")))
-    cells = max(shuffle_partitions(spark), -(-index.count() // CELL_ROWS))
+    cells = max(LEAST_CELLS, -(-index.count() // CELL_ROWS))
     part = lambda n: F.pmod(F.xxhash64("v", F.lit("part")), F.coalesce(n, F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
     cell = F.when(F.col("_i").isNull(), F.pmod(F.xxhash64("code"), F.lit(cells))).otherwise(F.xxhash64("code", "_pi", "_pq")).alias("cell")  # a split code's cells have names of their own
