@@ -14,8 +14,8 @@ from tessera.llm.common import SPACE, free_name, shared_folder
 ORACLE_SQL = None
 #: A language is told if it has so much of the probability, code lengths taken per 64 bytes.
 LEAST_SCORE = 0.75
-#: Near-duplicates: words of a shingle, and the Jaccard similarity from which on documents are linked.
-SHINGLE, LEAST_SIMILARITY = 5, 0.8
+#: Near-duplicates: words of a shingle, the Jaccard similarity from which on documents are linked, and the bits in which near fingerprints may differ.
+SHINGLE, LEAST_SIMILARITY, BITS_APART = 5, 0.8, 4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, linked by 5-word shingles with a Jaccard similarity of 0.8 or more, the document with the smallest doc_id stays; rows of equal
-    doc_id stay or go together, and so do those without one. Columns of docs, whatever their names; an empty table stays empty."""
-    groups = simhash.similar_documents(docs.select("doc_id", "text"), SHINGLE, LEAST_SIMILARITY)
+    """Of each group of near-duplicates, linked by 5-word shingles with a Jaccard similarity of 0.8 or more, the document with the smallest doc_id stays: SimHash
+    fingerprints and their blocks give the near pairs, an exact check follows, and a prefix filter finds the links that fingerprints can't. Rows of equal doc_id stay or
+    go together, and so do those without one. Columns of docs, whatever their names; an empty table stays empty."""
+    groups = simhash.similar_documents(docs.select("doc_id", "text"), SHINGLE, LEAST_SIMILARITY, BITS_APART)
     stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stays"]), "left_semi")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -16,29 +16,38 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The unsigned SimHash of a text: a bit is set if it is set in over half the XXH64 hashes of the word shingles, repeats included.
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The XXH64 hashes of a text's word shingles, repeats included, in parts that bound the memory for long texts.
 
-    Words lie between ASCII white space, with A-Z lowered; a text of fewer than `width` words is one shingle, one of none gives 0.
+    Words lie between ASCII white space, with A-Z lowered; a text of fewer than `width` words is one shingle, one of none has none.
     """
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8").lower().split()  # bytes: ASCII case and white space only
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxh64_intdigest(b" ".join(words), SEED)
+        return
     joined = b" ".join(words)
     stops = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = [0, *(stops[: len(words) - width] + 1).tolist()]
-    total, count = np.zeros(BITS, dtype=np.int64), len(starts)
-    ends = stops[width - 1 :].tolist()
-    for at in range(0, count, 65536):  # bounded memory for long texts
-        hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536])), dtype="<u8")
+    count = max(1, len(words) - width + 1)
+    starts, ends = [0, *(stops[: count - 1] + 1).tolist()], [*stops[width - 1 : -1].tolist(), len(joined)]
+    for at in range(0, count, 65536):
+        yield np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536])), dtype="<u8")
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The unsigned SimHash of hashes: a bit is set if it is set in over half of them; 0 if there are none."""
+    total, count = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in parts:
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += len(hashes)
     return int(np.packbits(2 * total > count, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    """The unsigned SimHash of a text: a bit is set if it is set in over half the XXH64 hashes of the word shingles, repeats included. A text without words gives 0."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
 
@@ -139,20 +148,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, crowd: i
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct XXH64 hashes of a text's word shingles, as signed longs; words and short texts as in fingerprint()."""
-    from xxhash import xxh64_intdigest
+    """The sorted distinct XXH64 hashes of a text's word shingles, as signed longs; words and short texts as in shingle_hashes()."""
+    return distinct_hashes(shingle_hashes(text, width))
 
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.int64)
-    joined, found = b" ".join(words), []
-    stops = np.cumsum([len(w) + 1 for w in words]) - 1
-    count = max(1, len(words) - width + 1)
-    starts, ends = [0, *(stops[: count - 1] + 1).tolist()], [*stops[width - 1 : -1].tolist(), len(joined)]
-    for at in range(0, count, 65536):
-        pieces = zip(starts[at : at + 65536], ends[at : at + 65536])
-        found.append(np.unique(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in pieces), dtype="<u8")))
-    return np.unique(np.concatenate(found).view(np.int64))
+
+def distinct_hashes(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """Sorted, as signed longs."""
+    found = [np.unique(x) for x in parts]
+    return np.unique(np.concatenate(found).view(np.int64)) if found else np.empty(0, dtype=np.int64)
 
 
 def common_shingles(marked: DataFrame, width: int, most_texts: int = 4_000, most: int = 100_000) -> np.ndarray:
@@ -184,7 +187,7 @@ def most_shared(a: bytes, b: bytes) -> int:
 
 
 def shingle_marks(docs: DataFrame, width: int, least: float, common: np.ndarray) -> DataFrame:
-    """docs (text) with node (a hash of the text's shingle set), n (the set's size), sketch (see sketch()) and prefix: the first n - ceil(least * n) + 1 shingles of the set in one order for all texts,
+    """docs (text) with node (a hash of the text's shingle set), fp (the text's fingerprint as a signed long), n (the set's size), sketch (see sketch()) and prefix: the first n - ceil(least * n) + 1 shingles of the set in one order for all texts,
     common ones last."""
     from xxhash import xxh64_intdigest
 
@@ -197,14 +200,17 @@ def shingle_marks(docs: DataFrame, width: int, least: float, common: np.ndarray)
         return np.concatenate([x[~often], x[often]])[:first]
 
     def marked(texts: pd.Series) -> pd.DataFrame:
-        found = [(xxh64_intdigest(x.tobytes(), SEED), len(x), prefix(x), sketch(x)) for x in (shingle_set(t, width) for t in texts)]
-        nodes, sizes = np.array([f[0] for f in found], dtype=np.uint64).view(np.int64), np.array([f[1] for f in found], dtype=np.int32)
-        return pd.DataFrame({"node": nodes, "n": sizes, "prefix": [f[2] for f in found], "sketch": [f[3] for f in found]})
+        found = []
+        for parts in ([*shingle_hashes(t, width)] for t in texts):
+            x = distinct_hashes(parts)
+            found.append((xxh64_intdigest(x.tobytes(), SEED), majority(parts), len(x), prefix(x), sketch(x)))
+        nodes, fps = (np.array([f[k] for f in found], dtype=np.uint64).view(np.int64) for k in (0, 1))
+        return pd.DataFrame({"node": nodes, "fp": fps, "n": np.array([f[2] for f in found], dtype=np.int32), "prefix": [f[3] for f in found], "sketch": [f[4] for f in found]})
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from tidied(marked(texts) for texts in batches)
 
-    return docs.withColumn("_m", F.pandas_udf(of, "node long, n int, prefix array<long>, sketch binary")("text")).select(*docs.columns, "_m.*")
+    return docs.withColumn("_m", F.pandas_udf(of, "node long, fp long, n int, prefix array<long>, sketch binary")("text")).select(*docs.columns, "_m.*")
 
 
 def shingle_candidates(marked: DataFrame, least: float, salt_rows: int = 512) -> DataFrame:
@@ -215,9 +221,9 @@ def shingle_candidates(marked: DataFrame, least: float, salt_rows: int = 512) ->
     """
     posts = marked.select("node", "n", F.posexplode("prefix").alias("at", "s"))
     repeated = stored(posts.groupBy("s").count().filter("count > 1").select("s"))  # most shingles occur once: they go no further; copies of a text count too
-    several = stored(posts.join(small_or_not(repeated, 2_000_000), "s", "left_semi").distinct())
+    several = tabled(posts.join(small_or_not(repeated, 2_000_000), "s", "left_semi").distinct())
     lists = several.groupBy("s").count().filter("count > 1")
-    met = stored(several.join(lists, "s").withColumn("_k", F.ceil(F.col("count") / salt_rows).cast("int")))
+    met = tabled(several.join(lists, "s").withColumn("_k", F.ceil(F.col("count") / salt_rows).cast("int")))
     left = met.select("s", F.col("node").alias("a"), F.col("n").alias("_na"), F.col("at").alias("_i"), F.pmod(F.xxhash64("node"), F.col("_k")).cast("int").alias("_p"))
     right = met.select("s", F.col("node").alias("b"), F.col("n").alias("_nb"), F.col("at").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_p"))
     shared = F.lit(least / (1 + least)) * (F.col("_na") + F.col("_nb")) - 1e-6  # what the sets must share
@@ -227,20 +233,34 @@ def shingle_candidates(marked: DataFrame, least: float, salt_rows: int = 512) ->
     return left.join(right, ["s", "_p"]).filter((F.col("a") > F.col("b")) & long_enough & (able >= shared)).select("a", "b").distinct()
 
 
-def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def fingerprint_candidates(marked: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b), a > b, of nodes whose fingerprints are equal or linked by links(), one node standing for all of one fingerprint; marked: node, fp."""
+    owned = stored(marked.select("fp", "node").distinct())
+    first = stored(owned.groupBy("fp").agg(F.min("node").alias("_node")))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("_node").alias(f"_{c}"))
+    equal = owned.join(first.hint("rebalance"), "fp").select(F.col("node").alias("a"), F.col("_node").alias("b"))
+    near = links(first.select("fp"), distance).join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return equal.unionByName(near).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 4) -> DataFrame:
     """doc_id, component_id for every row of docs (doc_id, text): the smallest doc_id reachable over links of texts whose sets of `width`-word shingles have a
     Jaccard similarity of `least` or more. All such pairs are found; each candidate is verified over the whole sets of both texts.
 
-    Every text goes through Python once, for its node and prefix, which are stored; then one text of each node that has a candidate. Both in small batches, which bounds a worker's memory.
+    First come SimHash fingerprints of the shingles: those within `distance` bits, found by blocks as in near_duplicates(), are candidates, and what the exact check leaves of them makes
+    groups. Similar texts may differ in more bits, so a prefix filter then finds all other pairs that may be similar and lie in two groups; each text is compared with the
+    one of the nearest fingerprint first, and only pairs that this hasn't joined with all the others.
+
+    Every text goes through Python once, for its node, fingerprint and prefix, which are stored; then one text of each node that has a candidate. Both in small batches, which bounds a worker's memory.
 
     Texts of equal sets are one node. Null and empty texts are one group; a text of fewer words is one shingle. Null doc_ids as in near_duplicates(); an empty table
     gives no rows; other columns are ignored.
     """
     with small_batches(docs.sparkSession):
-        return _similar_documents(docs, width, least)
+        return _similar_documents(docs, width, least, distance)
 
 
-def _similar_documents(docs: DataFrame, width: int, least: float) -> DataFrame:
+def _similar_documents(docs: DataFrame, width: int, least: float, distance: int) -> DataFrame:
     def reach(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         def jaccard(a: str, b: str) -> bool:
             x, y = shingle_set(a, width), shingle_set(b, width)
@@ -256,30 +276,43 @@ def _similar_documents(docs: DataFrame, width: int, least: float) -> DataFrame:
 
     keyed = docs.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
     marked = tabled(shingle_marks(keyed, width, least, common_shingles(docs, width)).drop("text"))
-    candidates = stored(shingle_candidates(marked, least))
-    nodes = marked.join(small_or_not(stored(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct())), "node", "left_semi").dropDuplicates(["node"])
-    nodes = tabled(nodes.select("node", "n", "sketch"))
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"_n{c}"), F.col("sketch").alias(f"_s{c}"))
-    met = candidates.hint("rebalance").join(side("a"), "a").join(side("b"), "b")  # sketches settle most pairs, so that texts move for few
-    pairs = stored(met.filter(able("_sa", "_na", "_sb", "_nb")).select("a", "b"))
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    one = stored(marked.join(small_or_not(asked), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*KEY)).alias("_k")).select("node", "_k.*"))  # texts of one node have one set
-    texts = tabled(keyed.select(*KEY, "text").join(small_or_not(one), KEY).dropDuplicates(["node"]).select("node", "text"))
 
-    def alike(asked: DataFrame) -> DataFrame:
+    def ends(pairs: DataFrame) -> DataFrame:
+        return stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """A text of each node: texts of one node have one set."""
+        one = stored(marked.join(small_or_not(asked), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*KEY)).alias("_k")).select("node", "_k.*"))
+        return tabled(keyed.select(*KEY, "text").join(small_or_not(one), KEY).dropDuplicates(["node"]).select("node", "text"))
+
+    def alike(asked: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs whose whole sets are alike enough. Texts move, not sets: compressed they are less than half as large."""
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("_a")).join(small_or_not(asked, 2_000_000), "a")
         both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_b")), "b")
         return stored(both.filter(F.pandas_udf(reach, "boolean")("_a", "_b")).select("a", "b"))
 
-    # Each node is compared with its smallest candidate first; of the other pairs, only those that this hasn't put into one group yet.
-    first = stored(pairs.groupBy("a").agg(F.min("b").alias("b")))
-    found = alike(first)
-    known = stored(smallest_reachable(found))
-    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"_r{c}"))
-    later = pairs.join(first, ["a", "b"], "left_anti").join(small_or_not(root("a"), 2_000_000), "a", "left").join(small_or_not(root("b"), 2_000_000), "b", "left")
-    rest = stored(later.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b"))
-    roots = smallest_reachable(found.unionByName(alike(rest)))
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """The pairs that the links found haven't put into one group."""
+        known = stored(smallest_reachable(found))
+        root = lambda c: small_or_not(known.select(F.col("node").alias(c), F.col("root").alias(f"_r{c}")), 2_000_000)
+        joined = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        return stored(joined.filter(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select(*pairs.columns))
+
+    # SimHash: near fingerprints, then the exact check.
+    near = stored(fingerprint_candidates(marked, distance))
+    grouped = alike(near, texts_of(ends(near)))
+    # What may be similar besides, whatever the fingerprints.
+    candidates = apart(shingle_candidates(marked, least), grouped)
+    nodes = marked.join(small_or_not(ends(candidates)), "node", "left_semi").dropDuplicates(["node"])
+    nodes = tabled(nodes.select("node", "fp", "n", "sketch"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"_f{c}"), F.col("n").alias(f"_n{c}"), F.col("sketch").alias(f"_s{c}"))
+    met = candidates.hint("rebalance").join(side("a"), "a").join(side("b"), "b")  # sketches settle most pairs, so that texts move for few
+    pairs = stored(met.filter(able("_sa", "_na", "_sb", "_nb")).select("a", "b", F.bit_count(F.col("_fa").bitwiseXOR(F.col("_fb"))).alias("_bits")))
+    texts = texts_of(ends(pairs))
+    first = stored(pairs.groupBy("a").agg(F.min(F.struct("_bits", "b")).alias("_x")).select("a", "_x.b"))
+    found = grouped.unionByName(alike(first, texts))
+    rest = apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"), found)
+    roots = smallest_reachable(found.unionByName(alike(rest, texts)))
     nodes = marked.groupBy("node").agg(F.min("doc_id").alias("_first"))
     placed = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "_first", F.coalesce("root", "node").alias("_root"))
     names = placed.groupBy("_root").agg(F.min("_first").alias("component_id")).hint("rebalance")

@@ -378,6 +378,25 @@ def test_similar_documents(spark, odd, none):
     assert simhash.similar_documents(none).count() == 0
 
 
+def test_near_dedup_goes_by_fingerprints_first(spark, monkeypatch):
+    """The stage's near fingerprints are candidates of the exact check; what it leaves of them is found even if the prefix filter gives nothing, and the filter adds the rest."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(12):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+        rows += [(100 * i, " ".join(words)), (100 * i + 1, " ".join([*words[:-1], "changed"]))]
+        rows.append((100 * i + 2, " ".join("z" if k % 50 == 0 else w for k, w in enumerate(words))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    near = {i for i in fps if any(j < i and (fps[i] ^ fps[j]).bit_count() <= 4 for j in fps)}
+    assert 6 <= len(near) < 24
+    whole = simhash.shingle_candidates
+    monkeypatch.setattr(simhash, "shingle_candidates", lambda marked, least: whole(marked, least).filter("false"))
+    assert {i for i, _ in rows} - {r["doc_id"] for r in pipeline.near_dedup(spark, docs, SF).collect()} == near
+    monkeypatch.setattr(simhash, "shingle_candidates", whole)
+    assert {r["doc_id"] for r in pipeline.near_dedup(spark, docs, SF).collect()} == {c for _, c in brute_similar(rows)}
+
+
 def test_sketches_never_bound_too_low():
     rng = np.random.default_rng(6)
     for n, m in ((0, 0), (0, 5), (1, 1), (3, 4), (100, 90), (1000, 1000), (5000, 4096)):
