@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ANY_WORD, KEY, bind, indices, row_key, scan_words, set_apart, small_or_not, stored, tabled, word_positions
+from tessera.llm.common import KEY, bind, indices, row_key, scan_words, set_apart, small_or_not, stored, tabled, word_positions, words_of
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, ancho
     """
     rows, doc_id, text, back = set_apart(docs, into)
     found = contaminated(rows.select("*", *row_key(doc_id, text)), text, benchmark, length, anchors, slack)
-    left = rows.select("*", *row_key(doc_id, text), F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY_WORD), 0)).cast("long").alias("_n"))
+    left = rows.select("*", *row_key(doc_id, text), F.size(words_of(text)).cast("long").alias("_n"))
     joined = left.join(small_or_not(found), KEY, "left")
     none = F.array().cast("array<string>")
     return back(

@@ -1,5 +1,6 @@
 """Sharding, packing, near-duplicates, decontamination and the pipeline against brute force."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import decontamination, licenses, linededup, packing, pipeline, quality, registry, sharding, simhash
+from tessera.llm import common, decontamination, licenses, linededup, packing, pipeline, quality, registry, sharding, simhash
 
 from .conftest import ODD
 from .test_scans import LOW, WORD, brute_code_length
@@ -227,6 +228,18 @@ def test_shuffled_joins_find_the_same(spark, odd, monkeypatch):
     assert hits(decontamination.decontaminate(odd, items)) == brute_hits(ODD, ITEMS)
 
 
+def test_words_are_cut_without_a_matcher_for_each(spark, odd):
+    """Words as the pattern finds them, with any character between, before and after them; op2's plans over the texts don't extract match by match."""
+    texts = ["", None, " ", "a", "-a-", "A b", "é\u00a0x", "𠀀😀 z", *(f"{chr(c)}x{chr(c)}{chr(c)}Y9{chr(c)}" for c in range(256)), *(t for _, t in ODD)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["a"], r["b"]) for r in frame.select("doc_id", common.words_of(common.F.col("text")).alias("a"), common.scan_words(common.F.col("text")).alias("b")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (re.findall(common.ANY_WORD, t or ""), WORD.findall((t or "").translate(LOW)))
+    docs = odd.select("doc_id", "text")
+    for df in (common.word_positions(docs, common.F.col("text"), "doc_id"), decontamination.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))):
+        assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha x y z q beta"), (3, "beta alpha"), (4, "alpha beta")], "doc_id long, text string")
     out = decontamination.decontaminate(docs, spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), 10, slack=2)
