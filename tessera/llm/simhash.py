@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import KEY, row_key, small_batches, small_or_not, stored, tabled, tidied
+from tessera.llm.common import KEY, fitted, row_key, short_shuffles, small_batches, small_or_not, stored, tabled, tidied
 
 BITS = 64
 SEED = 42
@@ -108,7 +108,8 @@ def smallest_reachable(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating stars: every node's larger neighbours move to its smallest neighbour, then its smaller ones do, until nothing changes; each round is
     written to the shared checkpoint folder. Components of n nodes need about log n rounds. The neighbours of a hub are met in joins that Spark can split: the
-    smallest ones are dealt out first, else the join would take over the partitioning by node of their aggregate.
+    smallest ones leave the partitioning by node of their aggregate first, else the join would take it over. A round makes no more than a few times the edges that there
+    were at first, so their count sets the partitions of each step.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
 
@@ -116,14 +117,16 @@ def smallest_reachable(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     seen = mark(now)
+    fit = lambda df, rows=seen[0]: fitted(df, rows)
+    now = fit(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")).hint("rebalance")
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.unionByName(low.filter("a <> low").select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low")).hint("rebalance")
-        small = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        now = stored(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct())
+        low = fit(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")))
+        large = fit(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")))
+        large = fit(large.unionByName(low.filter("a <> low").select("a", F.col("low").alias("b"))).filter("a <> b").distinct())
+        low = fit(large.groupBy("a").agg(F.min("b").alias("low")))
+        small = fit(large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")))
+        now = stored(fit(small.unionByName(low.select("a", F.col("low").alias("b"))).distinct()))
         if (found := mark(now)) == seen:
             break
         seen = found
@@ -256,7 +259,7 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = 0.8, dista
     Texts of equal sets are one node. Null and empty texts are one group; a text of fewer words is one shingle. Null doc_ids as in near_duplicates(); an empty table
     gives no rows; other columns are ignored.
     """
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), short_shuffles(docs.sparkSession):
         return _similar_documents(docs, width, least, distance)
 
 

@@ -1,8 +1,10 @@
 """Sharding, packing, near-duplicates, decontamination and the pipeline against brute force."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -182,6 +184,52 @@ def test_smallest_reachable_on_a_long_chain(spark):
     assert simhash.smallest_reachable(edges).filter("root <> 0").count() == 0
 
 
+def tasks_of(spark, group, work):
+    """What work() returns, and how many tasks it ran."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        result = work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    return result, sum(tracker.getStageInfo(s).numTasks for s in {s for j in jobs for s in j.stageIds})
+
+
+def test_small_graphs_take_few_tasks_however_many_partitions_there_are(spark):
+    """A round of a small graph ran a task, and left three files of a shuffle, for each of all shuffle partitions in each of its twelve steps."""
+    edges = spark.range(1, 301).selectExpr("id as a", "0L as b").union(spark.range(1000, 1020).selectExpr("id as a", "id + 1 as b"))  # a hub and a chain
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found, tasks = tasks_of(spark, "small-graph", lambda: {r["node"]: r["root"] for r in simhash.smallest_reachable(edges).collect()})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1021)}
+    assert tasks < 5000, tasks  # 20199 before
+
+
+def test_shuffle_files_of_near_duplicates_go_at_once(spark):
+    """They stayed until the driver collected its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).glob("*/shuffle_*")}
+    before, was = files(), spark.conf.get(name)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i // 2, i // 2 + 60))) for i in range(40)], "doc_id long, text string")
+    groups = simhash.similar_documents(docs)
+    assert spark.conf.get(name) == was
+    for _ in range(50):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert {r["component_id"] for r in groups.collect()} == {0}
+
+
 def brute_hits(docs, items, n=10):
     runs = defaultdict(set)
     for item, text in items:
