@@ -16,6 +16,8 @@ ORACLE_SQL = None
 LEAST_SCORE = 0.75
 #: Near-duplicates: words of a shingle, the Jaccard similarity from which on documents are linked, and the bits in which near fingerprints may differ.
 SHINGLE, LEAST_SIMILARITY, BITS_APART = 5, 0.8, 4
+#: Words whose ids a worker remembers: fewer than when packing is all that it does, as it keeps them through the other stages too.
+REMEMBERED_WORDS = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, with their sequences; nulls, repeats and empty tables as in best_fit_packing()."""
-    return packing.best_fit_packing(docs.select("doc_id", "text"), registry.vocabulary(), registry.CAPACITY, registry.END_ID)
+    return packing.best_fit_packing(docs.select("doc_id", "text"), registry.vocabulary(), registry.CAPACITY, registry.END_ID, REMEMBERED_WORDS)
 
 
 STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]

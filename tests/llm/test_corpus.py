@@ -230,6 +230,14 @@ def test_shuffle_files_of_near_duplicates_go_at_once(spark):
     assert {r["component_id"] for r in groups.collect()} == {0}
 
 
+def test_remembered_words_are_bounded_and_change_nothing(spark, odd):
+    few, all_ = packing.WordIds(registry.vocabulary(), 3), packing.WordIds(registry.vocabulary())
+    texts = [t or "" for _, t in ODD]
+    assert [*few.of(texts)] == [*all_.of(texts)] and len(few) == 3 < len(all_)
+    rows = lambda n: sorted(map(str, packing.best_fit_packing(odd, registry.vocabulary(), remembered=n).drop("sequence_id", "offset").collect()))
+    assert rows(3) == rows(100_000)
+
+
 def brute_hits(docs, items, n=10):
     runs = defaultdict(set)
     for item, text in items:
