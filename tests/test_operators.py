@@ -94,6 +94,35 @@ def test_access(spark):
     assert rows(access.allowed_resources(res, grants, who.filter("user_id = 'u1'"), "WRITE"), "resource_id") == []
 
 
+def test_access_gives_each_pair_once_without_a_shuffle_of_pairs(spark):
+    """All ways at once, with nulls and repeated rows, against a plain comparison of all pairs; what comes out is only what rows meet by key, not made distinct afterwards."""
+    import random
+
+    draw = random.Random(3)
+    some = lambda *x: draw.choice([*x, None])
+    res = [(i, some(1, 2), some(*range(8)), some("TENANT", "DEPARTMENT", "PRIVATE", "PRIVATE"), some("a", "b", "c"), draw.choice([0, 0, 0, 1])) for i in [*range(60), 7, 8]]
+    who = [(i, some(1, 2), some("admin", "user", "user", "guest"), some("a", "b", "c")) for i in [*range(20), 3, 4]] + [(99, 1, "system_admin", "a")]
+    grants = [(kind := draw.choice(["USER", "ROLE", "DEPARTMENT"]), some(*{"USER": map(str, range(25)), "ROLE": ["user", "guest", "nobody"], "DEPARTMENT": ["a", "b"]}[kind]), draw.randrange(60), draw.choice(["READ", "WRITE"]), draw.choice([0, 0, 1])) for _ in range(80)]
+    of = lambda data, ddl: spark.createDataFrame(data, ddl)
+    frames = of(res, "resource_id long, tenant int, owner long, visibility string, department string, deleted int"), of(grants, "subject_type string, subject_id string, resource_id long, permission string, deleted int"), of(who, "user_id long, tenant int, role string, department string")
+
+    def may(u, r, required):
+        if r[5]:
+            return False
+        if u[2] == "system_admin":
+            return True
+        if u[1] is None or u[1] != r[1]:
+            return False
+        mine = {("USER", str(u[0])), ("ROLE", u[2]), ("DEPARTMENT", u[3])} - {("ROLE", None), ("DEPARTMENT", None)}
+        reads = required == "READ" and (r[3] == "TENANT" or (r[3] == "DEPARTMENT" and u[3] is not None and u[3] == r[4]))
+        return u[2] == "admin" or u[0] == r[2] or reads or any((g[0], g[1]) in mine and g[2] == r[0] and not g[4] and g[3] in access.IMPLIED[required] for g in grants)
+
+    for required in ("READ", "WRITE"):
+        got = access.allowed_resources(*frames, required=required)
+        assert sorted(map(tuple, got.collect())) == sorted((u[0], r[0]) for u in who for r in res if may(u, r, required))
+        assert "hashpartitioning(user_id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_case_metrics_by_id_and_hash(spark):
     cases = spark.createDataFrame([(1, True), (2, True), (3, False)], "case_id int, answerable boolean")
     returned = spark.createDataFrame([(1, 1, "x", ""), (1, 2, "a", ""), (1, 3, "b", ""), (2, 1, "n1", "h"), (2, 2, "n2", "h")], "case_id int, rank int, item string, hash string")
