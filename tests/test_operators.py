@@ -123,6 +123,13 @@ def test_access_gives_each_pair_once_without_a_shuffle_of_pairs(spark):
         assert "hashpartitioning(user_id" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_write_access_is_given_out_where_the_resources_lie(spark):
+    from tessera.plans import registry
+
+    plan = registry.queries()["acl_write_filter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id" not in plan
+
+
 def test_case_metrics_by_id_and_hash(spark):
     cases = spark.createDataFrame([(1, True), (2, True), (3, False)], "case_id int, answerable boolean")
     returned = spark.createDataFrame([(1, 1, "x", ""), (1, 2, "a", ""), (1, 3, "b", ""), (2, 1, "n1", "h"), (2, 2, "n2", "h")], "case_id int, rank int, item string, hash string")
