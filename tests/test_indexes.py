@@ -131,3 +131,34 @@ def test_vector_index(spark, tmp_path):
     with pytest.raises(Exception, match="8 numbers"):
         vectors.updated(index, spark.createDataFrame([], "vec_id long"), spark.createDataFrame([(1, [1.0])], schema))
     assert os.path.isdir(tmp_path / "centres")
+
+
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().endswith(".data"))
+
+
+def test_a_build_leaves_no_shuffle_files(spark, tmp_path):
+    """What a build and a ranking shuffle goes once it is written, so the disk of the largest step is needed, not of all together; counts and manifests, which are small, may stay."""
+    rng = random.Random(2)
+    chunks = [(f"{d}-0", d, 0, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for d in range(3000)]
+    before = shuffle_bytes(spark)
+    index = lexical.built(spark.createDataFrame(chunks, CHUNK).repartition(4), str(tmp_path))
+    hits = retrieval.bm25(spark.createDataFrame([(1, chunks[5][3])], "query_id int, text string"), index, 3)
+    assert shuffle_bytes(spark) - before < 0.5 * sum(len(c[3]) for c in chunks) and hits.first()["chunk_id"] == "5-0"
+
+
+def test_postings_over_batches_that_cut_blocks(spark, tmp_path, small_blocks):
+    rng = random.Random(4)
+    rows = [*some_chunks(rng, 60), ("77-9", 77, 9, "Ünï_1 ünï_1 你好, x-\U0001f600y"), ("78-9", 78, 9, None), ("79-9", 79, 9, " ")]
+    with_size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        index = lexical.built(spark.createDataFrame(rows, CHUNK), str(tmp_path))
+        got = index.postings.selectExpr("block", "term", "explode(arrays_zip(places, tfs, lengths)) as x").selectExpr("block", "term", "x.places as place", "x.tfs as tf", "x.lengths as length").join(index.chunks.select("block", "place", "chunk_id"), ["block", "place"])
+        got = {(r["chunk_id"], r["term"]): (r["tf"], r["length"]) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", with_size)
+    words = {c: re.findall(r"\w+", t.lower()) for c, _, _, t in rows if t is not None}
+    assert got == {(c, w): (n, len(ws)) for c, ws in words.items() for w, n in Counter(ws).items()}
+    assert index.chunks.filter("content is null").count() == 1 and index.postings.groupBy("block", "term").count().filter("count > 1").count() == 0
