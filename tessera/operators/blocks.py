@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -191,34 +191,47 @@ def cut_paragraph(text: Column, target: int, most: int) -> Column:
     return F.when(long, F.pandas_udf(of, "array<string>")(F.when(long, text).otherwise(""))).otherwise(F.array(text))
 
 
-def _batches(lines: Column, most: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1)), F.lit(most))
-    return F.transform(starts, lambda s: F.slice(lines, s, most))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, however often body names it or an inner function runs over it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _batches(lines: Column, most: int, of: Callable[[Column], Column]) -> Column:
+    """of() each batch of at most so many lines (one empty batch for none). The lines are computed once, not for each batch."""
+    starts = lambda x: F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), F.lit(most))
+    return _bound(lines, lambda x: F.transform(starts(x), lambda s: of(F.slice(x, s, most))))
 
 
 def _table_parts(content: Column, rows: int) -> Column:
-    """A table's data rows in batches under its header, with embedding texts that name the columns of the full cells; empty cells are left out, so those after them move up."""
+    """A table's data rows in batches under its header, with embedding texts that name the columns of the full cells; empty cells are left out, so those after them move up.
+
+    Every value that the batches share is bound before them, so that a table takes time in proportion to its lines."""
     solid = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rule = lambda x: F.rlike(x, F.lit(TABLE_RULE))
-    first = F.array_position(F.transform(solid, rule), True).cast("int")
     cells = lambda row: F.filter(F.transform(F.split(row, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+    none = F.array().cast("array<string>")
+
+    def said(names: Column, row: Column) -> Column:
+        return F.array_join(F.transform(cells(row), lambda c, i: F.concat(F.coalesce(F.get(names, i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit(": "), c)), "; ")
+
+    def made(x: Column) -> Column:
+        first = F.concat(x["head"], F.array(x["rule"]))
+        heading = F.when(F.size(x["names"]) > 0, F.array(F.concat(F.lit("headers: "), F.array_join(x["names"], ", ")))).otherwise(none)
+        both = lambda t: _batches(
+            x["data"], rows, lambda b: F.struct(F.array_join(F.concat(t["first"], b), "\n").alias("content"), F.array_join(F.concat(t["heading"], F.transform(b, lambda r: said(x["names"], r))), "\n").alias("embedding_text"))
+        )
+        return _bound(F.struct(first.alias("first"), heading.alias("heading")), both)
 
     def of(x: Column) -> Column:
         head = F.slice(x["lines"], F.lit(1), F.greatest(x["at"] - 1, F.lit(0)))
         data = F.filter(F.slice(x["lines"], x["at"] + 1, F.size(x["lines"])), lambda r: ~rule(r))
-        names = F.when(F.size(head) > 0, cells(head[0])).otherwise(F.array().cast("array<string>"))
-        said = lambda row: F.array_join(F.transform(cells(row), lambda c, i: F.concat(F.coalesce(F.get(names, i), F.concat(F.lit("col"), (i + 1).cast("string"))), F.lit(": "), c)), "; ")
+        names = F.when(F.size(head) > 0, cells(head[0])).otherwise(none)
         whole = F.array(F.struct(content.alias("content"), F.lit("").alias("embedding_text")))
-        made = F.transform(
-            _batches(data, rows),
-            lambda b: F.struct(
-                F.array_join(F.concat(head, F.array(F.get(F.filter(x["lines"], rule), F.lit(0))), b), "\n").alias("content"),
-                F.array_join(F.concat(F.when(F.size(names) > 0, F.array(F.concat(F.lit("headers: "), F.array_join(names, ", ")))).otherwise(F.array().cast("array<string>")), F.transform(b, said)), "\n").alias("embedding_text"),
-            ),
-        )
-        return F.when((x["at"] > 0) & (F.size(data) > 0), made).otherwise(whole)
+        known = F.struct(head.alias("head"), data.alias("data"), names.alias("names"), F.get(x["lines"], x["at"] - 1).alias("rule"))
+        return F.when(x["at"] > 0, _bound(known, lambda y: F.when(F.size(y["data"]) > 0, made(y)).otherwise(whole))).otherwise(whole)
 
-    return F.transform(F.array(F.struct(solid.alias("lines"), first.alias("at"))), of)[0]
+    numbered = _bound(solid, lambda x: F.struct(x.alias("lines"), F.array_position(F.transform(x, rule), True).cast("int").alias("at")))
+    return _bound(numbered, of)
 
 
 def block_chunks(docs: DataFrame, key: str, text: str, sizes: Sizes = Sizes(target=800, least=300)) -> DataFrame:
@@ -235,12 +248,12 @@ def block_parts(docs: DataFrame, key: str, text: str, sizes: Sizes = Sizes(targe
     plain = lambda parts: F.transform(parts, lambda p: F.struct(p.alias("content"), none.alias("embedding_text")))
     lines = F.split(body, "\n", -1)
     items = F.filter(lines, lambda x: F.rlike(F.rtrim(x), F.lit(LIST_ITEM)))
-    joined = lambda batches: F.transform(batches, lambda b: F.array_join(b, "\n"))
+    joined = lambda rows, most: _batches(rows, most, lambda b: F.array_join(b, "\n"))
     alt = F.regexp_extract(body, r"^!\[([^\]]*)\]", 1)
     cut = (
         F.when(F.col("kind") == "TABLE", _table_parts(body, sizes.table_rows))
-        .when(F.col("kind") == "CODE", plain(F.when(F.size(lines) <= sizes.code_lines, F.array(body)).otherwise(joined(_batches(lines, sizes.code_lines)))))
-        .when(F.col("kind") == "LIST", plain(F.when(F.size(items) <= sizes.list_items, F.array(body)).otherwise(joined(_batches(items, sizes.list_items)))))
+        .when(F.col("kind") == "CODE", plain(F.when(F.size(lines) <= sizes.code_lines, F.array(body)).otherwise(joined(lines, sizes.code_lines))))
+        .when(F.col("kind") == "LIST", plain(F.when(F.size(items) <= sizes.list_items, F.array(body)).otherwise(joined(items, sizes.list_items))))
         .when(F.col("kind") == "IMAGE", F.array(F.struct(body.alias("content"), F.when(alt != "", F.concat(F.lit("[图片: "), alt, F.lit("]"))).otherwise("").alias("embedding_text"))))
         .otherwise(plain(F.col("_cut")))
     )

@@ -602,6 +602,19 @@ def test_typed_blocks(spark):
     ]
 
 
+def test_block_parts_take_time_in_proportion_to_the_lines(spark):
+    import time
+
+    n = 60_000
+    text = "## T\n\n| name | size |\n| --- | --- |\n" + "\n".join(f"| n{i} | {i} |" for i in range(n)) + "\n" + "\n".join(f"- n{i}" for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "id int, t string")
+    began = time.time()
+    out = {r["chunk_index"]: r for r in blocks.block_parts(docs, "id", "t").collect()}
+    assert time.time() - began < 60
+    assert len(out) == n // 20 + n // 30 and out[2999]["embedding_text"].endswith(f"name: n{n - 1}; size: {n - 1}") and out[2999]["content"].startswith("[T]\n| name | size |\n| --- | --- |\n| n59980 | 59980 |")
+    assert out[3000]["content"].startswith("[T]\n- n0\n") and out[4999]["content"].endswith(f"- n{n - 1}")
+
+
 def test_block_parts(spark):
     parts = [(r["kind"], r["content"], r["embedding_text"]) for r in blocks.block_parts(spark.createDataFrame([(1, TEXT)], "id int, t string"), "id", "t").orderBy("chunk_index").collect()]
     assert parts[1] == ("TABLE", "[One]\n| a | b |\n| --- | --- |\n| 1 |  |\n| 2 | x |", "[One]\nheaders: a, b\na: 1\na: 2; b: x")
