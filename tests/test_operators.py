@@ -602,6 +602,25 @@ def test_typed_blocks(spark):
     ]
 
 
+def test_clusters_move_a_vector_once_for_each_run_of_blocks(spark):
+    """Pairs of blocks are met in cells, so vectors aren't shuffled once for each pair; and the cells' size changes no cluster."""
+    import numpy as np
+
+    from tessera.operators.clustering import query_clusters
+
+    def moved():
+        store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    x = np.random.default_rng(1).normal(size=(2400, 32)).astype("float32")
+    df = spark.createDataFrame([(i % 2, i, e.tolist()) for i, e in enumerate(x)], "g int, i int, e array<float>")
+    before = moved()
+    got = {r["i"]: r["cluster"] for r in query_clusters(df, "g", "i", "e", 0.55, 2, rows=16).collect()}
+    assert sum(n for k, n in moved().items() if k not in before) < 60 * x.nbytes
+    assert got == {r["i"]: r["cluster"] for r in query_clusters(df, "g", "i", "e", 0.55, 2, rows=200, span=1).collect()} and len(set(got.values())) > 1
+
+
 def test_block_parts_take_time_in_proportion_to_the_lines(spark):
     import time
 
