@@ -736,3 +736,24 @@ def test_entity_mentions_against_brute_force(spark):
     for r in registry.queries()["entity_mentions"](spark, "/root/testdata/sf0.001").orderBy("doc_id", "place").collect():
         got.setdefault(r["doc_id"], []).append(r["name"])
     assert got == {i: n for i, t in docs.items() if (n := named(t or ""))}
+
+
+def test_fallback_sources_lower_a_chunk_once(spark):
+    """Odd rows against plain Python; chunks are lowered and measured below the join, not for each term of each query."""
+    import re
+
+    asked = [(1, "Rate limits of the API", "a"), (1, "limits", "a"), (2, None, "a"), (3, "错误代码 HTTP", "b"), (4, "limits", None), (5, "none here", "c")]
+    held = [("a-0", 0, "a", "The RATE limits"), ("a-1", 1, "a", "x" * 1500), ("a-1", 1, "a", "x" * 1500), ("a-2", 2, "a", None), ("a-3", 3, "a", ""), ("b-0", 0, "b", "错误代码: http 500"), ("n-0", 0, None, "limits")]
+    queries = spark.createDataFrame(asked, "query_id int, text string, kb string")
+    chunks = spark.createDataFrame(held, "chunk_id string, chunk_index int, kb string, content string")
+    got = retrieval.fallback_sources(queries, chunks, 4)
+    pairs = {}
+    for q, text, kb in asked:
+        terms = dict.fromkeys(w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9_+.#/-]{2,}|[一-鿿]{2,6}", text or ""))
+        for c, i, base, t in held:
+            if kb is not None and kb == base:
+                score = 10_000 if t is None else int((sum(x in t.lower() for x in terms) + min(1.0, len(t) / 1200)) * 10_000 + 0.5)
+                pairs.setdefault(q, []).append((-score, i, c))
+    assert rows(got, "query_id", "rank", "chunk_id", "score") == sorted((q, n, c, -s) for q, found in pairs.items() for n, (s, i, c) in enumerate(sorted(found)[:4], 1))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(content" in plan.split("Join ")[1] and "lower(content" not in plan.split("Join ")[0] and "char_length(content" not in plan.split("Join ")[0]
