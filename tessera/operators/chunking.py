section_chunks: shuffle lines once, by document

Symptom: On 0.10 GB of documents the profiler counts 549 MB of shuffle written and 934 MB read; on 0.51 GB it stopped the query at 2.34 GB of disk.
Evidence: Numbers of chunks were joined to the blocks by document and block, so all blocks with content and path moved again, and then twice more to be put together and numbered. Paths were a second join of the blocks with themselves, which read and sorted the lines again.
Fix: Paths come from running windows over the blocks. The numbers keep their fold but are looked up by document and place, so the blocks stay where their lines were dealt; the numbers have a stage of their own, so no task sorts the lines twice. Other users of the numbers are unchanged; clipboard_blocks uses the paths, too.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 908 -> 840 s, shuffle 5.38 -> 1.27 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 13 -> 23 s, most memory of a task 399 -> 676 MB; at 6 GB of input CPU 5128 -> 3736 s, shuffle 33.22 -> 7.83 GB, spill 0.00 -> 0.00 GB, read 5.90 -> 5.90 GB, longest task 25 -> 30 s, most memory of a task 496 -> 439 MB; with hot keys, at 1 GB of input CPU 509 -> 432 s, shuffle 0.99 -> 0.24 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 15 -> 12 s, most memory of a task 400 -> 322 MB.

@@ -149,27 +149,32 @@ def semantic_boundaries(paragraphs: DataFrame, key: str, order: str, embedding:
     return folds.running(marked, key, [order], paragraphs.columns, {"chunk": "int"}, lambda: (-1, 0), step)
 
 
+#: Levels of headings in Markdown and HTML.
+LEVELS = 6
+
+
 def outline_paths(blocks: DataFrame, key: str) -> DataFrame:
     """blocks (key, block, kind, level, content) with path: the headings that a block stands under. A heading of level n keeps the first n - 1 of the path before it and is added.
 
-    Only a document's headings are folded; its blocks look their path up by how many headings precede them.
+    So a heading stands no deeper than its level and at most one below the heading before it, and each place of a path holds the last heading of that depth: running windows over the blocks, without a list of a document's headings.
     """
-    title = F.regexp_replace("content", r"^#+\s+", "")
-    heads = F.array_sort(F.collect_list(F.when(F.col("kind") == "HEADING", F.struct("block", "level", title.alias("t")))))
-    start = F.struct(F.array().cast("array<string>").alias("now"), F.array().cast("array<array<string>>").alias("all"))
-
-    def step(a: Column, h: Column) -> Column:
-        now = F.array_append(F.slice(a["now"], F.lit(1), F.greatest(h["level"] - 1, F.lit(0))), h["t"])
-        return F.struct(now.alias("now"), F.array_append(a["all"], now).alias("all"))
-
-    paths = blocks.groupBy(key).agg(F.aggregate(heads, start, step, lambda a: a["all"]).alias("_paths"))
-    seen = F.sum((F.col("kind") == "HEADING").cast("int")).over(Window.partitionBy(key).orderBy("block")).cast("int")
-    none = F.array().cast("array<string>")
-    return blocks.withColumn("_h", seen).join(paths, key).withColumn("path", F.coalesce(F.get("_paths", F.col("_h") - 1), none)).drop("_h", "_paths")
-
-
-def run_numbers(rows: DataFrame, key: str, order: str, entry: Column, start: Column, step) -> DataFrame:
-    """rows with _run: a number for each, from a fold over a key's entries in order; step gives the next state (with field r, the row's run)."""
+    w = Window.partitionBy(key).orderBy("block")
+    head = F.col("kind") == "HEADING"
+    title = F.struct(F.regexp_replace("content", r"^#+\s+", "").alias("t"))
+    counted = blocks.filter(F.col(key).isNotNull()).withColumn("_h", F.sum(head.cast("int")).over(w))
+    least = F.min(F.when(head, F.greatest("level", F.lit(1)) - F.col("_h"))).over(w)
+    placed = counted.withColumn("_d", (F.col("_h") + F.least(least, F.lit(0))).cast("int"))
+    at = [F.last(F.when(head & (F.col("_d") == d), title), ignorenulls=True).over(w) for d in range(1, LEVELS + 1)]
+    deeper = F.collect_list(F.when(head & (F.col("_d") > LEVELS), F.struct(F.col("_d").alias("d"), title["t"].alias("t")))).over(w)  # empty where headings are Markdown's
+    found = placed.withColumns({"_at": F.array(*at), "_deeper": deeper})
+    rest = F.transform(F.sequence(F.lit(LEVELS + 1), F.col("_d")), lambda d: F.element_at(F.filter("_deeper", lambda x: x["d"] == d), -1)["t"])
+    upper = F.transform(F.slice("_at", F.lit(1), F.coalesce("_d", F.lit(0))), lambda x: x["t"])
+    return found.withColumn("path", F.when(F.col("_d") > LEVELS, F.concat(upper, rest)).otherwise(upper)).drop("_h", "_d", "_at", "_deeper")
+
+
+def run_numbers(rows: DataFrame, key: str, order: str, entry: Column, start: Column, step, together: bool = False) -> DataFrame:
+    """rows with _run: a number for each, from a fold over a key's entries in order; step gives the next state (with field r, the row's run). together: the rows of a key already lie in one partition, by a window or
+    a grouping; then they stay there and look their numbers up by their place in the key, and only the numbers are shuffled."""
     listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), entry.alias("e")))).alias("_l"))
     begin = F.struct(start.alias("s"), F.array().cast("array<int>").alias("out"))
 
@@ -177,7 +182,13 @@ def run_numbers(rows: DataFrame, key: str, order: str, entry: Column, start: Col
         s = step(a["s"], x["e"])
         return F.struct(s.alias("s"), F.array_append(a["out"], s["r"]).alias("out"))
 
-    zipped = F.arrays_zip(F.transform("_l", lambda x: x["o"]).alias("o"), F.aggregate("_l", begin, one, lambda a: a["out"]).alias("r"))
+    runs = F.aggregate("_l", begin, one, lambda a: a["out"])
+    if together:
+        upto, equal = F.count("*").over(Window.partitionBy(key).orderBy(order)).cast("int"), F.count("*").over(Window.partitionBy(key, order)).cast("int")
+        numbers = listed.select(key, runs.alias("_runs")).hint("rebalance", key)  # in a stage of its own, so that no task sorts both sides; a repartition by the same key would be optimized out
+        met = rows.withColumns({"_upto": upto, "_equal": equal}).join(numbers, key).filter(F.col(order).isNotNull())
+        return met.select(*rows.columns, F.explode(F.slice("_runs", F.col("_upto") - F.col("_equal") + 1, F.col("_equal"))).alias("_run"))
+    zipped = F.arrays_zip(F.transform("_l", lambda x: x["o"]).alias("o"), runs.alias("r"))
     return rows.join(listed.select(key, F.explode(zipped).alias("_x")).select(key, F.col("_x.o").alias(order), F.col("_x.r").alias("_run")), [key, order])
 
 
@@ -192,7 +203,7 @@ def section_chunks(blocks: DataFrame, key: str, target: int = 800) -> DataFrame:
         new = e["own"] | e["head"] | s["fresh"] | ((s["n"] > 0) & (s["n"] + e["n"] > target))
         return F.struct(F.when(new, s["r"] + 1).otherwise(s["r"]).alias("r"), F.when(e["own"] | e["head"], 0).when(new, e["n"]).otherwise(s["n"] + e["n"]).alias("n"), (e["own"] | e["head"]).alias("fresh"))
 
-    marked = run_numbers(blocks, key, "block", entry, start, step).filter("kind <> 'HEADING'")
+    marked = run_numbers(blocks, key, "block", entry, start, step, together=True).filter("kind <> 'HEADING'")
     parts = marked.groupBy(key, "_run").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
         F.first("path").alias("path"),

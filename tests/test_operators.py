@@ -757,3 +757,46 @@ def test_fallback_sources_lower_a_chunk_once(spark):
     assert rows(got, "query_id", "rank", "chunk_id", "score") == sorted((q, n, c, -s) for q, found in pairs.items() for n, (s, i, c) in enumerate(sorted(found)[:4], 1))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "lower(content" in plan.split("Join ")[1] and "lower(content" not in plan.split("Join ")[0] and "char_length(content" not in plan.split("Join ")[0]
+
+
+def test_sections_move_each_line_once(spark):
+    """Lines go to their document in one shuffle, which both uses read, and only the numbers of chunks are shuffled besides; nothing is dealt by block."""
+    docs = spark.createDataFrame([(1, "# A\n\nx\n\ny"), (2, None), (3, ""), (None, "# N\n\nz")], "id int, text string")
+    out = chunking.section_chunks(chunking.outline_paths(chunking.outline_blocks(docs, "id", "text"), "id"), "id", 30)
+    assert [(r["id"], r["chunk_index"], r["path"], r["content"]) for r in out.collect()] == [(1, 0, ["A"], "x\n\ny")]
+    first = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]  # the numbers' branch reads the same shuffle of lines
+    dealt = [line.split("Exchange ")[1] for line in first.split("\n") if "Exchange hashpartitioning(" in line]
+    assert len(dealt) == 3 and all(x.startswith("hashpartitioning(id#") and ", block#" not in x for x in dealt)
+
+
+def test_sections_of_repeated_ids(spark):
+    """Documents that come twice are lines that come twice; equal ones stand in one block."""
+    docs = spark.createDataFrame([(1, "# A\n\nx\n\n- l")] * 2, "id int, text string")
+    out = chunking.section_chunks(chunking.outline_paths(chunking.outline_blocks(docs, "id", "text"), "id"), "id", 30).orderBy("chunk_index").collect()
+    assert [(r["path"], r["content"]) for r in out] == [(["A\n# A"], "x\nx\n\n- l\n- l")]
+
+
+def test_outline_paths_of_any_level(spark):
+    """Levels of any depth, null ones and blocks without heading against the fold of the headings in plain Python; rows without key have no path."""
+    rng = random.Random(5)
+    made = [(d, b, rng.choice(["HEADING", "HEADING", "PARAGRAPH"]), rng.choice([None, 0, *range(1, 4 + 3 * d)]), f"## t{b}") for d in range(4) for b in range(60)]
+    made += [(4, n, "HEADING", n + 1, f"# h{n}") for n in range(9)] + [(4, 9, "PARAGRAPH", 0, "x"), (4, 10, "HEADING", 8, "# i"), (4, 11, "HEADING", 9, None), (4, 12, "LIST", 0, "- y"), (None, 0, "PARAGRAPH", 0, "z")]
+    want, path = {}, []
+    for d, b, kind, level, content in made:
+        path = [] if b == 0 else path
+        if kind == "HEADING":
+            path = path[: max((level or 0) - 1, 0)] + [content and content.lstrip("#").strip()]
+        if d is not None:
+            want[d, b] = path
+    got = chunking.outline_paths(spark.createDataFrame(made, "id int, block int, kind string, level int, content string"), "id")
+    assert {(r["id"], r["block"]): r["path"] for r in got.collect()} == want and max(map(len, want.values())) > 8
+
+
+def test_run_numbers_where_rows_lie_together(spark):
+    """Rows of the same place, of none and of a null key get the numbers that the join by place gives."""
+    rng = random.Random(8)
+    made = [(rng.choice([1, 2, None]), rng.choice([None, *range(12)]), rng.randrange(9)) for _ in range(60)]
+    df = spark.createDataFrame(made, "id int, at int, n int")
+    step = lambda s, e: F.struct((s["r"] + e).alias("r"))
+    both = [rows(chunking.run_numbers(df, "id", "at", F.col("n"), F.struct(F.lit(0).alias("r")), step, together), "id", "at", "n", "_run") for together in (False, True)]
+    assert both[0] == both[1] and len(both[0]) > 60
