@@ -800,3 +800,25 @@ def test_run_numbers_where_rows_lie_together(spark):
     step = lambda s, e: F.struct((s["r"] + e).alias("r"))
     both = [rows(chunking.run_numbers(df, "id", "at", F.col("n"), F.struct(F.lit(0).alias("r")), step, together), "id", "at", "n", "_run") for together in (False, True)]
     assert both[0] == both[1] and len(both[0]) > 60
+
+
+def test_frequent_words_are_counted_within_rows(spark):
+    """Odd rows against plain Python: only keys of several rows, also null ones, put the counts of all their words together; words never become rows before they are counted."""
+    import re
+    from collections import Counter
+
+    made = [(1, "b a1 bb, AA aa; bb cc dd ee ff"), (2, None), (3, "?! x y"), (4, ""), (5, "错误 代码 错误 Ñandú ñandú a_b"), (6, "one two two"), (6, "three THREE three two two one"), (6, None), (7, "same words words"), (7, "same words words"), (None, "no key key")]
+    made += [(8, " ".join(f"w{i % 50}" for i in range(120)))]
+    want = {}
+    for key in dict.fromkeys(k for k, _ in made):
+        n, first = Counter(), {}
+        for t in (t for k, t in made if k == key):
+            for i, w in enumerate(w for w in re.findall(r"\w+", (t or "").lower()) if len(w) >= 2):
+                n[w] += 1
+                first[w] = min(i, first.get(w, i))
+        if n:
+            want[key] = ",".join(sorted(n, key=lambda w: (-n[w], first[w]))[:3])
+    got = chunking.frequent_words(spark.createDataFrame(made, "id int, text string"), "id", "text", 3)
+    assert {r["id"]: r["words"] for r in got.collect()} == want and len(want) == 6
+    twice = chunking.frequent_words(spark.createDataFrame([(None, "x1 y1 y1"), (None, "z1 z1 z1 y1")], "id int, text string"), "id", "text", 2)
+    assert [r["words"] for r in twice.collect()] in (["y1,z1"], ["z1,y1"]) and "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
